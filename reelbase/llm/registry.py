@@ -1,7 +1,7 @@
 """The queries of this subpackage and, where SQL can say the same, their SQL."""
 
-from reelbase.llm import mojibake, packing, pieces, runs, tokens
+from reelbase.llm import mojibake, packing, pieces, runs, scans, tokens
 
-_MODULES = (mojibake, pieces, runs, tokens, packing)
+_MODULES = (mojibake, pieces, scans, runs, tokens, packing)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in _MODULES for k, s in getattr(m, "ORACLE", {}).items()}
