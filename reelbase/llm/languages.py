@@ -5,8 +5,8 @@ from 1 to 4, blended). Nyström landmarks stand in for the kernel matrix and one
 ridge regression gives a score for each language. A sentence's scores are linear in its n-grams
 once the landmarks' coefficients are folded in, so batches are scored by matrix products.
 
-The labels it learns from are the catalogue's own, some of them wrong: sentences whose label the
-first fit contradicts are left out of the second.
+The labels it learns from are the catalogue's own, some of them wrong: texts whose label is
+contradicted by a model fitted without them are left out.
 """
 
 from __future__ import annotations
@@ -32,13 +32,17 @@ CODES = tuple(LANGUAGES)
 
 #: The labelled sample: at most so many sentences a language, from at most so many rows read.
 SENTENCES_PER_LANGUAGE, SAMPLE_ROWS = 400, 30_000
-LANDMARKS_PER_LANGUAGE, RIDGE = 40, 0.02
+LANDMARKS_PER_LANGUAGE, RIDGE = 40, 0.1
 #: Below this score or this lead over the next language a sentence has no language.
 LEAST_SCORE, LEAST_LEAD = 0.35, 0.25
+#: Bits of an n-gram's hash; the rest of a word numbers the texts of a batch.
+KEY_BITS = 40
 
 _END = re.compile(r"(?<=[.!?…。！？])[\"'”’»)\]]*(?:\s+|(?<=[。！？])|$)|\n\s*\n|\n\s*(?=[-–—•]\s)")
 _MARKUP = re.compile(r"<[^<>]*>|\{\\[^{}]*\}|https?://\S+")
 _QUOTED = re.compile(r"“[^“”\n]{1,80}”|„[^„“”\n]{1,80}[“”]|«[^«»\n]{1,80}»|‘[^‘’\n]{3,80}’|\"[^\"\n]{1,80}\"|「[^「」\n]{1,40}」|『[^『』\n]{1,40}』")
+_QUOTE, _CUT, _NO_LETTER = re.compile("[“„«‘\"「『]"), re.compile("(?<=\\w)[-‐\u00ad¬]\\s*\n\\s*"), re.compile(r"[\W\d_]+")
+_ENDED = re.compile(r"[.!?…。！？][\"'”’»)\]」』|/—–\s]*$")
 _KANA = re.compile("[぀-ヿ㐀-鿿]")
 
 
@@ -52,29 +56,35 @@ def label(language: Column) -> Column:
 
 
 def sentences(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, what counts for its language) of the sentences of a text.
-
-    Markup, quoted titles and numbers count for nothing; single line breaks end no sentence.
-    """
+    """(start, end, text) of the sentences of a text; single line breaks end none."""
     out, at = [], 0
-    for m in [*_END.finditer(text), None]:
-        end = m.end() if m else len(text)
-        if end > at:
-            raw = text[at:end]
-            bare = _QUOTED.sub(" ", _MARKUP.sub(" ", raw)) if len(raw) > 0 else ""
-            bare = " ".join(re.sub(r"[\W\d_]+", " ", re.sub("(?<=\\w)[-‐\u00ad¬]\\s*\n\\s*", "", bare)).split()).lower()
-            out.append((at, end, bare))
-        at = end
+    for m in _END.finditer(text):
+        if m.end() > at:
+            out.append((at, m.end(), text[at : m.end()]))
+            at = m.end()
+    if at < len(text):
+        out.append((at, len(text), text[at:]))
     return out
 
 
+def letters(sentence: str) -> str:
+    """What of a sentence counts for its language: not markup, quoted titles or numbers."""
+    if "<" in sentence or "{" in sentence or "://" in sentence:
+        sentence = _MARKUP.sub(" ", sentence)
+    if _QUOTE.search(sentence):
+        sentence = _QUOTED.sub(" ", sentence)
+    if "\n" in sentence:
+        sentence = _CUT.sub("", sentence)
+    return _NO_LETTER.sub(" ", sentence).strip().lower()
+
+
 def is_full(bare: str) -> bool:
     """Whether what is left of a sentence is more than a name, a title or a call."""
     return len(bare) >= 8 if _KANA.search(bare) else len(bare) >= 15 and bare.count(" ") >= 3
 
 
 def _grams(texts: list[str], n_max: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """(text's index, hash) of every n-gram of every text; texts are held by a space on each side."""
+    """(text's index, upper bits of a hash) of every n-gram of every text; texts are held by a space on each side."""
     joined = " " + "  ".join(texts) + " "
     cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     sizes = np.array([len(t) + 2 for t in texts])
@@ -85,8 +95,8 @@ def _grams(texts: list[str], n_max: int = 4) -> tuple[np.ndarray, np.ndarray]:
         h = h[: len(cp) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + cp[n - 1 :] + np.uint64(1)
         whole = owner[: len(h)] == owner[n - 1 :]
         docs.append(owner[: len(h)][whole])
-        keys.append((h[whole] ^ np.uint64(n << 60)).view(np.int64))
-    return np.concatenate(docs), np.concatenate(keys)
+        keys.append((h[whole] ^ np.uint64(n << 60)) >> np.uint64(64 - KEY_BITS))
+    return np.concatenate(docs), np.concatenate(keys).astype(np.int64)
 
 
 class StringKernel:
@@ -112,11 +122,11 @@ class StringKernel:
 
     def _presence(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         doc, key = _grams(texts)
-        pairs = np.lexsort((key, doc))
-        doc, key = doc[pairs], key[pairs]
-        new = np.ones(len(doc), dtype=bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])
-        doc, key = doc[new], key[new]
+        pairs = np.sort((doc << KEY_BITS) | key)
+        new = np.ones(len(pairs), dtype=bool)
+        new[1:] = pairs[1:] != pairs[:-1]
+        pairs = pairs[new]
+        doc, key = pairs >> KEY_BITS, pairs & ((1 << KEY_BITS) - 1)
         size = np.bincount(doc, minlength=len(texts))
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         ok = self.keys[at] == key
@@ -133,9 +143,11 @@ class StringKernel:
         if not texts:
             return np.zeros((0, self.weights.shape[1]), dtype=np.float32)
         doc, at, size = self._presence(texts)
-        ends = np.searchsorted(doc, np.arange(len(texts) + 1))
-        rows = np.concatenate([np.zeros((1, self.weights.shape[1])), np.cumsum(self.weights[at], axis=0, dtype=np.float64)])
-        return (rows[ends[1:]] - rows[ends[:-1]]) / np.sqrt(np.maximum(size, 1))[:, None]
+        out = np.zeros((len(texts), self.weights.shape[1]), dtype=np.float32)
+        if len(doc):
+            first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+            out[doc[first]] = np.add.reduceat(self.weights[at], first, axis=0)
+        return out / np.sqrt(np.maximum(size, 1))[:, None]
 
 
 class Languages:
@@ -144,37 +156,58 @@ class Languages:
     def __init__(self, model: StringKernel | None, codes: list[str], remember: int = 200_000):
         self.model, self.codes, self.remember = model, codes, remember
         self.known: dict[str, tuple[str | None, float]] = {}
+        self.vectors: dict[str, np.ndarray] = {}
 
-    def look_up(self, bares: list[str]) -> None:
-        if len(self.known) > self.remember:
+    def look_up(self, new: set[str]) -> None:
+        """Scores sentences that are not known yet."""
+        if len(self.known) + len(new) > self.remember:
             self.known.clear()
-        new = [b for b in dict.fromkeys(bares) if b not in self.known]
-        if self.model is None:
-            self.known.update((b, (None, 0.0)) for b in new)
-            return
+        bare = {r: letters(r) for r in new}
+        full = sorted(r for r, b in bare.items() if is_full(b)) if self.model is not None else []
+        self.known.update((r, (None, 0.0)) for r in new)
         size, run = 0, []
-        for b in [*new, None]:
-            if b is None or size > 200_000:
-                for t, s in zip(run, self.model.scores(run)):
-                    order = np.argsort(s)
-                    top, lead = s[order[-1]], s[order[-1]] - (s[order[-2]] if len(s) > 1 else 0)
-                    ok = top >= LEAST_SCORE and lead >= LEAST_LEAD
-                    self.known[t] = (self.codes[order[-1]] if ok else None, float(1 / (1 + np.exp(-6 * (lead - 0.15)))))
+        for r in [*full, None]:
+            if run and (r is None or size > 200_000):
+                scores = self.model.scores([bare[x] for x in run])
+                order = np.sort(scores, axis=1)
+                for t, c, top, second in zip(run, scores.argmax(1), order[:, -1], order[:, -2]):
+                    lead = top - second
+                    self.known[t] = (self.codes[c] if top >= LEAST_SCORE and lead >= LEAST_LEAD else None, float(1 / (1 + np.exp(-6 * (lead - 0.15)))))
                 size, run = 0, []
-            if b is not None:
-                run.append(b)
-                size += len(b)
+            if r is not None:
+                run.append(r)
+                size += len(r)
+
+    def main(self, texts: list[str]) -> list[str | None]:
+        """The language of most of each text: its sentences' scores summed by their length."""
+        out: list[str | None] = []
+        for text in texts:
+            bares = [b for b in (letters(r) for _, _, r in sentences(text)) if len(b) >= 4]
+            new = [b for b in dict.fromkeys(bares) if b not in self.vectors]
+            if new and self.model is not None:
+                if len(self.vectors) > self.remember:
+                    self.vectors.clear()
+                    new = [*dict.fromkeys(bares)]
+                self.vectors.update(zip(new, self.model.scores(new)))
+            total = sum(len(b) * self.vectors[b] for b in bares) if self.model is not None else 0
+            out.append(self.codes[int(np.argmax(total))] if bares and self.model is not None and np.max(total) > 0 else None)
+        return out
 
     def of(self, texts: list[str]) -> list[list[tuple[int, int, str, float]]]:
         """(start, end, language, confidence) of the full sentences of each text."""
-        cutted = [sentences(t) for t in texts]
-        for i in range(0, len(cutted), 512):
-            self.look_up([b for s in cutted[i : i + 512] for _, _, b in s if is_full(b)])
-            for s in cutted[i : i + 512]:
-                for _, _, b in s:
-                    if is_full(b) and b not in self.known:
-                        self.look_up([b])
-            yield from ([(a, e, *self.known[b]) for a, e, b in s if is_full(b) and self.known[b][0]] for s in cutted[i : i + 512])
+        known = self.known
+        for i in range(0, len(texts), 512):
+            batch = texts[i : i + 512]
+            cutted = [sentences(t) for t in batch]
+            new = {r for s in cutted for _, _, r in s if r not in known}
+            if new:
+                if len(known) + len(new) > self.remember:
+                    new = {r for s in cutted for _, _, r in s}
+                self.look_up(new)
+            for s, text in zip(cutted, batch):
+                found = [(a, e, *known[r]) for a, e, r in s if known[r][0]]
+                # among others, what ends in no mark is a heading or a name
+                yield [x for x in found if _ENDED.search(text, x[0], x[1])] if len(s) > 1 else found
 
 
 def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS, per_language: int = SENTENCES_PER_LANGUAGE) -> tuple[StringKernel | None, list[str]]:
@@ -182,7 +215,8 @@ def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS, per_language: int = SENTEN
 
     Each language gives at most ``rows`` / 10 texts, taken by a hash of the text.
     """
-    counts = {r["lang"]: r["count"] for r in labelled.where("lang is not null and x is not null").groupBy("lang").count().collect()}  # one row a language
+    labelled = labelled.where("lang is not null and x is not null")
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # one row a language
     share = rows // len(CODES)
     rank = F.pmod(F.xxhash64("x", "key"), F.lit(1_000_000)) / 1_000_000.0
     keep = F.lit(False)
@@ -192,28 +226,36 @@ def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS, per_language: int = SENTEN
     sample.sort(key=lambda r: (r["lang"], r["key"]))
     codes = sorted(counts)
     texts: list[str] = []
-    labels: list[int] = []
+    owner: list[int] = []
+    doc_label: list[int] = []
     for c, code in enumerate(codes):
-        own = dict.fromkeys(b for r in sample if r["lang"] == code for _, _, b in sentences(r["x"]) if is_full(b))
-        own = [*own]
+        own = [(r["key"], b) for r in sample if r["lang"] == code for b in dict.fromkeys(b for b in (letters(x) for _, _, x in sentences(r["x"])) if is_full(b))]
         step = max(1, len(own) // per_language)
-        own = own[::step][:per_language]
-        texts += own
-        labels += [c] * len(own)
-    if len(set(labels)) < 2:
+        before = None
+        for key, b in own[::step][:per_language]:
+            if key != before:
+                doc_label.append(c)
+                before = key
+            texts.append(b)
+            owner.append(len(doc_label) - 1)
+    if len(set(doc_label)) < 2:
         return None, codes
-    y = np.array(labels)
-    rng = np.random.default_rng(0)
-    order = rng.permutation(len(y))
-    texts, y = [texts[i] for i in order], y[order]
-    for _ in range(2):  # what the first fit contradicts is left out of the second
-        model = StringKernel(texts, y, len(codes))
-        told = model.scores(texts)
-        ok = (told.argmax(1) == y) | (told.max(1) - told[np.arange(len(y)), y] < 0.2)
-        texts, y = [t for t, o in zip(texts, ok) if o], y[ok]
-        if len(set(y.tolist())) < len(codes):
-            break
-    return model, codes
+    of, y = np.array(owner), np.array(doc_label)
+    fold = np.random.default_rng(0).permutation(len(y)) % 2
+    trusted = np.ones(len(y), dtype=bool)
+    for _ in range(2):  # texts whose label a model fitted without them contradicts are left out
+        told = np.zeros((len(y), len(codes)))
+        for f in (0, 1):
+            at = np.flatnonzero(trusted[of] & (fold[of] != f))
+            if len(set(y[of[at]].tolist())) < 2:
+                at = np.flatnonzero(trusted[of])
+            model = StringKernel([texts[i] for i in at], y[of[at]], len(codes))
+            out = np.flatnonzero(fold[of] == f)
+            np.add.at(told, of[out], model.scores([texts[i] for i in out]))
+        kept = told.argmax(1) == y
+        trusted = np.where(np.isin(y, y[kept]), kept, True)  # a language none of whose texts is told keeps them
+    at = np.flatnonzero(trusted[of])
+    return StringKernel([texts[i] for i in at], y[of[at]], len(codes)), codes
 
 
 def label_texts(df: DataFrame, id_: str, text: str, model: StringKernel | None, codes: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
