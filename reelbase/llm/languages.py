@@ -35,6 +35,8 @@ SENTENCES_PER_LANGUAGE, SAMPLE_ROWS = 400, 30_000
 LANDMARKS_PER_LANGUAGE, RIDGE = 40, 0.1
 #: Below this score or this lead over the next language a sentence has no language.
 LEAST_SCORE, LEAST_LEAD = 0.35, 0.25
+#: Labels of languages with fewer texts in the sample are all trusted.
+LEAST_TEXTS = 20
 #: Bits of an n-gram's hash; the rest of a word numbers the texts of a batch.
 KEY_BITS = 40
 
@@ -253,7 +255,8 @@ def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS, per_language: int = SENTEN
             out = np.flatnonzero(fold[of] == f)
             np.add.at(told, of[out], model.scores([texts[i] for i in out]))
         kept = told.argmax(1) == y
-        trusted = np.where(np.isin(y, y[kept]), kept, True)  # a language none of whose texts is told keeps them
+        enough = np.isin(y, y[kept]) & (np.bincount(y, minlength=len(codes))[y] >= LEAST_TEXTS)
+        trusted = np.where(enough, kept, True)
     at = np.flatnonzero(trusted[of])
     return StringKernel([texts[i] for i in at], y[of[at]], len(codes)), codes
 

@@ -77,7 +77,8 @@ def collapse(df: DataFrame, entity: str, time: str, text: str, id_: str, block_s
         events.withColumn("new", F.col("w").isNull() | ~near(F.lag("w").over(block), F.col("w")))
         .withColumn("n", F.row_number().over(block))
         .withColumn("last", F.count("*").over(W.partitionBy("e", "b")))
-        .withColumn("v", F.last(F.when(F.col("new"), F.array_join("w", " ")), ignorenulls=True).over(so_far))
+        # the canonical value of an event is its chain's: what is near its neighbour is its equal
+        .withColumn("v", F.last(F.when(F.col("new"), F.concat_ws(" ", F.col("n").cast("string"), F.array_join("w", " "))), ignorenulls=True).over(so_far))
         .withColumn("v", F.when(F.col("w").isNotNull(), F.col("v")))
         .withColumn("k", F.col("n") - F.row_number().over(W.partitionBy("e", "b", "v").orderBy("t", "i")))
     )

@@ -33,6 +33,7 @@ CONFUSED = (
 _NOT_WORD = "[\\s.,;:?¿¡“”„\"()\\[\\]…—–«»/<>。、*#=+~]+"
 _ROMAN = re.compile(r"[ivxlc]{1,7}")
 _NUMBER = re.compile(r"(?:(?P<deco>-|–|—|\[|\(|·|p\.?|pag(?:e|ina|\.)?|página|seite|s\.|стр\.?|str\.?|blz\.?|№)\s*)?(?P<n>\d{1,4}|[0-9OolI|SB]{1,4}|[ivxlc]{1,7})(?:\s*(?P<end>-|–|—|\]|\)|·)|\s*(?P<of>/|of|von|de)\s*\d{1,4})?", re.I)
+_SENTENCE = re.compile(r"[.!?…:;,。！？][\"'”’»)]*$")
 _ENDS = tuple(".!?…:;,。！？”»\"')")
 
 
@@ -141,7 +142,7 @@ def parse_page(text: str) -> dict:
                 before = solid[hi - 2]
                 broken = before < k - 1 or lines[before].strip().endswith(_ENDS)
             letters = any(c.isalpha() for c in head)
-            clear = broken and not head.endswith(_ENDS)
+            clear = broken and not _SENTENCE.search(head)
             if letters and (broken or number):
                 edges.append((k, _mask(head), *(number or (None, False)), False, clear))
             if letters and clear:
@@ -196,7 +197,9 @@ def edge_noise(read: DataFrame) -> DataFrame:
     number = F.col("n").isNotNull() & (
         F.col("marked") | (F.col("same_off") >= 2) | (F.col("alone") & F.col("t").isNull()) | ((F.col("same_n") < 2) & (F.coalesce("best", F.lit(0)) < 2)) | (F.col("alone") & (F.coalesce("best", F.lit(0)) < 2))
     )
-    header = F.col("mask").isNotNull() & ((F.col("pages") >= 2) | F.col("clear"))
+    # a whole sentence that recurs is no title unless it is short and recurs often
+    short = (F.col("pages") >= 3) & (F.size(F.split("mask", " ")) <= 4)
+    header = F.col("mask").isNotNull() & (F.col("clear") | short)
     return all_.select("i", "line", F.coalesce(header, F.lit(False)).alias("header"), F.coalesce(number, F.lit(False)).alias("pagenum"), "alone", F.coalesce("pages", F.lit(0)).alias("pages")).where("header or pagenum")
 
 
