@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from reelbase.functions import media as m
 from reelbase.functions import parsers, paths, ranking, strings
-from reelbase.operators import aggregates, changes, search, similarity
+from reelbase.operators import aggregates, changes, search, similarity, textsort
 from reelbase.plans import sorting, spec
 from reelbase.plans.spec import QuerySpec
+from reelbase.sources import files
 from reelbase.tables import table
 
 NOW = 1735689600
@@ -469,3 +470,30 @@ q("m07_transcode", f"select media_id, not (v and a and {EXT} in ('.mp4', '.m4v',
     lambda spark, d: _media(spark, d).select("media_id", m.transcode(paths.extension(F.col("path")), F.col("video_codecs"), F.col("audio_codecs")).alias("t")).select("media_id", "t.*")
 )
 q("m02_formatted")(lambda spark, d: _media(spark, d).select("media_id", m.format_size(F.col("size")).alias("size"), m.format_duration(F.col("duration")).alias("duration")))
+
+q("s10_chunks")(lambda spark, d: files.chunks(table(spark, d, "documents"), "doc_id", "text"))
+q("o16_line_sort")(lambda spark, d: textsort.sort_lines(_media(spark, d), "media_id", "path").select("media_id", "rn"))
+q("o14_folder_sort", f"select folder, cast(row_number() over (order by total_size // n desc, total_size desc, n desc, folder) as bigint) as rn from (select {PARENT} as folder, {SUMS} from media where {LIVE} group by 1)")(
+    lambda spark, d: ranking.number(aggregates.folder_stats(_media(spark, d)), [F.expr("total_size div file_count").desc(), F.col("total_size").desc(), F.col("file_count").desc(), F.col("parent")]).select(F.col("parent").alias("folder"), "rn")
+)
+q("u11_move_track", "with p as (select *, row_number() over (order by track_number nulls first, time_added nulls first, media_path) - 1 as k from playlist_items where playlist_id = 3), x as (select media_path as mp from p where k = 2) select media_path, cast(case when media_path = mp then 0 when k < 2 then k + 1 else k end as bigint) as track_number from p, x")(
+    lambda spark, d: _moved(spark, d)
+)
+q("j05_history_unfinished", "select h.media_path, max(h.time_played) as last from history h join (select path, max(duration) as duration from media where duration > 0 group by path) m on h.media_path = m.path where h.playhead > 0 and h.playhead < 0.95 * m.duration group by h.media_path")(
+    lambda spark, d: table(spark, d, "history").join(_media(spark, d).where("duration > 0").groupBy(F.col("path").alias("media_path")).agg(F.max("duration").alias("duration")), "media_path").where("playhead > 0 and playhead < 0.95 * duration").groupBy("media_path").agg(F.max("time_played").alias("last"))
+)
+q("d05_similar_pairs_to_median", "with m as (select path, max(size) as size from media where size > 0 group by path), f as (select regexp_replace(path, '/[^/]*$', '') as folder, median(size) as med from m group by 1) select path, round(case when size = med then 0 else abs(size - med) / ((size + med) / 2.0) * 100 end, 4) as difference from m join f on regexp_replace(path, '/[^/]*$', '') = folder")(
+    lambda spark, d: _to_median(spark, d)
+)
+
+
+def _moved(spark: SparkSession, d: str) -> DataFrame:
+    items = table(spark, d, "playlist_items")
+    third = items.where("playlist_id = 3").orderBy(F.col("track_number").asc_nulls_first(), F.col("time_added").asc_nulls_first(), "media_path").offset(2).limit(1).collect()
+    return changes.move_track(items, 3, third[0]["media_path"] if third else "", 0).select("media_path", "track_number")
+
+
+def _to_median(spark: SparkSession, d: str) -> DataFrame:
+    sizes = _media(spark, d).where("size > 0 and path is not null").groupBy("path").agg(F.max("size").alias("size")).withColumn("folder", F.regexp_replace("path", "/[^/]*$", ""))
+    med = sizes.groupBy("folder").agg(F.percentile("size", F.lit(0.5)).alias("med"))
+    return sizes.join(med, "folder").select("path", F.round(m.percent_difference(F.col("size").cast("double"), F.col("med")), 4).alias("difference"))
