@@ -44,3 +44,25 @@ def ntile(df: DataFrame, order: list[Column], tiles: int, name: str = "tile") ->
     k = F.col("__rn") - 1
     tile = F.when(k < r * (q + 1), F.floor(k / (q + 1))).otherwise(r + F.floor((k - r * (q + 1)) / max(q, 1))) + 1
     return numbered.withColumn(name, tile.cast("int")).drop("__rn")
+
+
+def number_within(df: DataFrame, keys: list[str], order: list[Column], name: str = "rn") -> DataFrame:
+    """Rows numbered from 1 within each group, however large: a number over the whole table less
+    that of the group's first row."""
+    all_ = number(df, [*[F.col(k).asc_nulls_first() for k in keys], *order], "__n")
+    first = all_.groupBy(*keys).agg(F.min("__n").alias("__f"))
+    on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
+    joined = all_.alias("l").join(first.alias("r"), on)
+    return joined.select("l.*", (F.col("__n") - F.col("__f") + 1).alias(name)).drop("__n")
+
+
+def medians(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """The exact median of each group (mean of the middle two), nulls left out; keys are not null.
+
+    An aggregate buffer would hold a group's values in one task; here the table is sorted by key
+    and value, and the middle rows are found by their numbers.
+    """
+    s = number(df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v")), [*[F.col(k) for k in keys], F.col("__v")], "__n")
+    span = s.groupBy(*keys).agg(F.min("__n").alias("__a"), F.max("__n").alias("__z"))
+    middle = span.select(*keys, F.explode(F.array_distinct(F.array(F.floor((F.col("__a") + F.col("__z")) / 2), F.ceil((F.col("__a") + F.col("__z")) / 2)))).alias("__n"))
+    return middle.join(s.select("__n", "__v"), "__n").groupBy(*keys).agg(F.avg("__v").alias(name))

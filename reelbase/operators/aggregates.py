@@ -35,11 +35,13 @@ def usage(df: DataFrame, frequency: str, time: str) -> DataFrame:
 
 
 def summary(df: DataFrame) -> DataFrame:
-    """A Total and a Median row of size and duration; one pass over the data."""
-    one = df.agg(F.count("*").alias("n"), F.sum("size").alias("s"), F.sum("duration").alias("d"), F.percentile("size", F.lit(0.5)).alias("ms"), F.percentile("duration", F.lit(0.5)).alias("md"))
+    """A Total and a Median row of size and duration."""
+    one = df.agg(F.count("*").alias("n"), F.sum("size").alias("s"), F.sum("duration").alias("d"))
+    for c in ("size", "duration"):
+        one = one.crossJoin(F.broadcast(ranking.medians(df.withColumn("k", F.lit(1)), ["k"], c, f"m{c}").select(f"m{c}").agg(F.max(f"m{c}").alias(f"m{c}"))))  # one row
     return one.select(F.explode(F.array(
         F.struct(F.lit("Total").alias("label"), F.col("n").alias("n"), F.col("s").alias("size"), F.col("d").alias("duration")),
-        F.struct(F.lit("Median").alias("label"), F.col("n").alias("n"), F.col("ms").cast("bigint").alias("size"), F.col("md").cast("bigint").alias("duration")),
+        F.struct(F.lit("Median").alias("label"), F.col("n").alias("n"), F.col("msize").cast("bigint").alias("size"), F.col("mduration").cast("bigint").alias("duration")),
     )).alias("r")).select("r.*")
 
 
@@ -59,20 +61,22 @@ def category_counts(df: DataFrame, keywords: DataFrame) -> DataFrame:
     return used.unionByName(none).groupBy("category").agg(F.sum("n").alias("n"))
 
 
-def folder_measures() -> list[Column]:
-    """What is measured of a group of files; sizes and durations of rows not deleted."""
+def measured(df: DataFrame, key: Column, name: str) -> DataFrame:
+    """What is measured of groups of files; sizes and durations of rows not deleted. Key not null."""
     alive = F.coalesce("time_deleted", F.lit(0)) == 0
     of = lambda c: F.when(alive, F.col(c))
-    return [
+    keyed = df.withColumn(name, key)
+    sums = keyed.groupBy(name).agg(
         F.count("*").alias("n"), F.count_if(alive).alias("n_exists"), F.count_if(~alive).alias("n_deleted"), F.count_if(F.coalesce("play_count", F.lit(0)) > 0).alias("n_played"),
-        F.coalesce(F.sum(of("size")), F.lit(0)).alias("total_size"), F.coalesce(F.sum(of("duration")), F.lit(0)).alias("total_duration"),
-        F.floor(F.avg(of("size"))).cast("bigint").alias("avg_size"), F.percentile(of("size"), F.lit(0.5)).cast("bigint").alias("median_size"),
-    ]
+        F.coalesce(F.sum(of("size")), F.lit(0)).alias("total_size"), F.coalesce(F.sum(of("duration")), F.lit(0)).alias("total_duration"), F.floor(F.avg(of("size"))).cast("bigint").alias("avg_size"),
+    )
+    middle = ranking.medians(keyed.where(alive), [name], "size", "m")
+    return sums.join(middle, name, "left").withColumn("median_size", F.col("m").cast("bigint")).drop("m")
 
 
 def by_extension(df: DataFrame) -> DataFrame:
     ext = paths.extension(F.col("path"))
-    return df.groupBy(F.when(ext == "", "no extension").otherwise(ext).alias("extension")).agg(*folder_measures())
+    return measured(df, F.when(ext == "", "no extension").otherwise(ext), "extension")
 
 
 def by_size(df: DataFrame) -> DataFrame:
@@ -81,16 +85,16 @@ def by_size(df: DataFrame) -> DataFrame:
     low = F.lit(EDGES[0])
     for e in EDGES[1:]:
         low = F.when(size >= e, F.lit(e)).otherwise(low)
-    return df.groupBy(low.cast("bigint").alias("low")).agg(*folder_measures())
+    return measured(df, low.cast("bigint"), "low")
 
 
 def by_parent(df: DataFrame) -> DataFrame:
-    return df.groupBy(paths.parent(F.col("path")).alias("folder")).agg(*folder_measures())
+    return measured(df, paths.parent(F.col("path")), "folder")
 
 
 def by_depth(df: DataFrame, depth: int) -> DataFrame:
     """By the first ``depth`` components of the path; files higher up count as themselves."""
-    return df.groupBy(paths.parent_at_depth(F.col("path"), depth).alias("folder")).agg(*folder_measures())
+    return measured(df, paths.parent_at_depth(F.col("path"), depth), "folder")
 
 
 def tree(df: DataFrame, low: int = 1, high: int = 99) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reelbase.functions import paths
+from reelbase.functions.ranking import number, number_within, running_sum
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
@@ -101,7 +102,7 @@ def rename(df: DataFrame, old: str, new: str) -> DataFrame:
 def playlist(items: DataFrame, media: DataFrame) -> DataFrame:
     """Playlists' items with their media (once a path), in order of track, time added and path."""
     alive = media.where(F.coalesce("time_deleted", F.lit(0)) == 0).groupBy(F.col("path").alias("media_path")).agg(F.max("title").alias("title"), F.max("duration").alias("duration"))
-    return items.join(alive, "media_path").withColumn("pos", F.row_number().over(W.partitionBy("playlist_id").orderBy(F.col("track_number").asc_nulls_first(), F.col("time_added").asc_nulls_first(), "media_path")))
+    return number_within(items.join(alive, "media_path"), ["playlist_id"], [F.col("track_number").asc_nulls_first(), F.col("time_added").asc_nulls_first(), F.col("media_path")], "pos")
 
 
 def move_track(items: DataFrame, playlist_id: int, path: str, to: int) -> DataFrame:
@@ -119,7 +120,5 @@ def fill_media_type(df: DataFrame) -> DataFrame:
 
 def action_limit(df: DataFrame, order: list[Column], count: int, size: int) -> DataFrame:
     """Rows in order until a count or a sum of sizes is reached."""
-    from reelbase.functions.ranking import number, running_sum
-
     s = running_sum(df.withColumn("__s", F.coalesce("size", F.lit(0))), order, "__s", "__t")
     return number(s, order, "__n").where((F.col("__n") <= count) & (F.col("__t") - F.col("__s") < size)).drop("__s", "__t", "__n")

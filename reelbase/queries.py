@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reelbase.functions import media as m
@@ -324,12 +323,8 @@ def _(spark, d):
 
 @q("w06_top_per_folder", f"select media_id from (select media_id, row_number() over (partition by {PARENT} order by path, media_id) k from media) where k <= 3")
 def _(spark, d):
-    # the three smallest of a folder, folded in parts: no folder is sorted in one task
     media = _media(spark, d).select(paths.parent(F.col("path")).alias("f"), "path", "media_id")
-    salted = media.withColumn("s", F.pmod(F.xxhash64("media_id"), F.lit(32)))
-    w = lambda *k: W.partitionBy(*k).orderBy("path", "media_id")
-    few = salted.withColumn("k", F.row_number().over(w("f", "s"))).where("k <= 3")
-    return few.withColumn("k", F.row_number().over(w("f"))).where("k <= 3").select("media_id")
+    return ranking.number_within(media, ["f"], [F.col("path"), F.col("media_id")], "k").where("k <= 3").select("media_id")
 
 
 def _order_sql(by: str, where: str = "true") -> str:
@@ -454,7 +449,8 @@ q("a26_mined_keywords", f"with m as (select * from media where not exists (selec
 
 
 # ---- scalar functions
-q("x01_tokenized", r"select media_id, trim(regexp_replace(regexp_replace(regexp_replace(path, '[/\\.\[\]\-+(){}_&]', ' ', 'g'), '[\x7f&%*$#!?|^''"":><]', '', 'g'), '\s+', ' ', 'g')) as tokens from media")(lambda spark, d: _media(spark, d).select("media_id", strings.tokenized(F.col("path")).alias("tokens")))
+_ODD = "[\\x7f&%*$#!?|^''\":><]"
+q("x01_tokenized", f"select media_id, trim(regexp_replace(regexp_replace(regexp_replace(path, '[/\\\\.\\[\\]\\-+(){{}}_&]', ' ', 'g'), '{_ODD}', '', 'g'), '\\s+', ' ', 'g')) as tokens from media")(lambda spark, d: _media(spark, d).select("media_id", strings.tokenized(F.col("path")).alias("tokens")))
 q("x05_combine", "with v as (select media_id, list_filter(list_transform(regexp_split_to_array(coalesce(genre, '') || ';' || coalesce(categories, ''), '[,;]'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '' and lower(x) not in ('unknown', 'none', 'und')) l from media) select media_id, coalesce(array_to_string(list_filter(l, lambda x, i: list_position(list_transform(l, lambda y: lower(y)), lower(x)) = i), ';'), '') as combined from v")(
     lambda spark, d: _media(spark, d).select("media_id", strings.combine(F.col("genre"), F.col("categories")).alias("combined"))
 )
@@ -476,7 +472,7 @@ q("o16_line_sort")(lambda spark, d: textsort.sort_lines(_media(spark, d), "media
 q("o14_folder_sort", f"select folder, cast(row_number() over (order by total_size // n desc, total_size desc, n desc, folder) as bigint) as rn from (select {PARENT} as folder, {SUMS} from media where {LIVE} group by 1)")(
     lambda spark, d: ranking.number(aggregates.folder_stats(_media(spark, d)), [F.expr("total_size div file_count").desc(), F.col("total_size").desc(), F.col("file_count").desc(), F.col("parent")]).select(F.col("parent").alias("folder"), "rn")
 )
-q("u11_move_track", "with p as (select *, row_number() over (order by track_number nulls first, time_added nulls first, media_path) - 1 as k from playlist_items where playlist_id = 3), x as (select media_path as mp from p where k = 2) select media_path, cast(case when media_path = mp then 0 when k < 2 then k + 1 else k end as bigint) as track_number from p, x")(
+q("u11_move_track", "with p as (select *, row_number() over (order by track_number nulls first, time_added nulls first, media_path) - 1 as k from playlist_items where playlist_id = 3), x as (select media_path as mp from p where k = 2) select media_path, cast(case when media_path = mp then 0 when mp is not null and k < 2 then k + 1 else k end as bigint) as track_number from p left join x on true")(
     lambda spark, d: _moved(spark, d)
 )
 q("j05_history_unfinished", "select h.media_path, max(h.time_played) as last from history h join (select path, max(duration) as duration from media where duration > 0 group by path) m on h.media_path = m.path where h.playhead > 0 and h.playhead < 0.95 * m.duration group by h.media_path")(
@@ -495,5 +491,5 @@ def _moved(spark: SparkSession, d: str) -> DataFrame:
 
 def _to_median(spark: SparkSession, d: str) -> DataFrame:
     sizes = _media(spark, d).where("size > 0 and path is not null").groupBy("path").agg(F.max("size").alias("size")).withColumn("folder", F.regexp_replace("path", "/[^/]*$", ""))
-    med = sizes.groupBy("folder").agg(F.percentile("size", F.lit(0.5)).alias("med"))
+    med = ranking.medians(sizes, ["folder"], "size", "med")
     return sizes.join(med, "folder").select("path", F.round(m.percent_difference(F.col("size").cast("double"), F.col("med")), 4).alias("difference"))
