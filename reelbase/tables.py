@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,8 +14,28 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 8 << 20
 
 
+_HOME = Path(__file__).resolve().parent.parent
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers import this package: where neither their path nor their folder leads to
+    it, the driver sends them an archive of it, once a session."""
+    sc = spark.sparkContext
+    known = {Path(p).resolve() for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)] if p}
+    if _HOME in known or sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    archive = Path(tempfile.mkdtemp(prefix="reelbase-")) / "reelbase.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in (_HOME / "reelbase").rglob("*.py"):
+            z.write(p, p.relative_to(_HOME))
+    sc.addPyFile(str(archive))
+
+
 def table(spark: SparkSession, folder: str, name: str, columns: list[str] | None = None) -> DataFrame:
     """The table ``name`` of a catalogue folder, pruned to ``columns`` where given."""
+    ship(spark)
     df = spark.read.parquet(f"{folder}/{name}.parquet")
     return df.select(*columns) if columns else df
 
