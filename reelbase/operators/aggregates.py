@@ -167,3 +167,17 @@ def percentiles(df: DataFrame, column: str) -> DataFrame:
 
 def word_counts(df: DataFrame, text: Column) -> DataFrame:
     return df.select(F.explode(strings.words(text)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+
+def bins(df: DataFrame) -> DataFrame:
+    """``dim``, ``low``, ``high`` and the 101-point vector of each filter dimension."""
+    folders = df.groupBy(paths.parent(F.col("path"))).agg(F.count("*").alias("episodes"))
+    wanted = {
+        "size": df.where("size < 109951162777600"), "duration": df.where("duration > 0 and duration < 2678400"), "time_modified": df, "time_created": df, "time_downloaded": df, "episodes": folders,
+    }
+    out = None
+    for name, rows in wanted.items():
+        points = percentiles(rows, name)
+        one = points.agg(F.lit(name).alias("dim"), F.min("value").alias("low"), F.max("value").alias("high"), F.transform(F.array_sort(F.collect_list(F.struct("pct", "value"))), lambda p: p["value"]).alias("points"))
+        out = one if out is None else out.unionByName(one)
+    return out

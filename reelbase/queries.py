@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelbase.functions import media as m
-from reelbase.functions import parsers, paths, ranking, strings
+from reelbase.functions import more, parsers, paths, ranking, strings
 from reelbase.operators import aggregates, changes, search, similarity, textsort
 from reelbase.plans import sorting, spec
 from reelbase.plans.spec import QuerySpec
@@ -493,3 +493,51 @@ def _to_median(spark: SparkSession, d: str) -> DataFrame:
     sizes = _media(spark, d).where("size > 0 and path is not null").groupBy("path").agg(F.max("size").alias("size")).withColumn("folder", F.regexp_replace("path", "/[^/]*$", ""))
     med = ranking.medians(sizes, ["folder"], "size", "med")
     return sizes.join(med, "folder").select("path", F.round(m.percent_difference(F.col("size").cast("double"), F.col("med")), 4).alias("difference"))
+
+
+# ---- smaller functions and reports
+_NAME = "case lower(substr({c}, 1, 2)) " + " ".join(f"when '{k}' then '{v}'" for k, v in more.LANGUAGE_NAMES.items()) + " end"
+_RATE = f"(case {EXT} " + " ".join(f"when '{k}' then {v}" for k, v in more.BITRATES.items()) + f" else {more.VIDEO_BITRATE} end)"
+q("x15_language_names", f"select media_id, {_NAME.format(c='language')} as name from media")(lambda spark, d: _media(spark, d).select("media_id", more.language_name(F.col("language")).alias("name")))
+q("x07_shortened", "select media_id, case when length(title) > 20 then substr(title, 1, 19) || '…' else title end as short, case when length(path) > 40 then substr(path, 1, 19) || '…' || substr(path, -20) else path end as middle from media")(
+    lambda spark, d: _media(spark, d).select("media_id", more.shorten(F.col("title"), 20).alias("short"), more.shorten_middle(F.col("path"), 40).alias("middle"))
+)
+q("x11_escaped", "select media_id, replace(replace(replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&apos;') as xml from media")(lambda spark, d: _media(spark, d).select("media_id", more.escape_xml(F.col("title")).alias("xml")))
+q("m05_durations", f"select media_id, case when duration is null or (duration < 120 and size * 8 // {_RATE} > 120) then size * 8 // {_RATE} else duration end as duration from media")(
+    lambda spark, d: _media(spark, d).select("media_id", more.corrected_duration(F.col("duration"), F.col("size"), F.col("path")).alias("duration"))
+)
+q("m09_word_timings", "select doc_id, len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f]+'), lambda w: w <> '')) as n_words from documents where text is not null")(
+    lambda spark, d: table(spark, d, "documents").where("text is not null").select("doc_id", F.size(more.word_timings(F.regexp_replace("text", r"[ \t\n\r\f]+", " "))).cast("bigint").alias("n_words"))
+)
+q("m10_segments", "select media_id, cast(case when duration > 0 then ceil(duration / 10) else 0 end as bigint) as n from media")(lambda spark, d: _media(spark, d).select("media_id", F.when(F.col("duration") > 0, F.size(more.segments(F.col("duration")))).otherwise(0).cast("bigint").alias("n")))
+q("m11_play_window", "select media_id, greatest(0, least(duration, duration) - greatest(case when duration - 60 > 0 then duration - 60 else duration - 60 end, 0)) as seconds from media where duration is not null")(
+    lambda spark, d: _media(spark, d).where("duration is not null").select("media_id", more.play_window(F.col("duration"), F.lit(-60), F.lit(None).cast("bigint")).alias("seconds"))
+)
+q("m11_playhead", "select media_id, case when playhead > 0 and (duration is null or playhead < duration) then playhead when play_count > 0 and (duration is null or play_count < duration) then play_count end as at from media")(
+    lambda spark, d: _media(spark, d).select("media_id", more.playhead(F.col("playhead"), F.col("play_count"), F.col("duration")).alias("at"))
+)
+q("f29_dict_rules", "select media_id from media where not (coalesce(starts_with(lower(path), '/srv/media/live'), false) or (coalesce(starts_with(lower(path), '/srv/media/shows'), false) and coalesce(starts_with(lower(media_type), 'video'), false)))")(
+    lambda spark, d: _media(spark, d).where(more.dict_filter([{"path": "/srv/media/live"}, {"path": "/srv/media/shows", "media_type": "video"}], False)).select("media_id")
+)
+q("f30_ingest_filter", "select media_id from media where (contains(path, 'shows') or contains(path, 'music')) and not contains(path, 'series_001') and regexp_matches(path, '[0-9]{8}') and (size >= 100000001 or size <= 999999)")(
+    lambda spark, d: _media(spark, d).where(more.ingest_filter(include=["shows", "music"], exclude=["series_001"], regex="[0-9]{8}", sizes=[parsers.parse_range(">100MB", parsers.human_to_bytes), parsers.parse_range("<1MB", parsers.human_to_bytes)])).select("media_id")
+)
+q("a33_value_counts", "select media_id, count(*) over (partition by media_type) as n from media where media_type is not null")(
+    lambda spark, d: _media(spark, d).where("media_type is not null").select("media_id", "media_type").join(_media(spark, d).where("media_type is not null").groupBy("media_type").agg(F.count("*").alias("n")), "media_type").select("media_id", "n")
+)
+q("a27_suggestions", f"with u as (select media_id, unnest(list_distinct({_WORDS.format(c='title')})) as word from media where {LIVE} and coalesce(categories, '') = '') select word, count(*) as n from u where length(word) >= 4 and word not in (select lower(keyword) from custom_keywords) group by word")(
+    lambda spark, d: aggregates.live(_media(spark, d)).where("coalesce(categories, '') = ''").select(F.explode(F.array_distinct(strings.words(F.col("title")))).alias("word")).where((F.length("word") >= 4) & ~F.col("word").isin([k.lower() for _, k in _keywords(spark, d)])).groupBy("word").agg(F.count("*").alias("n"))
+)
+q("a20_bin_vectors")(lambda spark, d: aggregates.bins(aggregates.live(_media(spark, d))))
+q("a21_sampled_bins")(lambda spark, d: aggregates.live(_media(spark, d)).sample(0.1, 7).agg(F.min("size").alias("low"), F.max("size").alias("high"), F.percentile_approx("size", [0.25, 0.5, 0.75]).alias("quartiles")))
+q("o21_random_pick")(lambda spark, d: aggregates.live(_media(spark, d)).where("media_type in ('video', 'audio')").orderBy(F.rand(11)).limit(1).select("media_id", "path"))
+q("d10_originals", _dup_sql("title, artist").replace("select f.keep_id, l.media_id as dup_id from", "select distinct f.keep_id from"))(lambda spark, d: similarity.duplicates(_media(spark, d), ["title", "artist"]).select("keep_id").distinct())
+q("u16_shown_first_played", "select media_id, case when play_count > 1 then time_first_played end as time_first_played from media")(lambda spark, d: _media(spark, d).select("media_id", F.when(F.col("play_count") > 1, F.col("time_first_played")).alias("time_first_played")))
+q("j06_long_audio", f"select media_id from media where {LIVE} and media_type = 'audio' and size >= 5000001 order by size desc, media_id limit 100")(
+    lambda spark, d: spec.run(QuerySpec(types=["audio"], size=[">5MB"], limit=None), _media(spark, d)).where("media_type = 'audio'").orderBy(F.desc("size"), "media_id").limit(100).select("media_id")
+)
+q("s14_watch_later", "select media_id, path_len as saved from (select media_id, length(path) as path_len, media_id % 7 as r from media) where r = 0")(
+    lambda spark, d: files.watch_later(_media(spark, d), _media(spark, d).where("media_id % 7 = 0").select(F.md5("path").alias("name"), F.format_string("start=%d.5", F.length("path")).alias("value")).distinct()).where("media_id % 7 = 0").select("media_id", F.col("saved").cast("bigint").alias("saved"))
+)
+q("s08_probe")(lambda spark, d: files.probe_columns(_media(spark, d).select("media_id", F.to_json(F.struct(F.struct(F.col("duration").cast("string").alias("duration"), F.col("size").cast("string").alias("size")).alias("format"), F.array(F.struct(F.lit("video").alias("codec_type"), F.col("video_codecs").alias("codec_name"), "width", "height")).alias("streams"))).alias("json")), "json"))
+q("r01_usage_by_hour", "select date_trunc('hour', ts) as start, count(*) as n from events group by 1")(lambda spark, d: table(spark, d, "events").groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "n"))
