@@ -112,7 +112,7 @@ class StringKernel:
         held[column, doc] = 1
         held /= np.sqrt(held.sum(0, keepdims=True))
         k_mm = (held.T @ held).astype(np.float64)
-        k_nm = np.concatenate([self._kernel(texts[i : i + 256], held) for i in range(0, len(texts), 256)])
+        k_nm = np.concatenate([self._sums(texts[i : i + 128], held) for i in range(0, len(texts), 128)])
         val, vec = np.linalg.eigh(k_mm)
         root = vec @ np.diag(1 / np.sqrt(np.maximum(val, 1e-6))) @ vec.T
         phi = k_nm @ root
@@ -134,22 +134,20 @@ class StringKernel:
         ok = self.keys[at] == key
         return doc[ok], at[ok], size
 
-    def _kernel(self, texts: list[str], held: np.ndarray) -> np.ndarray:
+    def _sums(self, texts: list[str], rows: np.ndarray) -> np.ndarray:
+        """The presence matrix (texts by n-grams) times ``rows``, over the root of each text's size."""
         doc, at, size = self._presence(texts)
-        seen = np.zeros((len(texts), len(self.keys)), dtype=np.float32)
-        seen[doc, at] = 1
-        return (seen @ held) / np.sqrt(np.maximum(size, 1))[:, None]
+        out = np.zeros((len(texts), rows.shape[1]), dtype=np.float32)
+        if len(doc):
+            first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+            out[doc[first]] = np.add.reduceat(rows[at], first, axis=0)
+        return out / np.sqrt(np.maximum(size, 1))[:, None]
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """Texts by classes: the batch's presence matrix times the folded weights."""
         if not texts:
             return np.zeros((0, self.weights.shape[1]), dtype=np.float32)
-        doc, at, size = self._presence(texts)
-        out = np.zeros((len(texts), self.weights.shape[1]), dtype=np.float32)
-        if len(doc):
-            first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-            out[doc[first]] = np.add.reduceat(self.weights[at], first, axis=0)
-        return out / np.sqrt(np.maximum(size, 1))[:, None]
+        return self._sums(texts, self.weights)
 
 
 class Languages:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelbase.llm.languages import Languages, StringKernel, fit, label
-from reelbase.tables import table
+from reelbase.tables import spread, table
 
 LEVELS = ("basic", "general", "advanced")
 LEAST_WORDS = 40
@@ -58,17 +58,16 @@ class SentenceModel:
     """Softmax regression over hashed words, hashed character n-grams and lengths."""
 
     def __init__(self, sents: list[list[str]], y: np.ndarray, weight: np.ndarray):
-        ids, vals, owner = [], [], []
-        known: dict[str, tuple[int, list[int]]] = {}
-        for k, s in enumerate(sents):
-            for w in s:
-                f = known.get(w) or known.setdefault(w, _features(w))
-                ids += [f[0], *(BUCKETS + g for g in f[1])]
-                vals += [1 / len(s), *([1 / len(s) / len(f[1])] * len(f[1]))]
-                owner.append(1 + len(f[1]))
-        sizes = np.add.reduceat(np.array(owner), np.concatenate([[0], np.cumsum([len(s) for s in sents])[:-1]]))
-        idx, val = np.array(ids), np.array(vals, dtype=np.float32)
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        number: dict[str, int] = {}
+        wid = np.array([number.setdefault(w, len(number)) for s in sents for w in s])
+        n = np.array([len(s) for s in sents])
+        own, starts = np.repeat(np.arange(len(sents)), n), np.concatenate([[0], np.cumsum(n)[:-1]])
+        part = (1 / n[own]).astype(np.float32)  # a sentence is the mean of its words
+        feats = [_features(w) for w in number]
+        idx = np.array([i for f, grams in feats for i in (f, *(BUCKETS + g for g in grams))])
+        sizes = np.array([1 + len(grams) for _, grams in feats])
+        val = np.concatenate([[1.0] + [1 / len(grams)] * len(grams) for _, grams in feats]).astype(np.float32)
+        of, first = np.repeat(np.arange(len(feats)), sizes), np.concatenate([[0], np.cumsum(sizes)[:-1]])
         extra = np.array([_lengths(s) for s in sents], dtype=np.float32)
         used, idx = np.unique(idx, return_inverse=True)
         k = len(LEVELS)
@@ -77,11 +76,13 @@ class SentenceModel:
         target = np.eye(k, dtype=np.float32)[y]
         counts = np.maximum((weight[:, None] * target).sum(0), 1)
         weight = (weight / counts[y] / k).astype(np.float32)
-        own = np.repeat(np.arange(len(sents)), sizes)
         moments = [(np.zeros_like(p), np.zeros_like(p)) for p in (w, u, b)]
         for t in range(1, ROUNDS + 1):
-            g = (_softmax(np.add.reduceat(w[idx] * val[:, None], starts) + extra @ u + b) - target) * weight[:, None]
-            flat = g[own] * val[:, None]
+            words = np.add.reduceat(w[idx] * val[:, None], first)
+            g = (_softmax(np.add.reduceat(words[wid] * part[:, None], starts) + extra @ u + b) - target) * weight[:, None]
+            flat = g[own] * part[:, None]
+            g_words = np.stack([np.bincount(wid, flat[:, c], minlength=len(feats)) for c in range(k)], 1)
+            flat = g_words[of] * val[:, None]
             gw = np.stack([np.bincount(idx, flat[:, c], minlength=len(used)) for c in range(k)], 1).astype(np.float32) + L2 / 100 * w
             for p, grad, (m, v) in zip((w, u, b), (gw, extra.T @ g + L2 * u, g.sum(0)), moments):
                 m += 0.1 * (grad - m)
@@ -196,7 +197,7 @@ def reading_levels(df: DataFrame, id_: str, text: str, models: tuple[SentenceMod
                 rows.append((i, len(t.split()), english, level, *p, p[1] + 2 * p[2] if sents else None))
             yield pd.DataFrame(rows, columns=["i", "n_words", "is_english", "reading_level", "p_basic", "p_general", "p_advanced", "difficulty"])
 
-    out = df.select(F.col(id_).alias("i"), F.col(text).alias("x")).mapInPandas(run, f"i {kind}, n_words bigint, is_english boolean, reading_level string, p_basic double, p_general double, p_advanced double, difficulty double")
+    out = spread(df.select(F.col(id_).alias("i"), F.col(text).alias("x"))).mapInPandas(run, f"i {kind}, n_words bigint, is_english boolean, reading_level string, p_basic double, p_general double, p_advanced double, difficulty double")
     return out.withColumnRenamed("i", id_)
 
 

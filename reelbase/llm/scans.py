@@ -214,7 +214,7 @@ def misread_words(read: DataFrame, words: DataFrame) -> DataFrame:
     """i, read_as, printed: words of pages that are misreadings."""
     w = read.select("i", F.posexplode("words").alias("k", "raw")).select("i", "k", F.col("raw"), F.lower("raw").alias("w"))
     by_page = W.partitionBy("i").orderBy("k")
-    seen = w.withColumn("before", F.lag("w").over(by_page)).withColumn("after", F.lead("w").over(by_page)).where(F.length("raw") < 60)
+    seen = cut(w.withColumn("before", F.lag("w").over(by_page)).withColumn("after", F.lead("w").over(by_page)).where(F.length("raw") < 60))
     heads = words.groupBy("s").agg(F.max_by("w", F.struct("n", "w")).alias("f"), F.max("n").alias("fn"))
     # capital I and small l differ in print only: compare as read, not in lower case
     forms = seen.groupBy("raw").agg(F.first("w").alias("w"), F.count("*").alias("here")).withColumn("s", skeleton(F.col("raw")))
@@ -233,8 +233,8 @@ def misread_words(read: DataFrame, words: DataFrame) -> DataFrame:
     side = seen.select("before", "w", "after")
     left = side.where("before is not null").groupBy("before", "w").agg(F.count("*").alias("l"))
     right = side.where("after is not null").groupBy("after", "w").agg(F.count("*").alias("r"))
-    need = near.select("f").distinct()
-    left, right = (x.join(small(cut(need), 50), F.col("w") == F.col("f"), "left_semi") for x in (left, right))
+    need = small(cut(near.select("f").distinct()), 50)
+    left, right = (x.join(need, F.col("w") == F.col("f"), "left_semi") for x in (left, right))
     held = (
         near.join(left.select("before", F.col("w").alias("f"), "l"), ["before", "f"], "left")
         .join(right.select("after", F.col("w").alias("f"), "r"), ["after", "f"], "left")

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelbase.tables import table
+from reelbase.tables import spread, table
 
 #: Where the rank file lies; a parameter of every function here.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -237,7 +237,7 @@ def encode(df: DataFrame, id_: str, text: str, ranks: str = RANKS, count_only: b
             ids = [i for part in batches_of(texts) for i, _ in bpe.encode(part)]
             yield pd.DataFrame({"i": pdf["i"], "ids": [len(i) for i in ids] if count_only else ids})
 
-    out = df.select(F.col(id_).alias("i"), F.col(text).alias("x")).mapInPandas(run, f"i {kind}, ids {'bigint' if count_only else 'array<int>'}")
+    out = spread(df.select(F.col(id_).alias("i"), F.col(text).alias("x"))).mapInPandas(run, f"i {kind}, ids {'bigint' if count_only else 'array<int>'}")
     return out.toDF(id_, "n_tokens" if count_only else "ids")
 
 
