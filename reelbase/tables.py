@@ -59,3 +59,10 @@ def small(df: DataFrame, bytes_per_row: int, limit: int = BROADCAST_BYTES) -> Da
     ``df`` should be cheap to count (checkpointed): the count is the size check.
     """
     return F.broadcast(df) if df.limit(limit // bytes_per_row + 1).count() <= limit // bytes_per_row else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores before work that is heavy for each row, where a small input comes in
+    fewer partitions than there are cores; a larger one is left as it is."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df._jdf.queryExecution().toRdd().getNumPartitions() < n else df
