@@ -122,3 +122,30 @@ def action_limit(df: DataFrame, order: list[Column], count: int, size: int) -> D
     """Rows in order until a count or a sum of sizes is reached."""
     s = running_sum(df.withColumn("__s", F.coalesce("size", F.lit(0))), order, "__s", "__t")
     return number(s, order, "__n").where((F.col("__n") <= count) & (F.col("__t") - F.col("__s") < size)).drop("__s", "__t", "__n")
+
+
+def delete_found(df: DataFrame, which: Column) -> DataFrame:
+    """A table without the rows of a search (where the search is undecided a row stays)."""
+    return df.where(~F.coalesce(which, F.lit(False)))
+
+
+# Columns of old catalogues that have become part of the description.
+FOLDED = ("decade", "mood", "bpm", "key")
+
+
+def migrate_media(df: DataFrame, schema: dict[str, str]) -> DataFrame:
+    """A media table of an old catalogue in today's columns: 'type' is media_type, missing columns
+    are null (counts and times 0), folded columns are appended to the description as 'name: value'."""
+    out = df.withColumnRenamed("type", "media_type") if "type" in df.columns and "media_type" not in df.columns else df
+    notes = [F.when(F.col(c).isNotNull() & (F.col(c).cast("string") != ""), F.concat(F.lit(f"{c}: "), F.col(c).cast("string"))) for c in FOLDED if c in out.columns]
+    if notes:
+        own = F.expr("nullif(description, '')") if "description" in out.columns else F.lit(None).cast("string")
+        out = out.withColumn("description", F.concat_ws("\n", own, *notes)).withColumn("description", F.expr("nullif(description, '')"))
+    zero = ("time_deleted", "time_first_played", "time_last_played", "play_count", "playhead", "video_count", "audio_count", "subtitle_count", "is_deduped")
+    return out.select(*[F.col(c).cast(k).alias(c) if c in out.columns else F.lit(0 if c in zero else None).cast(k).alias(c) for c, k in schema.items()])
+
+
+def migrate_events(events: DataFrame, media: DataFrame) -> DataFrame:
+    """History or captions of an old catalogue, which name media by id, with paths instead; rows of
+    unknown media keep a null path."""
+    return events.join(media.select(F.col("id").alias("media_id"), F.col("path").alias("media_path")), "media_id", "left").drop("media_id")

@@ -167,11 +167,11 @@ def _(spark, d):
     return aggregates.live(_media(spark, d)).where("media_type = 'text'").select("media_id", F.coalesce(F.expr("nullif(title, '')"), paths.stem(F.col("path"))).alias("title"), F.coalesce("artist", F.lit("")).alias("author"))
 
 
-@q("s21_ingest_diff", "with f as (select path, max(size) + (max(media_id) % 3) as size, max(time_modified) as time_modified from media group by path), k as (select path, max(size) as s, max(time_modified) as t, max(coalesce(time_deleted, 0)) as d from media where media_id % 5 <> 0 group by path) select f.path, d is null as is_new from f left join k on f.path = k.path where not coalesce(f.size is not distinct from s and f.time_modified is not distinct from t and d = 0, false)")
+@q("s21_ingest_diff", "with f as (select path, max(size) as size, max(time_modified) as time_modified from media group by path), k as (select path, max(size) as s, max(time_modified) as t, max(coalesce(time_deleted, 0)) as d from media where db <> 'main.db' group by path) select f.path, d is null as is_new from f left join k on f.path = k.path where not coalesce(f.size is not distinct from s and f.time_modified is not distinct from t and d = 0, false)")
 def _(spark, d):
     media = _media(spark, d)
-    found = media.groupBy("path").agg((F.max("size") + F.max("media_id") % 3).alias("size"), F.max("time_modified").alias("time_modified"))
-    known = media.where("media_id % 5 <> 0").groupBy("path").agg(F.max("size").alias("size"), F.max("time_modified").alias("time_modified"), F.max(F.coalesce("time_deleted", F.lit(0))).alias("time_deleted"))
+    found = media.groupBy("path").agg(F.max("size").alias("size"), F.max("time_modified").alias("time_modified"))
+    known = media.where("db <> 'main.db'").groupBy("path").agg(F.max("size").alias("size"), F.max("time_modified").alias("time_modified"), F.max(F.coalesce("time_deleted", F.lit(0))).alias("time_deleted"))
     return changes.ingest_diff(known, found).select("path", "is_new")
 
 
@@ -536,8 +536,22 @@ q("u16_shown_first_played", "select media_id, case when play_count > 1 then time
 q("j06_long_audio", f"select media_id from media where {LIVE} and media_type = 'audio' and size >= 5000001 order by size desc, media_id limit 100")(
     lambda spark, d: spec.run(QuerySpec(types=["audio"], size=[">5MB"], limit=None), _media(spark, d)).where("media_type = 'audio'").orderBy(F.desc("size"), "media_id").limit(100).select("media_id")
 )
-q("s14_watch_later", "select media_id, path_len as saved from (select media_id, length(path) as path_len, media_id % 7 as r from media) where r = 0")(
-    lambda spark, d: files.watch_later(_media(spark, d), _media(spark, d).where("media_id % 7 = 0").select(F.md5("path").alias("name"), F.format_string("start=%d.5", F.length("path")).alias("value")).distinct()).where("media_id % 7 = 0").select("media_id", F.col("saved").cast("bigint").alias("saved"))
+q("s14_watch_later", "select media_id, length(path) as saved from media")(
+    lambda spark, d: files.watch_later(_media(spark, d), _media(spark, d).select(F.md5("path").alias("name"), F.format_string("start=%d.5", F.length("path")).alias("value")).distinct()).select("media_id", F.col("saved").cast("bigint").alias("saved"))
 )
 q("s08_probe")(lambda spark, d: files.probe_columns(_media(spark, d).select("media_id", F.to_json(F.struct(F.struct(F.col("duration").cast("string").alias("duration"), F.col("size").cast("string").alias("size")).alias("format"), F.array(F.struct(F.lit("video").alias("codec_type"), F.col("video_codecs").alias("codec_name"), "width", "height")).alias("streams"))).alias("json")), "json"))
 q("r01_usage_by_hour", "select date_trunc('hour', ts) as start, count(*) as n from events group by 1")(lambda spark, d: table(spark, d, "events").groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "n"))
+
+
+q("o18_disk_usage_page", f"with b as (select *, list_filter(str_split({P}, '/'), lambda x: x <> '') p from media where {LIVE} and starts_with({P}, '/srv/media/shows/')) select '/srv/media/shows/' || p[4] as entry, len(p) = 4 as is_file, {SUMS} from b where len(p) > 3 group by 1, 2 order by is_file, total_size desc, entry limit 30")(
+    lambda spark, d: aggregates.disk_usage(_media(spark, d), "/srv/media/shows").orderBy("is_file", F.desc("total_size"), "entry").limit(30)
+)
+q("u13_deleted_by_search", f"select media_id from media where not coalesce(contains({LOW % 'path'}, 'scans'), false)")(lambda spark, d: changes.delete_found(_media(spark, d), strings.ascii_contains(F.col("path"), "scans")).select("media_id"))
+q("u15_migrated", "select media_id, path, media_type, case when coalesce(description, '') = '' then case when coalesce(genre, '') = '' then null else 'mood: ' || genre end else description || case when coalesce(genre, '') = '' then '' else chr(10) || 'mood: ' || genre end end as description, cast(0 as bigint) as play_count from media")(
+    lambda spark, d: changes.migrate_media(_media(spark, d).select("media_id", "path", F.col("media_type").alias("type"), "description", F.col("genre").alias("mood")), {"media_id": "bigint", "path": "string", "media_type": "string", "description": "string", "play_count": "bigint"})
+)
+q("j18_migrated_history", "select h.id, m.path as media_path, h.time_played from (select id, id as media_id, time_played from history) h left join media m on h.media_id = m.media_id")(
+    lambda spark, d: changes.migrate_events(table(spark, d, "history").select("id", F.col("id").alias("media_id"), "time_played"), _media(spark, d).select(F.col("media_id").alias("id"), "path"))
+)
+q("d07_name_clusters")(lambda spark, d: similarity.cluster_names(_media(spark, d), "media_id", paths.stem(F.col("path"))))
+q("d08_near_duplicates")(lambda spark, d: similarity.duplicates_only(similarity.cluster_names(_media(spark, d).where("trim(title) <> ''"), "media_id", F.col("title")), "media_id"))

@@ -104,6 +104,16 @@ def test_similarity(spark):
     assert got == {1: ";music;old;", 2: ""}
 
 
+def test_name_clusters_and_migration(spark):
+    df = spark.createDataFrame([(1, "The Lantern Story"), (2, "the lantern-story!"), (3, "The Lantern Stories"), (4, "Old Mill"), (5, None)], "id long, name string")
+    clusters = similarity.cluster_names(df, "id", F.col("name"))
+    assert {r["id"]: r["leader"] for r in clusters.where("id < 5").collect()} in ({1: 1, 2: 1, 3: 1, 4: 4}, {1: 3, 2: 3, 3: 3, 4: 4})
+    assert similarity.duplicates_only(clusters, "id").count() == 2 and similarity.duplicates_only(clusters, "id", True).count() == 1
+    old = spark.createDataFrame([(1, "video", "x", "calm", None), (2, None, None, None, 120)], "id long, type string, description string, mood string, bpm long")
+    got = [tuple(r) for r in changes.migrate_media(old, {"id": "bigint", "media_type": "string", "description": "string", "play_count": "bigint", "title": "string"}).collect()]
+    assert got == [(1, "video", "x\nmood: calm", 0, None), (2, None, "bpm: 120", 0, None)]
+
+
 def test_sort_language():
     assert sorting.parse("size desc,-title,reverse_path,_weighted_rerank") == [("size", True), ("title", True), ("path", True)]
     assert sorting.parse("-xklb")[0] == ("video_count", False) and len(sorting.parse("du")) == 5
