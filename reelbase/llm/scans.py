@@ -217,11 +217,14 @@ def misread_words(read: DataFrame, words: DataFrame) -> DataFrame:
     seen = cut(w.withColumn("before", F.lag("w").over(by_page)).withColumn("after", F.lead("w").over(by_page)).where(F.length("raw") < 60))
     heads = words.groupBy("s").agg(F.max_by("w", F.struct("n", "w")).alias("f"), F.max("n").alias("fn"))
     # capital I and small l differ in print only: compare as read, not in lower case
-    forms = seen.groupBy("raw").agg(F.first("w").alias("w"), F.count("*").alias("here")).withColumn("s", skeleton(F.col("raw")))
-    odd = F.col("raw").rlike(r"(?=.*\p{L})(?=.*[0-9@|$!])") | F.col("raw").rlike(r"\p{Ll}I|^I[bcdfghjklmpqrvwxyz]*[aeiou]\p{Ll}")
+    # F and E differ by a stroke in capitals only: each capital F is tried as an E
+    as_e = F.array(F.col("raw"), F.replace("raw", F.lit("F"), F.lit("E")), F.regexp_replace("raw", "(?<=.)F", "E"), F.regexp_replace("raw", "^F", "E"))
+    forms = seen.groupBy("raw").agg(F.first("w").alias("w"), F.count("*").alias("here")).withColumn("s", F.explode(F.array_distinct(F.transform(as_e, skeleton))))
+    code = F.col("raw").rlike(r"^S\d+F\d+$")  # season and episode
+    odd = code | F.col("raw").rlike(r"(?=.*\p{L})(?=.*[0-9@|$!])") | F.col("raw").rlike(r"\p{Ll}I|^I[bcdfghjklmpqrvwxyz]*[aeiou]\p{Ll}")
     own = words.select(F.col("w"), F.col("n").alias("wn"))
-    tried = forms.join(heads, "s").where("f <> w and f rlike '^[^0-9@|$!]+$'").join(own, "w", "left").withColumn("wn", F.least(F.coalesce("wn", F.lit(1)), F.greatest(F.col("here"), F.coalesce("wn", F.lit(1)))))
-    tried = tried.where((F.col("fn") >= RARER * F.col("wn")) | (odd & (F.col("fn") >= 2))).where(F.length("raw") > 1)
+    tried = forms.join(heads, "s").where((F.col("f") != F.col("w")) & (F.col("f").rlike("^[^0-9@|$!]+$") | code)).join(own, "w", "left").withColumn("wn", F.least(F.coalesce("wn", F.lit(1)), F.greatest(F.col("here"), F.coalesce("wn", F.lit(1)))))
+    tried = tried.where((F.col("fn") >= RARER * F.col("wn")) | (odd & (F.col("fn") >= 2))).where(F.length("raw") > 1).dropDuplicates(["raw", "f"])
 
     @F.pandas_udf("boolean")
     def ok(a: pd.Series, b: pd.Series) -> pd.Series:
