@@ -71,3 +71,38 @@ def natural_key(text: Column) -> Column:
     runs = F.regexp_extract_all(text, F.lit("([0-9]+|[^0-9]+)"), 1)
     number = lambda t: t.rlike("^[0-9]+$")
     return F.transform(runs, lambda t: F.struct(F.when(number(t), 0).otherwise(1).alias("kind"), F.coalesce(F.when(number(t), t.try_cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias("n"), F.when(number(t), "").otherwise(F.lower(t)).alias("s")))
+
+
+def is_absolute(path: Column) -> Column:
+    """Unix, drive and network paths."""
+    return path.rlike(r"^(/|\\\\|[A-Za-z]:[\\/])")
+
+
+def with_separator(path: Column) -> Column:
+    return F.when(path.endswith("/"), path).otherwise(F.concat(path, F.lit("/")))
+
+
+def without_separator(path: Column) -> Column:
+    return F.when(path == "/", path).otherwise(F.regexp_replace(path, "/+$", ""))
+
+
+def to_url(path: Column) -> Column:
+    """'file://' and the percent-encoded path."""
+    return F.concat(F.lit("file://"), F.replace(F.replace(F.url_encode(path), F.lit("%2F"), F.lit("/")), F.lit("+"), F.lit("%20")))
+
+
+def from_url(url: Column) -> Column:
+    return F.url_decode(F.replace(F.regexp_replace(url, "^file://", ""), F.lit("+"), F.lit("%2B")))
+
+
+def relative(path: Column, base: str) -> Column:
+    """The path below a folder; the whole where it is not below."""
+    start = base.rstrip("/") + "/"
+    return F.when(path.startswith(start), F.substr(path, F.lit(len(start) + 1))).otherwise(path)
+
+
+def url_parts(url: Column) -> Column:
+    """(host, folder, name) of a URL."""
+    host = F.regexp_replace(F.regexp_extract(url, r"^[a-z]+://([^/?#]+)", 1), "^www\\.", "")
+    rest = F.regexp_extract(url, r"^[a-z]+://[^/?#]+(/[^?#]*)", 1)
+    return F.struct(host.alias("host"), parent(rest).alias("folder"), basename(rest).alias("name"))

@@ -93,3 +93,35 @@ def seconds_of(timecode: Column) -> Column:
 def categories(packed: Column) -> Column:
     """';a;b;' -> ['a', 'b']."""
     return F.filter(F.split(F.coalesce(packed, F.lit("")), ";"), lambda v: F.trim(v) != "")
+
+
+def remove_consecutive(text: Column, char: str) -> Column:
+    """Runs of a character become one."""
+    return F.regexp_replace(text, f"(?:{re.escape(char)})+", re.escape(char) if char in "\\$" else char)
+
+
+def remove_prefixes(text: Column, prefixes: list[str]) -> Column:
+    for p in prefixes:
+        text = F.when(text.startswith(p), F.substr(text, F.lit(len(p) + 1))).otherwise(text)
+    return text
+
+
+def remove_suffixes(text: Column, suffixes: list[str]) -> Column:
+    for s in suffixes:
+        text = F.when(text.endswith(s), F.substr(text, F.lit(1), F.length(text) - len(s))).otherwise(text)
+    return text
+
+
+def unquoted(text: Column) -> Column:
+    """Without a pair of quotes around it."""
+    return F.regexp_replace(text, r"""^(["'])(.*)\1$""", "$2")
+
+
+def unparagraphed(text: Column) -> Column:
+    """Single line breaks become blanks; blank lines stay."""
+    return F.regexp_replace(text, r"(?<!\n)\n(?!\n)", " ")
+
+
+def title_case(text: Column) -> Column:
+    """The first letter of each word in upper case, the others as they are."""
+    return F.array_join(F.transform(F.split(text, " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2)))), " ")

@@ -555,3 +555,13 @@ q("j18_migrated_history", "select h.id, m.path as media_path, h.time_played from
 )
 q("d07_name_clusters")(lambda spark, d: similarity.cluster_names(_media(spark, d), "media_id", paths.stem(F.col("path"))))
 q("d08_near_duplicates")(lambda spark, d: similarity.duplicates_only(similarity.cluster_names(_media(spark, d).where("trim(title) <> ''"), "media_id", F.col("title")), "media_id"))
+
+q("x13_urls", "select media_id, path as back, regexp_replace(path, '^/srv/media/', '') as below from media")(
+    lambda spark, d: _media(spark, d).select("media_id", paths.from_url(paths.to_url(F.col("path"))).alias("back"), paths.relative(F.col("path"), "/srv/media").alias("below"))
+)
+q("x03_trimmed_names", "select media_id, regexp_replace(regexp_replace(title, '^(The |A )', ''), ' Story$', '') as bare from media")(
+    lambda spark, d: _media(spark, d).select("media_id", strings.remove_suffixes(F.when(F.col("title").startswith("The "), strings.remove_prefixes(F.col("title"), ["The "])).otherwise(strings.remove_prefixes(F.col("title"), ["A "])), [" Story"]).alias("bare"))
+)
+q("x03_unparagraphed", "select doc_id, replace(regexp_replace(replace(text, chr(10) || chr(10), chr(1)), '\\n', ' ', 'g'), chr(1), chr(10) || chr(10)) as plain from documents where not contains(text, chr(10) || chr(10) || chr(10))")(
+    lambda spark, d: table(spark, d, "documents").where(~F.col("text").contains("\n\n\n")).select("doc_id", strings.unparagraphed(F.col("text")).alias("plain"))
+)

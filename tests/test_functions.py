@@ -81,3 +81,13 @@ def test_ranking(spark):
     tiles = ranking.ntile(df, [F.col("v"), F.col("id")], 7).groupBy("tile").count().collect()
     assert sorted(r["count"] for r in tiles) == [142, 143, 143, 143, 143, 143, 143]
     assert ranking.number(df.limit(0), [F.col("v")]).count() == 0
+
+
+def test_more_strings_and_paths(spark):
+    x = F.col("x")
+    assert values(spark, ["/a b/ü+c.mp4"], paths.to_url(x), paths.from_url(paths.to_url(x)), paths.relative(x, "/a b")) == [("file:///a%20b/%C3%BC%2Bc.mp4", "/a b/ü+c.mp4", "ü+c.mp4")]
+    assert values(spark, ["https://www.h.org/a/b.mp4?x=1"], paths.url_parts(x)["host"], paths.url_parts(x)["folder"], paths.url_parts(x)["name"]) == [("h.org", "/a", "b.mp4")]
+    assert values(spark, ["C:\\x", "/y", "z"], paths.is_absolute(x)) == [(True,), (True,), (False,)]
+    assert values(spark, ["a..b...c", "$$"], strings.remove_consecutive(x, "."), strings.remove_consecutive(x, "$")) == [("a.b.c", "a..b...c"), ("$$", "$")]
+    assert values(spark, ["'q'", '"q', "hello mcDonald"], strings.unquoted(x), strings.title_case(x)) == [("q", "'q'"), ('"q', '"q'), ("hello mcDonald", "Hello McDonald")]
+    assert values(spark, ["a\nb\n\nc"], strings.unparagraphed(x)) == [("a b\n\nc",)]
