@@ -15,7 +15,7 @@ ZERO_LAST = ("progress", "bitrate", "play_count", "time_last_played", "duration"
 
 # The named orders.
 PRESETS = {
-    "xklb": "-video_count,-audio_count,path_is_remote,-subtitle_count,play_count,playhead,time_last_played,title_is_null,path",
+    "default": "-video_count,-audio_count,path_is_remote,-subtitle_count,play_count,playhead,time_last_played,title_is_null,path",
     "du": "-size_per_count,-size,-count,-folders,path",
 }
 
@@ -45,7 +45,7 @@ def field(name: str) -> Column:
 
 
 def parse(config: str) -> list[tuple[str, bool]]:
-    """(field, descending) of 'size desc,-title,reverse_path,xklb'; presets are spelled out."""
+    """(field, descending) of 'size desc,-title,reverse_path,default'; presets are spelled out."""
     out: list[tuple[str, bool]] = []
     for raw in config.split(","):
         name, down = raw.strip(), False

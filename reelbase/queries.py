@@ -337,7 +337,7 @@ _SORTS = {
     "o06_type_title": ("media_type,-title", "coalesce(media_type, ''), coalesce(title, '') desc, path, media_id"),
     "o06_extension": ("extension,-time_created", f"{EXT}, coalesce(time_created, 0) desc, path, media_id"),
     "o09_groups": ("size|-play_count", "(coalesce(play_count, 0) = 0), coalesce(play_count, 0) desc, coalesce(size, 0), path, media_id"),
-    "o10_xklb": ("xklb", "coalesce(video_count, 0) desc, coalesce(audio_count, 0) desc, lower(path[:4]) = 'http', coalesce(subtitle_count, 0) desc, (coalesce(play_count, 0) = 0), coalesce(play_count, 0), coalesce(playhead, 0), (coalesce(time_last_played, 0) = 0), coalesce(time_last_played, 0), coalesce(trim(title) = '', true), path, media_id"),
+    "o10_default_order": ("default", "coalesce(video_count, 0) desc, coalesce(audio_count, 0) desc, lower(path[:4]) = 'http', coalesce(subtitle_count, 0) desc, (coalesce(play_count, 0) = 0), coalesce(play_count, 0), coalesce(playhead, 0), (coalesce(time_last_played, 0) = 0), coalesce(time_last_played, 0), coalesce(trim(title) = '', true), path, media_id"),
 }
 for _name, (_config, _by) in _SORTS.items():
     q(_name, _order_sql(_by))(lambda spark, d, c=_config: ranking.number(_media(spark, d), [*(sorting.groups(c) if "|" in c else sorting.order(c)), F.col("media_id").asc()]).select("media_id", "rn"))

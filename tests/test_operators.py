@@ -116,7 +116,7 @@ def test_name_clusters_and_migration(spark):
 
 def test_sort_language():
     assert sorting.parse("size desc,-title,reverse_path,_weighted_rerank") == [("size", True), ("title", True), ("path", True)]
-    assert sorting.parse("-xklb")[0] == ("video_count", False) and len(sorting.parse("du")) == 5
+    assert sorting.parse("-default")[0] == ("video_count", False) and len(sorting.parse("du")) == 5
 
 
 def test_line_sort(spark):
