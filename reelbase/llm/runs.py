@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from reelbase.tables import table
+from reelbase.tables import cut, table
 
 #: Seconds of an entity's time line that are numbered together.
 BLOCK_S = 900.0
@@ -83,7 +83,8 @@ def collapse(df: DataFrame, entity: str, time: str, text: str, id_: str, block_s
         .withColumn("k", F.col("n") - F.row_number().over(W.partitionBy("e", "b", "v").orderBy("t", "i")))
     )
     ends = F.struct("t", "i")
-    parts = numbered.groupBy("e", "b", "v", "k").agg(
+    # kept, since the rows at the edges of blocks and the others go separate ways from here
+    parts = cut(numbered.groupBy("e", "b", "v", "k").agg(
         F.min_by("i", ends).alias("first_id"),
         F.count("*").alias("n"),
         F.min("t").alias("t0"),
@@ -94,7 +95,7 @@ def collapse(df: DataFrame, entity: str, time: str, text: str, id_: str, block_s
         F.min("n").alias("from"),
         (F.min("n") == 1).alias("opens"),
         (F.max("n") == F.first("last")).alias("closes"),
-    )
+    ))
     edge = F.col("opens") | F.col("closes")
     path = W.partitionBy("e").orderBy("b", "from")
     stitched = (
