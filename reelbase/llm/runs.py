@@ -59,11 +59,11 @@ def near(a: Column, b: Column) -> Column:
     return F.coalesce((ja == jb) | ((F.size(a) == F.size(b)) & (((F.size(pairs) == 1) & one) | both)), F.lit(False))
 
 
-def collapse(df: DataFrame, entity: str, time: str, text: str, id_: str, block_s: float = BLOCK_S) -> DataFrame:
+def collapse(df: DataFrame, entity: str, time: str, text: str, id_: str, block_s: float = BLOCK_S, with_text: bool = True) -> DataFrame:
     """Runs of the same or nearly the same consecutive events.
 
     Result: ``entity``, ``first_id``, ``n_events``, ``time_start``, ``time_end``, ``duration`` and
-    ``text`` (of the first event), one row a run; single events are runs of one. Rows equal in
+    ``text`` (of the first event, null without ``with_text``), one row a run; single events are runs of one. Rows equal in
     entity, time and text are one event, known by its smallest id. Rows without a time (null or
     NaN) stand outside. A null or blank text is no event and ends a run. Ties in time are ordered
     by id. A null entity is an entity. Other columns are ignored; an empty table gives no rows.
@@ -77,29 +77,29 @@ def collapse(df: DataFrame, entity: str, time: str, text: str, id_: str, block_s
         events.withColumn("new", F.col("w").isNull() | ~near(F.lag("w").over(block), F.col("w")))
         .withColumn("n", F.row_number().over(block))
         .withColumn("last", F.count("*").over(W.partitionBy("e", "b")))
-        # the canonical value of an event is its chain's: what is near its neighbour is its equal
-        .withColumn("v", F.last(F.when(F.col("new"), F.concat_ws(" ", F.col("n").cast("string"), F.array_join("w", " "))), ignorenulls=True).over(so_far))
+        # the canonical value of an event is its chain's, named by the row it starts with: what is
+        # near its neighbour is its equal
+        .withColumn("v", F.last(F.when(F.col("new"), F.col("n")), ignorenulls=True).over(so_far))
+        .withColumn("start", F.last(F.when(F.col("new"), F.col("i")), ignorenulls=True).over(so_far))
         .withColumn("v", F.when(F.col("w").isNotNull(), F.col("v")))
         .withColumn("k", F.col("n") - F.row_number().over(W.partitionBy("e", "b", "v").orderBy("t", "i")))
     )
-    ends = F.struct("t", "i")
+    at_edge = (F.col("n") == 1) | (F.col("n") == F.col("last"))
+    first_text = F.when(F.col("new"), F.col("x")) if with_text else F.lit(None).cast("string")
+    numbered = numbered.select("e", "b", "t", "n", "last", "v", "k", "start", F.when(at_edge, F.col("w")).alias("w"), first_text.alias("x"))
     # kept, since the rows at the edges of blocks and the others go separate ways from here
-    parts = cut(numbered.groupBy("e", "b", "v", "k").agg(
-        F.min_by("i", ends).alias("first_id"),
-        F.count("*").alias("n"),
-        F.min("t").alias("t0"),
-        F.max("t").alias("t1"),
-        F.min_by("x", ends).alias("x"),
-        F.min_by("w", ends).alias("w0"),
-        F.max_by("w", ends).alias("w1"),
-        F.min("n").alias("from"),
-        (F.min("n") == 1).alias("opens"),
-        (F.max("n") == F.first("last")).alias("closes"),
-    ))
+    numbered = cut(numbered)
+    texts = [F.max("x").alias("x")] if with_text else []
+    parts = numbered.groupBy("e", "b", "v", "k").agg(F.min("start").alias("first_id"), F.count("*").alias("n"), F.min("t").alias("t0"), F.max("t").alias("t1"), F.min("n").alias("from"), (F.min("n") == 1).alias("opens"), (F.max("n") == F.max("last")).alias("closes"), *texts)
+    if not with_text:
+        parts = parts.withColumn("x", F.lit(None).cast("string"))
+    opening = numbered.where("n = 1").select("e", "b", F.col("w").alias("w0"))
+    closing = numbered.where("n = last").select("e", "b", F.col("w").alias("w1"))
+    same = lambda l, r: F.col(f"{l}.e").eqNullSafe(F.col(f"{r}.e")) & (F.col(f"{l}.b") == F.col(f"{r}.b"))
     edge = F.col("opens") | F.col("closes")
     path = W.partitionBy("e").orderBy("b", "from")
     stitched = (
-        parts.where(edge)
+        parts.where(edge).alias("p").join(opening.alias("o"), same("p", "o")).join(closing.alias("c"), same("p", "c")).select("p.*", "w0", "w1")
         .withColumn("joined", F.col("opens") & F.lag("closes").over(path) & F.col("w0").isNotNull() & near(F.lag("w1").over(path), F.col("w0")) & (F.lag("b").over(path) != F.col("b")))
         .withColumn("run", F.sum(F.when(F.coalesce("joined", F.lit(False)), 0).otherwise(1)).over(path.rowsBetween(W.unboundedPreceding, 0)))
         .groupBy("e", "run")
@@ -119,7 +119,8 @@ def p6_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of two or more captions."""
-    return p6_runs(spark, sf_dir).where(F.col("n_events") >= 2).select("first_id", "n_events")
+    runs = collapse(table(spark, sf_dir, "captions"), "media_path", "time", "text", "caption_id", with_text=False)
+    return runs.where(F.col("n_events") >= 2).select("first_id", "n_events")
 
 
 QUERIES = {"p6_found": p6_found, "p6_runs": p6_runs}
