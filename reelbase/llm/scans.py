@@ -205,9 +205,10 @@ def edge_noise(read: DataFrame) -> DataFrame:
 
 def vocabulary(texts: DataFrame) -> DataFrame:
     """Lower-case words of all texts (column x) with their counts and skeletons."""
-    w = texts.where("x is not null").select(F.explode(F.split("x", _NOT_WORD)).alias("w"))
-    w = w.select(F.lower(F.regexp_replace("w", "^['’‘-]+|['’‘-]+$", "")).alias("w")).where("w <> ''")
-    return w.groupBy("w").agg(F.count("*").alias("n")).where(F.length("w") < 60).withColumn("s", skeleton(F.col("w")))
+    # counted as they stand first: what is cleaned then is each distinct token, not each occurrence
+    raw = texts.where("x is not null").select(F.explode(F.split("x", _NOT_WORD)).alias("w")).where("w <> ''").groupBy("w").agg(F.count("*").alias("n"))
+    w = raw.select(F.lower(F.regexp_replace("w", "^['’‘-]+|['’‘-]+$", "")).alias("w"), "n").where("w <> ''")
+    return w.groupBy("w").agg(F.sum("n").alias("n")).where(F.length("w") < 60).withColumn("s", skeleton(F.col("w")))
 
 
 def misread_words(read: DataFrame, words: DataFrame) -> DataFrame:
