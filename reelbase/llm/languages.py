@@ -181,16 +181,19 @@ class Languages:
     def main(self, texts: list[str]) -> list[str | None]:
         """The language of most of each text: its sentences' scores summed by their length."""
         out: list[str | None] = []
+        vectors = self.vectors
         for text in texts:
-            bares = [b for b in (letters(r) for _, _, r in sentences(text)) if len(b) >= 4]
-            new = [b for b in dict.fromkeys(bares) if b not in self.vectors]
+            raws = [r for _, _, r in sentences(text)]
+            new = [r for r in dict.fromkeys(raws) if r not in vectors]
             if new and self.model is not None:
-                if len(self.vectors) > self.remember:
-                    self.vectors.clear()
-                    new = [*dict.fromkeys(bares)]
-                self.vectors.update(zip(new, self.model.scores(new)))
-            total = sum(len(b) * self.vectors[b] for b in bares) if self.model is not None else 0
-            out.append(self.codes[int(np.argmax(total))] if bares and self.model is not None and np.max(total) > 0 else None)
+                if len(vectors) > self.remember:
+                    vectors.clear()
+                    new = [*dict.fromkeys(raws)]
+                bares = [letters(r) for r in new]
+                # a sentence's scores count by its length, the shortest for nothing
+                vectors.update((r, v * len(b) * (len(b) >= 4)) for r, b, v in zip(new, bares, self.model.scores(bares)))
+            total = sum(vectors[r] for r in raws) if raws and self.model is not None else 0
+            out.append(self.codes[int(np.argmax(total))] if np.max(total) > 0 else None)
         return out
 
     def of(self, texts: list[str]) -> list[list[tuple[int, int, str, float]]]:

@@ -33,8 +33,11 @@ _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 
 def plain_sentences(text: str) -> list[list[str]]:
     """The words of each sentence, lower case; markup and time codes are no words."""
-    found = (_WORD.findall(s.lower().replace("’", "'")) for s in _END.split(_CODES.sub(" ", text)))
-    return [w for w in found if w]
+    return [w for w in map(_words, _END.split(_CODES.sub(" ", text))) if w]
+
+
+def _words(sentence: str) -> list[str]:
+    return _WORD.findall(sentence.lower().replace("’", "'"))
 
 
 def _features(word: str) -> tuple[int, list[int]]:
@@ -92,9 +95,24 @@ class SentenceModel:
         self.words[used] = w
         self.lengths, self.bias = u, b
         self.known: dict[str, np.ndarray] = {}
+        self.told: dict[str, tuple[int, np.ndarray | None]] = {}
 
     def __getstate__(self):
-        return self.__dict__ | {"known": {}}
+        return self.__dict__ | {"known": {}, "told": {}}
+
+    def summary(self, raws: list[str]) -> np.ndarray | None:
+        """The summary of a document's sentences, which are remembered; None if none has words."""
+        told = self.told
+        new = [r for r in dict.fromkeys(raws) if r not in told]
+        if new:
+            if len(told) > 200_000:
+                told.clear()
+                new = [*dict.fromkeys(raws)]
+            words = [_words(r) for r in new]
+            p = iter(self.predict([w for w in words if w])) if any(words) else iter(())
+            told.update((r, (len(w), next(p) if w else None)) for r, w in zip(new, words))
+        found = [told[r] for r in raws if told[r][0]]
+        return _distribution(np.array([n for n, _ in found], dtype=np.float64), np.array([p for _, p in found])) if found else None
 
     def predict(self, sents: list[list[str]]) -> np.ndarray:
         known, words = self.known, self.words
@@ -115,7 +133,10 @@ class SentenceModel:
 
 def _summary(sents: list[list[str]], p: np.ndarray) -> np.ndarray:
     """A document by its sentences: mean distribution, the same by words, and the share of each level."""
-    n = np.array([len(s) for s in sents], dtype=np.float64)
+    return _distribution(np.array([len(s) for s in sents], dtype=np.float64), p)
+
+
+def _distribution(n: np.ndarray, p: np.ndarray) -> np.ndarray:
     return np.concatenate([p.mean(0), (p * n[:, None]).sum(0) / n.sum(), np.bincount(p.argmax(1), n, minlength=len(LEVELS)) / n.sum()])
 
 
@@ -191,10 +212,10 @@ def reading_levels(df: DataFrame, id_: str, text: str, models: tuple[SentenceMod
             rows = []
             for i, t, lang in zip(pdf["i"], texts, known.main([_CODES.sub(" ", t) for t in texts])):
                 english = lang == "en"
-                sents = plain_sentences(t) if models else []
-                p = models[1].predict(_summary(sents, models[0].predict(sents))[None])[0] if sents else [None] * 3
-                level = LEVELS[int(np.argmax(p))] if sents else None
-                rows.append((i, len(t.split()), english, level, *p, p[1] + 2 * p[2] if sents else None))
+                x = models[0].summary(_END.split(_CODES.sub(" ", t))) if models else None
+                p = models[1].predict(x[None])[0] if x is not None else [None] * 3
+                level = LEVELS[int(np.argmax(p))] if x is not None else None
+                rows.append((i, len(t.split()), english, level, *p, p[1] + 2 * p[2] if x is not None else None))
             yield pd.DataFrame(rows, columns=["i", "n_words", "is_english", "reading_level", "p_basic", "p_general", "p_advanced", "difficulty"])
 
     out = spread(df.select(F.col(id_).alias("i"), F.col(text).alias("x"))).mapInPandas(run, f"i {kind}, n_words bigint, is_english boolean, reading_level string, p_basic double, p_general double, p_advanced double, difficulty double")
