@@ -212,11 +212,15 @@ def vocabulary(texts: DataFrame) -> DataFrame:
 
 
 def misread_words(read: DataFrame, words: DataFrame) -> DataFrame:
-    """i, read_as, printed: words of pages that are misreadings."""
+    """i, read_as, printed: words of pages that are misreadings.
+
+    A form is tried against every frequent form of its skeleton. Of those it may be a misreading
+    of, the one the words beside it support most is the printed one, one a page for each form.
+    """
     w = read.select("i", F.posexplode("words").alias("k", "raw")).select("i", "k", F.col("raw"), F.lower("raw").alias("w"))
     by_page = W.partitionBy("i").orderBy("k")
     seen = cut(w.withColumn("before", F.lag("w").over(by_page)).withColumn("after", F.lead("w").over(by_page)).where(F.length("raw") < 60))
-    heads = words.groupBy("s").agg(F.max_by("w", F.struct("n", "w")).alias("f"), F.max("n").alias("fn"))
+    frequent = words.where("n >= 2").select("s", F.col("w").alias("f"), F.col("n").alias("fn"))
     # capital I and small l differ in print only: compare as read, not in lower case
     # F and E differ by a stroke in capitals only: each capital F is tried as an E
     as_e = F.array(F.col("raw"), F.replace("raw", F.lit("F"), F.lit("E")), F.regexp_replace("raw", "(?<=.)F", "E"), F.regexp_replace("raw", "^F", "E"))
@@ -224,15 +228,16 @@ def misread_words(read: DataFrame, words: DataFrame) -> DataFrame:
     code = F.col("raw").rlike(r"^S\d+F\d+$")  # season and episode
     odd = code | F.col("raw").rlike(r"(?=.*\p{L})(?=.*[0-9@|$!])") | F.col("raw").rlike(r"\p{Ll}I|^I[bcdfghjklmpqrvwxyz]*[aeiou]\p{Ll}")
     own = words.select(F.col("w"), F.col("n").alias("wn"))
-    tried = forms.join(heads, "s").where((F.col("f") != F.col("w")) & (F.col("f").rlike("^[^0-9@|$!]+$") | code)).join(own, "w", "left").withColumn("wn", F.least(F.coalesce("wn", F.lit(1)), F.greatest(F.col("here"), F.coalesce("wn", F.lit(1)))))
-    tried = tried.where((F.col("fn") >= RARER * F.col("wn")) | (odd & (F.col("fn") >= 2))).where(F.length("raw") > 1).dropDuplicates(["raw", "f"])
+    known = forms.join(own, "w", "left").withColumn("wn", F.coalesce("wn", F.lit(1))).where(F.length("raw") > 1)
+    tried = known.join(frequent, "s").where((F.col("f") != F.col("w")) & (F.col("f").rlike("^[^0-9@|$!]+$") | code))
+    tried = tried.where((F.col("fn") >= RARER * F.col("wn")) | (odd & (F.struct("fn", "f") > F.struct("wn", "w")))).dropDuplicates(["raw", "f"])
 
     @F.pandas_udf("boolean")
     def ok(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([explains(x.lower(), y) or explains(re.sub("I(?=[^A-Z]|$)", "l", x).lower(), y) for x, y in zip(a, b)], dtype="bool")
 
     odd_number = F.col("raw").rlike(r"^[sSeE]?\d+[eExX]?\d*(st|nd|rd|th|s|x|p|k|fps|mm|am|pm)?$")
-    pairs = cut(tried.where(ok("raw", "f") & ~odd_number).select("raw", F.col("f"), odd.alias("odd"), "wn"))
+    pairs = cut(tried.where(ok("raw", "f") & ~odd_number).select("raw", "f", odd.alias("odd"), "fn"))
     near = seen.join(small(pairs, 100), "raw")
     side = seen.select("before", "w", "after")
     left = side.where("before is not null").groupBy("before", "w").agg(F.count("*").alias("l"))
@@ -243,7 +248,9 @@ def misread_words(read: DataFrame, words: DataFrame) -> DataFrame:
         near.join(left.select("before", F.col("w").alias("f"), "l"), ["before", "f"], "left")
         .join(right.select("after", F.col("w").alias("f"), "r"), ["after", "f"], "left")
     )
-    return held.where(F.col("odd") | (F.coalesce("l", F.lit(0)) >= 2) | (F.coalesce("r", F.lit(0)) >= 2)).select("i", F.col("raw").alias("read_as"), F.col("f").alias("printed"))
+    l, r = F.coalesce("l", F.lit(0)), F.coalesce("r", F.lit(0))
+    fits = held.where(F.col("odd") | (l >= 2) | (r >= 2)).groupBy("i", "raw", "f", "fn").agg(F.sum(l + r).alias("support"))
+    return fits.groupBy("i", F.col("raw").alias("read_as")).agg(F.max_by("f", F.struct("support", "fn", "f")).alias("printed"))
 
 
 def cut_words(read: DataFrame, words: DataFrame) -> DataFrame:

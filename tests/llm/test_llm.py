@@ -245,6 +245,16 @@ def test_scanned_pages(spark):
     assert scans.pages(df.limit(0), "caption_id", "media_path", "time", "text").count() == 0
 
 
+def test_misreadings_of_the_less_frequent_of_like_words(spark):
+    # have and llave have the same strokes, and llave is the more frequent
+    rows = [(k, "/x/a.pdf", float(k), "They have seen it.\nMore.") for k in range(12)] + [(20, "/x/a.pdf", 20.0, "They havc seen it.\nMore.")]
+    rows += [(100 + k, "/x/b.mkv", k + 0.5, "la llave") for k in range(40)]
+    df = spark.createDataFrame(rows, "caption_id long, media_path string, time double, text string")
+    read = scans.parsed(scans.pages(df, "caption_id", "media_path", "time", "text"))
+    wrong = scans.misread_words(read, scans.vocabulary(df.select(df.text.alias("x"))))
+    assert [tuple(r) for r in wrong.collect()] == [(20, "havc", "have")]
+
+
 def test_confusions():
     assert scans.explains("clecir", "decir") and scans.explains("tbc", "the") and not scans.explains("word", "ward")
     assert scans.page_number("- 12 -") == (12, True) and scans.page_number("xiv") == (14, False) and scans.page_number("hello") is None
