@@ -1,8 +1,9 @@
 """Problem 3: noise in text from scanned pages, found and repaired.
 
 Pages are parsed line by line into what may be a running header, a page number or a word cut at a
-line end. Headers are lines that recur at the edge of a paper's pages once digits are masked;
-page numbers count along with the pages. Words are grouped by a skeleton in which glyphs that
+line end. Headers are lines that recur at the edge of a paper's pages once digits are masked,
+wherever they stand; how a line is set counts besides, for papers of few pages and titles read
+differently each time. Page numbers count along with the pages. Words are grouped by a skeleton in which glyphs that
 scanners confuse look alike; a rare word is a misreading of the frequent form of its group where
 the words beside it support that form. SQL windows then reflow the lines into paragraphs.
 """
@@ -84,8 +85,8 @@ def skeleton(word: Column) -> Column:
 
 
 def _mask(line: str) -> str:
-    """A line as it compares with other pages' lines: numbers masked, glyphs as strokes."""
-    return " ".join("#" if re.fullmatch(r"\W*\d+([./:-]\d+)*\W*", t) else _skeleton_py(t) for t in line.split())
+    """A line as it compares with other pages' lines: numbers masked, glyphs as strokes, F as E."""
+    return " ".join("#" if re.fullmatch(r"\W*\d+([./:-]\d+)*\W*", t) else _skeleton_py(t.replace("F", "E")) for t in line.split())
 
 
 def explains(read: str, printed: str) -> bool:
@@ -112,18 +113,17 @@ def parse_page(text: str) -> dict:
     lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
     solid = [k for k, x in enumerate(lines) if x.strip()]
     width = max((len(lines[k].strip()) for k in solid), default=0)
-    edges: list[tuple] = []  # line, header's mask or None, number or None, marked, alone, clear
-    lo, hi = 0, len(solid)
+    # line, header's mask or None, number or None, marked, alone, clear, top, step, solid lines from here on
+    edges: list[tuple] = []
     for top in (True, False):
-        for step in range(2):
-            if hi - lo < 2:
-                break
-            k = solid[lo] if top else solid[hi - 1]
+        titles = 0
+        for step in range(min(3, len(solid) - 1)):
+            k = solid[step] if top else solid[-1 - step]
+            place = (top, step, len(solid) - step)
             line = lines[k].strip()
             number = page_number(line)
             if number:
-                edges.append((k, None, *number, True, True))
-                lo, hi = (lo + 1, hi) if top else (lo, hi - 1)
+                edges.append((k, None, *number, True, True, *place))
                 continue
             parts = [p.strip() for p in re.split(r"\t+|\s{2,}|\s+[|·•]\s+", line) if p.strip()]
             number = None
@@ -134,21 +134,18 @@ def parse_page(text: str) -> dict:
                         parts.pop(at)
                         break
             head = " ".join(parts)
+            if titles == 2 or not any(c.isalpha() for c in head):
+                break
+            titles += 1
             if top:
-                after = solid[lo + 1]
+                after = solid[step + 1]
                 word = lines[after].split()[0]
                 broken = after > k + 1 or (len(line) + 1 + len(word) <= width and not word[:1].islower())
             else:
-                before = solid[hi - 2]
+                before = solid[-2 - step]
                 broken = before < k - 1 or lines[before].strip().endswith(_ENDS)
-            letters = any(c.isalpha() for c in head)
-            clear = broken and not _SENTENCE.search(head)
-            if letters and (broken or number):
-                edges.append((k, _mask(head), *(number or (None, False)), False, clear))
-            if letters and clear:
-                lo, hi = (lo + 1, hi) if top else (lo, hi - 1)
-                continue
-            break
+            # a second title line counts by recurrence only
+            edges.append((k, _mask(head), *(number or (None, False)), False, titles == 1 and broken and not _SENTENCE.search(head), *place))
     cuts = [(m[1], m[2][-1], m[3]) for m in re.finditer(r"([^\W\d_][\w@|]*)([-‐‑\xad¬])[ \t]*\r?\n\s*([\w@|]+)", text) if m[2]]
     joined = re.sub(r"(\w)[\xad¬][ \t]*\r?\n\s*(?=\w)", r"\1", text)
     joined = re.sub(r"(\w)[-‐‑][ \t]*\r?\n[ \t]*(?=[^\W\d_])", lambda m: m[1] + "\x00", joined)
@@ -156,7 +153,7 @@ def parse_page(text: str) -> dict:
     return {"edges": edges, "cuts": cuts, "words": words}
 
 
-_EDGES = "array<struct<line:int,mask:string,n:bigint,marked:boolean,alone:boolean,clear:boolean>>"
+_EDGES = "array<struct<line:int,mask:string,n:bigint,marked:boolean,alone:boolean,clear:boolean,top:boolean,step:int,solid:int>>"
 _PARSED = f"i bigint, p string, t double, edges {_EDGES}, cuts array<struct<a:string,mark:string,b:string>>, words array<string>"
 
 
@@ -183,24 +180,34 @@ def parsed(pages_: DataFrame) -> DataFrame:
 def edge_noise(read: DataFrame) -> DataFrame:
     """i, line, header, pagenum, alone: the edge lines that are a header, a page number or both."""
     e = read.select("i", "p", "t", F.explode("edges").alias("e")).select("i", "p", "t", "e.*")
-    masks = e.where("mask is not null").groupBy("p", "mask").agg(F.count_distinct("t").alias("pages"))
+    total = read.groupBy("p").agg(F.count_distinct("t").alias("total"))
+    masks = e.where("mask is not null").groupBy("p", "top", "mask").agg(F.count_distinct("t").alias("pages"), F.max("clear").alias("title"))
     offsets = e.where("n is not null").groupBy("p", (F.col("n") - F.floor("t")).alias("off")).agg(F.count_distinct("t").alias("same_off"))
     values = e.where("n is not null").groupBy("p", "n").agg(F.count_distinct("t").alias("same_n"))
     best = offsets.groupBy("p").agg(F.max("same_off").alias("best"))
     all_ = (
         e.withColumn("off", F.col("n") - F.floor("t"))
-        .join(masks, ["p", "mask"], "left")
+        .join(masks, ["p", "top", "mask"], "left")
         .join(offsets, ["p", "off"], "left")
         .join(values, ["p", "n"], "left")
         .join(best, "p", "left")
+        .join(total, "p", "left")
     )
     number = F.col("n").isNotNull() & (
         F.col("marked") | (F.col("same_off") >= 2) | (F.col("alone") & F.col("t").isNull()) | ((F.col("same_n") < 2) & (F.coalesce("best", F.lit(0)) < 2)) | (F.col("alone") & (F.coalesce("best", F.lit(0)) < 2))
     )
-    # a whole sentence that recurs is no title unless it is short and recurs often
-    short = (F.col("pages") >= 3) & (F.size(F.split("mask", " ")) <= 4)
-    header = F.col("mask").isNotNull() & (F.col("clear") | short)
-    return all_.select("i", "line", F.coalesce(header, F.lit(False)).alias("header"), F.coalesce(number, F.lit(False)).alias("pagenum"), "alone", F.coalesce("pages", F.lit(0)).alias("pages")).where("header or pagenum")
+    # text recurs as well: on a few of many pages, or in whole sentences
+    sentence = F.col("mask").rlike(_SENTENCE.pattern) & (F.size(F.split("mask", " ")) > 4)
+    often = (F.col("pages") >= 3) & (4 * F.col("pages") >= F.col("total")) & ~sentence
+    header = F.col("mask").isNotNull() & (often | ((F.col("pages") >= 2) & F.col("title")) | F.col("clear"))
+    all_ = all_.select("i", "line", F.coalesce(header, F.lit(False)).alias("header"), F.coalesce(number, F.lit(False)).alias("pagenum"), "alone", F.coalesce("pages", F.lit(0)).alias("pages"), "top", "step", "solid")
+    # a line is at the edge if all lines beyond it are noise; one line of a page stays
+    beyond = W.partitionBy("i", "top").orderBy("step").rowsBetween(W.unboundedPreceding, -1)
+    noise = F.col("header") | F.col("pagenum") | F.col("alone")
+    outer = all_.withColumn("outer", F.coalesce(F.every(noise).over(beyond), F.lit(True)) & (F.count("*").over(beyond) == F.col("step"))).where("outer and (header or pagenum or alone)")
+    taken = F.count_if("top").over(W.partitionBy("i"))
+    kept = outer.withColumn("taken", taken).where("top or solid - taken >= 2")
+    return kept.where("header or pagenum").select("i", "line", "header", "pagenum", "alone", "pages")
 
 
 def vocabulary(texts: DataFrame) -> DataFrame:

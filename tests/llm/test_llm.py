@@ -255,6 +255,16 @@ def test_misreadings_of_the_less_frequent_of_like_words(spark):
     assert [tuple(r) for r in wrong.collect()] == [(20, "havc", "have")]
 
 
+def test_headers_recur_wherever_they_stand(spark):
+    # the text goes on in lower case right below, so nothing in the layout sets the title off
+    below = ["and then she left.", "of the old house.", "when it rained.", "near the harbour.", "by the mill."]
+    rows = [(k, "/x/a.pdf", float(k), f"The Lamp at the Harbour\np. {145 + k}\n{b}\nA longer line of text of this page, number {'abcde'[k] * 9}.\nIt was {'fghij'[k] * 9}.") for k, b in enumerate(below)]
+    df = spark.createDataFrame(rows, "caption_id long, media_path string, time double, text string")
+    found = scans.edge_noise(scans.parsed(scans.pages(df, "caption_id", "media_path", "time", "text"))).collect()
+    assert {(r["i"], r["line"]) for r in found if r["header"]} == {(k, 0) for k in range(5)}
+    assert {(r["i"], r["line"]) for r in found if r["pagenum"]} == {(k, 1) for k in range(5)}
+
+
 def test_confusions():
     assert scans.explains("clecir", "decir") and scans.explains("tbc", "the") and not scans.explains("word", "ward")
     assert scans.page_number("- 12 -") == (12, True) and scans.page_number("xiv") == (14, False) and scans.page_number("hello") is None
