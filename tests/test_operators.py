@@ -114,6 +114,24 @@ def test_name_clusters_and_migration(spark):
     assert got == [(1, "video", "x\nmood: calm", 0, None), (2, None, "bpm: 120", 0, None)]
 
 
+def test_names_that_begin_differently_are_compared(spark):
+    import random
+
+    rng = random.Random(5)
+    words = ["silent", "station", "archive", "hollow", "paper", "story", "the", "a"]
+    names = {1: "The Silent Station", 2: "Silent Station", 3: "station archive", 4: "hollow station archive"} | {k: " ".join(rng.choices(words, k=rng.randint(1, 4))) for k in range(5, 150)}
+    df = spark.createDataFrame(list(names.items()), "id long, name string")
+    got = {r["id"]: r["leader"] for r in similarity.cluster_names(df, "id", F.col("name")).collect()}
+    want, leaders = {}, []
+    for k, name in names.items():
+        bare = name.lower().replace(" ", "")
+        mine = {bare[i : i + 2] for i in range(max(1, len(bare) - 1))}
+        want[k] = next((lead for lead, seen in leaders if 2 * len(seen & mine) > 0.8 * (len(seen) + len(mine))), k)
+        if want[k] == k:
+            leaders.append((k, mine))
+    assert got == want and got[2] == 1
+
+
 def test_sort_language():
     assert sorting.parse("size desc,-title,reverse_path,_weighted_rerank") == [("size", True), ("title", True), ("path", True)]
     assert sorting.parse("-default")[0] == ("video_count", False) and len(sorting.parse("du")) == 5
