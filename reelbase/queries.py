@@ -425,7 +425,7 @@ q("d01_duplicates_title_artist", _dup_sql("title, artist"))(lambda spark, d: sim
 q("d01_duplicates_path", _dup_sql("path"))(lambda spark, d: similarity.duplicates(_media(spark, d), ["path"]).select("keep_id", "dup_id"))
 q("d02_content", f"with l as (select *, row_number() over (partition by size, sha256 order by coalesce(is_deduped, 0) desc, media_id) k from media where sha256 is not null and length(sha256) = 64 and size is not null and {LIVE}), f as (select size, sha256, media_id as keep_id from l where k = 1) select keep_id, media_id as dup_id from l join f using (size, sha256) where k > 1")(lambda spark, d: similarity.content_duplicates(_media(spark, d)))
 q("d03_dice")(lambda spark, d: _media(spark, d).where("title is not null").select("media_id", F.round(similarity.dice(F.lower("title"), F.lower(paths.stem(F.col("path")))), 6).alias("dice")))
-q("d06_clusters")(lambda spark, d: similarity.cluster_numbers(_media(spark, d).where("duration > 0"), "media_id"))
+q("d06_clusters")(lambda spark, d: similarity.cluster_numbers(_media(spark, d), "media_id", singles=True))
 q("d09_tf_idf", f"with t as (select media_id, unnest({_WORDS.format(c='path')}) as word from media), tf as (select media_id, word, count(*) c from t group by all), l as (select media_id, sum(c) len from tf group by 1), f as (select word, count(*) df from tf group by 1) select media_id, word, round(c / len * ln((select count(*) from media) / df), 6) as weight from tf join l using (media_id) join f using (word)")(
     lambda spark, d: similarity.tf_idf(_media(spark, d), "media_id", F.col("path")).select("media_id", "word", F.round("weight", 6).alias("weight"))
 )

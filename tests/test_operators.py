@@ -132,6 +132,13 @@ def test_names_that_begin_differently_are_compared(spark):
     assert got == want and got[2] == 1
 
 
+def test_number_clusters_have_no_edges(spark):
+    # 2048.4 = 1.1 ** 80; a missing duration is not compared, a missing size is like no other
+    df = spark.createDataFrame([(1, 2040, 100), (2, 2056, 101), (3, 2050, None), (4, None, 5), (5, None, 5), (6, 9000, 100)], "media_id long, size long, duration long")
+    assert {r["media_id"]: r["leader"] for r in similarity.cluster_numbers(df, "media_id").collect()} == {1: 1, 2: 1, 3: 1, 6: 6}
+    assert {r["media_id"]: r["leader"] for r in similarity.cluster_numbers(df, "media_id", singles=True).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6}
+
+
 def test_sort_language():
     assert sorting.parse("size desc,-title,reverse_path,_weighted_rerank") == [("size", True), ("title", True), ("path", True)]
     assert sorting.parse("-default")[0] == ("video_count", False) and len(sorting.parse("du")) == 5
