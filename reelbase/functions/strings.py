@@ -122,6 +122,24 @@ def unparagraphed(text: Column) -> Column:
     return F.regexp_replace(text, r"(?<!\n)\n(?!\n)", " ")
 
 
+# Blanks as the reference knows them, and quotes that may enclose a text.
+_BLANKS = "[\\t\\n\\x0B\\f\\r \\x85\\xA0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
+_QUOTES = "＇＂‚〞〝〟⹂❟❜❛❝❞"
+_ENCLOSING = [q + q for q in "\"'" + _QUOTES] + ["❮❯", "❯❮", "‹›", "›‹", "«»", "»«"]
+
+
+def one_paragraph(text: Column) -> Column:
+    """White space as single blanks, plain quotes and dots, without quotes around the whole."""
+    s = F.trim(F.regexp_replace(text, _BLANKS, " "))
+    s = F.replace(F.translate(s, "“”‘’‛‟„", "'" * 4 + '"' * 3), F.lit("…"), F.lit("..."))
+    n = F.length(s)
+    # pairs are taken off from the outside in, up to the first two characters that are none
+    ends = F.transform(F.sequence(F.lit(0), F.length(F.regexp_extract(s, "^[" + "\"'" + _QUOTES + "❮❯‹›«»]*", 0))), lambda i: F.when(i == 0, F.lit(True)).when(2 * i > n, F.lit(False)).otherwise(F.concat(F.substr(s, i, F.lit(1)), F.substr(s, n - i + 1, F.lit(1))).isin(_ENCLOSING)))
+    off = F.coalesce(F.nullif(F.array_position(ends, False), F.lit(0)), F.size(ends) + 1).cast("int") - 2
+    bare = F.substr(s, off + 1, n - 2 * off)
+    return F.when(bare.isin(list(_QUOTES)), F.lit("")).otherwise(bare)
+
+
 def title_case(text: Column) -> Column:
     """The first letter of each word in upper case, the others as they are."""
     return F.array_join(F.transform(F.split(text, " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2)))), " ")

@@ -565,3 +565,4 @@ q("x03_trimmed_names", "select media_id, regexp_replace(regexp_replace(title, '^
 q("x03_unparagraphed", "select doc_id, replace(regexp_replace(replace(text, chr(10) || chr(10), chr(1)), '\\n', ' ', 'g'), chr(1), chr(10) || chr(10)) as plain from documents where not contains(text, chr(10) || chr(10) || chr(10))")(
     lambda spark, d: table(spark, d, "documents").where(~F.col("text").contains("\n\n\n")).select("doc_id", strings.unparagraphed(F.col("text")).alias("plain"))
 )
+q("x03_one_paragraph")(lambda spark, d: table(spark, d, "documents").select("doc_id", strings.one_paragraph(F.col("text")).alias("plain")))

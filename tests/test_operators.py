@@ -139,6 +139,16 @@ def test_number_clusters_have_no_edges(spark):
     assert {r["media_id"]: r["leader"] for r in similarity.cluster_numbers(df, "media_id", singles=True).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6}
 
 
+def test_one_paragraph_keeps_every_document(spark):
+    from reelbase.functions import strings
+    from reelbase.registry import QUERIES
+
+    cases = {"“Hello” world …": "'Hello' world ...", " a\n\n\n b\u00a0c ": "a b c", "„x‟": "x", "«'in'»": "in", "''": "", '"': '"', "＇": "", "«x'": "«x'", None: None, "": "", "'" * 3: "'"}
+    df = spark.createDataFrame([(k,) for k in cases], "t string").select("t", strings.one_paragraph(F.col("t")).alias("p"))
+    assert {r["t"]: r["p"] for r in df.collect()} == cases
+    assert QUERIES["x03_one_paragraph"](spark, SF).count() == spark.read.parquet(SF + "/documents.parquet").count()
+
+
 def test_sort_language():
     assert sorting.parse("size desc,-title,reverse_path,_weighted_rerank") == [("size", True), ("title", True), ("path", True)]
     assert sorting.parse("-default")[0] == ("video_count", False) and len(sorting.parse("du")) == 5
