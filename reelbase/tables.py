@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -43,13 +44,19 @@ def table(spark: SparkSession, folder: str, name: str, columns: list[str] | None
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the checkpoint folder all executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``; a folder of our own is set only where
-    that setting is absent (tests and local runs). Reliable checkpoints survive lost executors.
+    The folder is the session's ``spark.checkpoint.dir``. Where that is unset, one is made only if
+    all executors run in this very process; on a cluster a folder of one machine would be lost with
+    it, so a missing setting is an error there.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="reelbase-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not re.fullmatch(r"local(\[[^\[\]]*\])?", sc.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="reelbase-checkpoint-")
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
