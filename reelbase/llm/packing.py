@@ -18,11 +18,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reelbase.llm.tokens import RANKS, encode
-from reelbase.tables import cut, table
+from reelbase.tables import cut, small, table
 
 CAPACITY = 1024
-#: Shares into which documents of one size are numbered, so that a common size is no single task.
-SHARES = 64
+#: Documents of one size are numbered in shares of about so many rows, so that a common size (full
+#: parts of split documents above all) is no single task.
+SHARE_ROWS = 500_000
 
 
 def best_two_fit(counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -91,7 +92,7 @@ def _layout(plan: list[tuple[dict[int, int], int]]) -> dict[int, tuple[np.ndarra
     return {s: tuple(np.array(x, dtype=np.int64) for x in zip(*r)) for s, r in rows.items()}
 
 
-def pack(df: DataFrame, id_: str, size: str, capacity: int = CAPACITY, shares: int = SHARES) -> DataFrame:
+def pack(df: DataFrame, id_: str, size: str, capacity: int = CAPACITY, share_rows: int = SHARE_ROWS) -> DataFrame:
     """A container for every item.
 
     Result: ``id_``, ``part`` (from 1), ``part_start``, ``n_tokens`` and ``container_id`` (from 1).
@@ -105,15 +106,16 @@ def pack(df: DataFrame, id_: str, size: str, capacity: int = CAPACITY, shares: i
     parts = items.select("i", "s", F.explode(F.sequence(F.lit(1).cast("bigint"), n)).alias("part")).select(
         "i", "part", ((F.col("part") - 1) * capacity).alias("at"), F.least(F.lit(capacity).cast("bigint"), F.col("s") - (F.col("part") - 1) * capacity).alias("s")
     )
-    parts = cut(parts.withColumn("share", F.pmod(F.xxhash64("i", "part"), F.lit(shares)).cast("int")))
-    held = cut(parts.groupBy("s", "share").count())
+    parts = cut(parts)
     counts = np.zeros(capacity + 1, dtype=np.int64)
-    for r in held.groupBy("s").agg(F.sum("count").alias("n")).collect():  # at most capacity + 1 rows
+    for r in parts.where("s > 0").groupBy("s").agg(F.count("*").alias("n")).collect():  # at most ``capacity`` rows
         counts[r["s"]] = r["n"]
-    counts[0] = 0
     layout = _layout(best_two_fit(counts, capacity))
+    shares = F.broadcast(df.sparkSession.createDataFrame([(s, -(-int(n) // share_rows)) for s, n in enumerate(counts) if n], "s bigint, shares bigint"))
+    spaced = parts.where("s > 0").join(shares, "s").withColumn("share", F.pmod(F.xxhash64("i", "part"), "shares")).drop("shares")
+    held = cut(spaced.groupBy("s", "share").count())  # one row for about share_rows parts
     before = held.withColumn("before", F.sum("count").over(W.partitionBy("s").orderBy("share")) - F.col("count")).drop("count")
-    numbered = parts.join(F.broadcast(before), ["s", "share"]).select(  # at most capacity * shares rows
+    numbered = spaced.join(small(before, 40), ["s", "share"]).select(
         "i", "part", "at", "s", (F.col("before") + F.row_number().over(W.partitionBy("s", "share").orderBy("i", "part")) - 1).alias("k")
     )
 
@@ -121,15 +123,16 @@ def pack(df: DataFrame, id_: str, size: str, capacity: int = CAPACITY, shares: i
         for pdf in batches:
             c = np.zeros(len(pdf), dtype=np.int64)
             s, k = pdf["s"].to_numpy(), pdf["k"].to_numpy()
-            for one in np.unique(s[s > 0]):
+            for one in np.unique(s):
                 start, copies, base = layout[int(one)]
                 at = np.flatnonzero(s == one)
                 j = np.searchsorted(start, k[at], side="right") - 1
                 c[at] = base[j] + (k[at] - start[j]) // copies[j]
-            yield pd.DataFrame({"i": pdf["i"], "part": pdf["part"], "at": pdf["at"], "s": s, "c": pd.array(c, dtype="Int64").copy() if (s > 0).all() else pd.Series(c).astype("Int64").where(pd.Series(s > 0))})
+            yield pd.DataFrame({"i": pdf["i"], "part": pdf["part"], "at": pdf["at"], "s": s, "c": c})
 
     out = numbered.mapInPandas(place, f"i {kind}, part bigint, at bigint, s bigint, c bigint")
-    return out.toDF(id_, "part", "part_start", "n_tokens", "container_id")
+    spaceless = parts.where("s = 0").select("i", "part", "at", "s", F.lit(None).cast("bigint").alias("c"))
+    return out.unionByName(spaceless).toDF(id_, "part", "part_start", "n_tokens", "container_id")
 
 
 def p9_containers(spark: SparkSession, sf_dir: str, ranks: str = RANKS) -> DataFrame:
@@ -142,4 +145,19 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_containers(spark, sf_dir).where(F.col("part") == 2).select("doc_id")
 
 
-QUERIES = {"p9_found": p9_found, "p9_containers": p9_containers}
+def p9_held(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packing checked: of every document whether its parts hold all its tokens, each once and
+    in as few parts as may be, and whether a container it lies in is overfull."""
+    parts = cut(p9_containers(spark, sf_dir))
+    full = parts.where("container_id is not null").groupBy("container_id").agg(F.sum("n_tokens").alias("held")).where(F.col("held") > CAPACITY).select("container_id", F.lit(True).alias("bad"))
+    counted = encode(table(spark, sf_dir, "documents"), "doc_id", "text", count_only=True)
+    placed = parts.join(full, "container_id", "left").groupBy("doc_id").agg(
+        F.sum("n_tokens").alias("n"), F.count("*").alias("k"), F.count_distinct("part").alias("kinds"), F.coalesce(F.max("bad"), F.lit(False)).alias("overfull"), F.min(F.col("container_id").isNotNull() | (F.col("n_tokens") == 0)).alias("placed")
+    )
+    least = F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / CAPACITY))
+    whole = (F.col("n") == F.col("n_tokens")) & (F.col("k") == least) & (F.col("kinds") == F.col("k")) & F.col("placed")
+    return counted.join(placed, "doc_id", "left").select("doc_id", F.coalesce(whole, F.lit(False)).alias("whole"), F.coalesce("overfull", F.lit(False)).alias("overfull"))
+
+
+QUERIES = {"p9_found": p9_found, "p9_containers": p9_containers, "p9_held": p9_held}
+ORACLE = {"p9_held": "select doc_id, true as whole, false as overfull from documents"}

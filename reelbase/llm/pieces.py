@@ -35,11 +35,13 @@ def _extends(cp: np.ndarray) -> np.ndarray:
     return ((cp >= 0x300) & (cp <= 0x36F)) | ((cp >= 0xFE00) & (cp <= 0xFE0F)) | ((cp >= 0x1F3FB) & (cp <= 0x1F3FF)) | (cp == 0x200D)
 
 
-def boundaries(cp: np.ndarray, overlap: int) -> tuple[np.ndarray, np.ndarray]:
+def boundaries(cp: np.ndarray, limit: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
     """Cut places of one text and their rank: 2 after a sentence, line or paragraph, 1 after a
     word or clause, 0 within a word.
 
-    Places within words are offered only in stretches longer than the overlap without any other.
+    Places within words are offered only in stretches longer than the overlap without any other,
+    places within a character (a letter and its accents, joined signs) only where it is so long
+    that no piece could hold it and the overlap.
     """
     n = len(cp)
     ws = np.isin(cp, _codes(_SPACES))
@@ -70,6 +72,9 @@ def boundaries(cp: np.ndarray, overlap: int) -> tuple[np.ndarray, np.ndarray]:
         hard = np.flatnonzero(np.cumsum(inside)[: n + 1] > 0)
         hard = hard[~_extends(cp[hard]) & (cp[hard - 1] != 0x200D)]
         rank[hard] = 0
+    known = np.flatnonzero(rank >= 0)
+    for k in np.flatnonzero(np.diff(known) > limit - overlap):
+        rank[known[k] + 1 : known[k + 1]] = 0
     pos = np.flatnonzero(rank >= 0)
     return pos, rank[pos]
 
@@ -95,11 +100,7 @@ def successors(pos: np.ndarray, rank: np.ndarray, limit: int, overlap: int) -> t
         j = at[np.searchsorted(pos[at], start + limit, side="right") - 1]
         ok = ~done & (pos[j] > pos) & ((pos[j] - start >= reach) | (pos[j] == pos[-1]))
         nxt[ok], done = j[ok], done | ok
-    nxt = np.where(done, nxt, np.arange(len(pos)))
-    # a stretch of joined characters longer than the limit: go to the next place there is
-    stuck = (nxt == np.arange(len(pos))) & (pos < pos[-1])
-    nxt[stuck] += 1
-    return start, nxt
+    return start, np.where(done, nxt, np.arange(len(pos)))
 
 
 def reached(nxt: np.ndarray, roots: np.ndarray) -> np.ndarray:
@@ -121,7 +122,7 @@ def cut_batch(texts: list[str], limit: int = LIMIT, overlap: int = OVERLAP) -> I
     for k, t in enumerate(texts):
         if not t:
             continue
-        pos, rank = boundaries(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), overlap)
+        pos, rank = boundaries(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), limit, overlap)
         start, nxt = successors(pos, rank, limit, overlap)
         tables.append((np.full(len(pos), k), pos, start, nxt + offset))
         offset += len(pos)
@@ -141,8 +142,11 @@ def split_oversized(df: DataFrame, id_: str, text: str, limit: int = LIMIT, over
     Result: ``id_``, ``piece`` (from 1), ``piece_start``, ``piece_end`` (character offsets),
     ``n_overlap`` (characters shared with the piece before) and ``piece_text``. Pieces are
     at most ``limit`` long and together cover the text. Null, empty and shorter texts give no rows.
-    Repeated rows are cut each on their own. Other columns are ignored.
+    Repeated rows are cut each on their own. Other columns are ignored. The overlap must be less
+    than the limit.
     """
+    if not 0 <= overlap < limit:
+        raise ValueError("the overlap must be less than the limit")
     big = df.select(F.col(id_).alias("i"), F.col(text).alias("x")).where(F.length("x") > limit)
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,13 +122,13 @@ def token_starts(cp: np.ndarray, first: np.ndarray) -> np.ndarray:
 class Bpe:
     """Merges pairs of byte strings by rank; remembers slices."""
 
-    def __init__(self, path: str = RANKS, cache: int = CACHE):
+    def __init__(self, lines: bytes, cache: int = CACHE):
         self.ranks: dict[bytes, int] = {}
-        with open(path, "rb") as lines:
-            for line in lines:
-                if line.strip():
-                    a, b = line.split()
-                    self.ranks[base64.b64decode(a)] = int(b)
+        for line in lines.splitlines():
+            if line.strip():
+                a, b = line.split()
+                self.ranks[base64.b64decode(a)] = int(b)
+        self.names = {v: k for k, v in self.ranks.items()}
         self.known: dict[str, tuple[int, ...]] = {}
         self.cache = cache
 
@@ -170,7 +171,7 @@ class Bpe:
         return tuple(ranks[p] for p in parts if p is not None)
 
     def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
-        """Ids, and for decoding by offsets the tokens' number up to each slice's end, of each text."""
+        """Ids of each text, and the number of ids up to the end of each of its slices."""
         joined = "".join(texts)
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
         ends = np.cumsum(sizes)
@@ -197,14 +198,24 @@ class Bpe:
                 offsets.append(len(ids))
             yield ids, offsets
 
-    def decode(self, ids: list[int]) -> str:
-        names = {v: k for k, v in self.ranks.items()}
-        return b"".join(names[i] for i in ids).decode("utf-8", "surrogatepass")
+    def decode(self, ids: list[int], offsets: list[int]) -> list[str]:
+        """The slices of a text: every one is whole characters, which single ids need not be."""
+        out, a = [], 0
+        for b in offsets:
+            out.append(b"".join([self.names[i] for i in ids[a:b]]).decode("utf-8", "surrogatepass"))
+            a = b
+        return out
 
 
-@functools.cache
-def _bpe(path: str) -> Bpe:
-    return Bpe(path)
+@functools.lru_cache(2)
+def _bpe(lines: bytes) -> Bpe:
+    return Bpe(lines)
+
+
+def _shipped(spark: SparkSession, ranks: str) -> Broadcast:
+    """The rank file as the driver reads it, for all workers: they need no copy of their own."""
+    with open(ranks, "rb") as f:
+        return spark.sparkContext.broadcast(f.read())
 
 
 def batches_of(texts: list[str], chars: int = 1 << 21) -> Iterator[list[str]]:
@@ -221,24 +232,42 @@ def batches_of(texts: list[str], chars: int = 1 << 21) -> Iterator[list[str]]:
         yield run
 
 
-def encode(df: DataFrame, id_: str, text: str, ranks: str = RANKS, count_only: bool = False) -> DataFrame:
+def encode(df: DataFrame, id_: str, text: str, ranks: str = RANKS, count_only: bool = False, offsets: bool = False) -> DataFrame:
     """Token ids of every row's text, without special tokens.
 
-    Result: ``id_`` and ``ids`` (array of int), or ``n_tokens`` (bigint) with ``count_only``.
-    Null and empty texts have an empty list; the strings of special tokens are ordinary text.
-    Repeated rows and ids stay. Other columns are ignored; an empty table gives no rows.
+    Result: ``id_`` and ``ids`` (array of int), or ``n_tokens`` (bigint) with ``count_only``; with
+    ``offsets`` also these (array of int): the number of ids up to the end of each slice of the
+    text, which ``decode`` needs. Null and empty texts have an empty list; the strings of special
+    tokens are ordinary text. Repeated rows and ids stay. Other columns are ignored; an empty
+    table gives no rows.
     """
     kind = dict(df.dtypes)[id_]
+    lines = _shipped(df.sparkSession, ranks)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = _bpe(ranks)
+        bpe = _bpe(lines.value)
         for pdf in batches:
             texts = ["" if t is None else t for t in pdf["x"]]
-            ids = [i for part in batches_of(texts) for i, _ in bpe.encode(part)]
-            yield pd.DataFrame({"i": pdf["i"], "ids": [len(i) for i in ids] if count_only else ids})
+            both = [x for part in batches_of(texts) for x in bpe.encode(part)]
+            out = {"i": pdf["i"], "ids": [len(i) if count_only else i for i, _ in both]}
+            yield pd.DataFrame(out | {"offsets": [o for _, o in both]} if offsets else out)
 
-    out = spread(df.select(F.col(id_).alias("i"), F.col(text).alias("x"))).mapInPandas(run, f"i {kind}, ids {'bigint' if count_only else 'array<int>'}")
-    return out.toDF(id_, "n_tokens" if count_only else "ids")
+    schema = f"i {kind}, ids {'bigint' if count_only else 'array<int>'}" + (", offsets array<int>" if offsets else "")
+    out = spread(df.select(F.col(id_).alias("i"), F.col(text).alias("x"))).mapInPandas(run, schema)
+    return out.toDF(id_, "n_tokens" if count_only else "ids", *(["offsets"] if offsets else []))
+
+
+def decode(df: DataFrame, id_: str, ranks: str = RANKS) -> DataFrame:
+    """``id_`` and ``text`` of rows with ``ids`` and ``offsets``; null or empty ids are an empty text."""
+    kind = dict(df.dtypes)[id_]
+    lines = _shipped(df.sparkSession, ranks)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bpe = _bpe(lines.value)
+        for pdf in batches:
+            yield pd.DataFrame({"i": pdf["i"], "text": ["".join(bpe.decode(i.tolist(), o.tolist())) if i is not None else "" for i, o in zip(pdf["ids"], pdf["offsets"])]})
+
+    return df.select(F.col(id_).alias("i"), "ids", "offsets").mapInPandas(run, f"i {kind}, text string").withColumnRenamed("i", id_)
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,5 +280,10 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_ids(spark, sf_dir).where(F.size("ids") == 0).select("doc_id")
 
 
-QUERIES = {"p8_found": p8_found, "p8_ids": p8_ids}
-ORACLE = {"p8_found": "select doc_id from documents where text is null or text = ''"}
+def p8_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again by its offsets."""
+    return decode(encode(table(spark, sf_dir, "documents"), "doc_id", "text", offsets=True), "doc_id")
+
+
+QUERIES = {"p8_found": p8_found, "p8_ids": p8_ids, "p8_decoded": p8_decoded}
+ORACLE = {"p8_found": "select doc_id from documents where text is null or text = ''", "p8_decoded": "select doc_id, coalesce(text, '') as text from documents"}

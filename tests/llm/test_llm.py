@@ -21,7 +21,7 @@ data = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 # ---- pieces
 def walk(text, limit, overlap):
     """The greedy cuts one after the other."""
-    pos, rank = pieces.boundaries(np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32), overlap)
+    pos, rank = pieces.boundaries(np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32), limit, overlap)
     start, nxt = pieces.successors(pos, rank, limit, overlap)
     out, k = [], 0
     while nxt[k] != k:
@@ -31,7 +31,7 @@ def walk(text, limit, overlap):
 
 
 @settings(deadline=None, max_examples=150)
-@given(st.lists(st.text(alphabet="ab .!\n。、é́", max_size=400), min_size=1, max_size=4), st.integers(20, 60))
+@given(st.lists(st.text(alphabet="ab .!\n。、é́", max_size=400) | st.builds(lambda a, n, b: a + "\u0301\u200d"[n % 2] * n + b, st.text(alphabet="ab .", max_size=90), st.integers(0, 300), st.text(alphabet="ab .", max_size=90)), min_size=1, max_size=4), st.integers(20, 60))
 def test_pieces_equal_the_walk_and_cover_the_text(texts, limit):
     overlap = limit // 10
     got = {}
@@ -56,6 +56,15 @@ def test_pieces_cut_at_sentences_and_overlap_exactly_without_breaks():
     assert cuts == [(0, 2000), (1800, 3800), (3600, 5000)]
 
 
+def test_characters_longer_than_a_piece():
+    for text in ("a" + "\u0301" * 5000, "word " + "a\u200d" * 3005 + " end", "\u0301" * 2001):
+        cuts = [(a, b) for _, _, a, b in pieces.cut_batch([text])]
+        assert all(b - a <= 2000 for a, b in cuts) and cuts[0][0] == 0 and cuts[-1][1] == len(text)
+        assert all(b - 200 <= c <= b < d for (_, b), (c, d) in zip(cuts, cuts[1:]))
+    with pytest.raises(ValueError):
+        pieces.split_oversized(None, "id", "text", 100, 100)
+
+
 def test_pieces_table(spark):
     df = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (3, "short", "c"), (4, "word " * 900, "d"), (4, "word " * 900, "d")], "id long, text string, piece string")
     rows = pieces.split_oversized(df, "id", "text").collect()
@@ -143,11 +152,13 @@ def test_tokens_equal_the_public_library():
     rng = random.Random(1)
     parts = ["'", "s", "'re", "ll", " ", "  ", "\n", "\t", "a", "Z9", "２", "!", "é", "日本", "\xa0", "　", "́", "''", "'ve", "—", "\x1c", "\x85", "🎬", "½", "<|endoftext|>", "can't", "word"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(0, 16))) for _ in range(20_000)] + ["ab" * 3000 + "c", "é" * 4000, ""]
-    bpe = tokens.Bpe()
+    bpe = tokens.Bpe(open(tokens.RANKS, "rb").read())
     mine = [ids for run in tokens.batches_of(texts) for ids, _ in bpe.encode(run)]
     assert mine == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
     ids, offsets = next(bpe.encode(["Hello there, it's me\n"]))
-    assert bpe.decode(ids) == "Hello there, it's me\n" and offsets[-1] == len(ids)
+    assert bpe.decode(ids, offsets) == ["Hello", " there", ",", " it", "'s", " me", "\n"] and offsets[-1] == len(ids)
+    for run in tokens.batches_of(texts):
+        assert ["".join(bpe.decode(*both)) for both in bpe.encode(run)] == run
 
 
 @needs_ranks
@@ -156,6 +167,8 @@ def test_tokens_of_null_and_empty(spark):
     rows = tokens.encode(df, "doc_id", "ids").collect()
     assert sorted((r["doc_id"], len(r["ids"])) for r in rows) == [(1, 0), (2, 0), (3, 2), (3, 2)]
     assert tokens.encode(df.limit(0), "doc_id", "ids").count() == 0
+    back = tokens.decode(tokens.encode(df, "doc_id", "ids", offsets=True), "doc_id").collect()
+    assert sorted(map(tuple, back)) == [(1, ""), (2, ""), (3, "a b"), (3, "a b")]
 
 
 def test_scan_is_composition():
@@ -188,7 +201,7 @@ def test_pack_table(spark):
     rng = random.Random(2)
     rows = [(i, rng.choice([None, 0, rng.randrange(1, 100), 64, 250])) for i in range(3000)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "id long, n long, part string")
-    out = packing.pack(df, "id", "n", 100, 4).collect()
+    out = packing.pack(df, "id", "n", 100, 40).collect()
     held = {}
     for r in out:
         if r["container_id"] is not None:
@@ -197,7 +210,7 @@ def test_pack_table(spark):
     total = sum(n or 0 for _, n in rows)
     assert sum(r["n_tokens"] for r in out) == total and len(held) <= 1.02 * total / 100 + 5 + sum(1 for _, n in rows if n and 50 < n <= 100) * 0.3
     assert len([r for r in out if r["id"] == next(i for i, n in rows if n == 250)]) == 3
-    assert packing.pack(df.limit(0), "id", "n", 100, 4).count() == 0
+    assert packing.pack(df.limit(0), "id", "n", 100, 40).count() == 0
 
 
 # ---- wrong encodings
