@@ -109,14 +109,19 @@ def brute_runs(rows):
     for e, t, x, i in rows:
         if t is not None and t == t:
             events[e, t, x] = min(i, events.get((e, t, x), i))
-    out, last = [], (None, None)
+    out, last, began, value = [], (None, None), None, None
     for (e, t, x), i in sorted(events.items(), key=lambda r: (str(r[0][0]), r[0][1], r[1])):
         w = canon(x)
-        if w is not None:
-            if last[0] == e and last[1] is not None and near(last[1], w):
+        if w is None:
+            value = None
+        else:
+            if not (last[0] == e and last[1] is not None and near(last[1], w)):
+                began = "".join(w)
+            if last[0] == e and value == began:
                 out[-1][1] += 1
             else:
                 out.append([i, 1])
+            value = began
         last = (e, w)
     return sorted(map(tuple, out))
 
@@ -127,12 +132,24 @@ def test_runs_equal_brute_force(spark):
     rows = [(rng.choice(["a", "b", None]), rng.choice([None, float("nan"), *[rng.randrange(0, 400) / 2 for _ in range(30)]]), rng.choice(texts), i) for i in range(1500)]
     rows += rows[:40]
     df = spark.createDataFrame([(*r, "x") for r in rows], "e string, t double, x string, i long, n string")
-    for block in (7.0, 60.0, 900.0):
-        got = sorted((r["first_id"], r["n_events"]) for r in runs.collapse(df, "e", "t", "x", "i", block).collect())
+    for parts in (None, 1, 3, 40):  # however the sorted table is cut
+        got = sorted((r["first_id"], r["n_events"]) for r in runs.collapse(df, "e", "t", "x", "i", parts).collect())
         assert got == brute_runs(rows)
+    hot = [("a", 1.0, rng.choice(texts[:3] + texts[9:]), i) for i in range(600)]  # one entity, one time
+    df = spark.createDataFrame(hot, "e string, t double, x string, i long")
+    assert sorted((r["first_id"], r["n_events"]) for r in runs.collapse(df, "e", "t", "x", "i", 50).collect()) == brute_runs(hot)
     assert runs.collapse(df.limit(0), "e", "t", "x", "i").count() == 0
 
 
+def test_a_run_goes_on_with_the_text_it_began_with(spark):
+    # the last of the four is two slips away from the one before it, but the same as the first
+    texts = ["We found the lantern", "We found the lantrn", "We found hte lantrn", "We found the lantern!", "another line"]
+    df = spark.createDataFrame([("a", float(k), x, k) for k, x in enumerate(texts)], "e string, t double, x string, i long")
+    assert runs.near("we found the lantrn", "we found hte lantrn") and not runs.near("we found hte lantrn", "we found the lantern")
+    for parts in (1, 2, 5):
+        assert sorted((r["first_id"], r["n_events"]) for r in runs.collapse(df, "e", "t", "x", "i", parts).collect()) == [(0, 4), (4, 1)]
+
+
 def test_run_durations(spark):
     df = spark.createDataFrame([("a", 1.0, "hi there", 1), ("a", 4.5, "Hi there!", 2), ("a", 5.0, "other", 3)], "e string, t double, x string, i long")
     got = {r["first_id"]: (r["n_events"], r["duration"]) for r in runs.collapse(df, "e", "t", "x", "i").collect()}
