@@ -1,10 +1,14 @@
 """Problem 7: one surviving record for each group of rows with the same content.
 
-Fields that depend on each other are chosen as whole bundles: the naming (title, artist, the row
-itself), the file's times, the play state, and the language. A branch-and-bound search over the
-bundles of a group maximises trust under the functional dependency title -> language. What can
-never win (same language as, but less trusted than another) is dropped by the aggregation
-already, so that a group's candidates are few however many rows it has.
+The row a record rests on is the most trusted one; its title is the record's. Around it, fields that
+depend on each other are chosen as whole bundles: the naming (title and artist), the album with its
+artist, the language, the file (size and duration). A branch-and-bound search over the bundles of a
+group finds those that hold the most trust together while the dependencies hold: a title has the
+artist and the language it was seen with, an album has one artist.
+
+Bundles are counted and ranked before any group is put together, so what a group brings to the
+search is bounded however many rows it has; where the bound on what was left out does not prove the
+record the best, the group is searched again with more.
 """
 
 from __future__ import annotations
@@ -13,17 +17,21 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from reelbase.llm.mojibake import found_values
-from reelbase.tables import table
+from reelbase.llm.languages import label
+from reelbase.llm.mojibake import found_values, values
+from reelbase.tables import cut, table
 
+#: Bundles of one kind that a group brings to its first search.
+MOST_TRUSTED = 24
 #: When the data was taken; later times are not believed.
 TAKEN = 1735689600
 
 # Titles that stand in for one.
 STAND_INS = (
-    r"(?i)^\W*$|^\W*(untitled|title|no[ _-]?title|unknown|unnamed|none|null|n/?a|tbd|todo|default|new (file|folder|recording|project|video|document)|recording|track|audio|video|image|photo|movie|clip|file|scan|document"
+    r"(?iU)^\W*$|^\W*(untitled|title|no[ _-]?title|unknown|unnamed|none|null|n/?a|tbd|todo|default|new (file|folder|recording|project|video|document)|recording|track|audio|video|image|photo|movie|clip|file|scan|document"
     r"|chapter|part|img|vid|dsc|dscn|mvi|mov|pxl|gopr|screenshot|capture|voice|memo)\W*([ _-]*(\d+|v\d+))*\W*$|^(IMG|VID|DSC|DSCN|DSCF|MVI|MOV|PXL|GOPR|GH|SAM|P|WA|AUD|REC)[_-]?\d[\d_-]*$"
 )
 CUT_OFF = r"(\.{2,}|…|\[\s*(\.{2,}|…)\s*\]|\(\s*(\.{2,}|…)\s*\))\s*$"
@@ -40,69 +48,135 @@ def plain_title(title: Column) -> Column:
     return F.coalesce((F.trim(title) != "") & ~F.trim(title).rlike(STAND_INS) & ~title.rlike(CUT_OFF), F.lit(False))
 
 
-def choose(naming: list[tuple], support: dict[str, int]) -> tuple[tuple, str | None]:
-    """The most trusted naming and language that agree, by branch and bound.
+def agree(naming: dict, other: dict, others: list[dict]) -> bool:
+    """Whether a bundle keeps the dependencies beside a naming."""
+    if other["kind"] == "language":  # title -> language, where the title was seen with any
+        return other["own"] or not any(c["own"] for c in others)
+    if other["kind"] == "album":  # album -> artist
+        return naming["b"] is None or other["b"] is None or naming["b"] == other["b"]
+    return True
 
-    ``naming``: (trust, language or None, payload); ``support``: rows by language. Naming counts
-    before language. A branch is cut when even the best supported language could not lift it
-    above the best found.
+
+def _best_first(bundles: list[dict]) -> list[dict]:
+    return sorted(bundles, key=lambda c: (-c["trust"], c["a"] or "", c["b"] or ""))
+
+
+def search(naming: list[dict], others: list[list[dict]]) -> tuple[int, dict | None, list[dict | None]]:
+    """The most trust that a naming and at most one bundle of each other kind hold together while
+    they agree, and these bundles.
+
+    Namings are tried by their trust. A naming is not branched on if even the most trusted bundles,
+    agreeing or not, could not lift it above the best record found; nor is what is left of a branch.
     """
-    ceiling = max(support.values(), default=0)
-    best, chosen = None, (None, None)
-    for trust, language, payload in sorted(naming, key=lambda c: c[0], reverse=True):
-        if best is not None and (trust, ceiling) <= best:
+    others = [_best_first(o) for o in others]
+    ceiling = [sum(o[0]["trust"] for o in others[k:] if o) for k in range(len(others) + 1)]
+    best, record = -1, (None, [None] * len(others))
+
+    def branch(k: int, name: dict, trust: int, chosen: list[dict | None]) -> None:
+        nonlocal best, record
+        if trust + ceiling[k] <= best:
+            return
+        if k == len(others):
+            best, record = trust, (name, chosen)
+            return
+        for c in others[k]:
+            if trust + c["trust"] + ceiling[k + 1] <= best:
+                break
+            if agree(name, c, others[k]):
+                branch(k + 1, name, trust + c["trust"], [*chosen, c])
+        branch(k + 1, name, trust, [*chosen, None])
+
+    for name in _best_first(naming):
+        if name["trust"] + ceiling[0] <= best:
             break  # the bound: no later naming can win
-        allowed = [language] if language is not None else sorted(support) or [None]
-        for one in allowed:  # the dependency: a title with a language fixes it
-            value = (trust, support.get(one, 0))
-            if best is None or value > best:
-                best, chosen = value, (payload, one)
-    return chosen
+        branch(0, name, name["trust"], [])
+    return best, *record
 
 
-def survivors(df: DataFrame, garbled: DataFrame, taken: int = TAKEN) -> DataFrame:
-    """One record for each digest with at least two rows.
+_KINDS = ("naming", "language", "album", "file")
+_RECORD = "sha256 string, media_id bigint, title string, artist string, album string, language string, size bigint, duration bigint, play_count bigint, time_modified bigint, n_rows bigint, proven boolean"
 
-    ``df``: media rows; ``garbled``: ``row_id`` of those whose title is garbled. Result:
-    ``sha256``, ``media_id`` (the row it rests on), ``title``, ``play_count`` (the highest),
-    ``time_modified`` (the latest believable), ``language`` and ``n_rows``. The row is, among those with
-    a usable title (all if there is none), the one with the latest believable ``time_modified``,
-    then the highest ``play_count`` (null is 0), then the smallest id. Digests that are null,
-    blank or placeholders form no group; repeated rows count each.
-    """
-    rows = df.select(
-        digest(F.col("sha256")).alias("d"), F.col("media_id").cast("bigint").alias("id"), "title", F.coalesce("play_count", F.lit(0)).alias("plays"),
-        F.when((F.col("time_modified") > 0) & (F.col("time_modified") < taken), F.col("time_modified")).alias("seen"),
-        F.when(F.col("language").rlike(r"^\s*\p{L}{2}"), F.lower(F.substring(F.trim("language"), 1, 2))).alias("language"),
-    ).where("d is not null")
-    bad = garbled.select(F.col("row_id").alias("id"), F.lit(True).alias("garbled")).distinct()
-    rows = rows.join(bad, "id", "left").withColumn("usable", plain_title(F.col("title")) & F.col("garbled").isNull())
-    trust = F.struct(F.col("usable").cast("int").alias("u"), F.coalesce("seen", F.lit(-1)).alias("m"), F.col("plays").alias("p"), (-F.col("id")).alias("i"))
-    by_language = rows.groupBy("d", "language").agg(
-        F.max(F.struct(trust.alias("trust"), F.col("title").alias("title"), F.col("id").alias("id"))).alias("naming"), F.max("seen").alias("seen"), F.max("plays").alias("plays"), F.count("*").alias("n")
-    )
-    groups = by_language.groupBy("d").agg(F.collect_list(F.struct("language", "naming", "n")).alias("c"), F.max("seen").alias("seen"), F.max("plays").alias("plays"), F.sum("n").alias("n")).where("n >= 2")
 
+def _records(groups: DataFrame, most: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for d, c, seen, plays, n in pdf.itertuples(index=False, name=None):
-                naming = [((t["u"], t["m"], t["p"], t["i"]), x["language"], (x["naming"]["id"], x["naming"]["title"])) for x in c for t in [x["naming"]["trust"]]]
-                (id_, title), language = choose(naming, {x["language"]: x["n"] for x in c if x["language"] is not None})
-                out.append((d, id_, title, plays, seen, language, n))
-            yield pd.DataFrame(out, columns=["sha256", "media_id", "title", "play_count", "time_modified", "language", "n_rows"]).astype({"time_modified": "Int64"})
+            for g in pdf.to_dict("records"):
+                by: dict[str, list[dict]] = {k: [] for k in _KINDS}
+                for c in g["bundles"] if g["bundles"] is not None else ():
+                    by[c["kind"]].append(c)
+                kept = {k: _best_first(v)[:most] for k, v in by.items()}
+                best, name, (language, album, file) = search(kept["naming"], [kept[k] for k in _KINDS[1:]])
+                # no record with a bundle that was left out can hold more trust than this
+                top = {k: v[0]["trust"] if v else 0 for k, v in kept.items()}
+                left = [_best_first(v)[most]["trust"] + sum(top.values()) - top[k] for k, v in by.items() if len(v) > most]
+                out.append((
+                    g["d"], g["id"], g["title"], name and name["b"], album and album["a"], language and language["b"], file and file["a"], file and file["b"], g["plays"], g["seen"], g["n"], all(x <= best for x in left),
+                ))
+            names = [c.split()[0] for c in _RECORD.split(", ")]
+            yield pd.DataFrame(out, columns=names).astype({c: "Int64" for c in ("time_modified", "size", "duration")})
+
+    return groups.mapInPandas(run, _RECORD)
+
+
+def survivors(df: DataFrame, garbled: DataFrame, taken: int = TAKEN, most: int = MOST_TRUSTED) -> DataFrame:
+    """One record for each digest with at least two rows.
 
-    return groups.mapInPandas(run, "sha256 string, media_id bigint, title string, play_count bigint, time_modified bigint, language string, n_rows bigint")
+    ``df``: media rows; ``garbled``: ``row_id`` and ``field_name`` of those whose title or artist is
+    garbled. Result: ``sha256``, ``media_id`` (the row it rests on), ``title`` (of that row),
+    ``artist``, ``album``, ``language``, ``size``, ``duration`` (of the bundles with the most trust,
+    that is rows times filled fields), ``play_count`` (the highest), ``time_modified`` (the latest
+    believable) and ``n_rows``. The row is, among those with a usable title (all if there is none),
+    the one with the latest believable ``time_modified``, then the highest ``play_count`` (null is
+    0), then the smallest id. Digests that are null, blank or placeholders form no group; repeated
+    rows count each. Missing bundles are null. ``most`` bounds what one search sees, never the result.
+    """
+    filled = lambda c: F.when(F.trim(c) != "", F.trim(c))
+    wrong = garbled.groupBy(F.col("row_id").alias("id")).agg(F.max(F.col("field_name") == "title").alias("bad_title"), F.max(F.col("field_name") == "artist").alias("bad_artist"))
+    have = lambda c, kind: F.col(c) if c in df.columns else F.lit(None).cast(kind)
+    rows = df.select(
+        digest(F.col("sha256")).alias("d"), F.col("media_id").cast("bigint").alias("id"), "title", F.coalesce("play_count", F.lit(0)).alias("plays"), label(have("language", "string")).alias("language"),
+        F.when((F.col("time_modified") > 0) & (F.col("time_modified") < taken), F.col("time_modified")).alias("seen"), filled(have("artist", "string")).alias("artist"), filled(have("album", "string")).alias("album"),
+        have("size", "bigint").alias("size"), have("duration", "bigint").alias("duration"),
+    ).where("d is not null").join(wrong, "id", "left")
+    usable = plain_title(F.col("title")) & ~F.coalesce("bad_title", F.lit(False))
+    rows = rows.withColumn("artist", F.when(~F.coalesce("bad_artist", F.lit(False)), F.col("artist")))
+    trust = F.struct(usable.cast("int").alias("u"), F.coalesce("seen", F.lit(-1)).alias("m"), F.col("plays").alias("p"), (-F.col("id")).alias("i"))
+    heads = cut(
+        rows.groupBy("d").agg(F.max(F.struct(trust.alias("trust"), F.col("title").alias("title"))).alias("root"), F.max("seen").alias("seen"), F.max("plays").alias("plays"), F.count("*").alias("n"))
+        .where("n >= 2").select("d", (-F.col("root.trust.i")).alias("id"), "root.title", "seen", "plays", "n")
+    )
+    own = F.lower(F.trim("title")).eqNullSafe(F.lower(F.trim("rooted")))
+    bundle = lambda kind, a, b, own_=F.lit(False), when=F.lit(True): F.when(when, F.struct(F.lit(kind).alias("kind"), a.cast("string").alias("a"), b.cast("string").alias("b"), own_.alias("own")))
+    text, none = F.lit(None).cast("string"), F.col
+    each = F.array_compact(F.array(
+        bundle("naming", F.when(own, F.lower(F.trim("title"))), none("artist"), when=own), bundle("language", text, none("language"), own, none("language").isNotNull()),
+        bundle("album", none("album"), none("artist"), when=none("album").isNotNull()), bundle("file", none("size"), none("duration"), when=F.coalesce("size", "duration").isNotNull()),
+    ))
+    counted = rows.join(heads.select("d", F.col("title").alias("rooted")), "d").select("d", F.explode(each).alias("c")).groupBy("d", "c").agg(F.count("*").alias("n"))
+    filled_n = F.col("c.a").isNotNull().cast("int") + F.col("c.b").isNotNull().cast("int")
+    counted = cut(counted.select("d", "c.*", (F.col("n") * F.when(F.col("c.kind") == "language", 1).otherwise(filled_n)).alias("trust")))
+    done, most_now, todo = [], most, heads
+    while True:
+        first = W.partitionBy("d", "kind").orderBy(F.desc("trust"), F.col("a").asc_nulls_first(), F.col("b").asc_nulls_first())
+        these = counted if todo is heads else counted.join(todo.select("d"), "d", "left_semi")
+        kept = these.withColumn("k", F.row_number().over(first)).where(F.col("k") <= most_now + 1).groupBy("d").agg(F.collect_list(F.struct("kind", "a", "b", "own", "trust")).alias("bundles"))
+        found = cut(_records(todo.join(kept, "d", "left"), most_now))
+        done.append(found.where("proven"))
+        open_ = found.where("not proven").select(F.col("sha256").alias("d"))
+        if open_.isEmpty():
+            break
+        todo, most_now = heads.join(open_, "d", "left_semi"), most_now * 16
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out.drop("proven")
 
 
 def p7_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The record of every group of media rows with the same content."""
-    media = table(spark, sf_dir, "media")
-    names = None
-    for f in ("title", "artist"):  # the artists' words help to tell garbled titles
-        part = media.select(F.lit("media").alias("table_name"), F.lit(f).alias("field_name"), F.col("media_id").alias("row_id"), F.col(f).alias("x")).where(F.col("x").rlike(r"[^\x00-\x7F]"))
-        names = part if names is None else names.unionByName(part)
-    return survivors(media, found_values(names).where("field_name = 'title'").select("row_id"))
+    garbled = found_values(values(spark, sf_dir)).where("table_name = 'media'").select("row_id", "field_name")
+    return survivors(table(spark, sf_dir, "media"), cut(garbled))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

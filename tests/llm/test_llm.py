@@ -303,7 +303,7 @@ def test_confusions():
 # ---- survivors
 def test_survivors_equal_brute_force(spark):
     rng = random.Random(3)
-    titles = [None, "", "Untitled", "IMG_0551", "The Lantern", "The Lan…", "track 12", "Old Mill", "Thé bad"]
+    titles = [None, "", "Untitled", "IMG_0551", "The Lantern", "The Lan…", "track 12", "Старый фонарь", "Thé bad", "—"]
     shas = [None, "n/a", "0" * 64, "A" * 64, *["%064x" % rng.getrandbits(255) for _ in range(6)]]
     rows = []
     for i in range(1, 400):
@@ -312,19 +312,61 @@ def test_survivors_equal_brute_force(spark):
         rows.append((i, s, rng.choice(titles), rng.choice([None, 0, -1, 1500000000, 1600000000, 4102444800]), rng.choice([None, 0, 3, 9]), rng.choice([None, "en", "de"]), "x"))
     df = spark.createDataFrame(rows, "media_id long, sha256 string, title string, time_modified long, play_count long, language string, n string")
     bad = [r[0] for r in rows if r[2] == "Thé bad"]
-    garbled = spark.createDataFrame([(b,) for b in bad], "row_id long")
+    garbled = spark.createDataFrame([(b, "title") for b in bad], "row_id long, field_name string")
     got = {r["sha256"]: r["media_id"] for r in survivors.survivors(df, garbled).collect()}
     groups = {}
     for i, s, t, m, p, *_ in rows:
         d = s and re.sub("^sha256:", "", s.strip().lower())
         if d and re.fullmatch("[0-9a-f]{64}", d) and len(set(d)) > 1:
-            usable = t in ("The Lantern", "Old Mill")
+            usable = t in ("The Lantern", "Старый фонарь")
             groups.setdefault(d, []).append((usable, m if m and 0 < m < survivors.TAKEN else -1, p or 0, -i))
     want = {d: -max(g)[3] for d, g in groups.items() if len(g) > 1}
     assert got == want and want
     assert survivors.survivors(df.limit(0), garbled).count() == 0
 
 
+def brute_record(naming, others):
+    """The most trust of all choices of bundles that agree."""
+    import itertools
+
+    best = -1
+    for name in naming:
+        for chosen in itertools.product(*[[None, *o] for o in others]):
+            if all(c is None or survivors.agree(name, c, o) for c, o in zip(chosen, others)):
+                best = max(best, name["trust"] + sum(c["trust"] for c in chosen if c is not None))
+    return best
+
+
+def test_the_search_finds_what_the_greedy_choice_misses():
+    rng = random.Random(4)
+    bundle = lambda kind, own=False: {"kind": kind, "a": rng.choice("uvwxyz"), "b": rng.choice([None, "A", "B", "C"]), "own": own and rng.random() < 0.5, "trust": rng.randrange(1, 12)}
+    greedy_lost = 0
+    for _ in range(400):
+        naming = [bundle("naming") for _ in range(rng.randrange(1, 6))]
+        others = [[bundle(kind, kind == "language") for _ in range(rng.randrange(0, 6))] for kind in ("language", "album", "file")]
+        best, name, chosen = survivors.search(naming, others)
+        assert best == brute_record(naming, others) == name["trust"] + sum(c["trust"] for c in chosen if c is not None)
+        assert all(c is None or survivors.agree(name, c, o) for c, o in zip(chosen, others))
+        top = max(naming, key=lambda c: c["trust"])
+        greedy_lost += top["trust"] + sum(max((c["trust"] for c in o if survivors.agree(top, c, o)), default=0) for o in others) < best
+    assert greedy_lost > 20
+
+
+def test_the_record_keeps_the_dependencies(spark):
+    d = "%064x" % 255
+    rows = [(k, d, "Old Mill", a, al, la, 1600000000 + k) for k, (a, al, la) in enumerate([("A", None, "en"), ("A", None, "eng"), ("A", None, None), ("B", "Songs", "English"), ("B", "Songs", "xx")])]
+    rows += [(10 + k, d, "Untitled", "C", None, "de", 1700000000) for k in range(4)]
+    df = spark.createDataFrame(rows, "media_id long, sha256 string, title string, artist string, album string, language string, time_modified long").selectExpr("*", "1 as play_count")
+    none = spark.createDataFrame([], "row_id long, field_name string")
+    for most in (1, 2, 24):  # however few bundles the first search sees
+        (r,) = survivors.survivors(df, none, most=most).collect()
+        # A names more rows than B, but only B may stand beside the album; German is of other titles
+        assert (r["media_id"], r["title"], r["artist"], r["album"], r["language"], r["n_rows"]) == (4, "Old Mill", "B", "Songs", "en", 9)
+    garbled = spark.createDataFrame([(k, "artist") for k in (3, 4)], "row_id long, field_name string")
+    (r,) = survivors.survivors(df, garbled).collect()
+    assert (r["artist"], r["album"]) == ("A", "Songs")
+
+
 # ---- languages and reading levels
 TEXT = {
     "en": ["The old lantern was found behind the mill.", "Nobody knew why she waited near the harbour.", "We should look for the green door again.", "Please hand me the key and close the window."],
