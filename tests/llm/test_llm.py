@@ -251,6 +251,38 @@ def test_garbled_values_are_found_and_restored(spark):
     assert mojibake.found_values(df.limit(0)).count() == 0
 
 
+def test_restoring_leaves_clean_text_alone(spark):
+    long_word = "Donaudampfschifffahrtselektrizitätenhauptbetriebswerkbauunterbeamtengesellschaft"
+    clean = ["théâtre à la CORAÇÃO", f"das {long_word} über", "déjà-vu", "Été"]
+    rows = [("captions", "text", k, t) for k, t in enumerate(clean * 4)]
+    garble = lambda t: t.encode().decode("cp1252")
+    bad = {
+        100: (f"{garble('théâtre')}  {garble('à')} la\tCORAÇÃO, ({garble('théâtre')})", "théâtre  à la\tCORAÇÃO, (théâtre)"), 101: (long_word.encode("cp1252").decode("cp1251"), long_word), 102: (garble("déjà-vu").replace("\xa0", " "), "déjà -vu"),
+    }
+    df = spark.createDataFrame(rows + [("media", "title", i, t) for i, (t, _) in bad.items()], "table_name string, field_name string, row_id long, x string")
+    got = {r["row_id"]: r["restored"] for r in mojibake.garbled_values(df).collect()}
+    assert got == {i: t for i, (_, t) in bad.items()}
+
+
+@data
+def test_planted_values_are_restored_exactly(spark):
+    rng = random.Random(1)
+    vals = mojibake.values(spark, SF.replace("0.001", "0.01"))
+    clean = vals.join(mojibake.found_values(vals), ["table_name", "field_name", "row_id"], "left_anti").orderBy("table_name", "field_name", "row_id").collect()
+    chains = [lambda s, e=e: mojibake._read(s.encode(), e) for e in mojibake.UTF8_AS[:6]]
+    rows, truth = [], {}
+    for k, r in enumerate(rng.sample(clean, 400), 10**9):
+        chain, tokens = rng.choice(chains), r["x"].split(" ")
+        some = [j for j, t in enumerate(tokens) if not t.isascii()]
+        some = set(some if rng.random() < 0.5 else rng.sample(some, -(-len(some) // 2)))
+        bad = " ".join(chain(t) if j in some else t for j, t in enumerate(tokens))
+        if bad != r["x"]:
+            truth[k] = r["x"]
+            rows.append(("captions", "text", k, bad))
+    got = {r["row_id"]: r["restored"] for r in mojibake.garbled_values(vals.unionByName(spark.createDataFrame(rows, vals.schema))).where("row_id >= 1000000000").collect()}
+    assert len(got) >= 0.99 * len(truth) and sum(got.get(k) == t for k, t in truth.items()) >= 0.98 * len(truth)
+
+
 # ---- scanned pages
 PAGE = "THE OLD MILL\n\n{}\n{}"
 BODY = "Nobody knew why the crew had hidden the wooden ladder near the harbour.\nThat is what the others said when the lights went out, word for word.\n"
