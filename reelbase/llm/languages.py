@@ -12,7 +12,7 @@ contradicted by a model fitted without them are left out.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,8 +30,9 @@ LANGUAGES = {
 }
 CODES = tuple(LANGUAGES)
 
-#: The labelled sample: at most so many sentences a language, from at most so many rows read.
-SENTENCES_PER_LANGUAGE, SAMPLE_ROWS = 400, 30_000
+#: The labelled sample: at most so many sentences a language, from at most about so many rows, none
+#: of them longer than so many characters.
+SENTENCES_PER_LANGUAGE, SAMPLE_ROWS, SAMPLE_CHARS = 400, 30_000, 20_000
 LANDMARKS_PER_LANGUAGE, RIDGE = 40, 0.1
 #: Below this score or this lead over the next language a sentence has no language.
 LEAST_SCORE, LEAST_LEAD = 0.35, 0.25
@@ -150,13 +151,41 @@ class StringKernel:
         return self._sums(texts, self.weights)
 
 
+class Remembered:
+    """Rows of numbers by text, at most ``most`` of them; full, it forgets all."""
+
+    def __init__(self, width: int, most: int = 200_000):
+        self.at: dict[str, int] = {}
+        self.rows = np.zeros((1024, width), dtype=np.float32)
+        self.most = most
+
+    def missing(self, texts: Iterable[str]) -> list[str]:
+        """Those of the texts that are to be added, each once, before any is looked up."""
+        every = dict.fromkeys(texts)
+        new = [t for t in every if t not in self.at]
+        if new and len(self.at) + len(new) > self.most:
+            self.at.clear()
+            new = list(every)
+        return new
+
+    def add(self, texts: list[str], rows: np.ndarray) -> None:
+        n, k = len(self.at), len(texts)
+        if n + k > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros((max(k, len(self.rows)), self.rows.shape[1]), dtype=np.float32)])
+        self.rows[n : n + k] = rows
+        self.at.update(zip(texts, range(n, n + k)))
+
+    def of(self, texts: list[str]) -> np.ndarray:
+        return self.rows[[self.at[t] for t in texts]]
+
+
 class Languages:
     """The languages of sentences, remembered."""
 
     def __init__(self, model: StringKernel | None, codes: list[str], remember: int = 200_000):
         self.model, self.codes, self.remember = model, codes, remember
         self.known: dict[str, tuple[str | None, float]] = {}
-        self.vectors: dict[str, np.ndarray] = {}
+        self.vectors = Remembered(len(codes), remember)
 
     def look_up(self, new: set[str]) -> None:
         """Scores sentences that are not known yet."""
@@ -178,24 +207,34 @@ class Languages:
                 run.append(r)
                 size += len(r)
 
-    def main(self, texts: list[str]) -> list[str | None]:
-        """The language of most of each text: its sentences' scores summed by their length."""
+    def main(self, texts: list[list[str]]) -> list[str | None]:
+        """The language of most of each text, given its sentences: their scores summed by their length."""
+        if self.model is None:
+            return [None] * len(texts)
         out: list[str | None] = []
-        vectors = self.vectors
-        for text in texts:
-            raws = [r for _, _, r in sentences(text)]
-            new = [r for r in dict.fromkeys(raws) if r not in vectors]
-            if new and self.model is not None:
-                if len(vectors) > self.remember:
-                    vectors.clear()
-                    new = [*dict.fromkeys(raws)]
-                bares = [letters(r) for r in new]
-                # a sentence's scores count by its length, the shortest for nothing
-                vectors.update((r, v * len(b) * (len(b) >= 4)) for r, b, v in zip(new, bares, self.model.scores(bares)))
-            total = sum(vectors[r] for r in raws) if raws and self.model is not None else 0
-            out.append(self.codes[int(np.argmax(total))] if np.max(total) > 0 else None)
+        for i in range(0, len(texts), 2048):
+            raws = texts[i : i + 2048]
+            self._score(self.vectors.missing(r for one in raws for r in one))
+            n = np.array([len(one) for one in raws])
+            total = np.zeros((len(raws), len(self.codes)))
+            if n.any():
+                total[n > 0] = np.add.reduceat(self.vectors.of([r for one in raws for r in one]), np.cumsum(n[n > 0]) - n[n > 0])
+            out += [self.codes[c] if most > 0 else None for c, most in zip(total.argmax(1), total.max(1))]
         return out
 
+    def _score(self, new: list[str], chars: int = 200_000) -> None:
+        """Sentences' scores times their length, the shortest for nothing; some at a time."""
+        run: list[str] = []
+        size = 0
+        for k, r in enumerate(new, 1):
+            run.append(r)
+            size += len(r)
+            if size > chars or k == len(new):
+                bares = [letters(x) for x in run]
+                n = np.array([len(b) if len(b) >= 4 else 0 for b in bares])
+                self.vectors.add(run, self.model.scores(bares) * n[:, None])
+                run, size = [], 0
+
     def of(self, texts: list[str]) -> list[list[tuple[int, int, str, float]]]:
         """(start, end, language, confidence) of the full sentences of each text."""
         known = self.known
@@ -218,14 +257,14 @@ def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS, per_language: int = SENTEN
 
     Each language gives at most ``rows`` / 10 texts, taken by a hash of the text.
     """
-    labelled = labelled.where("lang is not null and x is not null")
+    labelled = labelled.where(F.col("lang").isNotNull() & (F.length("x") <= SAMPLE_CHARS))
     counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # one row a language
     share = rows // len(CODES)
     rank = F.pmod(F.xxhash64("x", "key"), F.lit(1_000_000)) / 1_000_000.0
     keep = F.lit(False)
     for code, n in counts.items():
         keep = F.when(F.col("lang") == code, rank < min(1.0, share / n)).otherwise(keep)
-    sample = labelled.where(keep).select("lang", "x", "key").limit(2 * rows).collect()
+    sample = labelled.where(keep).select("lang", "x", "key").orderBy(F.xxhash64("x", "key"), "key").limit(2 * rows).collect()
     sample.sort(key=lambda r: (r["lang"], r["key"]))
     codes = sorted(counts)
     texts: list[str] = []
@@ -307,7 +346,7 @@ def _labelled(media: DataFrame, captions: DataFrame, paths: int = 150) -> DataFr
     keep = F.lit(False)
     for code, n in counts.items():
         keep = F.when(F.col("label") == code, rank < min(1.0, paths / n)).otherwise(keep)
-    chosen = known.where(keep).groupBy("path").agg(F.min("label").alias("lang"), F.max("label").alias("other")).where("lang = other").limit(4 * paths * len(CODES))
+    chosen = known.where(keep).groupBy("path").agg(F.min("label").alias("lang"), F.max("label").alias("other")).where("lang = other").orderBy(F.xxhash64("path"), "path").limit(4 * paths * len(CODES))
     return cut(captions.join(F.broadcast(chosen), captions["media_path"] == chosen["path"]).select("lang", F.col("text").alias("x"), F.col("caption_id").alias("key")).where("x is not null"))
 
 

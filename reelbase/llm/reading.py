@@ -17,13 +17,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelbase.llm.languages import Languages, StringKernel, fit, label
+from reelbase.llm.languages import Languages, Remembered, StringKernel, fit, label
 from reelbase.tables import spread, table
 
 LEVELS = ("basic", "general", "advanced")
 LEAST_WORDS = 40
-#: The labelled sample, and the sentences of it that a fit sees.
-SAMPLE_DOCUMENTS, SAMPLE_SENTENCES = 2000, 6_000
+#: The labelled sample (none of its documents longer than so many characters), and the sentences of
+#: it that a fit sees.
+SAMPLE_DOCUMENTS, SAMPLE_CHARS, SAMPLE_SENTENCES = 2000, 50_000, 6_000
 BUCKETS, L2, ROUNDS = 1 << 15, 3e-4, 50
 
 _CODES = re.compile(r"<[^<>]*>|\{\\[^{}]*\}|&\w+;|\d\d:\d\d(:\d\d)?([.,]\d+)?|https?://\S+|-->")
@@ -94,50 +95,64 @@ class SentenceModel:
         self.words = np.zeros((2 * BUCKETS, k), dtype=np.float32)
         self.words[used] = w
         self.lengths, self.bias = u, b
-        self.known: dict[str, np.ndarray] = {}
-        self.told: dict[str, tuple[int, np.ndarray | None]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        #: of words: what they add to each level; of sentences: number of words and distribution
+        self.known, self.told = Remembered(len(LEVELS)), Remembered(1 + len(LEVELS))
 
     def __getstate__(self):
-        return self.__dict__ | {"known": {}, "told": {}}
-
-    def summary(self, raws: list[str]) -> np.ndarray | None:
-        """The summary of a document's sentences, which are remembered; None if none has words."""
-        told = self.told
-        new = [r for r in dict.fromkeys(raws) if r not in told]
-        if new:
-            if len(told) > 200_000:
-                told.clear()
-                new = [*dict.fromkeys(raws)]
-            words = [_words(r) for r in new]
-            p = iter(self.predict([w for w in words if w])) if any(words) else iter(())
-            told.update((r, (len(w), next(p) if w else None)) for r, w in zip(new, words))
-        found = [told[r] for r in raws if told[r][0]]
-        return _distribution(np.array([n for n, _ in found], dtype=np.float64), np.array([p for _, p in found])) if found else None
+        return {k: v for k, v in self.__dict__.items() if k not in ("known", "told")}
+
+    def __setstate__(self, state: dict):
+        self.__dict__.update(state)
+        self._forget()
+
+    def summaries(self, raws: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the documents (their sentences as they stand) have words, and the summaries of those."""
+        new = self.told.missing(r for one in raws for r in one)
+        for i in range(0, len(new), 20_000):
+            words = [_words(r) for r in new[i : i + 20_000]]
+            rows = np.zeros((len(words), 1 + len(LEVELS)), dtype=np.float32)
+            rows[:, 0] = [len(w) for w in words]
+            if rows[:, 0].any():
+                rows[rows[:, 0] > 0, 1:] = self.predict([w for w in words if w])
+            self.told.add(new[i : i + 20_000], rows)
+        held = self.told.of([r for one in raws for r in one])
+        owner = np.repeat(np.arange(len(raws)), [len(one) for one in raws])
+        worded = held[:, 0] > 0
+        docs, held = owner[worded], held[worded].astype(np.float64)
+        has = np.bincount(docs, minlength=len(raws)) > 0
+        return has, _summaries(np.cumsum(has)[docs] - 1, held[:, 0], held[:, 1:]) if len(docs) else np.zeros((0, 3 * len(LEVELS)))
 
     def predict(self, sents: list[list[str]]) -> np.ndarray:
-        known, words = self.known, self.words
-        if len(known) > 200_000:
-            known.clear()
-        out = np.empty((len(sents), len(LEVELS)), dtype=np.float32)
-        for k, s in enumerate(sents):
-            z = 0
-            for w in s:
-                v = known.get(w)
-                if v is None:
-                    a, grams = _features(w)
-                    v = known[w] = words[a] + words[[BUCKETS + g for g in grams]].mean(0)
-                z = z + v
-            out[k] = z / len(s)
-        return _softmax(out + np.array([_lengths(s) for s in sents], dtype=np.float32) @ self.lengths + self.bias)
+        """The distribution over the levels of each sentence (its words; at least one)."""
+        flat = [w for s in sents for w in s]
+        new = self.known.missing(flat)
+        for i in range(0, len(new), 20_000):
+            feats = [_features(w) for w in new[i : i + 20_000]]
+            n = np.array([len(grams) for _, grams in feats])
+            grams = np.add.reduceat(self.words[np.array([BUCKETS + g for _, gs in feats for g in gs])], np.cumsum(n) - n)
+            self.known.add(new[i : i + 20_000], self.words[[a for a, _ in feats]] + grams / n[:, None])
+        n = np.array([len(s) for s in sents])
+        z = np.add.reduceat(self.known.of(flat), np.cumsum(n) - n) / n[:, None]
+        sizes = np.array([len(w) for w in flat])
+        first = np.cumsum(n) - n
+        lengths = np.stack([np.log1p(n) - 2.4, np.add.reduceat(sizes, first) / n / 4 - 1.2, np.add.reduceat((sizes > 9).astype(np.int64), first) / n], 1)
+        return _softmax(z + lengths.astype(np.float32) @ self.lengths + self.bias)
 
 
-def _summary(sents: list[list[str]], p: np.ndarray) -> np.ndarray:
-    """A document by its sentences: mean distribution, the same by words, and the share of each level."""
-    return _distribution(np.array([len(s) for s in sents], dtype=np.float64), p)
+def _summaries(doc: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Documents by their sentences (document's number, words, distribution; in order): the mean
+    distribution, the same by words, and the share of each level."""
+    k, first = p.shape[1], np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+    total = np.add.reduceat(n, first)[:, None]
+    share = np.bincount(doc * k + p.argmax(1), n, minlength=(doc[-1] + 1) * k).reshape(-1, k)
+    return np.concatenate([np.add.reduceat(p, first) / np.bincount(doc)[:, None], np.add.reduceat(p * n[:, None], first) / total, share / total], 1)
 
 
-def _distribution(n: np.ndarray, p: np.ndarray) -> np.ndarray:
-    return np.concatenate([p.mean(0), (p * n[:, None]).sum(0) / n.sum(), np.bincount(p.argmax(1), n, minlength=len(LEVELS)) / n.sum()])
+def _summary(sents: list[list[str]], p: np.ndarray) -> np.ndarray:
+    return _summaries(np.zeros(len(sents), dtype=np.int64), np.array([len(s) for s in sents], dtype=np.float64), p)[0]
 
 
 class Calibration:
@@ -209,14 +224,18 @@ def reading_levels(df: DataFrame, id_: str, text: str, models: tuple[SentenceMod
         known = Languages(kernel, codes)
         for pdf in batches:
             texts = ["" if t is None else t for t in pdf["x"]]
-            rows = []
-            for i, t, lang in zip(pdf["i"], texts, known.main([_CODES.sub(" ", t) for t in texts])):
-                english = lang == "en"
-                x = models[0].summary(_END.split(_CODES.sub(" ", t))) if models else None
-                p = models[1].predict(x[None])[0] if x is not None else [None] * 3
-                level = LEVELS[int(np.argmax(p))] if x is not None else None
-                rows.append((i, len(t.split()), english, level, *p, p[1] + 2 * p[2] if x is not None else None))
-            yield pd.DataFrame(rows, columns=["i", "n_words", "is_english", "reading_level", "p_basic", "p_general", "p_advanced", "difficulty"])
+            sents = [_END.split(_CODES.sub(" ", t)) for t in texts]
+            p = np.full((len(texts), len(LEVELS)), np.nan)
+            if models and texts:
+                has, x = models[0].summaries(sents)
+                p[has] = models[1].predict(x)
+            told = ~np.isnan(p[:, 0])
+            level = np.where(told, np.array(LEVELS, dtype=object)[np.argmax(np.nan_to_num(p), 1)], None)
+            none = lambda v: pd.array(v, dtype="Float64").copy() if told.all() else pd.Series(v).astype("Float64")
+            yield pd.DataFrame({
+                "i": pdf["i"], "n_words": [len(t.split()) for t in texts], "is_english": [lang == "en" for lang in known.main(sents)], "reading_level": level,
+                "p_basic": none(p[:, 0]), "p_general": none(p[:, 1]), "p_advanced": none(p[:, 2]), "difficulty": none(p[:, 1] + 2 * p[:, 2]),
+            })
 
     out = spread(df.select(F.col(id_).alias("i"), F.col(text).alias("x"))).mapInPandas(run, f"i {kind}, n_words bigint, is_english boolean, reading_level string, p_basic double, p_general double, p_advanced double, difficulty double")
     return out.withColumnRenamed("i", id_)
@@ -227,7 +246,7 @@ def p10_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents", ["doc_id", "text", "lang"])
     rated = table(spark, sf_dir, "reading_labels", ["doc_id", "reading_level"]).where("reading_level is not null")
     sample = F.broadcast(rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCUMENTS))
-    rows = sorted(documents.join(sample, "doc_id").where("text is not null").select("doc_id", "text", "reading_level").collect())  # bounded by SAMPLE_DOCUMENTS
+    rows = sorted(documents.join(sample, "doc_id").where(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text", "reading_level").collect())  # bounded by the two
     kernel, codes = fit(documents.select(label(F.col("lang")).alias("lang"), F.col("text").alias("x"), F.col("doc_id").alias("key")), rows=5000)
     return reading_levels(documents, "doc_id", "text", train([r["text"] for r in rows], [r["reading_level"] for r in rows]), kernel, codes)
 
