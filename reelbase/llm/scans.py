@@ -11,6 +11,7 @@ the words beside it support that form. SQL windows then reflow the lines into pa
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -32,6 +33,9 @@ CONFUSED = (
     ("8", "b"), ("d", "cl"), ("e", "c"), ("t", "f"), ("6", "b"), ("2", "z"), ("o", "0"), ("u", "ii"), ("w", "vv"), ("f", "e"), ("3", "e"), ("$", "s"), ("4", "a"),
 )
 _NOT_WORD = "[\\s.,;:?¿¡“”„\"()\\[\\]…—–«»/<>。、*#=+~]+"
+_SPLIT = re.compile(_NOT_WORD)
+#: Distinct tokens a worker counts before it hands the counts on.
+COUNTED = 300_000
 _ROMAN = re.compile(r"[ivxlc]{1,7}")
 _NUMBER = re.compile(r"(?:(?P<deco>-|–|—|\[|\(|·|p\.?|pag(?:e|ina|\.)?|página|seite|s\.|стр\.?|str\.?|blz\.?|№)\s*)?(?P<n>\d{1,4}|[0-9OolI|SB]{1,4}|[ivxlc]{1,7})(?:\s*(?P<end>-|–|—|\]|\)|·)|\s*(?P<of>/|of|von|de)\s*\d{1,4})?", re.I)
 _SENTENCE = re.compile(r"[.!?…:;,。！？][\"'”’»)]*$")
@@ -149,12 +153,12 @@ def parse_page(text: str) -> dict:
     cuts = [(m[1], m[2][-1], m[3]) for m in re.finditer(r"([^\W\d_][\w@|]*)([-‐‑\xad¬])[ \t]*\r?\n\s*([\w@|]+)", text) if m[2]]
     joined = re.sub(r"(\w)[\xad¬][ \t]*\r?\n\s*(?=\w)", r"\1", text)
     joined = re.sub(r"(\w)[-‐‑][ \t]*\r?\n[ \t]*(?=[^\W\d_])", lambda m: m[1] + "\x00", joined)
-    words = [w for w in (x.replace("\x00", "").strip("'’‘-") for x in re.split(_NOT_WORD, joined)) if w]
+    words = " ".join([w for w in (x.replace("\x00", "").strip("'’‘-") for x in _SPLIT.split(joined)) if w])
     return {"edges": edges, "cuts": cuts, "words": words}
 
 
 _EDGES = "array<struct<line:int,mask:string,n:bigint,marked:boolean,alone:boolean,clear:boolean,top:boolean,step:int,solid:int>>"
-_PARSED = f"i bigint, p string, t double, edges {_EDGES}, cuts array<struct<a:string,mark:string,b:string>>, words array<string>"
+_PARSED = f"i bigint, p string, t double, edges {_EDGES}, cuts array<struct<a:string,mark:string,b:string>>, words string"
 
 
 def pages(df: DataFrame, id_: str, path: str, time: str, text: str) -> DataFrame:
@@ -210,12 +214,31 @@ def edge_noise(read: DataFrame) -> DataFrame:
     return kept.where("header or pagenum").select("i", "line", "header", "pagenum", "alone", "pages")
 
 
+def token_counts(texts: DataFrame, pattern: re.Pattern) -> DataFrame:
+    """``w``, ``n``: the tokens of all texts (column x) between what the pattern splits at.
+
+    Workers count before anything is shuffled, so that a token leaves a worker a few times however
+    often it occurs.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n: Counter[str] = Counter()
+        for pdf in batches:
+            for x in pdf["x"]:
+                n.update(pattern.split(x))
+            if len(n) > COUNTED:
+                yield pd.DataFrame(list(n.items()), columns=["w", "n"])
+                n.clear()
+        yield pd.DataFrame(list(n.items()), columns=["w", "n"])
+
+    counted = texts.where("x is not null").select("x").mapInPandas(run, "w string, n bigint")
+    return counted.where("w <> ''").groupBy("w").agg(F.sum("n").alias("n"))
+
+
 def vocabulary(texts: DataFrame) -> DataFrame:
     """Lower-case words of all texts (column x) with their counts and skeletons."""
-    # counted as they stand first: what is cleaned then is each distinct token, not each occurrence
-    raw = texts.where("x is not null").select(F.explode(F.split("x", _NOT_WORD)).alias("w")).where("w <> ''").groupBy("w").agg(F.count("*").alias("n"))
-    w = raw.select(F.lower(F.regexp_replace("w", "^['’‘-]+|['’‘-]+$", "")).alias("w"), "n").where("w <> ''")
-    return w.groupBy("w").agg(F.sum("n").alias("n")).where(F.length("w") < 60).withColumn("s", skeleton(F.col("w")))
+    w = token_counts(texts, _SPLIT).select(F.lower(F.regexp_replace("w", "^['’‘-]+|['’‘-]+$", "")).alias("w"), "n").where("w <> ''")
+    return w.groupBy("w").agg(F.sum("n").alias("n")).withColumn("s", skeleton(F.col("w")))
 
 
 def misread_words(read: DataFrame, words: DataFrame) -> DataFrame:
@@ -224,37 +247,39 @@ def misread_words(read: DataFrame, words: DataFrame) -> DataFrame:
     A form is tried against every frequent form of its skeleton. Of those it may be a misreading
     of, the one the words beside it support most is the printed one, one a page for each form.
     """
-    w = read.select("i", F.posexplode("words").alias("k", "raw")).select("i", "k", F.col("raw"), F.lower("raw").alias("w"))
-    by_page = W.partitionBy("i").orderBy("k")
-    seen = cut(w.withColumn("before", F.lag("w").over(by_page)).withColumn("after", F.lead("w").over(by_page)).where(F.length("raw") < 60))
     frequent = words.where("n >= 2").select("s", F.col("w").alias("f"), F.col("n").alias("fn"))
     # capital I and small l differ in print only: compare as read, not in lower case
     # F and E differ by a stroke in capitals only: each capital F is tried as an E
     as_e = F.array(F.col("raw"), F.replace("raw", F.lit("F"), F.lit("E")), F.regexp_replace("raw", "(?<=.)F", "E"), F.regexp_replace("raw", "^F", "E"))
-    forms = seen.groupBy("raw").agg(F.first("w").alias("w"), F.count("*").alias("here")).withColumn("s", F.explode(F.array_distinct(F.transform(as_e, skeleton))))
+    forms = token_counts(read.select(F.col("words").alias("x")), re.compile(" ")).select(F.col("w").alias("raw"), F.lower("w").alias("w"))
     code = F.col("raw").rlike(r"^S\d+F\d+$")  # season and episode
     odd = code | F.col("raw").rlike(r"(?=.*\p{L})(?=.*[0-9@|$!])") | F.col("raw").rlike(r"\p{Ll}I|^I[bcdfghjklmpqrvwxyz]*[aeiou]\p{Ll}")
     own = words.select(F.col("w"), F.col("n").alias("wn"))
-    known = forms.join(own, "w", "left").withColumn("wn", F.coalesce("wn", F.lit(1))).where(F.length("raw") > 1)
-    tried = known.join(frequent, "s").where((F.col("f") != F.col("w")) & (F.col("f").rlike("^[^0-9@|$!]+$") | code))
-    tried = tried.where((F.col("fn") >= RARER * F.col("wn")) | (odd & (F.struct("fn", "f") > F.struct("wn", "w")))).dropDuplicates(["raw", "f"])
+    known = forms.where(F.length("raw") > 1).join(own, "w", "left").withColumn("wn", F.coalesce("wn", F.lit(1))).withColumn("odd", odd)
+    tried = known.withColumn("s", F.explode(F.array_distinct(F.transform(as_e, skeleton)))).join(frequent, "s").where((F.col("f") != F.col("w")) & (F.col("f").rlike("^[^0-9@|$!]+$") | code))
+    tried = tried.where((F.col("fn") >= RARER * F.col("wn")) | (F.col("odd") & (F.struct("fn", "f") > F.struct("wn", "w"))))
 
     @F.pandas_udf("boolean")
     def ok(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([explains(x.lower(), y) or explains(re.sub("I(?=[^A-Z]|$)", "l", x).lower(), y) for x, y in zip(a, b)], dtype="bool")
 
     odd_number = F.col("raw").rlike(r"^[sSeE]?\d+[eExX]?\d*(st|nd|rd|th|s|x|p|k|fps|mm|am|pm)?$")
-    pairs = cut(tried.where(ok("raw", "f") & ~odd_number).select("raw", "f", odd.alias("odd"), "fn"))
-    near = seen.join(small(pairs, 100), "raw")
-    side = seen.select("before", "w", "after")
-    left = side.where("before is not null").groupBy("before", "w").agg(F.count("*").alias("l"))
-    right = side.where("after is not null").groupBy("after", "w").agg(F.count("*").alias("r"))
-    need = small(cut(near.select("f").distinct()), 50)
-    left, right = (x.join(need, F.col("w") == F.col("f"), "left_semi") for x in (left, right))
-    held = (
-        near.join(left.select("before", F.col("w").alias("f"), "l"), ["before", "f"], "left")
-        .join(right.select("after", F.col("w").alias("f"), "r"), ["after", "f"], "left")
-    )
+    pairs = cut(tried.where(~odd_number).select("raw", "f", "odd", "fn").distinct().where(ok("raw", "f")))
+    # neighbours are read from the page itself; only rows with a word in question leave it
+    at = read.select("i", F.split("words", " ").alias("ws")).select("i", "ws", F.posexplode("ws").alias("k", "raw"))
+    beside = lambda k: F.lower(F.get("ws", k))
+    side = at.select("i", "raw", F.when(F.col("k") > 0, beside(F.col("k") - 1)).alias("before"), beside(F.col("k") + 1).alias("after"))
+    near = cut(side.join(small(pairs.select("raw").distinct(), 50), "raw").join(small(pairs, 100), "raw"))
+    # how often these neighbours stand beside the printed forms, on all pages
+    need = small(cut(pairs.select(F.col("f").alias("w")).distinct()), 50)
+    others = side.select("before", F.lower("raw").alias("w"), "after").join(need, "w", "left_semi")
+    pair = F.explode(F.array(F.struct(F.lit("l").alias("side"), F.col("before").alias("x"), "w"), F.struct(F.lit("r").alias("side"), F.col("after").alias("x"), "w")))
+    wanted = near.select(F.explode(F.array(F.struct(F.lit("l").alias("side"), F.col("before").alias("x"), F.col("f").alias("w")), F.struct(F.lit("r").alias("side"), F.col("after").alias("x"), F.col("f").alias("w")))).alias("c")).select("c.*").where("x is not null").distinct()
+    wanted = small(cut(wanted), 100)
+    support = others.select(pair.alias("c")).select("c.*").join(wanted, ["side", "x", "w"], "left_semi").groupBy("side", "x", "w").agg(F.count("*").alias("c"))
+    support = cut(support)
+    of = lambda side, x, name: small(support.where(F.col("side") == side).select(F.col("x").alias(x), F.col("w").alias("f"), F.col("c").alias(name)), 100)
+    held = near.join(of("l", "before", "l"), ["before", "f"], "left").join(of("r", "after", "r"), ["after", "f"], "left")
     l, r = F.coalesce("l", F.lit(0)), F.coalesce("r", F.lit(0))
     fits = held.where(F.col("odd") | (l >= 2) | (r >= 2)).groupBy("i", "raw", "f", "fn").agg(F.sum(l + r).alias("support"))
     return fits.groupBy("i", F.col("raw").alias("read_as")).agg(F.max_by("f", F.struct("support", "fn", "f")).alias("printed"))
