@@ -10,6 +10,7 @@ the words beside it support that form. SQL windows then reflow the lines into pa
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -36,26 +37,32 @@ _NOT_WORD = "[\\s.,;:?¿¡“”„\"()\\[\\]…—–«»/<>。、*#=+~]+"
 _SPLIT = re.compile(_NOT_WORD)
 #: Distinct tokens a worker counts before it hands the counts on.
 COUNTED = 300_000
-_ROMAN = re.compile(r"[ivxlc]{1,7}")
-_NUMBER = re.compile(r"(?:(?P<deco>-|–|—|\[|\(|·|p\.?|pag(?:e|ina|\.)?|página|seite|s\.|стр\.?|str\.?|blz\.?|№)\s*)?(?P<n>\d{1,4}|[0-9OolI|SB]{1,4}|[ivxlc]{1,7})(?:\s*(?P<end>-|–|—|\]|\)|·)|\s*(?P<of>/|of|von|de)\s*\d{1,4})?", re.I)
+_ROMAN = re.compile(r"[ivxlc]+")
+_NUMBER = re.compile(r"(?:(?P<deco>-|–|—|\[|\(|·|p\.?|pag(?:e|ina|\.)?|página|seite|s\.|стр\.?|str\.?|blz\.?|№)\s*)?(?P<n>\d+|[0-9OolI|SB]+|[ivxlc]+)(?:\s*(?P<end>-|–|—|\]|\)|·)|\s*(?P<of>/|of|von|de)\s*\d+)?", re.I)
 _SENTENCE = re.compile(r"[.!?…:;,。！？][\"'”’»)]*$")
 _ENDS = tuple(".!?…:;,。！？”»\"')")
 
 
+_AS_DIGITS, _BARS, _LIKE = (str.maketrans(*x) for x in (("OolI|SB", "0011158"), ("I|!", "lll"), ("1@05924$836", "laosgzasbeb")))
+_PARTS, _MASKED = re.compile(r"\t+|\s{2,}|\s+[|·•]\s+"), re.compile(r"\W*\d+([./:-]\d+)*\W*")
+_CUT, _SOFT, _HARD = re.compile(r"([-‐‑\xad¬])[ \t]*\r?\n\s*([\w@|]+)"), re.compile(r"(?<=\w)[\xad¬][ \t]*\r?\n\s*(?=\w)"), re.compile(r"(?<=\w)[-‐‑][ \t]*\r?\n[ \t]*(?=[^\W\d_])")
+_WORD_END = re.compile(r"[^\W\d_][\w@|]*$")
+
+
 def _roman(s: str) -> int | None:
     value = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}
     n = 0
     for a, b in zip(s, s[1:] + " "):
         n += -value[a] if value.get(b, 0) > value[a] else value[a]
     ones = ("", "i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix")
-    tens = ("", "x", "xx", "xxx", "xl", "l", "lx", "lxx", "lxxx", "xc", "c")
-    return n if 0 < n < 110 and tens[n // 10] + ones[n % 10] == s else None
+    tens = ("", "x", "xx", "xxx", "xl", "l", "lx", "lxx", "lxxx", "xc")
+    return n if 0 < n < 400 and "c" * (n // 100) + tens[n // 10 % 10] + ones[n % 10] == s else None
 
 
 def page_number(s: str) -> tuple[int, bool] | None:
     """The number a text is the page number of, and whether it is marked as one."""
-    m = _NUMBER.fullmatch(s.strip())
-    if not m:
+    m = _NUMBER.fullmatch(s.strip()) if len(s.split(None, 4)) <= 4 else None  # it has four parts at most
+    if not m or len(m["n"]) > 18:  # no number of a page, and none that a column holds
         return None
     n = m["n"]
     if n.isdigit():
@@ -63,14 +70,15 @@ def page_number(s: str) -> tuple[int, bool] | None:
     elif _ROMAN.fullmatch(n.lower()) and (n.islower() or n.isupper()) and _roman(n.lower()) and (len(n) > 1 or not m["deco"]):
         value = _roman(n.lower())
     elif any(c.isdigit() for c in n):
-        value = int(n.translate(str.maketrans("OolI|SB", "0011158"[:7])))
+        value = int(n.translate(_AS_DIGITS))
     else:
         return None
     return value, bool(m["deco"] or m["end"] or m["of"])
 
 
+@functools.lru_cache(100_000)
 def _skeleton_py(s: str) -> str:
-    s = s.translate(str.maketrans("I|!", "lll")).lower().translate(str.maketrans("1@05924$836", "laosgzasbeb"))
+    s = s.translate(_BARS).lower().translate(_LIKE)
     for a, b in _STROKES:
         s = s.replace(a, b)
     return s
@@ -90,7 +98,7 @@ def skeleton(word: Column) -> Column:
 
 def _mask(line: str) -> str:
     """A line as it compares with other pages' lines: numbers masked, glyphs as strokes, F as E."""
-    return " ".join("#" if re.fullmatch(r"\W*\d+([./:-]\d+)*\W*", t) else _skeleton_py(t.replace("F", "E")) for t in line.split())
+    return " ".join(["#" if _MASKED.fullmatch(t) else _skeleton_py(t.replace("F", "E")) for t in line.split()])
 
 
 def explains(read: str, printed: str) -> bool:
@@ -112,24 +120,30 @@ def explains(read: str, printed: str) -> bool:
     return False
 
 
-def parse_page(text: str) -> dict:
-    """What stands at a page's edges, its words cut at line ends, and its words."""
-    lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
+def edge_lines(lines: list[str], most: int) -> list[tuple]:
+    """What may be a header or a page number at a page's two edges: the lines from the edge inwards
+    up to the first that is neither, at most ``most`` titles and one line more.
+
+    (line, mask or None, number or None, marked, alone, clear, top, step, solid lines from here on,
+    whether there are more such lines).
+    """
     solid = [k for k, x in enumerate(lines) if x.strip()]
     width = max((len(lines[k].strip()) for k in solid), default=0)
-    # line, header's mask or None, number or None, marked, alone, clear, top, step, solid lines from here on
-    edges: list[tuple] = []
+    out: list[tuple] = []
     for top in (True, False):
-        titles = 0
-        for step in range(min(3, len(solid) - 1)):
+        titles, side, more = 0, [], False
+        for step in range(len(solid) - 1):
             k = solid[step] if top else solid[-1 - step]
             place = (top, step, len(solid) - step)
             line = lines[k].strip()
+            more = step > most
+            if more:
+                break
             number = page_number(line)
             if number:
-                edges.append((k, None, *number, True, True, *place))
+                side.append((k, None, *number, True, True, *place))
                 continue
-            parts = [p.strip() for p in re.split(r"\t+|\s{2,}|\s+[|·•]\s+", line) if p.strip()]
+            parts = [p.strip() for p in _PARTS.split(line) if p.strip()]
             number = None
             if len(parts) > 1:
                 for at in (0, -1):
@@ -138,7 +152,10 @@ def parse_page(text: str) -> dict:
                         parts.pop(at)
                         break
             head = " ".join(parts)
-            if titles == 2 or not any(c.isalpha() for c in head):
+            if not any(c.isalpha() for c in head):
+                break
+            more = titles == most
+            if more:
                 break
             titles += 1
             if top:
@@ -149,15 +166,26 @@ def parse_page(text: str) -> dict:
                 before = solid[-2 - step]
                 broken = before < k - 1 or lines[before].strip().endswith(_ENDS)
             # a second title line counts by recurrence only
-            edges.append((k, _mask(head), *(number or (None, False)), False, titles == 1 and broken and not _SENTENCE.search(head), *place))
-    cuts = [(m[1], m[2][-1], m[3]) for m in re.finditer(r"([^\W\d_][\w@|]*)([-‐‑\xad¬])[ \t]*\r?\n\s*([\w@|]+)", text) if m[2]]
-    joined = re.sub(r"(\w)[\xad¬][ \t]*\r?\n\s*(?=\w)", r"\1", text)
-    joined = re.sub(r"(\w)[-‐‑][ \t]*\r?\n[ \t]*(?=[^\W\d_])", lambda m: m[1] + "\x00", joined)
-    words = " ".join([w for w in (x.replace("\x00", "").strip("'’‘-") for x in _SPLIT.split(joined)) if w])
-    return {"edges": edges, "cuts": cuts, "words": words}
+            side.append((k, _mask(head), *(number or (None, False)), False, titles == 1 and broken and not _SENTENCE.search(head), *place))
+        out += [(*x, more) for x in side]
+    return out
 
 
-_EDGES = "array<struct<line:int,mask:string,n:bigint,marked:boolean,alone:boolean,clear:boolean,top:boolean,step:int,solid:int>>"
+def parse_page(text: str, most: int = 2) -> dict:
+    """What stands at a page's edges, its words cut at line ends, and its words."""
+    lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
+    cuts, joined = [], text
+    if len(lines) > 1:
+        for m in _CUT.finditer(text):
+            first = _WORD_END.search(text, text.rfind("\n", 0, m.start()) + 1, m.start())
+            if first:
+                cuts.append((first[0], m[1], m[2]))
+        joined = _HARD.sub("", _SOFT.sub("", text))
+    words = " ".join([w for w in (x.strip("'’‘-") for x in _SPLIT.split(joined)) if w])
+    return {"edges": edge_lines(lines, most), "cuts": cuts, "words": words}
+
+
+_EDGES = "array<struct<line:int,mask:string,n:bigint,marked:boolean,alone:boolean,clear:boolean,top:boolean,step:int,solid:int,more:boolean>>"
 _PARSED = f"i bigint, p string, t double, edges {_EDGES}, cuts array<struct<a:string,mark:string,b:string>>, words string"
 
 
@@ -181,21 +209,47 @@ def parsed(pages_: DataFrame) -> DataFrame:
     return pages_.mapInPandas(run, _PARSED)
 
 
-def edge_noise(read: DataFrame) -> DataFrame:
-    """i, line, header, pagenum, alone: the edge lines that are a header, a page number or both."""
+def _with_edges(pages_: DataFrame, most: int) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            edges = [edge_lines(x.replace("\r\n", "\n").replace("\r", "\n").split("\n"), most) for x in pdf["x"]]
+            yield pd.DataFrame({"i": pdf["i"], "p": pdf["p"], "t": pdf["t"], "edges": edges})
+
+    return pages_.select("i", "p", "t", "x").mapInPandas(run, f"i bigint, p string, t double, edges {_EDGES}")
+
+
+def edge_noise(read: DataFrame, pages_: DataFrame, most: int = 2) -> DataFrame:
+    """i, line, header, pagenum, alone, pages: the edge lines that are a header, a page number or both.
+
+    Where all lines read at an edge are noise and there may be more, the page is read again further
+    in, until that is so nowhere; ``most`` is how many titles an edge is read for at first.
+    """
     e = read.select("i", "p", "t", F.explode("edges").alias("e")).select("i", "p", "t", "e.*")
+    while True:
+        found = cut(_edge_noise(e, read.select("p", "t")))
+        deeper = found.groupBy("i", "top").agg(F.count("*").alias("n"), F.max("more").alias("more"), F.max("read").alias("read")).where("more and n = read").select("i").distinct()
+        deeper = cut(deeper)
+        if deeper.isEmpty():
+            return found.where("header or pagenum").select("i", "line", "header", "pagenum", "alone", "pages")
+        most *= 4
+        again = _with_edges(pages_.join(deeper, "i", "left_semi"), most).select("i", "p", "t", F.explode("edges").alias("e")).select("i", "p", "t", "e.*")
+        e = cut(e.join(deeper, "i", "left_anti").unionByName(again))
+
+
+def _edge_noise(e: DataFrame, read: DataFrame) -> DataFrame:
     total = read.groupBy("p").agg(F.count_distinct("t").alias("total"))
     masks = e.where("mask is not null").groupBy("p", "top", "mask").agg(F.count_distinct("t").alias("pages"), F.max("clear").alias("title"))
     offsets = e.where("n is not null").groupBy("p", (F.col("n") - F.floor("t")).alias("off")).agg(F.count_distinct("t").alias("same_off"))
     values = e.where("n is not null").groupBy("p", "n").agg(F.count_distinct("t").alias("same_n"))
     best = offsets.groupBy("p").agg(F.max("same_off").alias("best"))
+    # by paper; a paper with a large share of all pages is split by the adaptive skew join
+    papers = total.join(best, "p", "left")
     all_ = (
         e.withColumn("off", F.col("n") - F.floor("t"))
         .join(masks, ["p", "top", "mask"], "left")
         .join(offsets, ["p", "off"], "left")
         .join(values, ["p", "n"], "left")
-        .join(best, "p", "left")
-        .join(total, "p", "left")
+        .join(papers, "p", "left")
     )
     number = F.col("n").isNotNull() & (
         F.col("marked") | (F.col("same_off") >= 2) | (F.col("alone") & F.col("t").isNull()) | ((F.col("same_n") < 2) & (F.coalesce("best", F.lit(0)) < 2)) | (F.col("alone") & (F.coalesce("best", F.lit(0)) < 2))
@@ -204,14 +258,13 @@ def edge_noise(read: DataFrame) -> DataFrame:
     sentence = F.col("mask").rlike(_SENTENCE.pattern) & (F.size(F.split("mask", " ")) > 4)
     often = (F.col("pages") >= 3) & (4 * F.col("pages") >= F.col("total")) & ~sentence
     header = F.col("mask").isNotNull() & (often | ((F.col("pages") >= 2) & F.col("title")) | F.col("clear"))
-    all_ = all_.select("i", "line", F.coalesce(header, F.lit(False)).alias("header"), F.coalesce(number, F.lit(False)).alias("pagenum"), "alone", F.coalesce("pages", F.lit(0)).alias("pages"), "top", "step", "solid")
+    all_ = all_.select("i", "line", F.coalesce(header, F.lit(False)).alias("header"), F.coalesce(number, F.lit(False)).alias("pagenum"), "alone", F.coalesce("pages", F.lit(0)).alias("pages"), "top", "step", "solid", "more")
     # a line is at the edge if all lines beyond it are noise; one line of a page stays
     beyond = W.partitionBy("i", "top").orderBy("step").rowsBetween(W.unboundedPreceding, -1)
     noise = F.col("header") | F.col("pagenum") | F.col("alone")
-    outer = all_.withColumn("outer", F.coalesce(F.every(noise).over(beyond), F.lit(True)) & (F.count("*").over(beyond) == F.col("step"))).where("outer and (header or pagenum or alone)")
+    outer = all_.withColumn("outer", F.coalesce(F.every(noise).over(beyond), F.lit(True)) & (F.count("*").over(beyond) == F.col("step"))).withColumn("read", F.count("*").over(W.partitionBy("i", "top"))).where("outer and (header or pagenum or alone)")
     taken = F.count_if("top").over(W.partitionBy("i"))
-    kept = outer.withColumn("taken", taken).where("top or solid - taken >= 2")
-    return kept.where("header or pagenum").select("i", "line", "header", "pagenum", "alone", "pages")
+    return outer.withColumn("taken", taken).where("top or solid - taken >= 2").drop("outer", "step", "solid", "taken")
 
 
 def token_counts(texts: DataFrame, pattern: re.Pattern) -> DataFrame:
@@ -270,14 +323,15 @@ def misread_words(read: DataFrame, words: DataFrame) -> DataFrame:
     beside = lambda k: F.lower(F.get("ws", k))
     side = at.select("i", "raw", F.when(F.col("k") > 0, beside(F.col("k") - 1)).alias("before"), beside(F.col("k") + 1).alias("after"))
     near = cut(side.join(small(pairs.select("raw").distinct(), 50), "raw").join(small(pairs, 100), "raw"))
-    # how often these neighbours stand beside the printed forms, on all pages
-    need = small(cut(pairs.select(F.col("f").alias("w")).distinct()), 50)
-    others = side.select("before", F.lower("raw").alias("w"), "after").join(need, "w", "left_semi")
-    pair = F.explode(F.array(F.struct(F.lit("l").alias("side"), F.col("before").alias("x"), "w"), F.struct(F.lit("r").alias("side"), F.col("after").alias("x"), "w")))
-    wanted = near.select(F.explode(F.array(F.struct(F.lit("l").alias("side"), F.col("before").alias("x"), F.col("f").alias("w")), F.struct(F.lit("r").alias("side"), F.col("after").alias("x"), F.col("f").alias("w")))).alias("c")).select("c.*").where("x is not null").distinct()
-    wanted = small(cut(wanted), 100)
-    support = others.select(pair.alias("c")).select("c.*").join(wanted, ["side", "x", "w"], "left_semi").groupBy("side", "x", "w").agg(F.count("*").alias("c"))
-    support = cut(support)
+    # how often these neighbours stand beside the printed forms, on all pages; their hashes sort
+    # out nearly all other words at once
+    both = lambda x, y, w: F.explode(F.array(F.struct(F.lit("l").alias("side"), x.alias("x"), w.alias("w")), F.struct(F.lit("r").alias("side"), y.alias("x"), w.alias("w"))))
+    hashed = lambda df: df.select("c.*").where("x is not null").withColumn("h", F.xxhash64("side", "x", "w"))
+    wanted = cut(hashed(near.select(both(F.col("before"), F.col("after"), F.col("f")).alias("c"))).distinct())
+    low = read.select(F.split(F.lower("words"), " ").alias("ws")).select("ws", F.posexplode("ws").alias("k", "w"))
+    every = hashed(low.select(both(F.when(F.col("k") > 0, F.get("ws", F.col("k") - 1)), F.get("ws", F.col("k") + 1), F.col("w")).alias("c")))
+    support = every.join(small(wanted.select("h").distinct(), 16), "h", "left_semi").groupBy("side", "x", "w").agg(F.count("*").alias("c"))
+    support = cut(support.join(small(wanted, 100), ["side", "x", "w"], "left_semi"))
     of = lambda side, x, name: small(support.where(F.col("side") == side).select(F.col("x").alias(x), F.col("w").alias("f"), F.col("c").alias(name)), 100)
     held = near.join(of("l", "before", "l"), ["before", "f"], "left").join(of("r", "after", "r"), ["after", "f"], "left")
     l, r = F.coalesce("l", F.lit(0)), F.coalesce("r", F.lit(0))
@@ -300,7 +354,7 @@ def _parts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, Data
     these = cut(pages(captions, "caption_id", "media_path", "time", "text"))
     read = cut(parsed(these))
     words = cut(vocabulary(captions.select(F.col("text").alias("x"))))
-    return these, edge_noise(read), cut_words(read, words), misread_words(read, words), read
+    return these, edge_noise(read, these), cut_words(read, words), misread_words(read, words), read
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -298,7 +298,7 @@ def test_scanned_pages(spark):
     these = scans.pages(df, "caption_id", "media_path", "time", "text")
     read = scans.parsed(these)
     words = scans.vocabulary(df.select(df.text.alias("x")))
-    edges, cuts, wrong = scans.edge_noise(read), scans.cut_words(read, words), scans.misread_words(read, words)
+    edges, cuts, wrong = scans.edge_noise(read, these), scans.cut_words(read, words), scans.misread_words(read, words)
     assert {r["i"] for r in edges.where("header").collect()} == set(range(6)) == {r["i"] for r in edges.where("pagenum").collect()}
     assert [(r["i"], r["a"], r["b"]) for r in cuts.collect()] == [(2, "har", "bour")]
     assert {(r["i"], r["read_as"], r["printed"]) for r in wrong.collect()} == {(2, "w0oden", "wooden"), (3, "tbe", "the")}
@@ -322,14 +322,37 @@ def test_headers_recur_wherever_they_stand(spark):
     below = ["and then she left.", "of the old house.", "when it rained.", "near the harbour.", "by the mill."]
     rows = [(k, "/x/a.pdf", float(k), f"The Lamp at the Harbour\np. {145 + k}\n{b}\nA longer line of text of this page, number {'abcde'[k] * 9}.\nIt was {'fghij'[k] * 9}.") for k, b in enumerate(below)]
     df = spark.createDataFrame(rows, "caption_id long, media_path string, time double, text string")
-    found = scans.edge_noise(scans.parsed(scans.pages(df, "caption_id", "media_path", "time", "text"))).collect()
+    these = scans.pages(df, "caption_id", "media_path", "time", "text")
+    found = scans.edge_noise(scans.parsed(these), these).collect()
     assert {(r["i"], r["line"]) for r in found if r["header"]} == {(k, 0) for k in range(5)}
     assert {(r["i"], r["line"]) for r in found if r["pagenum"]} == {(k, 1) for k in range(5)}
 
 
+def test_edges_are_read_as_deep_as_noise_goes(spark):
+    # five running lines above the text: more than an edge is read for at first
+    head = ["THE OLD MILL", "Second Series", "Collected by the Guild", "Printed at the Harbour", "Sold by the Station"]
+    rows = [(k, "/x/a.pdf", float(k), "\n".join(head) + f"\n\nNobody knew {'abcde'[k] * 5} of it.\nIt was {'fghij'[k] * 9} then.") for k in range(5)]
+    df = spark.createDataFrame(rows, "caption_id long, media_path string, time double, text string")
+    these = scans.pages(df, "caption_id", "media_path", "time", "text")
+    found = scans.edge_noise(scans.parsed(these), these).where("header").collect()
+    assert {(r["i"], r["line"]) for r in found} == {(k, j) for k in range(5) for j in range(5)}
+
+
+def test_long_words_and_numbers_are_no_exception(spark):
+    word = "donaudampfschifffahrts" * 4
+    rows = [(k, "/x/a.pdf", float(k), f"The {word} is late, {'abcdefghijkl'[k] * 7} said and went away.\nMore text of {'mnopqrstuvwx'[k] * 6} is here, so they read.\n{120034 + k}") for k in range(12)]
+    rows += [(20, "/x/a.pdf", 20.0, f"The {word[:-1]}5 is late, she said and went.\nMore of it is there, so they read on.\n120054")]
+    df = spark.createDataFrame(rows, "caption_id long, media_path string, time double, text string")
+    these = scans.pages(df, "caption_id", "media_path", "time", "text")
+    read = scans.parsed(these)
+    wrong = scans.misread_words(read, scans.vocabulary(df.select(df.text.alias("x"))))
+    assert [tuple(r) for r in wrong.collect()] == [(20, word[:-1] + "5", word)]
+    assert scans.edge_noise(read, these).where("pagenum").count() == 13
+
+
 def test_confusions():
     assert scans.explains("clecir", "decir") and scans.explains("tbc", "the") and not scans.explains("word", "ward")
-    assert scans.page_number("- 12 -") == (12, True) and scans.page_number("xiv") == (14, False) and scans.page_number("hello") is None
+    assert scans.page_number("- 12 -") == (12, True) and scans.page_number("xiv") == (14, False) and scans.page_number("hello") is None and scans.page_number("ccxiv") == (214, False) and scans.page_number("9" * 40) is None
 
 
 # ---- survivors
