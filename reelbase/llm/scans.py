@@ -224,16 +224,21 @@ def edge_noise(read: DataFrame, pages_: DataFrame, most: int = 2) -> DataFrame:
     Where all lines read at an edge are noise and there may be more, the page is read again further
     in, until that is so nowhere; ``most`` is how many titles an edge is read for at first.
     """
-    e = read.select("i", "p", "t", F.explode("edges").alias("e")).select("i", "p", "t", "e.*")
+    lines = lambda df: df.select("i", "p", "t", F.explode("edges").alias("e")).select("i", "p", "t", "e.*")
+    e, done = lines(read), None
     while True:
         found = cut(_edge_noise(e, read.select("p", "t")))
-        deeper = found.groupBy("i", "top").agg(F.count("*").alias("n"), F.max("more").alias("more"), F.max("read").alias("read")).where("more and n = read").select("i").distinct()
-        deeper = cut(deeper)
+        full = found.groupBy("p", "i", "top").agg(F.count("*").alias("n"), F.max("more").alias("more"), F.max("read").alias("read")).where("more and n = read")
+        deeper = cut(full.select("p", "i").distinct())
+        again = deeper.select("p").distinct()  # papers, since other pages' lines count as well
+        now = found.join(again, "p", "left_anti")
+        done = now if done is None else done.unionByName(now)
         if deeper.isEmpty():
-            return found.where("header or pagenum").select("i", "line", "header", "pagenum", "alone", "pages")
+            return done.where("header or pagenum").select("i", "line", "header", "pagenum", "alone", "pages")
         most *= 4
-        again = _with_edges(pages_.join(deeper, "i", "left_semi"), most).select("i", "p", "t", F.explode("edges").alias("e")).select("i", "p", "t", "e.*")
-        e = cut(e.join(deeper, "i", "left_anti").unionByName(again))
+        fresh = lines(_with_edges(pages_.join(deeper.select("i"), "i", "left_semi"), most))
+        e = cut(e.join(again, "p", "left_semi").join(deeper.select("i"), "i", "left_anti").unionByName(fresh))
+        read = read.join(again, "p", "left_semi")
 
 
 def _edge_noise(e: DataFrame, read: DataFrame) -> DataFrame:
@@ -258,13 +263,31 @@ def _edge_noise(e: DataFrame, read: DataFrame) -> DataFrame:
     sentence = F.col("mask").rlike(_SENTENCE.pattern) & (F.size(F.split("mask", " ")) > 4)
     often = (F.col("pages") >= 3) & (4 * F.col("pages") >= F.col("total")) & ~sentence
     header = F.col("mask").isNotNull() & (often | ((F.col("pages") >= 2) & F.col("title")) | F.col("clear"))
-    all_ = all_.select("i", "line", F.coalesce(header, F.lit(False)).alias("header"), F.coalesce(number, F.lit(False)).alias("pagenum"), "alone", F.coalesce("pages", F.lit(0)).alias("pages"), "top", "step", "solid", "more")
-    # a line is at the edge if all lines beyond it are noise; one line of a page stays
-    beyond = W.partitionBy("i", "top").orderBy("step").rowsBetween(W.unboundedPreceding, -1)
-    noise = F.col("header") | F.col("pagenum") | F.col("alone")
-    outer = all_.withColumn("outer", F.coalesce(F.every(noise).over(beyond), F.lit(True)) & (F.count("*").over(beyond) == F.col("step"))).withColumn("read", F.count("*").over(W.partitionBy("i", "top"))).where("outer and (header or pagenum or alone)")
-    taken = F.count_if("top").over(W.partitionBy("i"))
-    return outer.withColumn("taken", taken).where("top or solid - taken >= 2").drop("outer", "step", "solid", "taken")
+    cols = ("line", "header", "pagenum", "alone", "pages", "top", "step", "solid", "more")
+    told = all_.select("p", "i", F.struct("line", F.coalesce(header, F.lit(False)).alias("header"), F.coalesce(number, F.lit(False)).alias("pagenum"), "alone", F.coalesce("pages", F.lit(0)).alias("pages"), "top", "step", "solid", "more").alias("e"))
+    by_page = told.groupBy("p", "i").agg(F.collect_list("e").alias("edges"))  # the lines read of one page
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(p, i, *x) for p, i, edges in zip(pdf["p"], pdf["i"], pdf["edges"]) for x in outer_noise([tuple(e[c] for c in cols) for e in edges])]
+            yield pd.DataFrame(rows, columns=["p", "i", "line", "header", "pagenum", "alone", "pages", "top", "more", "read"])
+
+    return by_page.mapInPandas(run, "p string, i bigint, line int, header boolean, pagenum boolean, alone boolean, pages bigint, top boolean, more boolean, read bigint")
+
+
+def outer_noise(edges: list[tuple]) -> list[tuple]:
+    """Of the edge lines of a page (line, header, number, alone, pages, top, step, solid, more) those
+    that are noise and have nothing but noise beyond them; one line of a page stays."""
+    out, taken = [], 0
+    for top in (True, False):
+        side = sorted((e for e in edges if e[5] == top), key=lambda e: e[6])
+        for n, (line, header, number, alone, n_pages, _, step, solid, more) in enumerate(side):
+            if step != n or not (header or number or alone):
+                break
+            if top or solid - taken >= 2:
+                out.append((line, header, number, alone, n_pages, top, more, len(side)))
+        taken = len(out)
+    return out
 
 
 def token_counts(texts: DataFrame, pattern: re.Pattern) -> DataFrame:
@@ -318,20 +341,23 @@ def misread_words(read: DataFrame, words: DataFrame) -> DataFrame:
 
     odd_number = F.col("raw").rlike(r"^[sSeE]?\d+[eExX]?\d*(st|nd|rd|th|s|x|p|k|fps|mm|am|pm)?$")
     pairs = cut(tried.where(~odd_number).select("raw", "f", "odd", "fn").distinct().where(ok("raw", "f")))
-    # neighbours are read from the page itself; only rows with a word in question leave it
-    at = read.select("i", F.split("words", " ").alias("ws")).select("i", "ws", F.posexplode("ws").alias("k", "raw"))
+    # neighbours are read from the page itself; only rows with a word in question leave it, told
+    # by hashes first, which are cheaper to look up than words
+    at = read.select("i", F.split("words", " ").alias("ws")).select("i", "ws", F.posexplode("ws").alias("k", "raw")).withColumn("h", F.xxhash64("raw"))
+    tested = at.join(small(pairs.select(F.xxhash64("raw").alias("h")).distinct(), 16), "h", "left_semi")
     beside = lambda k: F.lower(F.get("ws", k))
-    side = at.select("i", "raw", F.when(F.col("k") > 0, beside(F.col("k") - 1)).alias("before"), beside(F.col("k") + 1).alias("after"))
-    near = cut(side.join(small(pairs.select("raw").distinct(), 50), "raw").join(small(pairs, 100), "raw"))
-    # how often these neighbours stand beside the printed forms, on all pages; their hashes sort
-    # out nearly all other words at once
-    both = lambda x, y, w: F.explode(F.array(F.struct(F.lit("l").alias("side"), x.alias("x"), w.alias("w")), F.struct(F.lit("r").alias("side"), y.alias("x"), w.alias("w"))))
-    hashed = lambda df: df.select("c.*").where("x is not null").withColumn("h", F.xxhash64("side", "x", "w"))
-    wanted = cut(hashed(near.select(both(F.col("before"), F.col("after"), F.col("f")).alias("c"))).distinct())
+    side = tested.select("i", "raw", F.when(F.col("k") > 0, beside(F.col("k") - 1)).alias("before"), beside(F.col("k") + 1).alias("after"))
+    near = cut(side.join(small(pairs, 100), "raw"))
+    # how often these neighbours stand beside the printed forms, on all pages: counted by hashes
+    hash_of = lambda side, x, w: F.xxhash64(F.lit(side), x, w)
+    sides = [near.select(F.lit(side).alias("side"), F.col(x).alias("x"), F.col("f").alias("w"), hash_of(side, F.col(x), F.col("f")).alias("h")) for side, x in (("l", "before"), ("r", "after"))]
+    wanted = cut(sides[0].unionByName(sides[1]).where("x is not null").distinct())
+    known = lambda side: small(wanted.where(F.col("side") == side).select(F.col("h").alias(f"h{side}"), F.lit(True).alias(side)).distinct(), 16)
     low = read.select(F.split(F.lower("words"), " ").alias("ws")).select("ws", F.posexplode("ws").alias("k", "w"))
-    every = hashed(low.select(both(F.when(F.col("k") > 0, F.get("ws", F.col("k") - 1)), F.get("ws", F.col("k") + 1), F.col("w")).alias("c")))
-    support = every.join(small(wanted.select("h").distinct(), 16), "h", "left_semi").groupBy("side", "x", "w").agg(F.count("*").alias("c"))
-    support = cut(support.join(small(wanted, 100), ["side", "x", "w"], "left_semi"))
+    before, after = F.when(F.col("k") > 0, F.get("ws", F.col("k") - 1)), F.get("ws", F.col("k") + 1)
+    met = low.select(hash_of("l", before, F.col("w")).alias("hl"), hash_of("r", after, F.col("w")).alias("hr")).join(known("l"), "hl", "left").join(known("r"), "hr", "left").where("l or r")
+    counted = met.select(F.explode(F.array(F.when(F.col("l"), F.col("hl")), F.when(F.col("r"), F.col("hr")))).alias("h")).where("h is not null").groupBy("h").agg(F.count("*").alias("c"))
+    support = cut(wanted.join(counted, "h"))
     of = lambda side, x, name: small(support.where(F.col("side") == side).select(F.col("x").alias(x), F.col("w").alias("f"), F.col("c").alias(name)), 100)
     held = near.join(of("l", "before", "l"), ["before", "f"], "left").join(of("r", "after", "r"), ["after", "f"], "left")
     l, r = F.coalesce("l", F.lit(0)), F.coalesce("r", F.lit(0))
