@@ -1,6 +1,7 @@
 """Operators on small fixtures, and every registered query against its SQL."""
 
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -32,6 +33,8 @@ def test_packed_values():
     }
     for raw, want in cases.items():
         assert multivalue.parse(raw, codes) == want, raw
+    many = "drama;sports,home|opus/aac&drama+sports•home"
+    assert multivalue.parse("drama;sports,home|opus/aac", codes) == ["drama", "sports", "home", "opus", "aac"] and multivalue.parse(many, codes) == re.split(r"[;,|/&+•]", many)
     assert multivalue.parse(None, codes) == [] and multivalue.parse("a;b", {}) == ["a", "b"]
 
 
@@ -41,6 +44,11 @@ def test_packed_table(spark):
     rows = sorted(tuple(r) for r in multivalue.split_values(df, "media_id", ["genre", "categories"], vocab).collect())
     assert rows == [(1, "categories", 1, "Jazz", 1)] + [(1, "genre", k, v, 2) for k, v in ((1, "Drama"), (1, "Drama"), (2, "Jazz"), (2, "Jazz"))]
     assert multivalue.split_values(df.limit(0), "media_id", ["genre"], vocab.limit(0)).count() == 0
+    raws = ["Drama, Jazz; Folk/World", '"Stage; Live"|Drama', "Folk/World", "Jazz/Drama", None, "new, Drama", "[\"Jazz\", \"Drama\"]"]
+    df = spark.createDataFrame([(k, r) for k, r in enumerate(raws * 3)], "media_id long, genre string")
+    vocab = spark.createDataFrame([("genre", v) for v in ("Drama", "Jazz", "Folk/World", "Stage; Live")], "field_name string, val string")
+    held, joined = (sorted(map(tuple, multivalue.split_values(df, "media_id", ["genre"], vocab, n).collect())) for n in (10, 1))
+    assert held == joined and (1, "genre", 1, "Stage; Live", 2) in held  # however large the vocabulary
 
 
 def test_tree_holds_files_and_folders(spark):
