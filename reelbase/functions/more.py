@@ -14,10 +14,15 @@ LANGUAGE_NAMES = {
     "ar": "Arabic", "cs": "Czech", "da": "Danish", "de": "German", "el": "Greek", "en": "English", "es": "Spanish", "fi": "Finnish", "fr": "French", "he": "Hebrew", "hi": "Hindi", "hu": "Hungarian", "it": "Italian",
     "ja": "Japanese", "ko": "Korean", "nl": "Dutch", "no": "Norwegian", "pl": "Polish", "pt": "Portuguese", "ro": "Romanian", "ru": "Russian", "sv": "Swedish", "th": "Thai", "tr": "Turkish", "uk": "Ukrainian", "vi": "Vietnamese", "zh": "Chinese",
 }
-# Bits a second that formats usually take, and bytes a word takes in documents.
-BITRATES = {".mp3": 192_000, ".m4a": 128_000, ".aac": 128_000, ".opus": 96_000, ".ogg": 128_000, ".flac": 900_000, ".wav": 1_411_000}
-VIDEO_BITRATE = 2_500_000
-BYTES_PER_WORD = {".pdf": 60.0, ".epub": 9.0, ".docx": 20.0, ".html": 12.0}
+# Formats whose stated duration is not reliable, and the bits a second they take.
+BITRATES = {
+    ".vob": 5_000_000, ".ifo": 5_000_000, ".vro": 5_000_000, ".m2t": 15_000_000, ".m2ts": 15_000_000, ".mts": 15_000_000, ".mod": 10_000_000, ".tod": 12_000_000, ".divx": 4_000_000, ".xvid": 4_000_000,
+    ".rm": 2_000_000, ".rmvb": 3_000_000, ".wmv": 3_000_000, ".asf": 3_000_000, ".avchd": 20_000_000, ".bdmv": 30_000_000, ".mpls": 30_000_000, ".iso": 8_000_000,
+}
+# Bits a second of other audio and video, and bytes a word takes in documents.
+AUDIO_BITRATE, VIDEO_BITRATE = 256_000, 1_500_000
+BYTES_PER_WORD = {".pdf": 7.0, ".epub": 5.5, ".mobi": 5.5, ".azw3": 5.5, ".docx": 6.5, ".odt": 6.5, ".html": 4.5, ".htm": 4.5, ".cbz": 50.0, ".cbr": 50.0, ".djvu": 15.0}
+OTHER_BYTES_PER_WORD, LEAST_WORDS = 4.2, 10
 
 
 def language_name(code: Column) -> Column:
@@ -40,28 +45,39 @@ def shorten_middle(text: Column, width: int) -> Column:
     return F.when(F.length(text) > width, F.concat(F.substring(text, 1, left), F.lit("…"), F.right(text, F.lit(right)))).otherwise(text)
 
 
-def estimated_duration(size: Column, path: Column) -> Column:
-    """Seconds a file of a size plays by its format's usual bit rate."""
-    ext = paths.extension(path)
-    rate = F.lit(VIDEO_BITRATE)
-    for e, r in BITRATES.items():
-        rate = F.when(ext == e, r).otherwise(rate)
-    return F.floor(size * 8 / rate).cast("bigint")
+def _by_extension(path: Column, values: dict[str, float], other: float | None) -> Column:
+    ext, out = paths.extension(path), F.lit(other)
+    for e, v in values.items():
+        out = F.when(ext == e, v).otherwise(out)
+    return out
+
+
+def estimated_duration(size: Column, path: Column, video: bool = True) -> Column:
+    """Seconds a file of a size plays by its format's bit rate, or by that of other video or audio."""
+    return size / _by_extension(path, BITRATES, VIDEO_BITRATE if video else AUDIO_BITRATE) * 8
 
 
 def corrected_duration(duration: Column, size: Column, path: Column) -> Column:
-    """The estimate where a duration is missing, or under two minutes while the estimate is above."""
-    guess = estimated_duration(size, path)
-    return F.when(duration.isNull() | ((duration < 120) & (guess > 120)), guess).otherwise(duration)
+    """Where a format's duration is not reliable and is missing or under two minutes, the estimate
+    if that is above."""
+    guess = size / _by_extension(path, BITRATES, None) * 8
+    low = F.coalesce(duration, F.lit(0)) < 120
+    return F.when(low & F.coalesce(guess > 120, F.lit(False)), F.floor(guess).cast("bigint")).otherwise(duration)
+
+
+def timeout_duration(duration: Column, size: Column, path: Column) -> Column:
+    """The duration if there is one, else the estimate; 0 without a size."""
+    return F.when(duration > 0, duration.cast("double")).when(size > 0, estimated_duration(size, path)).otherwise(0.0)
+
+
+def words_of_size(size: Column, path: Column) -> Column:
+    """How many words a document of a size holds, ten at least."""
+    return F.greatest(F.floor(size / _by_extension(path, BYTES_PER_WORD, OTHER_BYTES_PER_WORD)).cast("bigint"), F.lit(LEAST_WORDS).cast("bigint"))
 
 
 def estimated_words(size: Column, path: Column, counted: Column) -> Column:
     """Counted words; of fewer than 300 the larger of them and what the size suggests."""
-    ext = paths.extension(path)
-    per = F.lit(6.0)
-    for e, b in BYTES_PER_WORD.items():
-        per = F.when(ext == e, b).otherwise(per)
-    return F.when(counted < 300, F.greatest(counted, F.floor(size / per).cast("bigint"))).otherwise(counted)
+    return F.when(counted < 300, F.greatest(counted, words_of_size(size, path))).otherwise(counted)
 
 
 def word_timings(text: Column, wpm: int = 250) -> Column:

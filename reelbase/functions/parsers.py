@@ -132,15 +132,36 @@ def parse_slice(text: str) -> slice:
     return slice(*(int(p) if p.strip() else None for p in text.split(":")))
 
 
+# Words that join the terms of a full-text search, and signs of its own syntax.
+OPERATORS = ("AND", "OR", "NOT")
+SYNTAX = (" NOT ", " AND ", " OR ", "*", ":", "NEAR(")
+
+
 def search_terms(query: str) -> tuple[list[str], list[str]]:
-    """(terms, quoted phrases) of a search; both need three bytes, operators are left out."""
+    """(terms, quoted phrases) of a search; both need three bytes, but operators stay (upper case)."""
     quoted = re.compile(r"[\"']([^\"']+)[\"']")
     phrases = [p.strip() for p in quoted.findall(query) if len(p.strip().encode()) >= 3]
     rest = re.sub(r"[():]", " ", quoted.sub(" ", query))
-    terms = [t for t in rest.split() if t.upper() not in ("OR", "AND", "NOT") and len(t.encode()) >= 3]
+    terms = [t.upper() if t.upper() in OPERATORS else t for t in rest.split() if t.upper() in OPERATORS or len(t.encode()) >= 3]
     return terms, phrases
 
 
+def plain_terms(terms: list[str]) -> list[str]:
+    """The terms that are looked for: those that are no operators."""
+    return [t for t in terms if t not in OPERATORS]
+
+
+def fts_quoted(query: list[str]) -> list[str]:
+    """Terms in quotes, but for those that use the search's own syntax."""
+    return [t if any(x in t for x in SYNTAX) else f'"{t}"' for t in query]
+
+
+def databases_and_paths(arguments: list[str], lines: list[str] = ()) -> tuple[list[str], list[str]]:
+    """(catalogues, scan paths) of a command's arguments; '-' stands for the given lines."""
+    every = [x for a in arguments for x in ([t.strip() for t in lines if t.strip()] if a == "-" else [a])]
+    return [a for a in every if a.endswith(".db")], [a for a in every if not a.endswith(".db")]
+
+
 def any_of(columns: list[Column]) -> Column:
     out = F.lit(False)
     for c in columns:

@@ -140,6 +140,16 @@ def one_paragraph(text: Column) -> Column:
     return F.when(bare.isin(list(_QUOTES)), F.lit("")).otherwise(bare)
 
 
+def as_json(*columns: str) -> Column:
+    """A row's columns as a JSON object, nulls included."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+
+def display_title(title: Column, stem: Column) -> Column:
+    """The title, or the file's name where it is missing or empty."""
+    return F.when(F.coalesce(title, F.lit("")) != "", title).otherwise(stem)
+
+
 def title_case(text: Column) -> Column:
     """The first letter of each word in upper case, the others as they are."""
     return F.array_join(F.transform(F.split(text, " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2)))), " ")

@@ -169,15 +169,155 @@ def word_counts(df: DataFrame, text: Column) -> DataFrame:
     return df.select(F.explode(strings.words(text)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-def bins(df: DataFrame) -> DataFrame:
-    """``dim``, ``low``, ``high`` and the 101-point vector of each filter dimension."""
-    folders = df.groupBy(paths.parent(F.col("path"))).agg(F.count("*").alias("episodes"))
-    wanted = {
-        "size": df.where("size < 109951162777600"), "duration": df.where("duration > 0 and duration < 2678400"), "time_modified": df, "time_created": df, "time_downloaded": df, "episodes": folders,
-    }
+#: The filter dimensions and what is taken for a value of each.
+DIMENSIONS = {
+    "size": "size < 109951162777600", "duration": "duration > 0 and duration < 2678400", "time_modified": "true", "time_created": "true", "time_downloaded": "true",
+}
+
+
+def bins(df: DataFrame, filters: dict[str, Column] | None = None) -> DataFrame:
+    """``dim``, ``low``, ``high`` and the 101-point vector of each filter dimension, over the rows that
+    the filters of all other dimensions leave: none narrows its own.
+
+    ``filters``: a condition by dimension; that of 'episodes' is on ``episodes``, the rows of a folder.
+    """
+    given = filters or {}
+
+    def others(name: str) -> DataFrame:
+        rows = df
+        for k, condition in given.items():
+            if k != name and k != "episodes":
+                rows = rows.where(condition)
+        if "episodes" in given and name != "episodes":
+            folder = paths.parent(F.col("path"))
+            kept = rows.groupBy(folder.alias("__f")).agg(F.count("*").alias("episodes")).where(given["episodes"]).select("__f")
+            rows = rows.withColumn("__f", folder).join(kept, "__f", "left_semi").drop("__f")
+        return rows
+
+    wanted = {name: others(name).where(clamp) for name, clamp in DIMENSIONS.items()}
+    wanted["episodes"] = others("episodes").groupBy(paths.parent(F.col("path"))).agg(F.count("*").alias("episodes"))
     out = None
     for name, rows in wanted.items():
         points = percentiles(rows, name)
         one = points.agg(F.lit(name).alias("dim"), F.min("value").alias("low"), F.max("value").alias("high"), F.transform(F.array_sort(F.collect_list(F.struct("pct", "value"))), lambda p: p["value"]).alias("points"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def sampled_bins(df: DataFrame, each: int = 1000, seed: int = 7) -> DataFrame:
+    """``dim``, ``low``, ``high`` over a random sample of so many rows of each catalogue (a sampling
+    operator: quick, not exact)."""
+    random = ranking.number_within(df.select("db", "size", "duration", "time_modified").withColumn("__r", F.rand(seed)), ["db"], [F.col("__r")], "__k")
+    s = random.where(F.col("__k") <= each)
+    return s.select(F.explode(F.array(*[F.struct(F.lit(c).alias("dim"), F.col(c).alias("v")) for c in ("size", "duration", "time_modified")])).alias("x")).groupBy("x.dim").agg(F.min("x.v").alias("low"), F.max("x.v").alias("high"), F.count("x.v").alias("n"))
+
+
+def parent_counts(df: DataFrame) -> DataFrame:
+    """Rows by folder; a row without a path counts as 'unknown'."""
+    return value_counts(df, paths.parent(F.col("path")), "folder", "unknown")
+
+
+def ratings(df: DataFrame) -> DataFrame:
+    """Rows by whole score, no score being 0."""
+    return df.groupBy(F.coalesce("score", F.lit(0.0)).cast("bigint").alias("rating")).agg(F.count("*").alias("n"))
+
+
+def _enclosed(packed: str) -> Column:
+    """Values that stand between two semicolons."""
+    parts = F.split(F.coalesce(packed, F.lit("")), ";")
+    return F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))
+
+
+def named_categories(df: DataFrame, names: DataFrame) -> DataFrame:
+    """Rows that hold each of the named categories (``category``), and those with none at all."""
+    packed = df.groupBy("categories").agg(F.count("*").alias("n"))
+    held = packed.select("n", F.explode(F.array_distinct(_enclosed("categories"))).alias("category")).groupBy("category").agg(F.sum("n").alias("n"))
+    wanted = names.select("category").where("category is not null").distinct().join(held, "category", "left").select("category", F.coalesce("n", F.lit(0)).alias("n"))
+    none = packed.agg(F.lit("Uncategorized").alias("category"), F.coalesce(F.sum(F.when(F.coalesce("categories", F.lit("")) == "", F.col("n"))), F.lit(0)).alias("n"))
+    return wanted.unionByName(none)
+
+
+def grouped_by_parent(df: DataFrame) -> DataFrame:
+    """Folders with their first and last path and rows."""
+    return df.groupBy(paths.parent(F.col("path")).alias("folder")).agg(F.min("path").alias("first_path"), F.max("path").alias("last_path"), F.count("*").alias("n"))
+
+
+def captions_by_media(captions: DataFrame) -> DataFrame:
+    """Captions of each path: how many, the sum of their whole seconds, and the first with its text."""
+    first = F.min_by(F.struct("time", "text"), F.struct(F.col("time").isNull(), F.col("time"), F.col("caption_id")))
+    out = captions.groupBy("media_path").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.floor("time")), F.lit(0)).alias("total_time"), first.alias("f"))
+    return out.select("media_path", "n", "total_time", F.col("f.time").alias("first_time"), F.col("f.text").alias("first_text"))
+
+
+def history_counts(history: DataFrame) -> DataFrame:
+    return history.groupBy("media_path").agg(F.count("*").alias("n"), F.max("time_played").alias("last"))
+
+
+def last_tracks(items: DataFrame) -> DataFrame:
+    """The highest track number of each playlist; 0 where none has one."""
+    return items.groupBy("playlist_id").agg(F.coalesce(F.max("track_number"), F.lit(0)).alias("last_track"))
+
+
+def with_group_size(df: DataFrame, by: str, name: str = "n") -> DataFrame:
+    """Rows with how many have the same value; null is no value."""
+    known = df.where(F.col(by).isNotNull())
+    return known.join(known.groupBy(by).agg(F.count("*").alias(name)), by)
+
+
+def interpolated(df: DataFrame, keys: list[str], value: str, percent: float, name: str) -> DataFrame:
+    """The percentile of each group, interpolated between the two values beside it; nulls left out.
+
+    Found by cumulative counts over the sorted table, as medians are, so no group is held in a task.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(F.count("*").alias("__c"))
+    s = ranking.running_sum(counted, [*[F.col(k) for k in keys], F.col("__v")], "__c", "__z")
+    span = s.groupBy(*keys).agg(F.min(F.col("__z") - F.col("__c")).alias("__a"), F.sum("__c").alias("__n"))
+    at = F.lit(min(max(percent, 0.0), 100.0)) / 100 * (F.col("__n") - 1)
+    low, share = F.floor(at), at - F.floor(at)
+    holds = lambda k: (F.col("__z") - F.col("__c") - F.col("__a") <= k) & (k < F.col("__z") - F.col("__a"))
+    part = F.when(holds(low), (1 - share) * F.col("__v")).otherwise(0.0) + F.when((share > 0) & holds(low + 1), share * F.col("__v")).otherwise(0.0)
+    return s.join(span, keys).groupBy(*keys).agg(F.sum(part).alias(name))
+
+
+def by_mode(df: DataFrame, mode: str = "", depth: int = 1) -> DataFrame:
+    """The roll-up that is asked for: by 'extensions', 'sizes', 'depth' or, by default, folder."""
+    return {"extensions": by_extension, "sizes": by_size}.get(mode, by_parent)(df) if mode != "depth" else by_depth(df, depth)
+
+
+def query_times(spark) -> DataFrame:
+    """``description``, ``n``, ``avg_ms``, ``max_ms``: the finished jobs that the session's status store
+    still knows (it drops the oldest)."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    rows = []
+    jobs = store.jobsList(spark._jvm.java.util.ArrayList()).iterator()
+    while jobs.hasNext():
+        job = jobs.next()
+        if job.submissionTime().isDefined() and job.completionTime().isDefined():
+            rows.append((job.name(), job.completionTime().get().getTime() - job.submissionTime().get().getTime()))
+    df = spark.createDataFrame(rows, "description string, ms long")
+    return df.groupBy("description").agg(F.count("*").alias("n"), F.avg("ms").alias("avg_ms"), F.max("ms").alias("max_ms"))
+
+
+def disk_usage_page(df: DataFrame, prefix: str, by: str = "total_size", limit: int = 100, offset: int = 0) -> DataFrame:
+    """A page of a disk-usage level: folders first, the largest first. Where folders fill the page to
+    its end, all files of the level come with it."""
+    level = disk_usage(df, prefix)
+    order = [F.desc(by), F.col("entry")]
+    folders = level.where("not is_file")
+    n = folders.count()  # of one level
+    files = level.where("is_file")
+    if offset >= n:
+        return files.orderBy(*order).offset(offset - n).limit(limit)
+    page = folders.orderBy(*order).offset(offset).limit(limit)
+    return page.unionByName(files.orderBy(*order).limit(offset + limit - n) if offset + limit > n else files)
+
+
+def listed(df: DataFrame, prefix: str, limit: int | None = None) -> DataFrame:
+    """What lies next below a prefix, which may end within a name: ``entry``, ``is_folder``, ``n``; a
+    name that is both is a folder. ``limit`` names the first by count, folders and name (a top list)."""
+    base = prefix[: prefix.rfind("/") + 1]
+    level = base.count("/") - 1 if base.startswith("/") else base.count("/")
+    p = paths.parts(F.col("path"))
+    inside = df.where(F.col("path").startswith(prefix)).select(p.alias("p")).where(F.size("p") > level)
+    out = inside.groupBy(F.element_at("p", level + 1).alias("entry")).agg(F.max(F.size("p") > level + 1).alias("is_folder"), F.count("*").alias("n"))
+    return out if limit is None else out.orderBy(F.desc("n"), F.desc("is_folder"), "entry").limit(limit)

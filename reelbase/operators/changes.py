@@ -93,6 +93,95 @@ def restore(df: DataFrame, which: Column) -> DataFrame:
     return df.withColumn("time_deleted", F.when(F.coalesce(which, F.lit(False)), F.lit(0).cast("bigint")).otherwise(F.col("time_deleted")))
 
 
+def hard_deleted(df: DataFrame, which: Column, *dependents: DataFrame) -> list[DataFrame]:
+    """The table without some rows, and its dependents (by ``media_path``) without those whose path
+    is left nowhere."""
+    kept_ = df.where(~F.coalesce(which, F.lit(False)))
+    gone = df.where(F.coalesce(which, F.lit(False))).select("path").join(kept_.select("path"), "path", "left_anti").select(F.col("path").alias("media_path")).distinct()
+    return [kept_, *[d.join(gone, "media_path", "left_anti") for d in dependents]]
+
+
+def bin_emptied(df: DataFrame, *dependents: DataFrame) -> list[DataFrame]:
+    return hard_deleted(df, F.col("time_deleted") > 0, *dependents)
+
+
+def _set(df: DataFrame, which: Column, **values: Column) -> DataFrame:
+    on = F.coalesce(which, F.lit(False))
+    return df.withColumns({c: F.when(on, v.cast(dict(df.dtypes)[c])).otherwise(F.col(c)) for c, v in values.items()})
+
+
+def mark_played(df: DataFrame, which: Column, now: int) -> DataFrame:
+    """Played once more to the end, now; a first time of 0 stays 0."""
+    return _set(df, which, time_last_played=F.lit(now), time_first_played=F.coalesce("time_first_played", F.lit(now)), play_count=F.coalesce("play_count", F.lit(0)) + 1, playhead=F.lit(0))
+
+
+def mark_unplayed(df: DataFrame, which: Column) -> DataFrame:
+    """As never played, but for the first time."""
+    return _set(df, which, play_count=F.lit(0), playhead=F.lit(0), time_last_played=F.lit(0))
+
+
+def played_to(df: DataFrame, which: Column, now: int, playhead: int, completed: bool) -> DataFrame:
+    """Played up to a place; a completed play counts."""
+    return _set(df, which, time_last_played=F.lit(now), time_first_played=F.coalesce("time_first_played", F.lit(now)), playhead=F.lit(playhead), play_count=F.coalesce("play_count", F.lit(0)) + int(completed))
+
+
+def rated(df: DataFrame, which: Column, score: float) -> DataFrame:
+    return _set(df, which, score=F.lit(score))
+
+
+def renamed_category(df: DataFrame, old: str, new: str) -> DataFrame:
+    """One packed category under another name, where the row has it."""
+    return df.withColumn("categories", F.replace("categories", F.lit(f";{old};"), F.lit(f";{new};")))
+
+
+def keywords_added(keywords: DataFrame, new: DataFrame) -> DataFrame:
+    """Category and keyword pairs that are not there yet."""
+    return keywords.unionByName(new.distinct().join(keywords, ["category", "keyword"], "left_anti").select("category", "keyword"))
+
+
+def keywords_removed(keywords: DataFrame, category: str, keyword: str | None = None) -> DataFrame:
+    """Without a category's keyword, or without the category."""
+    gone = F.col("category").eqNullSafe(category)
+    return keywords.where(~(gone & F.col("keyword").eqNullSafe(keyword)) if keyword is not None else ~gone)
+
+
+def playlist_created(playlists: DataFrame, path: str, title: str | None, extractor_key: str | None = None, extractor_config: str | None = None) -> DataFrame:
+    """A playlist added under the next id; one of the same path only takes what is given."""
+    given = {"title": title, "extractor_key": extractor_key, "extractor_config": extractor_config}
+    updated = playlists.withColumns({c: F.when(F.col("path") == path, F.coalesce(F.lit(v), F.col(c))).otherwise(F.col(c)) for c, v in given.items()})
+    new = playlists.agg((F.coalesce(F.max("id"), F.lit(0)) + 1).alias("id"), F.coalesce(F.max(F.col("path") == path), F.lit(False)).alias("__has")).where("not __has").select(
+        "id", F.lit(path).alias("path"), *[F.lit(v).cast("string").alias(c) for c, v in given.items()], F.lit(0).cast("bigint").alias("time_deleted")
+    )
+    return updated.unionByName(new, allowMissingColumns=True)
+
+
+def playlist_deleted(playlists: DataFrame, id_: int, now: int) -> DataFrame:
+    return _set(playlists, F.col("id") == id_, time_deleted=F.lit(now))
+
+
+def items_added(items: DataFrame, new: DataFrame, now: int) -> DataFrame:
+    """Tracks added (``playlist_id``, ``media_path``, ``track_number``), once each; those there already
+    take the new number."""
+    added = new.groupBy("playlist_id", "media_path").agg(F.max("track_number").alias("track_number")).withColumn("time_added", F.lit(now).cast("bigint"))
+    return merge(items, added, ["playlist_id", "media_path"], "upsert", ["track_number"]).join(
+        added.select("playlist_id", "media_path", F.col("time_added").alias("__t")), ["playlist_id", "media_path"], "left"
+    ).withColumn("time_added", F.coalesce("time_added", "__t")).drop("__t")
+
+
+def items_removed(items: DataFrame, playlist_id: int, path: str | None = None) -> DataFrame:
+    """Without one track of a playlist, or without all."""
+    gone = F.col("playlist_id").eqNullSafe(playlist_id)
+    return items.where(~(gone & F.col("media_path").eqNullSafe(path)) if path is not None else ~gone)
+
+
+def appended(df: DataFrame, more: DataFrame, key: str = "path") -> DataFrame:
+    """Rows and those of another table whose key is new, each key of these once."""
+    fresh = more.join(df.select(key), key, "left_anti")
+    order = F.struct(*[c for c, kind in fresh.dtypes if not kind.startswith(("map", "array<map"))])
+    first = fresh.groupBy(key).agg(F.min(order).alias("__first")).select("__first.*")
+    return df.unionByName(first, allowMissingColumns=True)
+
+
 def rename(df: DataFrame, old: str, new: str) -> DataFrame:
     """Paths moved from one folder to another."""
     below = (F.col("path") == old) | F.col("path").startswith(old.rstrip("/") + "/")
@@ -108,10 +197,11 @@ def playlist(items: DataFrame, media: DataFrame) -> DataFrame:
 def move_track(items: DataFrame, playlist_id: int, path: str, to: int) -> DataFrame:
     """One playlist's tracks numbered anew after one moved to place ``to`` (from 0)."""
     own = items.where(F.col("playlist_id") == playlist_id)
-    now = own.withColumn("__k", F.row_number().over(W.partitionBy("playlist_id").orderBy(F.col("track_number").asc_nulls_first(), F.col("time_added").asc_nulls_first(), "media_path")) - 1)
-    from_ = F.max(F.when(F.col("media_path") == path, F.col("__k"))).over(W.partitionBy("playlist_id"))
-    at = F.when(F.col("media_path") == path, F.lit(float(to))).when((F.col("__k") > from_) & (F.col("__k") <= to), F.col("__k") - 1.0).when((F.col("__k") < from_) & (F.col("__k") >= to), F.col("__k") + 1.0).otherwise(F.col("__k").cast("double"))
-    return now.withColumn("track_number", at.cast("bigint")).drop("__k")
+    now = number(own, [F.col("track_number").asc_nulls_first(), F.col("time_added").asc_nulls_first(), F.col("media_path")], "__at").withColumn("__at", F.col("__at") - 1)
+    from_ = F.broadcast(now.agg(F.max(F.when(F.col("media_path") == path, F.col("__at"))).alias("__from")))  # one row
+    k = F.col("__at")
+    at = F.when(k == F.col("__from"), F.lit(to)).when((k > F.col("__from")) & (k <= to), k - 1).when((k < F.col("__from")) & (k >= to), k + 1).otherwise(k)
+    return now.crossJoin(from_).withColumn("track_number", at.cast("bigint")).drop("__at", "__from")
 
 
 def fill_media_type(df: DataFrame) -> DataFrame:
@@ -120,8 +210,10 @@ def fill_media_type(df: DataFrame) -> DataFrame:
 
 def action_limit(df: DataFrame, order: list[Column], count: int, size: int) -> DataFrame:
     """Rows in order until a count or a sum of sizes is reached."""
+    keep = df.columns
     s = running_sum(df.withColumn("__s", F.coalesce("size", F.lit(0))), order, "__s", "__t")
-    return number(s, order, "__n").where((F.col("__n") <= count) & (F.col("__t") - F.col("__s") < size)).drop("__s", "__t", "__n")
+    # what is within both limits is among the first rows
+    return s.where(F.col("__t") - F.col("__s") < size).orderBy(*order).limit(count).select(*keep)
 
 
 def delete_found(df: DataFrame, which: Column) -> DataFrame:

@@ -7,9 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reelbase.functions import strings
-from reelbase.functions.parsers import any_of, search_terms
+from reelbase.functions.parsers import any_of, plain_terms, search_terms
 from reelbase.plans.spec import fts
-from reelbase.tables import small
 
 
 def relevance(df: DataFrame, query: str) -> DataFrame:
@@ -38,11 +37,32 @@ def search_media(df: DataFrame, query: str, loose: bool = True) -> DataFrame:
     return relevance(df.where(F.coalesce("time_deleted", F.lit(0)) == 0).where(fts(terms, phrases, loose)), query)
 
 
+def top_media(df: DataFrame, query: str, limit: int = 100) -> DataFrame:
+    """The best matches, by relevance and then path (a top list)."""
+    return search_media(df, query).orderBy(F.desc("score_rank"), "path", "media_id").limit(limit)
+
+
+def captioned_media(captions: DataFrame, media: DataFrame, types: list[str] | None = None) -> DataFrame:
+    """Captions with a text and their media (once a path), of some types where named."""
+    alive = media.where(F.coalesce("time_deleted", F.lit(0)) == 0)
+    if types:
+        alive = alive.where(F.col("media_type").isin(types))
+    items = alive.groupBy(F.col("path").alias("media_path")).agg(F.max("title").alias("title"), F.max("media_type").alias("media_type"))
+    return captions.where("text <> ''").join(items, "media_path")
+
+
+def best_captions(captions: DataFrame, media: DataFrame, terms: list[str]) -> DataFrame:
+    """Media rows with the text of their first caption that holds one of the terms; null without."""
+    hits = captions.where(any_of([F.lower("text").contains(t.lower()) for t in terms]))
+    first = hits.groupBy("media_path").agg(F.min_by("text", F.struct(F.col("time").isNull(), F.col("time"), F.col("caption_id"))).alias("text"))
+    return media.join(first, F.col("path") == F.col("media_path"), "left").drop("media_path")
+
+
 def search_captions(captions: DataFrame, media: DataFrame, query: str, types: list[str] | None = None) -> DataFrame:
     """Captions that hold all terms, with their media and relevance; media match once a path."""
     terms, _ = search_terms(query)
     hit = F.lit(True)
-    for t in terms:
+    for t in plain_terms(terms):
         hit = hit & F.lower(F.col("text")).contains(t.lower())
     alive = media.where(F.coalesce("time_deleted", F.lit(0)) == 0)
     if types:
@@ -111,13 +131,26 @@ def merge_captions(df: DataFrame, gap: float = 8.0) -> DataFrame:
     return parted.groupBy("media_path", "s").applyInPandas(fold, "media_path string, time double, end double, text string")
 
 
+def words_of(path: Column, title: Column) -> Column:
+    """The words a row is looked for by: of its path and title, three bytes or more, lower case."""
+    cut_ = lambda c, marks: F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), marks), lambda w: F.octet_length(w) > 2)
+    return F.array_distinct(F.concat(cut_(path, r"[/\\.\-_ ]"), cut_(title, r"[ .\-_,:()]")))
+
+
 def related(df: DataFrame, path: str, terms: int = 50, limit: int = 20) -> DataFrame:
-    """Other media that share words with one: its longest words, best first (a top list)."""
-    seed = df.where(F.col("path") == path).select(F.explode(strings.words(F.concat_ws(" ", "title", "path"))).alias("w")).where(F.length("w") >= 3).distinct()
-    chosen = seed.orderBy(F.length("w").desc(), "w").limit(terms)
-    text = F.array_distinct(strings.words(F.concat_ws(" ", "path", "title", "description")))
-    shared = df.where(F.col("path") != path).select("path", F.explode(text).alias("w")).join(small(chosen, 64), "w").groupBy("path").agg(F.count_distinct("w").alias("shared"))
-    return shared.orderBy(F.desc("shared"), "path").limit(limit)
+    """Other rows that hold the beginning (three bytes) of one of a row's longest words, in any
+    indexed column, those that hold most of these most often first (a top list).
+
+    Each word found counts by how rare the rows with it are, damped by how often it occurs.
+    """
+    seed = df.where(F.col("path") == path).select(F.explode(words_of(F.col("path"), F.col("title"))).alias("w")).distinct()
+    chosen = [r["w"] for r in seed.orderBy(F.octet_length("w").desc(), "w").limit(terms).collect()]  # at most ``terms``
+    begin = sorted({w.encode()[:3].decode("utf-8", "ignore") for w in chosen})
+    others = df.where((F.coalesce("time_deleted", F.lit(0)) == 0) & (F.col("path") != path))
+    if not begin:
+        return others.limit(0).withColumn("bm25", F.lit(0.0)).select("path", "bm25")
+    found = others.where(fts(begin, []))
+    return bm25(found, begin).groupBy("path").agg(F.max("bm25").alias("bm25")).orderBy(F.desc("bm25"), "path").limit(limit)
 
 
 def search_table(df: DataFrame, include: list[str], exclude: list[str] = (), exact: bool = False) -> DataFrame:

@@ -15,8 +15,8 @@ ZERO_LAST = ("progress", "bitrate", "play_count", "time_last_played", "duration"
 
 # The named orders.
 PRESETS = {
-    "default": "-video_count,-audio_count,path_is_remote,-subtitle_count,play_count,playhead,time_last_played,title_is_null,path",
-    "du": "-size_per_count,-size,-count,-folders,path",
+    "default": "-video_count,-audio_count,path_is_remote,-subtitle_count,play_count,-playhead,time_last_played,title_is_null,path",
+    "du": "-size_per_count,-size,-count,-folders,-path",
 }
 
 
@@ -83,24 +83,125 @@ def groups(config: str) -> list[Column]:
     return [*out, F.col("path").asc_nulls_first()]
 
 
+MARKERS = {"_weighted_rerank": "weighted", "_natural_order": "natural", "_related_media": "related"}
+
+
+def marked_groups(config: str) -> list[tuple[str, list[tuple[str, bool]]]]:
+    """(how, fields) of a configuration with markers: each begins a group of the fields below it.
+
+    Groups are applied one after the other, each a stable sort of what the one before gave. Related
+    media are found before any sorting; their group sorts as a natural one does.
+    """
+    out: list[tuple[str, list[tuple[str, bool]]]] = [("natural", [])]
+    for raw in config.split(","):
+        if raw.strip() in MARKERS:
+            out.append((MARKERS[raw.strip()], []))
+        else:
+            out[-1][1].extend(parse(raw))
+    return [g for g in out if g[1]] or [("natural", [("ps", False)])]
+
+
+def arrange(df: DataFrame, config: str, id_: str = "media_id") -> DataFrame:
+    """``id_`` and ``rn``: rows numbered as a configuration with markers orders them.
+
+    The last group is the first key and earlier ones break its ties; ties of all go by path and id.
+    A weighted group is one key: the rank score of its fields.
+    """
+    keys: list[Column] = []
+    for k, (how, fields) in enumerate(reversed(marked_groups(config))):
+        if how == "weighted":
+            scored = weighted_rerank(df, [f"-{f}" if down else f for f, down in fields], id_).withColumnRenamed("rank_score", f"__g{k}")
+            df = df.join(scored, id_)
+            keys.append(F.col(f"__g{k}").desc())
+        else:
+            for name, down in fields:
+                value = natural(name) if name not in NUMERIC else field(name)
+                keys += [(field(name) == 0).asc()] if name in ZERO_LAST else []
+                keys.append(value.desc() if down else value.asc())
+    return ranking.number(df, [*keys, F.col("path").asc_nulls_first(), F.col(id_).asc()], keep=[id_])
+
+
+def natural(name: str) -> Column:
+    """A field as the natural order compares it: texts by their numbers and letters."""
+    value = field(name)
+    made = ("progress", "bitrate", "path_is_remote", "title_is_null", "size_per_count", "count", "folders", "natural_path", "month_created", "date_created", "month_modified")
+    return value if name in made else paths.natural_key(value)
+
+
+def choose(sort_by: str = "", play_in_order: str = "", no_play_in_order: bool = False, shuffled: bool = False, reverse: bool = False, natural_sort: bool = False) -> tuple[str, str]:
+    """(kind, configuration) of what a request asks for, by precedence: 'random'; 'basic' without
+    play order or by a named field; 'advanced' by 'default', by a play order, or where nothing is
+    asked for; 'basic' by path where it is to be reversed or natural."""
+    back = "reverse_" if reverse else ""
+    if shuffled:
+        return "random", ""
+    if no_play_in_order or sort_by not in ("", "path", "default"):
+        return "basic", back + (sort_by or "path")
+    if sort_by == "default":
+        return "advanced", back + "default"
+    if play_in_order:
+        return "advanced", back + play_in_order
+    if reverse or natural_sort:
+        return "basic", back + ("natural_path" if natural_sort else "path")
+    return "advanced", "default"
+
+
+def history_order(partial: str, reverse: bool = False) -> Column:
+    """History by when it was first ('f') or last played (first where never since), or by progress:
+    'p' the share played, 't' the time left (least first), 'pt' both; unknown progress is lowest."""
+    none = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("double")
+    head, length = none("playhead"), none("duration")
+    left = length - head
+    if "f" in partial:
+        value = none("time_first_played")
+    elif "p" in partial or "t" in partial:
+        made = length / head * -left if "p" in partial and "t" in partial else -left if "t" in partial else head / length
+        value = F.when((head > 0) & (length > 0), made).otherwise(F.lit(-1.7976931348623157e308))
+    else:
+        value = F.when(none("time_last_played") != 0, none("time_last_played")).otherwise(none("time_first_played"))
+    return value.desc() if reverse else value.asc()
+
+
+FOLDER_ORDERS = ("count", "size", "duration", "priority", "path")
+
+
+def folder_order(by: str, reverse: bool = False) -> list[Column]:
+    """Folders (``parent``, ``file_count``, ``total_size``, ``total_duration``) by count, size,
+    duration, priority (size for each file, then size) or path; ties by path."""
+    c = F.col
+    values = {
+        "count": [c("file_count")], "size": [c("total_size")], "duration": [c("total_duration")], "priority": [F.try_divide(c("total_size"), c("file_count")), c("total_size")], "path": [c("parent")],
+    }[by]
+    return [*[v.desc() if reverse else v.asc() for v in values], c("parent").asc()]
+
+
+def simple_order(method: str, reverse: bool = False, natural_sort: bool = False) -> list[Column]:
+    """One named field, text by its natural order if asked for; ties by path."""
+    value = natural(method) if natural_sort and method not in NUMERIC else field(method)
+    return [value.desc() if reverse else value.asc(), F.col("path").asc_nulls_first()]
+
+
 def rerank(df: DataFrame, weights: dict[str, float], id_: str = "media_id") -> DataFrame:
-    """``score``: the weighted sum of each row's position by each field ('-' for descending)."""
-    total = F.lit(0.0)
-    out = df
-    for k, (name, weight) in enumerate(weights.items()):
-        value = field(name.lstrip("-"))
-        out = ranking.number(out, [value.desc() if name[0] == "-" else value.asc(), F.col(id_).asc()], f"__r{k}")
-        total = total + (F.col(f"__r{k}") - 1) * F.lit(float(weight))
-    return out.withColumn("rank_score", total).drop(*[f"__r{k}" for k in range(len(weights))])
+    """``id_`` and ``rank_score``: the weighted sum of each row's position by each field ('-' for
+    descending). Only ids and one field at a time are sorted."""
+    parts = [_positions(df, name, id_).select(id_, ((F.col("__r") - 1) * F.lit(float(weight))).alias("s")) for name, weight in weights.items()]
+    return _added(parts, id_)
 
 
 def weighted_rerank(df: DataFrame, fields: list[str], id_: str = "media_id") -> DataFrame:
-    """``rank_score``: each field's normalised rank (1 best) weighted by 1 over its place in the list."""
-    n = max(df.count() - 1, 1)
-    total = F.lit(0.0)
-    out = df
-    for k, name in enumerate(fields):
-        value = field(name.lstrip("-"))
-        out = ranking.number(out, [value.desc() if name[0] == "-" else value.asc(), F.col(id_).asc()], f"__r{k}")
-        total = total + (1 - (F.col(f"__r{k}") - 1) / F.lit(float(n))) / (k + 1)
-    return out.withColumn("rank_score", total).drop(*[f"__r{k}" for k in range(len(fields))])
+    """``id_`` and ``rank_score``: each field's normalised rank (1 best) weighted by 1 over its place
+    in the list."""
+    share = 1 - (F.col("__r") - 1) / F.greatest(F.col("__t") - 1, F.lit(1)).cast("double")
+    return _added([_positions(df, name, id_).select(id_, (share / (k + 1)).alias("s")) for k, name in enumerate(fields)], id_)
+
+
+def _positions(df: DataFrame, name: str, id_: str) -> DataFrame:
+    value = field(name.lstrip("-"))
+    return ranking.number(df, [value.desc() if name[0] == "-" else value.asc(), F.col(id_).asc()], "__r", [id_], "__t")
+
+
+def _added(parts: list[DataFrame], id_: str) -> DataFrame:
+    all_ = parts[0]
+    for p in parts[1:]:
+        all_ = all_.unionByName(p)
+    return all_.groupBy(id_).agg(F.sum("s").alias("rank_score"))

@@ -6,13 +6,15 @@ optimiser pushes down whatever it can, and ``run`` adds sorting and paging.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+import re
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelbase.functions import paths, strings
-from reelbase.functions.parsers import Range, any_of, human_to_bytes, human_to_seconds, parse_date, parse_range, search_terms
+from reelbase.functions.parsers import Range, any_of, human_to_bytes, human_to_seconds, parse_date, parse_percentiles, parse_range, plain_terms, search_terms
 from reelbase.plans import sorting
 
 INDEXED = ("path", "path_tokenized", "title", "description")
@@ -49,6 +51,12 @@ class QuerySpec:
     flexible: bool = False
     exact: bool = False
     fts: bool = False
+    no_fts: bool = False
+    unplayed: bool = False
+    playable: str | None = None
+    modified: list[str] = field(default_factory=list)
+    created: list[str] = field(default_factory=list)
+    downloaded: list[str] = field(default_factory=list)
     exclude: list[str] = field(default_factory=list)
     regex: str = ""
     path_contains: list[str] = field(default_factory=list)
@@ -63,15 +71,27 @@ class QuerySpec:
     include: list[str] = field(default_factory=list)
     strict: bool = False
     sort: str = ""
+    play_in_order: str = ""
+    no_play_in_order: bool = False
+    reverse: bool = False
+    natural_sort: bool = False
+    shuffled: bool = False
+    group_by_parent: bool = False
     limit: int | None = 100
     offset: int = 0
     now: int | None = None
 
 
+#: Fields whose ranges may be given in percentiles, in the order these are resolved, and their units.
+PERCENTILES = {"size": human_to_bytes, "duration": human_to_seconds, "modified": int, "created": int, "downloaded": int}
+
+
 def ranges(column: Column, texts: list[str], unit) -> Column:
-    """All ranges of a list; what cannot be parsed is ignored."""
+    """All ranges of a list; what cannot be parsed is ignored, percentiles are resolved elsewhere."""
     out = F.lit(True)
     for t in texts:
+        if parse_percentiles(t):
+            continue
         try:
             out = out & parse_range(t, unit).matches(column)
         except ValueError:
@@ -82,7 +102,7 @@ def ranges(column: Column, texts: list[str], unit) -> Column:
 def fts(terms: list[str], phrases: list[str], loose: bool = True) -> Column:
     """Full-text match over the indexed columns: loose takes each term's first three bytes, and
     any term; otherwise all terms in full, each in any column. Phrases must occur as they are."""
-    cols = [F.lower(F.coalesce(c, F.lit(""))) for c in INDEXED]
+    cols, terms = [F.lower(F.coalesce(c, F.lit(""))) for c in INDEXED], plain_terms(terms)
     hit = lambda t: any_of([c.contains(t.lower()) for c in cols])
     out = F.lit(True)
     if terms and loose:
@@ -132,6 +152,12 @@ def predicate(q: QuerySpec) -> Column:
         out.append(zero("time_first_played") == 0 if "s" in q.partial else c("time_first_played") > 0)
     if q.completed:
         out.append(zero("play_count") > 0)
+    if q.unplayed:
+        out.append((zero("play_count") == 0) & (zero("playhead") == 0))
+    if q.playable is not None:
+        out.append(playable(c("media_type"), q.playable))
+    for name in ("modified", "created", "downloaded"):
+        out.append(ranges(c(f"time_{name}"), [t for t in getattr(q, name) if t[:1] not in "+-"], int))
     if q.online:
         out.append(paths.is_remote(c("path")))
     if q.local:
@@ -147,7 +173,7 @@ def predicate(q: QuerySpec) -> Column:
             contains.append(s[2:] if s.startswith("./") else s)
         else:
             terms.append(s)
-    if q.fts and terms:
+    if search_mode(q) == "fts" and terms:
         out.append(fts(*search_terms(" ".join(terms)), loose=not q.exact))
     elif terms:
         def one(t: str) -> Column:
@@ -186,8 +212,127 @@ def predicate(q: QuerySpec) -> Column:
     return both
 
 
+def search_mode(q: QuerySpec) -> str:
+    """'fts' where it is asked for and not ruled out, else 'substring'."""
+    return "fts" if q.fts and not q.no_fts else "substring"
+
+
+def playable(media_type: Column, kind: str = "") -> Column:
+    """Rows of a kind, by default those that play: video, audio, audiobooks."""
+    if kind:
+        return F.coalesce(media_type.startswith(kind), F.lit(False))
+    return F.coalesce(media_type.startswith("video") | media_type.startswith("audio"), F.lit(False))
+
+
+def existing(df: DataFrame, files: DataFrame) -> DataFrame:
+    """Rows whose path is in a listing of files."""
+    return df.join(files.select("path").distinct(), "path", "left_semi")
+
+
+def known_databases(q: QuerySpec, known: list[str]) -> QuerySpec:
+    """The query over the catalogues it names; an unknown one is an error."""
+    unknown = [d for d in q.dbs if d not in known]
+    if unknown:
+        raise ValueError(f"unknown catalogue: {', '.join(unknown)}")
+    return q
+
+
+def resolve_percentiles(q: QuerySpec, media: DataFrame) -> QuerySpec:
+    """Percentile ranges ('p10-50') made absolute, field after field.
+
+    Each takes its points from the rows of all other filters, those of the fields before it
+    included; folder counts come last. The two bounds of a field are all that reaches the driver.
+    """
+    from reelbase.operators.aggregates import percentiles
+
+    def absolute(text: str, rows: DataFrame, column: str) -> str:
+        pair = parse_percentiles(text)
+        if not pair:
+            return text
+        points = percentiles(rows, column).where(F.col("pct").isin([int(p) for p in pair])).agg(F.min("value").alias("a"), F.max("value").alias("z")).collect()[0]
+        return text if points["a"] is None else f"+{int(points['a'])},-{int(points['z'])}"
+
+    for name in PERCENTILES:
+        texts = getattr(q, name)
+        if any(map(parse_percentiles, texts)):
+            column = name if name in ("size", "duration") else f"time_{name}"
+            rows = media.where(predicate(q)).select(column)
+            new = [absolute(t, rows, column) for t in texts]
+            q = replace(q, **({name: new} if name in ("size", "duration") else {name: [t for t in new if t[:1] != "+"], "where": [*q.where, *[f"{column} between {t[1:].replace(',-', ' and ')}" for t in new if t[:1] == "+"]]}))
+    if parse_percentiles(q.file_counts):
+        counts = media.where(predicate(q)).groupBy(paths.parent(F.col("path"))).agg(F.count("*").alias("episodes"))
+        q = replace(q, file_counts=absolute(q.file_counts, counts, "episodes"))
+    return q
+
+
+def from_parameters(given: dict[str, list[str]]) -> QuerySpec:
+    """The query that a request's parameters ask for (each a list of values).
+
+    Sizes are in MB and durations in minutes; '+x' and '-x' times are bounds; sort fields are a JSON
+    list or parted by commas. Numbers that are none are passed over.
+    """
+    one = lambda k: next(iter(given.get(k, [])), "")
+    on = lambda k: one(k) == "true"
+    number = lambda t: int(t) if re.fullmatch(r"[+-]?\d+", t) else None
+    q = QuerySpec(search=one("search").split(), fts=one("search_type") == "fts", category=given.get("category", []), genre=one("genre"), language=given.get("language", []), dbs=given.get("db", []))
+    q.paths = one("paths").split(",") if one("paths") else []
+    q.ratings = [r for t in given.get("rating", []) if (r := number(t)) is not None]
+    q.score_min, q.score_max = (float(one(k)) if one(k) else None for k in ("min_score", "max_score"))
+    q.unplayed, q.with_captions = on("unplayed"), on("captions") or one("view") == "captions"
+    q.sort, q.shuffled, q.reverse = one("sort"), one("sort") == "random", on("reverse")
+    fields = one("sort_fields")
+    if fields:
+        try:
+            q.play_in_order = ",".join(json.loads(fields)) if fields[0] == "[" else fields
+        except ValueError:
+            q.play_in_order = ""
+    if one("sort_desc") and q.play_in_order:
+        down = {f.strip() for f in one("sort_desc").split(",")}
+        bare = [f.strip().removeprefix("-").removesuffix(" desc").removesuffix(" asc") for f in q.play_in_order.split(",")]
+        q.play_in_order = ",".join(f"-{f}" if f in down else f for f in bare)
+    limit, offset = number(one("limit")), number(one("offset"))
+    q.limit, q.offset = (None if on("all") else q.limit if limit is None else limit), offset or 0
+    bound = lambda k, unit: [f"{sign}{one(f'{end}_{k}')}{unit}" for end, sign in (("min", ">"), ("max", "<")) if one(f"{end}_{k}")] + given.get(k, [])
+    q.size, q.duration = bound("size", "MB"), bound("duration", "min")
+    for k in ("modified", "created", "downloaded"):
+        setattr(q, k, [t for t in given.get(k, []) if t[:1] not in "+-"])
+        for end, side in ((f"min_{k}", q.after), (f"max_{k}", q.before)):
+            if one(end):
+                side[k] = one(end)
+        for part in (p for t in given.get(k, []) for p in t.split(",") if p[:1] in "+-"):
+            (q.after if part[0] == "+" else q.before)[k] = part[1:]
+    asked = given.get("media_type") or given.get("type") or []
+    q.types = [t for t in ("video", "audio", "image", "text") if t in asked or on(t)]
+    q.watched, q.unfinished, q.completed = True if on("watched") else None, on("unfinished"), on("completed")
+    q.only_deleted, q.file_counts, q.group_by_parent = on("trash"), ",".join(given.get("episodes", [])), one("group_by") == "parent"
+    return q
+
+
+# Queries that have a name of their own; a null time of deletion is not 0.
+NAMED = {
+    "by_type": "time_deleted = 0 and media_type = :value", "by_size": "time_deleted = 0 and size >= :low and size <= :high", "by_duration": "time_deleted = 0 and duration >= :low and duration <= :high",
+    "by_play_count": "time_deleted = 0 and play_count >= :low and play_count <= :high", "by_path": "time_deleted = 0 and path like :value", "watched": "time_deleted = 0 and time_last_played > 0",
+    "unwatched": "time_deleted = 0 and coalesce(time_last_played, 0) = 0", "unfinished": "time_deleted = 0 and playhead > 0 and playhead < 0.95 * duration",
+}
+
+
+def named(df: DataFrame, name: str, **values) -> DataFrame:
+    """The rows of a named query; ``value``, ``low`` and ``high`` as it needs them."""
+    return df.sparkSession.sql(f"select * from {{df}} where {NAMED[name]}", args=values, df=df) if values else df.where(NAMED[name])
+
+
+def bindings(include: list[str], exclude: list[str], columns: list[str], exact: bool = False) -> tuple[str, dict[str, str]]:
+    """A condition over named columns and its named values: every included term in some column, no
+    excluded one in any."""
+    made = {f"include{k}": t if exact else f"%{t}%" for k, t in enumerate(include)} | {f"exclude{k}": t if exact else f"%{t}%" for k, t in enumerate(exclude)}
+    have = [" or ".join(f"{c} like :include{k}" for c in columns) for k in range(len(include))]
+    none = [" and ".join(f"coalesce({c}, '') not like :exclude{k}" for c in columns) for k in range(len(exclude))]
+    return " and ".join(f"({x})" for x in [*have, *none]), made
+
+
 def run(q: QuerySpec, media: DataFrame, captions: DataFrame | None = None) -> DataFrame:
     """The plan of a query: filters, semi-joins, folder counts, then sorting and paging."""
+    q = resolve_percentiles(q, media)
     df = media.where(predicate(q))
     if q.with_captions:
         df = df.join(captions.select(F.col("media_path").alias("path")).distinct(), "path", "left_semi")

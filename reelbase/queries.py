@@ -13,7 +13,8 @@ from reelbase.operators import aggregates, changes, search, similarity, textsort
 from reelbase.plans import sorting, spec
 from reelbase.plans.spec import QuerySpec
 from reelbase.sources import files
-from reelbase.tables import table
+from reelbase.streaming import history
+from reelbase.tables import shared_folder, table
 
 NOW = 1735689600
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,14 +158,14 @@ def _(spark, d):
     return spark.createDataFrame([(k, c, kind) for k, (c, kind) in enumerate(media.dtypes)], "pos int, col string, kind string")
 
 
-@q("s18_json", "select media_id, to_json({'path': path, 'size': size, 'play_count': play_count}) as json from media where path is not null and size is not null and play_count is not null")
+@q("s18_json", "select media_id, to_json({'path': path, 'size': size, 'play_count': play_count}) as json from media")
 def _(spark, d):
-    return _media(spark, d).where("path is not null and size is not null and play_count is not null").select("media_id", F.to_json(F.struct("path", "size", "play_count")).alias("json"))
+    return _media(spark, d).select("media_id", strings.as_json("path", "size", "play_count").alias("json"))
 
 
 @q("s20_feed", f"select media_id, coalesce(nullif(title, ''), regexp_replace(regexp_extract({P}, '([^/]*)$', 1), '\\.[^.]*$', '')) as title, coalesce(artist, '') as author from media where media_type = 'text' and {LIVE}")
 def _(spark, d):
-    return aggregates.live(_media(spark, d)).where("media_type = 'text'").select("media_id", F.coalesce(F.expr("nullif(title, '')"), paths.stem(F.col("path"))).alias("title"), F.coalesce("artist", F.lit("")).alias("author"))
+    return aggregates.live(_media(spark, d)).where("media_type = 'text'").select("media_id", strings.display_title(F.col("title"), paths.stem(F.col("path"))).alias("title"), F.coalesce("artist", F.lit("")).alias("author"))
 
 
 @q("s21_ingest_diff", "with f as (select path, max(size) as size, max(time_modified) as time_modified from media group by path), k as (select path, max(size) as s, max(time_modified) as t, max(coalesce(time_deleted, 0)) as d from media where db <> 'main.db' group by path) select f.path, d is null as is_new from f left join k on f.path = k.path where not coalesce(f.size is not distinct from s and f.time_modified is not distinct from t and d = 0, false)")
@@ -180,9 +181,9 @@ def _(spark, d):
     return changes.new_roots(_media(spark, d).select(paths.parent(F.col("path")).alias("path")).distinct())
 
 
-@q("s26_text_duration", "select doc_id, case when length(coalesce(text, '')) = 0 then 0 else length(text) - length(translate(text, ' ' || chr(10) || chr(9), '')) + 1 end as n_words from documents")
+@q("s26_text_duration", "with n as (select doc_id, case when length(coalesce(text, '')) = 0 then 0 else length(text) - length(translate(text, ' ' || chr(10) || chr(9), '')) + 1 end as n_words from documents) select doc_id, n_words, cast(trunc(n_words / 3.67) as bigint) as seconds from n")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", m.word_count(F.col("text")).alias("n_words"))
+    return table(spark, d, "documents").select("doc_id", m.word_count(F.col("text")).alias("n_words")).withColumn("seconds", m.reading_seconds(F.col("n_words")))
 
 
 # ---- search
@@ -211,11 +212,9 @@ def _(spark, d):
     return search.caption_context(table(spark, d, "captions"), "harbour").select("caption_id")
 
 
-@q("t12_best_caption", "with r as (select m.media_id, c.text, row_number() over (partition by m.media_id order by c.time, c.caption_id) k from media m join captions c on m.path = c.media_path where contains(lower(c.text), 'lantern') or contains(lower(c.text), 'harbour')) select media_id, text from r where k = 1")
+@q("t12_best_caption", "with h as (select media_path, text, row_number() over (partition by media_path order by time, caption_id) k from captions where contains(lower(text), 'lantern') or contains(lower(text), 'harbour')) select m.media_id, h.text from media m left join h on m.path = h.media_path and h.k = 1")
 def _(spark, d):
-    hits = table(spark, d, "captions").where(F.lower("text").contains("lantern") | F.lower("text").contains("harbour"))
-    first = hits.groupBy("media_path").agg(F.min_by("text", F.struct(F.col("time").isNull(), F.col("time"), F.col("caption_id"))).alias("text"))
-    return _media(spark, d).join(first, F.col("path") == F.col("media_path")).select("media_id", "text")
+    return search.best_captions(table(spark, d, "captions"), _media(spark, d), ["lantern", "harbour"]).select("media_id", "text")
 
 
 # ---- aggregates
@@ -236,21 +235,15 @@ q("a01_count", f"select count(*) as n from media where {LIVE}")(lambda spark, d:
 q("a05_summary", "select 'Total' as label, count(*) as n, cast(sum(size) as bigint) as size, cast(sum(duration) as bigint) as duration from media union all select 'Median', count(*), cast(trunc(quantile_cont(size, 0.5)) as bigint), cast(trunc(quantile_cont(duration, 0.5)) as bigint) from media")(lambda spark, d: aggregates.summary(_media(spark, d)))
 q("a06_genres", f"select genre, count(*) as n from media where {LIVE} and genre <> '' group by genre")(lambda spark, d: aggregates.value_counts(aggregates.live(_media(spark, d)), F.col("genre"), "genre"))
 q("a06_languages", f"select language, count(*) as n from media where {LIVE} and language <> '' group by language")(lambda spark, d: aggregates.value_counts(aggregates.live(_media(spark, d)), F.col("language"), "language"))
-q("a07_ratings", f"select cast(trunc(coalesce(score, 0)) as bigint) as rating, count(*) as n from media where {LIVE} group by 1")(
-    lambda spark, d: aggregates.live(_media(spark, d)).groupBy(F.coalesce("score", F.lit(0.0)).cast("bigint").alias("rating")).agg(F.count("*").alias("n"))
+q("a07_ratings", f"select cast(trunc(coalesce(score, 0)) as bigint) as rating, count(*) as n from media where {LIVE} group by 1")(lambda spark, d: aggregates.ratings(aggregates.live(_media(spark, d))))
+q("a08_fixed_categories", f"select c as category, (select count(*) from media where {LIVE} and contains(categories, ';' || c || ';')) as n from (select distinct category as c from custom_keywords) v union all select 'Uncategorized', count(*) from media where {LIVE} and coalesce(categories, '') = ''")(
+    lambda spark, d: aggregates.named_categories(aggregates.live(_media(spark, d)), table(spark, d, "custom_keywords"))
 )
-q("a08_fixed_categories", f"select c as category, (select count(*) from media where {LIVE} and contains(categories, ';' || c || ';')) as n from (values ('fitness'), ('travel'), ('sports')) v(c) union all select 'Uncategorized', count(*) from media where {LIVE} and (categories is null or categories = '')")(
-    lambda spark, d: aggregates.live(_media(spark, d)).agg(
-        *[F.count_if(F.col("categories").contains(f";{c};")).alias(c) for c in ("fitness", "travel", "sports")], F.count_if(F.col("categories").isNull() | (F.col("categories") == "")).alias("Uncategorized")
-    ).selectExpr("stack(4, 'fitness', fitness, 'travel', travel, 'sports', sports, 'Uncategorized', Uncategorized) as (category, n)")
-)
 q("a09_categories", f"with v as (select list_filter(str_split(coalesce(categories, ''), ';'), lambda x: trim(x) <> '') l from media where {LIVE}), u as (select trim(unnest(case when len(l) = 0 then ['Uncategorized'] else l end)) category from v union all select null where false), a as (select category, count(*) n from u group by 1 union all select distinct category, 0 from custom_keywords) select category, cast(sum(n) as bigint) as n from a group by 1")(
     lambda spark, d: aggregates.category_counts(_media(spark, d), table(spark, d, "custom_keywords"))
 )
 q("a10_by_parent", f"select {PARENT} as folder, {MEASURES} from media group by 1")(lambda spark, d: aggregates.by_parent(_media(spark, d)))
-q("a11_group_by_parent", f"select {PARENT} as folder, min(path) as first_path, max(path) as last_path, count(*) as n from media where {LIVE} group by 1")(
-    lambda spark, d: aggregates.live(_media(spark, d)).groupBy(paths.parent(F.col("path")).alias("folder")).agg(F.min("path").alias("first_path"), F.max("path").alias("last_path"), F.count("*").alias("n"))
-)
+q("a11_group_by_parent", f"select {PARENT} as folder, min(path) as first_path, max(path) as last_path, count(*) as n from media where {LIVE} group by 1")(lambda spark, d: aggregates.grouped_by_parent(aggregates.live(_media(spark, d))))
 q("a12_by_extension", f"select case when {EXT} = '' then 'no extension' else {EXT} end as extension, {MEASURES} from media group by 1")(lambda spark, d: aggregates.by_extension(_media(spark, d)))
 q("a13_by_size", f"with e as (select cast(x as bigint) as low, lead(cast(x as bigint)) over (order by x) as high from (values {', '.join(f'({e})' for e in aggregates.EDGES)}) v(x)) select low, {MEASURES} from media, e where coalesce(size, 0) >= low and (high is null or coalesce(size, 0) < high) group by low")(lambda spark, d: aggregates.by_size(_media(spark, d)))
 q("a14_by_depth", f"select '/' || array_to_string(list_filter(str_split(path, '/'), lambda x: x <> '')[:3], '/') as folder, {MEASURES} from media group by 1")(lambda spark, d: aggregates.by_depth(_media(spark, d), 3))
@@ -280,16 +273,14 @@ _WORDS = "list_filter(str_split(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g
 q("a25_word_counts", f"select word, count(*) as n from (select unnest({_WORDS.format(c='path')}) as word from media) group by word")(lambda spark, d: aggregates.word_counts(_media(spark, d), F.col("path")))
 
 
-@q("a25_line_statistics", f"with t as (select media_id, unnest({_WORDS.format(c='path')}) as w from media), c as (select w, count(*) n from t group by w) select media_id, cast(sum(n) as bigint) as sum_n, max(n) as max_n, min(n) as min_n, count(*) filter (n > 1) as dups, count(*) filter (n = 1) as uniques from t join c using (w) group by media_id")
+@q("a25_line_statistics", f"with t as (select media_id, unnest({_WORDS.format(c='path')}) as w from media), c as (select w, count(*) n from t group by w) select media_id, count(*) as n_words, cast(sum(n) as bigint) as sum_n, max(n) as max_n, min(n) as min_n, round(avg(n), 6) as avg_n, quantile_cont(n, 0.5) as median_n, count(*) filter (n > 1) as dups, count(*) filter (n = 1) as uniques from t join c using (w) group by media_id")
 def _(spark, d):
-    t = _media(spark, d).select("media_id", F.explode(strings.words(F.col("path"))).alias("w"))
-    per = t.groupBy("media_id", "w").agg(F.count("*").alias("k"))
-    c = per.groupBy("w").agg(F.sum("k").alias("n"))
-    return per.join(c, "w").groupBy("media_id").agg(F.sum(F.col("n") * F.col("k")).alias("sum_n"), F.max("n").alias("max_n"), F.min("n").alias("min_n"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("k"))), F.lit(0)).alias("dups"), F.coalesce(F.sum(F.when(F.col("n") == 1, F.col("k"))), F.lit(0)).alias("uniques"))
+    words = _media(spark, d).select(F.col("media_id").alias("i"), F.explode(strings.words(F.col("path"))).alias("w"))
+    return textsort.line_statistics(words).select(F.col("i").alias("media_id"), F.col("n").alias("n_words"), F.col("sum").alias("sum_n"), F.col("max").alias("max_n"), F.col("min").alias("min_n"), F.round("avg", 6).alias("avg_n"), F.col("median").alias("median_n"), "dups", "uniques")
 
 
-q("a28_caption_aggregate", "select media_path, count(*) as n, cast(coalesce(sum(floor(time)), 0) as bigint) as total_time, min(time) as first_time from captions group by media_path")(
-    lambda spark, d: table(spark, d, "captions").groupBy("media_path").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.floor("time")), F.lit(0)).alias("total_time"), F.min("time").alias("first_time"))
+q("a28_caption_aggregate", "select media_path, count(*) as n, cast(coalesce(sum(floor(time)), 0) as bigint) as total_time, min(time) as first_time, arg_min(struct_pack(t := text), (time is null, time, caption_id)).t as first_text from captions group by media_path")(
+    lambda spark, d: aggregates.captions_by_media(table(spark, d, "captions"))
 )
 
 
@@ -299,7 +290,7 @@ def _(spark, d):
     return search.merge_captions(hits)
 
 
-q("a30_history_counts", "select media_path, count(*) as n, max(time_played) as last from history group by media_path")(lambda spark, d: table(spark, d, "history").groupBy("media_path").agg(F.count("*").alias("n"), F.max("time_played").alias("last")))
+q("a30_history_counts", "select media_path, count(*) as n, max(time_played) as last from history group by media_path")(lambda spark, d: aggregates.history_counts(table(spark, d, "history")))
 q("a31_distinct", "select distinct category as v, 'category' as kind from custom_keywords union all select distinct media_path, 'captioned' from captions union all select distinct title, 'playlist' from playlists where title is not null")(
     lambda spark, d: changes.union_all([
         table(spark, d, "custom_keywords").select(F.col("category").alias("v"), F.lit("category").alias("kind")).distinct(),
@@ -313,18 +304,18 @@ q("a31_distinct", "select distinct category as v, 'category' as kind from custom
 @q("w01_ntile_priority", "select media_id, ntile(1000) over (order by size // duration desc nulls last, media_id) as tile from media where size is not null and duration > 0")
 def _(spark, d):
     rows = _media(spark, d).where("size is not null and duration > 0")
-    return ranking.ntile(rows, [F.expr("size div duration").desc_nulls_last(), F.col("media_id")], 1000).select("media_id", "tile")
+    return ranking.ntile(rows, [F.expr("size div duration").desc_nulls_last(), F.col("media_id")], 1000, keep=["media_id"]).select("media_id", "tile")
 
 
 @q("w02_ntile_fast", "select media_id, ntile(1000) over (order by size desc nulls last, media_id) as tile from media")
 def _(spark, d):
-    return ranking.ntile(_media(spark, d), [F.col("size").desc_nulls_last(), F.col("media_id")], 1000).select("media_id", "tile")
+    return ranking.ntile(_media(spark, d), [F.col("size").desc_nulls_last(), F.col("media_id")], 1000, keep=["media_id"]).select("media_id", "tile")
 
 
 @q("w06_top_per_folder", f"select media_id from (select media_id, row_number() over (partition by {PARENT} order by path, media_id) k from media) where k <= 3")
 def _(spark, d):
     media = _media(spark, d).select(paths.parent(F.col("path")).alias("f"), "path", "media_id")
-    return ranking.number_within(media, ["f"], [F.col("path"), F.col("media_id")], "k").where("k <= 3").select("media_id")
+    return ranking.number_within(media, ["f"], [F.col("path"), F.col("media_id")], "k", ["media_id"]).where("k <= 3").select("media_id")
 
 
 def _order_sql(by: str, where: str = "true") -> str:
@@ -337,15 +328,15 @@ _SORTS = {
     "o06_type_title": ("media_type,-title", "coalesce(media_type, ''), coalesce(title, '') desc, path, media_id"),
     "o06_extension": ("extension,-time_created", f"{EXT}, coalesce(time_created, 0) desc, path, media_id"),
     "o09_groups": ("size|-play_count", "(coalesce(play_count, 0) = 0), coalesce(play_count, 0) desc, coalesce(size, 0), path, media_id"),
-    "o10_default_order": ("default", "coalesce(video_count, 0) desc, coalesce(audio_count, 0) desc, lower(path[:4]) = 'http', coalesce(subtitle_count, 0) desc, (coalesce(play_count, 0) = 0), coalesce(play_count, 0), coalesce(playhead, 0), (coalesce(time_last_played, 0) = 0), coalesce(time_last_played, 0), coalesce(trim(title) = '', true), path, media_id"),
+    "o10_default_order": ("default", "coalesce(video_count, 0) desc, coalesce(audio_count, 0) desc, lower(path[:4]) = 'http', coalesce(subtitle_count, 0) desc, (coalesce(play_count, 0) = 0), coalesce(play_count, 0), coalesce(playhead, 0) desc, (coalesce(time_last_played, 0) = 0), coalesce(time_last_played, 0), coalesce(trim(title) = '', true), path, media_id"),
 }
 for _name, (_config, _by) in _SORTS.items():
-    q(_name, _order_sql(_by))(lambda spark, d, c=_config: ranking.number(_media(spark, d), [*(sorting.groups(c) if "|" in c else sorting.order(c)), F.col("media_id").asc()]).select("media_id", "rn"))
+    q(_name, _order_sql(_by))(lambda spark, d, c=_config: ranking.number(_media(spark, d), [*(sorting.groups(c) if "|" in c else sorting.order(c)), F.col("media_id").asc()], keep=["media_id"]).select("media_id", "rn"))
 
 
 @q("o07_natural")
 def _(spark, d):
-    return ranking.number(_media(spark, d), [*sorting.order("natural_path"), F.col("media_id").asc()]).select("media_id", "rn")
+    return ranking.number(_media(spark, d), [*sorting.order("natural_path"), F.col("media_id").asc()], keep=["media_id"]).select("media_id", "rn")
 
 
 q("o02_page", f"select media_id, path from media where {LIVE} order by coalesce(size, 0) desc, path, media_id limit 50 offset 20")(
@@ -359,8 +350,8 @@ q("o13_rerank", "with r as (select media_id, row_number() over (order by coalesc
 q("o15_history_progress", "select media_id, round(cast(playhead as double) / duration, 6) as progress from media where coalesce(playhead, 0) > 0 and duration > 0")(
     lambda spark, d: _media(spark, d).where("coalesce(playhead, 0) > 0 and duration > 0").select("media_id", F.round(m.progress(F.col("playhead"), F.col("duration")), 6).alias("progress"))
 )
-q("o20_list", f"select p[4] as entry, len(p) > 4 as is_folder, count(*) as n from (select list_filter(str_split(path, '/'), lambda x: x <> '') p from media where starts_with(path, '/srv/media/shows/')) where len(p) >= 4 group by 1, 2")(
-    lambda spark, d: _media(spark, d).where(F.col("path").startswith("/srv/media/shows/")).select(paths.parts(F.col("path")).alias("p")).where("size(p) >= 4").groupBy(F.element_at("p", 4).alias("entry"), (F.size("p") > 4).alias("is_folder")).agg(F.count("*").alias("n"))
+q("o20_list", "select p[4] as entry, bool_or(len(p) > 4) as is_folder, count(*) as n from (select list_filter(str_split(path, '/'), lambda x: x <> '') p from media where starts_with(path, '/srv/media/shows/s')) where len(p) >= 4 group by 1 order by n desc, is_folder desc, entry limit 20")(
+    lambda spark, d: aggregates.listed(_media(spark, d), "/srv/media/shows/s", 20)
 )
 q("o22_trash", "select media_id, time_deleted from media where coalesce(time_deleted, 0) > 0")(lambda spark, d: spec.run(QuerySpec(only_deleted=True, limit=None), _media(spark, d)).select("media_id", "time_deleted"))
 
@@ -382,9 +373,11 @@ def _(spark, d):
     return table(spark, d, "history").where("media_path is not null").join(_media(spark, d).select(F.col("path").alias("media_path")), "media_path", "left_anti").select("media_path").distinct()
 
 
-@q("j09_watch_later", "select media_id, upper(md5(path)) as key from media")
+@q("j09_watch_later", "with h as (select media_path, max(playhead) as head from history where playhead is not null and media_path is not null group by 1) select media_id, head as saved from media join h on path = media_path")
 def _(spark, d):
-    return _media(spark, d).select("media_id", F.upper(F.md5("path")).alias("key"))
+    saved = table(spark, d, "history").where("playhead is not null and media_path is not null").groupBy("media_path").agg(F.max("playhead").alias("at"))
+    states = saved.select(F.upper(F.md5("media_path")).alias("name"), F.format_string("volume=80\nstart=%d.500000\npause=yes", "at").alias("value"))
+    return files.watch_later(_media(spark, d), states).select("media_id", "saved")
 
 
 _ONE = "select path, max(size) as size, max(title) as title, max(play_count) as play_count, max(time_downloaded) as time_downloaded, max(time_deleted) as time_deleted, max(time_created) as time_created from media where {w} group by path"
@@ -432,19 +425,12 @@ q("d09_tf_idf", f"with t as (select media_id, unnest({_WORDS.format(c='path')})
 q("d09_path_clusters")(lambda spark, d: similarity.cluster_paths(_media(spark, d), "media_id", F.col("path"), 12))
 
 
-def _keywords(spark: SparkSession, d: str, most: int = 10_000) -> list[tuple[str, str]]:
-    rows = table(spark, d, "custom_keywords").where("category is not null and keyword is not null").distinct().limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} keywords")
-    return sorted((r["category"], r["keyword"]) for r in rows)
-
-
 _HIT = "regexp_matches(concat_ws(' ', path, title), '(?i)(?:^|[^a-zA-Z0-9])' || keyword || '(?:$|[^a-zA-Z0-9])')"
 q("d12_categorize", f"with h as (select distinct media_id, category from media, custom_keywords where {_HIT}), o as (select media_id, trim(unnest(str_split(coalesce(categories, ''), ';'))) category from media), a as (select * from h union select * from o where category <> '') select media_id, coalesce(';' || string_agg(category, ';' order by category) || ';', '') as new_categories from media left join a using (media_id) group by media_id")(
-    lambda spark, d: similarity.categorize(_media(spark, d), _keywords(spark, d)).select("media_id", "new_categories")
+    lambda spark, d: similarity.categorize(_media(spark, d), table(spark, d, "custom_keywords")).select("media_id", "new_categories")
 )
 q("a26_mined_keywords", f"with m as (select * from media where not exists (select 1 from custom_keywords where {_HIT})) select word, count(*) as n from (select unnest(list_distinct({_WORDS.format(c='''concat_ws(' ', path, title)''')})) as word from m) where length(word) >= 4 and word not in (select lower(keyword) from custom_keywords) group by word having count(*) > 1")(
-    lambda spark, d: similarity.mine_keywords(_media(spark, d), _keywords(spark, d))
+    lambda spark, d: similarity.mine_keywords(_media(spark, d), table(spark, d, "custom_keywords"))
 )
 
 
@@ -461,16 +447,32 @@ q("x12_path_parts", f"select media_id, {PARENT} as parent, {EXT} as ext, len(lis
 q("x18_hashes", "select media_id, sha256(path) as sha, upper(md5(path)) as md5 from media")(lambda spark, d: _media(spark, d).select("media_id", F.sha2("path", 256).alias("sha"), F.upper(F.md5("path")).alias("md5")))
 q("x17_strip_tags", "select doc_id, trim(regexp_replace(regexp_replace(text, '<[^>]*>', ' ', 'g'), '[ \\t\\n\\r\\f]+', ' ', 'g'), ' ') as plain from documents")(lambda spark, d: table(spark, d, "documents").select("doc_id", strings.strip_tags(F.col("text")).alias("plain")))
 q("m04_bitrate", "select media_id, case when duration > 0 then size // duration end as bitrate from media")(lambda spark, d: _media(spark, d).select("media_id", m.bitrate(F.col("size"), F.col("duration")).alias("bitrate")))
-_C = lambda c, names: "(" + " or ".join(f"contains(lower(coalesce({c}, '')), '{n}')" for n in names) + ")"
-q("m07_transcode", f"select media_id, not (v and a and {EXT} in ('.mp4', '.m4v', '.webm', '.mov')) as needs, v as copy_video, a as copy_audio from (select *, coalesce(video_codecs, '') = '' or {_C('video_codecs', m.PLAYABLE_VIDEO)} v, coalesce(audio_codecs, '') = '' or {_C('audio_codecs', m.PLAYABLE_AUDIO)} a from media)")(
-    lambda spark, d: _media(spark, d).select("media_id", m.transcode(paths.extension(F.col("path")), F.col("video_codecs"), F.col("audio_codecs")).alias("t")).select("media_id", "t.*")
-)
-q("m02_formatted")(lambda spark, d: _media(spark, d).select("media_id", m.format_size(F.col("size")).alias("size"), m.format_duration(F.col("duration")).alias("duration")))
+_V, _A = "lower(coalesce(video_codecs, ''))", "lower(coalesce(audio_codecs, ''))"
+_PLAYS = f"""select media_id, media_type, {EXT} as ext, ltrim({EXT}, '.') as box, regexp_matches({_V}, 'h264|avc1|vp8|vp9|av1') as v, regexp_matches({_A}, 'aac|mp3|opus|vorbis|flac|pcm|wav') and not regexp_matches({_A}, 'eac3|ac3|dts|truehd|mlp') as a,
+ regexp_matches({_V}, 'vp9|vp8|av1') or regexp_matches({_A}, 'opus|vorbis') as w from media"""
+_NEEDS = """case when ext in ('.sqlite', '.db', '.txt') then false when media_type = 'video' then not (v and a and case when w then box in ('webm', 'mkv', 'matroska') else box in ('mp4', 'm4v', 'mov', 'mkv', 'matroska') end)
+ when media_type = 'audio' then not (a and box in ('mp3', 'mp4', 'm4a', 'ogg', 'flac', 'wav', 'opus', 'webm')) else false end"""
+q("m07_transcode", f"with p as ({_PLAYS}), n as (select *, {_NEEDS} as needs from p) select media_id, needs, needs and media_type = 'video' and v as copy_video, needs and a as copy_audio, case when needs and media_type = 'video' then case when w then 'video/webm' else 'video/mp4' end when needs then 'audio/webm' else '' end as mime from n")(
+    lambda spark, d: _media(spark, d).select("media_id", m.transcode(paths.extension(F.col("path")), F.col("media_type"), F.col("video_codecs"), F.col("audio_codecs")).alias("t")).select("media_id", "t.*")
+)
+_HMS = "case when {d} >= 3600 then printf('%d:%02d:%02d', {d} // 3600, {d} % 3600 // 60, {d} % 60) else printf('%d:%02d', {d} // 60, {d} % 60) end"
+_UNIT = "case when size is null or size = 0 then '-' when size < 1000 then printf('%d B', size) " + " ".join(f"when size < {1000 ** (k + 1)} then printf('%.1f {u}', cast(size as double) / {1000 ** k})" for k, u in enumerate(("KB", "MB", "GB", "TB", "PB"), 1)) + " end"
+q("m02_formatted", f"""select media_id, {_UNIT} as size, case when coalesce(duration, 0) = 0 then '-' when duration >= 86400 then printf('%dd %02d:%02d', duration // 86400, duration % 86400 // 3600, duration % 3600 // 60) else {_HMS.format(d='duration')} end as duration,
+ case when coalesce(duration, 0) = 0 then '' when duration < 60 then printf('%d seconds', duration) when duration < 66 then '1 minute' when duration < 3600 then printf('%.1f minutes', duration / 60.0) when duration < 3960 then '1 hour' when duration < 86400 then printf('%.1f hours', duration / 3600.0)
+ when duration // 86400 // 365 > 0 then printf('%d years', duration // 86400 // 365) || case when duration // 86400 % 365 > 0 then printf(' and %d days', duration // 86400 % 365) else '' end when duration // 86400 > 1 then printf('%d days', duration // 86400) else '1 day' end as short,
+ {_HMS.format(d='duration')} as clock, case when coalesce(time_created, 0) = 0 then '-' else strftime(to_timestamp(time_created) at time zone 'UTC', '%Y-%m-%d %H:%M') end as created from media""")(
+    lambda spark, d: _media(spark, d).select(
+        "media_id", m.format_size(F.col("size")).alias("size"), m.format_duration(F.col("duration")).alias("duration"), m.format_duration_short(F.col("duration")).alias("short"), m.hhmmss(F.col("duration")).alias("clock"), m.format_time(F.col("time_created")).alias("created")
+    )
+)
 
 q("s10_chunks")(lambda spark, d: files.chunks(table(spark, d, "documents"), "doc_id", "text"))
-q("o16_line_sort")(lambda spark, d: textsort.sort_lines(_media(spark, d), "media_id", "path").select("media_id", "rn"))
-q("o14_folder_sort", f"select folder, cast(row_number() over (order by total_size // n desc, total_size desc, n desc, folder) as bigint) as rn from (select {PARENT} as folder, {SUMS} from media where {LIVE} group by 1)")(
-    lambda spark, d: ranking.number(aggregates.folder_stats(_media(spark, d)), [F.expr("total_size div file_count").desc(), F.col("total_size").desc(), F.col("file_count").desc(), F.col("parent")]).select(F.col("parent").alias("folder"), "rn")
+_LINE_WORDS = "list_transform(regexp_extract_all(regexp_replace(path, '^https?://', ''), '\\b\\w\\w+\\b'), lambda x: lower(x))"
+q("o16_line_sort", f"with w as (select media_id, path, {_LINE_WORDS} as l from media), e as (select media_id, unnest(l) as word, unnest(range(1, len(l) + 1)) as k, len(l) as n from w), c as (select word, count(*) as c from e group by 1), f as (select media_id, word, max(k) as last from e group by 1, 2), o as (select e.media_id, string_agg(e.word, ' ' order by c.c > 1 desc, c.c, strlen(e.word) desc, e.n - f.last desc, e.word, e.k) as words from e join c using (word) join f on e.media_id = f.media_id and e.word = f.word group by 1), s as (select media_id, path, coalesce(words, '') as words from w left join o using (media_id)) select media_id, words, row_number() over (order by words, path, media_id) as rn from s")(
+    lambda spark, d: textsort.sort_lines(_media(spark, d), "media_id", "path").select("media_id", "words", "rn")
+)
+q("o14_folder_sort", f"with f as (select {PARENT} as folder, {SUMS} from media where {LIVE} group by 1) select folder, row_number() over (order by n, folder) as by_count, row_number() over (order by total_size desc, folder) as by_size, row_number() over (order by total_duration, folder) as by_duration, row_number() over (order by total_size / n desc, total_size desc, folder) as by_priority from f")(
+    lambda spark, d: _folder_ranks(spark, d)
 )
 q("u11_move_track", "with p as (select *, row_number() over (order by track_number nulls first, time_added nulls first, media_path) - 1 as k from playlist_items where playlist_id = 3), x as (select media_path as mp from p where k = 2) select media_path, cast(case when media_path = mp then 0 when mp is not null and k < 2 then k + 1 else k end as bigint) as track_number from p left join x on true")(
     lambda spark, d: _moved(spark, d)
@@ -483,6 +485,14 @@ q("d05_similar_pairs_to_median", "with m as (select path, max(size) as size from
 )
 
 
+def _folder_ranks(spark: SparkSession, d: str) -> DataFrame:
+    stats, out = aggregates.folder_stats(_media(spark, d)), None
+    for by, down in (("count", False), ("size", True), ("duration", False), ("priority", True)):
+        ranked = ranking.number(stats, sorting.folder_order(by, down), f"by_{by}", ["parent"])
+        out = ranked if out is None else out.join(ranked, "parent")
+    return out.withColumnRenamed("parent", "folder")
+
+
 def _moved(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "playlist_items")
     third = items.where("playlist_id = 3").orderBy(F.col("track_number").asc_nulls_first(), F.col("time_added").asc_nulls_first(), "media_path").offset(2).limit(1).collect()
@@ -497,19 +507,23 @@ def _to_median(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- smaller functions and reports
 _NAME = "case lower(substr({c}, 1, 2)) " + " ".join(f"when '{k}' then '{v}'" for k, v in more.LANGUAGE_NAMES.items()) + " end"
-_RATE = f"(case {EXT} " + " ".join(f"when '{k}' then {v}" for k, v in more.BITRATES.items()) + f" else {more.VIDEO_BITRATE} end)"
+_RATE = f"(case {EXT} when '.vob' then 5e6 when '.ifo' then 5e6 when '.vro' then 5e6 when '.m2t' then 15e6 when '.m2ts' then 15e6 when '.mts' then 15e6 when '.mod' then 10e6 when '.tod' then 12e6 when '.divx' then 4e6 when '.xvid' then 4e6 when '.rm' then 2e6 when '.rmvb' then 3e6 when '.wmv' then 3e6 when '.asf' then 3e6 when '.avchd' then 20e6 when '.bdmv' then 30e6 when '.mpls' then 30e6 when '.iso' then 8e6 end)"
+_PER = f"(case {EXT} when '.pdf' then 7.0 when '.epub' then 5.5 when '.mobi' then 5.5 when '.azw3' then 5.5 when '.docx' then 6.5 when '.odt' then 6.5 when '.html' then 4.5 when '.htm' then 4.5 when '.cbz' then 50.0 when '.cbr' then 50.0 when '.djvu' then 15.0 else 4.2 end)"
 q("x15_language_names", f"select media_id, {_NAME.format(c='language')} as name from media")(lambda spark, d: _media(spark, d).select("media_id", more.language_name(F.col("language")).alias("name")))
 q("x07_shortened", "select media_id, case when length(title) > 20 then substr(title, 1, 19) || '…' else title end as short, case when length(path) > 40 then substr(path, 1, 19) || '…' || substr(path, -20) else path end as middle from media")(
     lambda spark, d: _media(spark, d).select("media_id", more.shorten(F.col("title"), 20).alias("short"), more.shorten_middle(F.col("path"), 40).alias("middle"))
 )
 q("x11_escaped", "select media_id, replace(replace(replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&apos;') as xml from media")(lambda spark, d: _media(spark, d).select("media_id", more.escape_xml(F.col("title")).alias("xml")))
-q("m05_durations", f"select media_id, case when duration is null or (duration < 120 and size * 8 // {_RATE} > 120) then size * 8 // {_RATE} else duration end as duration from media")(
-    lambda spark, d: _media(spark, d).select("media_id", more.corrected_duration(F.col("duration"), F.col("size"), F.col("path")).alias("duration"))
+q("m05_durations", f"select media_id, case when coalesce(duration, 0) < 120 and coalesce(size / {_RATE} * 8 > 120, false) then cast(floor(size / {_RATE} * 8) as bigint) else duration end as duration, case when duration > 0 then cast(duration as double) when size > 0 then size / coalesce({_RATE}, 1.5e6) * 8 else 0 end as timeout from media")(
+    lambda spark, d: _media(spark, d).select("media_id", more.corrected_duration(F.col("duration"), F.col("size"), F.col("path")).alias("duration"), more.timeout_duration(F.col("duration"), F.col("size"), F.col("path")).alias("timeout"))
+)
+q("m06_reading", f"with w as (select media_id, greatest(cast(floor(size / cast({_PER} as double)) as bigint), 10) as n_words from media where size is not null) select media_id, n_words, cast(trunc(n_words / 3.67) as bigint) as seconds from w")(
+    lambda spark, d: _media(spark, d).where("size is not null").select("media_id", more.words_of_size(F.col("size"), F.col("path")).alias("n_words")).withColumn("seconds", m.reading_seconds(F.col("n_words")))
 )
-q("m09_word_timings", "select doc_id, len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f]+'), lambda w: w <> '')) as n_words from documents where text is not null")(
-    lambda spark, d: table(spark, d, "documents").where("text is not null").select("doc_id", F.size(more.word_timings(F.regexp_replace("text", r"[ \t\n\r\f]+", " "))).cast("bigint").alias("n_words"))
+q("m09_word_timings", "select doc_id, k - 1 as pos, word, round((k - 1) * 60.0 / 250, 6) as at from (select doc_id, unnest(l) as word, unnest(range(1, len(l) + 1)) as k from (select doc_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\x0B]+'), lambda w: w <> '') as l from documents where text is not null))")(
+    lambda spark, d: table(spark, d, "documents").select("doc_id", F.posexplode(more.word_timings(F.col("text"))).alias("pos", "w")).select("doc_id", F.col("pos").cast("bigint").alias("pos"), "w.word", F.round("w.at", 6).alias("at"))
 )
-q("m10_segments", "select media_id, cast(case when duration > 0 then ceil(duration / 10) else 0 end as bigint) as n from media")(lambda spark, d: _media(spark, d).select("media_id", F.when(F.col("duration") > 0, F.size(more.segments(F.col("duration")))).otherwise(0).cast("bigint").alias("n")))
+q("m10_segments", "select media_id, unnest(range(0, cast(ceil(duration / 10) as bigint))) as segment from media where duration > 0")(lambda spark, d: _media(spark, d).select("media_id", F.explode(more.segments(F.col("duration"))).alias("segment")))
 q("m11_play_window", "select media_id, greatest(0, least(duration, duration) - greatest(case when duration - 60 > 0 then duration - 60 else duration - 60 end, 0)) as seconds from media where duration is not null")(
     lambda spark, d: _media(spark, d).where("duration is not null").select("media_id", more.play_window(F.col("duration"), F.lit(-60), F.lit(None).cast("bigint")).alias("seconds"))
 )
@@ -522,14 +536,20 @@ q("f29_dict_rules", "select media_id from media where not (coalesce(starts_with(
 q("f30_ingest_filter", "select media_id from media where (contains(path, 'shows') or contains(path, 'music')) and not contains(path, 'series_001') and regexp_matches(path, '[0-9]{8}') and (size >= 100000001 or size <= 999999)")(
     lambda spark, d: _media(spark, d).where(more.ingest_filter(include=["shows", "music"], exclude=["series_001"], regex="[0-9]{8}", sizes=[parsers.parse_range(">100MB", parsers.human_to_bytes), parsers.parse_range("<1MB", parsers.human_to_bytes)])).select("media_id")
 )
-q("a33_value_counts", "select media_id, count(*) over (partition by media_type) as n from media where media_type is not null")(
-    lambda spark, d: _media(spark, d).where("media_type is not null").select("media_id", "media_type").join(_media(spark, d).where("media_type is not null").groupBy("media_type").agg(F.count("*").alias("n")), "media_type").select("media_id", "n")
-)
+q("a33_value_counts", "select media_id, count(*) over (partition by media_type) as n from media where media_type is not null")(lambda spark, d: aggregates.with_group_size(_media(spark, d).select("media_id", "media_type"), "media_type").select("media_id", "n"))
 q("a27_suggestions", f"with u as (select media_id, unnest(list_distinct({_WORDS.format(c='title')})) as word from media where {LIVE} and coalesce(categories, '') = '') select word, count(*) as n from u where length(word) >= 4 and word not in (select lower(keyword) from custom_keywords) group by word")(
-    lambda spark, d: aggregates.live(_media(spark, d)).where("coalesce(categories, '') = ''").select(F.explode(F.array_distinct(strings.words(F.col("title")))).alias("word")).where((F.length("word") >= 4) & ~F.col("word").isin([k.lower() for _, k in _keywords(spark, d)])).groupBy("word").agg(F.count("*").alias("n"))
-)
-q("a20_bin_vectors")(lambda spark, d: aggregates.bins(aggregates.live(_media(spark, d))))
-q("a21_sampled_bins")(lambda spark, d: aggregates.live(_media(spark, d)).sample(0.1, 7).agg(F.min("size").alias("low"), F.max("size").alias("high"), F.percentile_approx("size", [0.25, 0.5, 0.75]).alias("quartiles")))
+    lambda spark, d: similarity.suggestions(aggregates.live(_media(spark, d)), table(spark, d, "custom_keywords"))
+)
+_DIM = "with m as (select *, {p} as folder from media where {w}), f as (select folder, count(*) as episodes from m group by 1) "
+_VECTORS = " union all ".join(
+    f"(select '{dim}' as dim, min(value) as low, max(value) as high, list(value order by pct) as points from ({_PCT.format(c=c, w=w).replace('from media where', 'from ' + src + ' where')}))"
+    for dim, c, w, src in (
+        ("size", "size", "size < 109951162777600", "m"), ("duration", "duration", "duration > 0 and duration < 2678400", "m"), ("time_modified", "time_modified", "true", "m"), ("time_created", "time_created", "true", "m"),
+        ("time_downloaded", "time_downloaded", "true", "m"), ("episodes", "episodes", "true", "f"),
+    )
+)
+q("a20_bin_vectors", _DIM.format(p=PARENT, w=LIVE) + _VECTORS)(lambda spark, d: aggregates.bins(aggregates.live(_media(spark, d))))
+q("a21_sampled_bins")(lambda spark, d: aggregates.sampled_bins(aggregates.live(_media(spark, d))))
 q("o21_random_pick")(lambda spark, d: aggregates.live(_media(spark, d)).where("media_type in ('video', 'audio')").orderBy(F.rand(11)).limit(1).select("media_id", "path"))
 q("d10_originals", _dup_sql("title, artist").replace("select f.keep_id, l.media_id as dup_id from", "select distinct f.keep_id from"))(lambda spark, d: similarity.duplicates(_media(spark, d), ["title", "artist"]).select("keep_id").distinct())
 q("u16_shown_first_played", "select media_id, case when play_count > 1 then time_first_played end as time_first_played from media")(lambda spark, d: _media(spark, d).select("media_id", F.when(F.col("play_count") > 1, F.col("time_first_played")).alias("time_first_played")))
@@ -540,11 +560,17 @@ q("s14_watch_later", "select media_id, length(path) as saved from media")(
     lambda spark, d: files.watch_later(_media(spark, d), _media(spark, d).select(F.md5("path").alias("name"), F.format_string("start=%d.5", F.length("path")).alias("value")).distinct()).select("media_id", F.col("saved").cast("bigint").alias("saved"))
 )
 q("s08_probe")(lambda spark, d: files.probe_columns(_media(spark, d).select("media_id", F.to_json(F.struct(F.struct(F.col("duration").cast("string").alias("duration"), F.col("size").cast("string").alias("size")).alias("format"), F.array(F.struct(F.lit("video").alias("codec_type"), F.col("video_codecs").alias("codec_name"), "width", "height")).alias("streams"))).alias("json")), "json"))
-q("r01_usage_by_hour", "select date_trunc('hour', ts) as start, count(*) as n from events group by 1")(lambda spark, d: table(spark, d, "events").groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "n"))
 
 
-q("o18_disk_usage_page", f"with b as (select *, list_filter(str_split({P}, '/'), lambda x: x <> '') p from media where {LIVE} and starts_with({P}, '/srv/media/shows/')) select '/srv/media/shows/' || p[4] as entry, len(p) = 4 as is_file, {SUMS} from b where len(p) > 3 group by 1, 2 order by is_file, total_size desc, entry limit 30")(
-    lambda spark, d: aggregates.disk_usage(_media(spark, d), "/srv/media/shows").orderBy("is_file", F.desc("total_size"), "entry").limit(30)
+@q("r01_usage_by_hour", "select date_trunc('hour', ts) as start, count(*) as n from events group by 1")
+def _(spark, d):
+    batch = table(spark, d, "events")
+    stream = history.incoming(spark, f"{d}/events.parquet", batch.schema).withColumn("at", F.col("ts").cast("timestamp"))
+    return history.collected(history.usage_windows(stream, "at"), shared_folder(spark))
+
+
+q("o18_disk_usage_page", f"with b as (select *, list_filter(str_split({P}, '/'), lambda x: x <> '') p from media where {LIVE} and starts_with({P}, '/srv/media/shows/')), l as (select '/srv/media/shows/' || p[4] as entry, len(p) = 4 as is_file, {SUMS} from b where len(p) > 3 group by 1, 2), f as (select *, row_number() over (partition by is_file order by total_size desc, entry) k, (select count(*) from l where not is_file) nf from l) select entry, is_file, n, total_size, total_duration from f where (not is_file and k <= 30) or (is_file and (nf >= 30 or k <= 30 - nf))")(
+    lambda spark, d: aggregates.disk_usage_page(_media(spark, d), "/srv/media/shows", limit=30)
 )
 q("u13_deleted_by_search", f"select media_id from media where not coalesce(contains({LOW % 'path'}, 'scans'), false)")(lambda spark, d: changes.delete_found(_media(spark, d), strings.ascii_contains(F.col("path"), "scans")).select("media_id"))
 q("u15_migrated", "select media_id, path, media_type, case when coalesce(description, '') = '' then case when coalesce(genre, '') = '' then null else 'mood: ' || genre end else description || case when coalesce(genre, '') = '' then '' else chr(10) || 'mood: ' || genre end end as description, cast(0 as bigint) as play_count from media")(
@@ -562,7 +588,7 @@ q("x13_urls", "select media_id, path as back, regexp_replace(path, '^/srv/media/
 q("x03_trimmed_names", "select media_id, regexp_replace(regexp_replace(title, '^(The |A )', ''), ' Story$', '') as bare from media")(
     lambda spark, d: _media(spark, d).select("media_id", strings.remove_suffixes(F.when(F.col("title").startswith("The "), strings.remove_prefixes(F.col("title"), ["The "])).otherwise(strings.remove_prefixes(F.col("title"), ["A "])), [" Story"]).alias("bare"))
 )
-q("x03_unparagraphed", "select doc_id, replace(regexp_replace(replace(text, chr(10) || chr(10), chr(1)), '\\n', ' ', 'g'), chr(1), chr(10) || chr(10)) as plain from documents where not contains(text, chr(10) || chr(10) || chr(10))")(
-    lambda spark, d: table(spark, d, "documents").where(~F.col("text").contains("\n\n\n")).select("doc_id", strings.unparagraphed(F.col("text")).alias("plain"))
+q("x03_unparagraphed", "select doc_id, case when text = '' then '' else array_to_string(list_transform(regexp_extract_all(text, '\\n+|[^\\n]+'), lambda x: case when x = chr(10) then ' ' else x end), '') end as plain from documents")(
+    lambda spark, d: table(spark, d, "documents").select("doc_id", strings.unparagraphed(F.col("text")).alias("plain"))
 )
 q("x03_one_paragraph")(lambda spark, d: table(spark, d, "documents").select("doc_id", strings.one_paragraph(F.col("text")).alias("plain")))

@@ -8,10 +8,13 @@ from __future__ import annotations
 
 import hashlib
 import io
+import math
 import re
 import tarfile
 import zipfile
+import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,6 +30,10 @@ CHUNK_LEAST, CHUNK_MOST = 50, 2000
 MARKUP, SUBTITLES, ZIPPED = ("html", "htm", "xml", "xhtml", "svg", "fb2"), ("srt", "vtt"), ("docx", "odt", "epub", "xlsx", "pptx", "ods", "odp")
 
 
+#: What a reader may raise on a file that is not what its name says.
+UNREADABLE = (ValueError, KeyError, OSError, EOFError, zipfile.BadZipFile, tarfile.TarError, zlib.error)
+
+
 def listing(spark: SparkSession, root: str, extensions: list[str] | None = None) -> DataFrame:
     """path, size and time_modified of all files below a folder."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).drop("content")
@@ -46,7 +53,8 @@ def contents(spark: SparkSession, root: str, extensions: list[str]) -> DataFrame
 
 
 def per_file(df: DataFrame, read, schema: str) -> DataFrame:
-    """Rows that ``read(path, bytes)`` yields of each file; a file that cannot be read gives none."""
+    """Rows that ``read(path, bytes)`` yields of each file; what cannot be read gives none here but
+    a row of ``failures``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in schema.split(", ")]
@@ -55,15 +63,34 @@ def per_file(df: DataFrame, read, schema: str) -> DataFrame:
             for path, content in zip(pdf["path"], pdf["content"]):
                 try:
                     rows += list(read(path, bytes(content)))
-                except (ValueError, KeyError, OSError, zipfile.BadZipFile, tarfile.TarError):
+                except UNREADABLE:
                     continue
             yield pd.DataFrame(rows, columns=names)
 
     return df.select("path", "content").mapInPandas(run, schema)
 
 
+def failures(df: DataFrame, read) -> DataFrame:
+    """``path`` and ``error`` of the files that ``read(path, bytes)`` cannot read."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for path, content in zip(pdf["path"], pdf["content"]):
+                try:
+                    for _ in read(path, bytes(content)):
+                        pass
+                except UNREADABLE as e:
+                    rows.append((path, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["path", "error"])
+
+    return df.select("path", "content").mapInPandas(run, "path string, error string")
+
+
 def clean_cue(text: str) -> str:
-    return " ".join(re.sub(r"<[^>]*>|\{\\[^}]*\}", "", text).split())
+    """A cue without markup; '' for what is left of a broken tag and for a single sign."""
+    bare = " ".join(re.sub(r"<[^>]*>|\{\\[^}]*\}", "", text).split())
+    return "" if ("=" in bare and '""' in bare) or len(bare.encode()) < 2 else bare
 
 
 def cues(path: str, content: bytes) -> Iterator[tuple[str, float, str]]:
@@ -171,26 +198,99 @@ def archives(spark: SparkSession, root: str) -> DataFrame:
     return per_file(contents(spark, root, ["zip", "epub", "cbz", "tar", "gz", "tgz", "bz2", "xz"]), archive_entries, "path string, entry string, size bigint")
 
 
-def segments(size: int, chunk: int, gap: float) -> list[int]:
-    """Where chunks of a file start that leave a share of ``gap`` between them; the last ends the file."""
-    if size <= chunk:
+#: Sizes of files and of their chunks, between which chunks grow evenly.
+CHUNK_POINTS = ((26_214_400, 262_144), (52_428_800_000, 10_485_760))
+
+
+def interpolated(x: float, points: tuple[tuple[float, float], ...]) -> float:
+    """The value at ``x`` of a line through points, beyond them that of the nearest."""
+    if x <= points[0][0]:
+        return points[0][1]
+    for (x0, y0), (x1, y1) in zip(points, points[1:]):
+        if x <= x1:
+            return y0 + (x - x0) / (x1 - x0) * (y1 - y0)
+    return points[-1][1]
+
+
+def segments(total: int, chunk: int, gap: float) -> list[int]:
+    """Where chunks of a file start, with a gap (below 1 a share of the whole) between them; the last
+    ends the file. Up to three chunks' size one segment is enough."""
+    if total <= 0 or chunk <= 0:
+        return []
+    if total <= 3 * chunk:
         return [0]
-    step = max(chunk, int(chunk + size * gap))
-    out = list(range(0, size - chunk, step))
-    return [*out, size - chunk]
+    step = chunk + (math.ceil(total * gap) if gap < 1 else int(gap))
+    return [*range(0, total - 2 * chunk, step), total - chunk]
+
+
+def sample_hash(size: int, read, gap: float = 0.1, chunk: int = 0) -> str:
+    """SHA-256 over the digests of chunks spread over a file; ``read(offset, n)`` gives its bytes.
 
+    An empty file has none (''). Only the chunks are read.
+    """
+    chunk = chunk if chunk > 0 else int(interpolated(size, CHUNK_POINTS))
+    every = segments(size, chunk, gap)
+    if not every:
+        return ""
+    whole = hashlib.sha256()
+    for at in every:
+        whole.update(hashlib.sha256(read(at, chunk)).digest())
+    return whole.hexdigest()
 
-def sample_hash(content: bytes, gap: float = 0.1) -> str:
-    """SHA-256 of the hashes of chunks spread over a file; chunks grow from 256 KiB to 10 MiB with its size."""
-    low, high, big = 256 << 10, 10 << 20, 100 << 30
-    chunk = int(low + (high - low) * min(1.0, len(content) / big))
-    parts = [hashlib.sha256(content[a : a + chunk]).hexdigest() for a in segments(len(content), chunk, gap)]
-    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+def full_hash(size: int, read, step: int = 1 << 22) -> str:
+    whole = hashlib.sha256()
+    for at in range(0, size, step):
+        whole.update(read(at, step))
+    return whole.hexdigest()
+
+
+def hashed(files: DataFrame, gap: float = 0.1, chunk: int = 0, full: bool = True) -> DataFrame:
+    """``path``, ``fasthash``, ``sha256`` (null without ``full``) and ``error`` of listed files.
+
+    Workers open the files where they lie and read by offset, so no file is held whole.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for pdf in batches:
+            rows = []
+            for path in pdf["path"]:
+                try:
+                    system, at = fs.FileSystem.from_uri(path if "://" in path else f"file://{quote(path)}")
+                    with system.open_input_file(at) as f:
+                        read = lambda offset, n, f=f: f.read_at(n, offset)
+                        rows.append((path, sample_hash(f.size(), read, gap, chunk), full_hash(f.size(), read) if full else None, None))
+                except OSError as e:
+                    rows.append((path, None, None, str(e)))
+            yield pd.DataFrame(rows, columns=["path", "fasthash", "sha256", "error"])
+
+    return files.select("path").mapInPandas(run, "path string, fasthash string, sha256 string, error string")
 
 
 def hashes(spark: SparkSession, root: str, extensions: list[str]) -> DataFrame:
-    """path, sample hash and full hash of files."""
-    return per_file(contents(spark, root, extensions), lambda p, c: [(p, sample_hash(c), hashlib.sha256(c).hexdigest())], "path string, fasthash string, sha256 string")
+    """path, sample hash and full hash of files below a folder."""
+    return hashed(listing(spark, root, extensions))
+
+
+def extract(spark: SparkSession, root: str, extensions: list[str], chunked: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Media rows and caption rows of the files below a folder, by one reading of the contents.
+
+    Subtitle files give timed captions of the media file they lie beside, documents untimed ones of
+    themselves, in chunks. Media rows hold path, size, time_modified and media_type.
+    """
+
+    def read(path: str, content: bytes) -> Iterator[tuple[str, float | None, str]]:
+        if path.rsplit(".", 1)[-1].lower() in SUBTITLES:
+            yield from cues(path, content)
+        else:
+            for _, text in extract_text(path, content):
+                yield from ((path, None, c) for c in (chunk_text(text) if chunked else [text]) if clean_cue(c))
+
+    files = listing(spark, root, extensions)
+    media = files.where(~paths.extension(F.col("path")).isin(["." + e for e in SUBTITLES])).withColumn("media_type", paths.media_type(F.col("path")))
+    return media, per_file(contents(spark, root, extensions), read, "media_path string, time double, text string")
 
 
 PROBE = "struct<format:struct<duration:string,size:string,bit_rate:string,tags:map<string,string>>,streams:array<struct<codec_type:string,codec_name:string,width:bigint,height:bigint,avg_frame_rate:string,tags:map<string,string>>>>"

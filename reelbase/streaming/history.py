@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.types import StructType
 
+from reelbase.operators.aggregates import folder_stats
 from reelbase.operators.changes import ingest_diff, playback
 
 
@@ -51,6 +53,32 @@ def merged_captions(captions: DataFrame, gap: float = 8.0) -> DataFrame:
     return captions.groupBy("media_path").applyInPandasWithState(step, "media_path string, time double, end double, text string", "time double, end double, text string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+def incoming(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Parquet files as a stream: those of a folder, or the one file of that name."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return spark.readStream.schema(schema).parquet(path)
+    folder, _, name = path.rpartition("/")
+    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+
+
+def collected(stream: DataFrame, folder: str) -> DataFrame:
+    """What a stream with windows gives for all that is there now, as a table in a folder.
+
+    The folder holds the stream's state as well; a second call goes on where the first one ended.
+    """
+    def keep(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows")
+
+    stream.writeStream.outputMode("complete").foreachBatch(keep).trigger(availableNow=True).option("checkpointLocation", f"{folder}/state").start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
+def refresh_folders(ticks: DataFrame, media: Callable[[], DataFrame], write: Callable[[DataFrame, int], None], every: str = "72 hours") -> DataStreamWriter:
+    """The folder table made anew at intervals; ``ticks`` is any stream that paces it (a rate source)."""
+    return ticks.writeStream.foreachBatch(lambda _, n: write(folder_stats(media()), n)).trigger(processingTime=every)
+
+
 def fold_playback(history: DataFrame, media: Callable[[], DataFrame], write: Callable[[DataFrame, int], None]) -> DataStreamWriter:
     """Every batch of history is folded into media; ``write`` replaces the table (by batch number,
     so that a batch told twice is written once)."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -41,14 +42,13 @@ def table(spark: SparkSession, folder: str, name: str, columns: list[str] | None
     return df.select(*columns) if columns else df
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the checkpoint folder all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder within the one that all executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``. Where that is unset, one is made only if
+    That folder is the session's ``spark.checkpoint.dir``. Where that is unset, one is made only if
     all executors run in this very process; on a cluster a folder of one machine would be lost with
     it, so a missing setting is an error there.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -57,6 +57,12 @@ def cut(df: DataFrame) -> DataFrame:
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="reelbase-checkpoint-")
         sc.setCheckpointDir(folder)
+    return f"{sc._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` materialised in the shared folder: what comes after never goes back behind it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
