@@ -112,7 +112,7 @@ def arrange(df: DataFrame, config: str, id_: str = "media_id") -> DataFrame:
         if how == "weighted":
             scored = weighted_rerank(df, [f"-{f}" if down else f for f, down in fields], id_).withColumnRenamed("rank_score", f"__g{k}")
             df = df.join(scored, id_)
-            keys.append(F.col(f"__g{k}").desc())
+            keys.append(F.round(F.col(f"__g{k}"), 9).desc())  # sums may differ in their last digits
         else:
             for name, down in fields:
                 value = natural(name) if name not in NUMERIC else field(name)

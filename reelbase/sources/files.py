@@ -34,13 +34,45 @@ MARKUP, SUBTITLES, ZIPPED = ("html", "htm", "xml", "xhtml", "svg", "fb2"), ("srt
 UNREADABLE = (ValueError, KeyError, OSError, EOFError, zipfile.BadZipFile, tarfile.TarError, zlib.error)
 
 
+def _opened(path: str):
+    """(file system, path in it, what a path of it begins with outside) of a path or address."""
+    from pyarrow import fs
+
+    system, at = fs.FileSystem.from_uri(path if "://" in path else f"file://{quote(path)}")
+    return system, at, path[: path.index("://") + 3] if "://" in path and not path.startswith("file:") else ""
+
+
 def listing(spark: SparkSession, root: str, extensions: list[str] | None = None) -> DataFrame:
-    """path, size and time_modified of all files below a folder."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).drop("content")
-    out = df.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.col("length").alias("size"), F.unix_timestamp("modificationTime").alias("time_modified"))
+    """path, size, time_modified, folder, and is_empty of all files below a folder, empty ones included.
+
+    The folders next below are walked side by side by the workers.
+    """
+    from pyarrow import fs
+
+    system, at, scheme = _opened(root)
+    near = system.get_file_info(fs.FileSelector(at))
+    folders = spark.createDataFrame([(scheme + i.path,) for i in near if i.type == fs.FileType.Directory], "root string")
+    schema = "path string, size bigint, time_modified bigint"
+    row = lambda i, scheme: (scheme + i.path, i.size, int(i.mtime_ns // 10**9) if i.mtime_ns is not None else None)
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for one in pdf["root"]:
+                system, at, scheme = _opened(one)
+                rows = [row(i, scheme) for i in system.get_file_info(fs.FileSelector(at, recursive=True)) if i.type == fs.FileType.File]
+                yield pd.DataFrame(rows, columns=["path", "size", "time_modified"]).astype({"size": "int64", "time_modified": "Int64"})
+
+    deep = folders.repartition(spark.sparkContext.defaultParallelism).mapInPandas(walk, schema)
+    out = deep.unionByName(spark.createDataFrame([row(i, scheme) for i in near if i.type == fs.FileType.File], schema))
+    out = out.withColumn("folder", paths.parent(F.col("path"))).withColumn("is_empty", F.col("size") == 0)
     return out.where(paths.extension(F.col("path")).isin(["." + e.lstrip(".").lower() for e in extensions])) if extensions else out
 
 
+def folder_times(files: DataFrame) -> DataFrame:
+    """Of every folder with files: how many, how many of them empty, and its first and last change."""
+    return files.groupBy("folder").agg(F.count("*").alias("n_files"), F.count_if("is_empty").alias("n_empty"), F.min("time_modified").alias("first_modified"), F.max("time_modified").alias("last_modified"))
+
+
 def folder_sizes(files: DataFrame) -> DataFrame:
     """Bytes and files below every folder."""
     up = F.slice(paths.ancestors(F.col("path")), 1, F.greatest(paths.depth(F.col("path")) - 1, F.lit(0)))
@@ -252,13 +284,11 @@ def hashed(files: DataFrame, gap: float = 0.1, chunk: int = 0, full: bool = True
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
         for pdf in batches:
             rows = []
             for path in pdf["path"]:
                 try:
-                    system, at = fs.FileSystem.from_uri(path if "://" in path else f"file://{quote(path)}")
+                    system, at, _ = _opened(path)
                     with system.open_input_file(at) as f:
                         read = lambda offset, n, f=f: f.read_at(n, offset)
                         rows.append((path, sample_hash(f.size(), read, gap, chunk), full_hash(f.size(), read) if full else None, None))

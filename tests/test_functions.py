@@ -29,7 +29,8 @@ def test_dates_percentiles_slices_terms():
     assert parsers.parse_date("3 days", now=1_000_000) == 1_000_000 - 3 * 86400 and parsers.parse_date("nonsense") == 0
     assert parsers.parse_percentiles("p10-90") == (10.0, 90.0) and parsers.parse_percentiles("p0-150") == (0.0, 100.0) and parsers.parse_percentiles("10-90") is None
     assert list(range(10))[parsers.parse_slice("1:8:3")] == [1, 4, 7]
-    assert parsers.search_terms("ab \"old cinema\" lantern OR (mill) 'x'") == (["lantern", "mill"], ["old cinema"])
+    assert parsers.search_terms("ab \"old cinema\" lantern OR (mill) 'x'") == (["lantern", "OR", "mill"], ["old cinema"])
+    assert parsers.plain_terms(["lantern", "OR", "mill"]) == ["lantern", "mill"]
 
 
 def values(spark, rows, *columns):
@@ -91,3 +92,40 @@ def test_more_strings_and_paths(spark):
     assert values(spark, ["a..b...c", "$$"], strings.remove_consecutive(x, "."), strings.remove_consecutive(x, "$")) == [("a.b.c", "a..b...c"), ("$$", "$")]
     assert values(spark, ["'q'", '"q', "hello mcDonald"], strings.unquoted(x), strings.title_case(x)) == [("q", "'q'"), ('"q', '"q'), ("hello mcDonald", "Hello McDonald")]
     assert values(spark, ["a\nb\n\nc"], strings.unparagraphed(x)) == [("a b\n\nc",)]
+
+
+def one(spark, *columns):
+    return tuple(spark.range(1).select(*columns).collect()[0])
+
+
+def test_durations_and_times_as_text(spark):
+    n = lambda x: F.lit(x).cast("bigint")
+    assert one(spark, *[media.format_duration(n(x)) for x in (93_780, 3_725, 59, 0, None)]) == ("1d 02:03", "1:02:05", "0:59", "-", "-")
+    assert one(spark, *[media.format_duration_short(n(x)) for x in (59, 65, 390, 3_900, 5_400, 90_000, 200_000, 86_400 * 366, 86_400 * 730)]) == ("59 seconds", "1 minute", "6.5 minutes", "1 hour", "1.5 hours", "1 day", "2 days", "1 years and 1 days", "2 years")
+    assert one(spark, *[media.hhmmss(n(x)) for x in (-3_661, 61, 0)]) == ("-1:01:01", "1:01", "0:00")
+    assert one(spark, media.playback_duration(n(100), n(0), n(0)), media.playback_duration(n(100), n(30), n(90)), media.playback_duration(n(100), n(130), n(0)), media.playback_duration(n(100), n(90), n(30))) == ("Duration: 1:40", "Duration: 1:00 (0:30 to 1:30)", "Duration: 1:40 (2:10 to 3:50)", "Duration: 1:00 (0:30 to 1:30)")
+    now = 1_735_689_600 + 43_200  # noon
+    assert one(spark, *[media.relative_time(n(x), now) for x in (now - 3_600, now - 86_400, now + 86_400, now - 5 * 86_400, now + 3 * 86_400, 0, now - 100 * 86_400)]) == (
+        "today, 11:00", "yesterday, 12:00", "tomorrow, 12:00", "5 days ago, 12:00", "in 3 days, 12:00", "-", "2024-09-23 12:00"
+    )
+    assert one(spark, *[media.format_size(n(x)) for x in (1_250, 999, 1_500_000, 2 * 10**18)]) == ("1.2 KB", "999 B", "1.5 MB", "2.0 EB")
+
+
+def test_estimates(spark):
+    from reelbase.functions import more
+
+    n = lambda x: F.lit(x).cast("bigint")
+    x = F.lit
+    assert one(spark, more.corrected_duration(n(10), n(500_000_000), x("/a.vob")), more.corrected_duration(n(10), n(500_000_000), x("/a.mp3")), more.corrected_duration(n(None), n(500_000_000), x("/a.WMV")), more.corrected_duration(n(200), n(10**9), x("/a.iso"))) == (800, 10, 1333, 200)
+    assert one(spark, more.timeout_duration(n(0), n(15_000_000), x("/a.mkv")), more.timeout_duration(n(0), n(0), x("/a.mkv")), more.timeout_duration(n(7), n(9), x("/a"))) == (80.0, 0.0, 7.0)
+    assert one(spark, more.words_of_size(n(7_000), x("/a.pdf")), more.words_of_size(n(5), x("/a.txt")), more.words_of_size(n(420), x("/a.txt")), media.reading_seconds(n(734)), media.reading_seconds(n(0))) == (1000, 10, 100, 200, 0)
+
+
+def test_what_browsers_play(spark):
+    rows = [("/a.mp4", "video", "h264", "aac"), ("/a.mkv", "video", "h264", "aac,ac3"), ("/a.mkv", "video", "vp9", "opus"), ("/a.avi", "video", "avc1", "wav"), ("/a.mp4", "video", None, "aac"), ("/a.flac", "audio", None, "flac"), ("/a.wma", "audio", None, "wmav2"), ("/a.db", "video", None, None), ("/a.jpg", "image", "mjpeg", None)]
+    df = spark.createDataFrame(rows, "p string, t string, v string, a string")
+    got = [tuple(r[0]) for r in df.select(media.transcode(paths.extension(F.col("p")), F.col("t"), F.col("v"), F.col("a"))).collect()]
+    assert got == [
+        (False, False, False, ""), (True, True, False, "video/mp4"), (False, False, False, ""), (True, True, True, "video/mp4"), (True, False, True, "video/mp4"), (False, False, False, ""), (True, False, False, "audio/webm"),
+        (False, False, False, ""), (False, False, False, ""),
+    ]

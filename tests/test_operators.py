@@ -108,7 +108,7 @@ def test_similarity(spark):
     pair = spark.createDataFrame([("night", "nacht"), ("same", "same")], "a string, b string")
     assert [round(r[0], 2) for r in pair.select(similarity.dice(F.col("a"), F.col("b"))).collect()] == [0.25, 1.0]
     m = spark.createDataFrame([(1, "/x/rock_concert.mp4", None, ";old;"), (2, "/x/brock.mp4", None, None)], "media_id long, path string, title string, categories string")
-    got = {r["media_id"]: r["new_categories"] for r in similarity.categorize(m, [("music", "rock")]).collect()}
+    got = {r["media_id"]: r["new_categories"] for r in similarity.categorize(m, spark.createDataFrame([("music", "rock"), ("more", "rock & roll")], "category string, keyword string")).collect()}
     assert got == {1: ";music;old;", 2: ""}
 
 
@@ -163,10 +163,68 @@ def test_sort_language():
 
 
 def test_line_sort(spark):
-    df = spark.createDataFrame([(1, "b a"), (2, "c"), (3, "a c"), (4, None), (5, "A-B")], "id long, line string")
-    rows = textsort.sort_lines(df, "id", "line").orderBy("rn").collect()
-    assert [r["id"] for r in rows] == [4, 5, 1, 3, 2]
-    assert {r["id"] for r in textsort.sort_lines(df, "id", "line", keep="dup").collect()} == {1, 2, 3, 5}
+    lines = ["bb aa", "cc", "aa cc x", None, "AA-BB", "http://zz dd"]
+    df = spark.createDataFrame(list(enumerate(lines, 1)), "id long, line string")
+    of = lambda **o: [(r["id"], r["words"]) for r in textsort.sort_lines(df, "id", "line", **o).orderBy("rn").collect()]
+    assert of(word_order=("alpha",)) == [(4, ""), (5, "aa bb"), (1, "aa bb"), (3, "aa cc"), (2, "cc"), (6, "dd zz")]
+    assert [i for i, _ in of(unique=True)] == [6] and [i for i, _ in of(duplicate=True, unique=False)] == [5, 1, 2, 3]
+    assert [i for i, _ in of(line_order=("-count", "line"), stop=("CC",))] == [5, 1, 6, 3, 4, 2]
+    assert textsort.order_words(["b2", "b10", "a", "b2"], {"b2": 4, "b10": 1, "a": 2}, ("natural",)) == ["a", "b2", "b2", "b10"]
+    assert textsort.order_words(["b2", "b10", "a", "b2"], {"b2": 4, "b10": 1, "a": 2}, ("-linecount", "count")) == ["b2", "b2", "b10", "a"]
+    assert textsort.order_words(["y", "x", "y"], {"x": 1, "y": 2}, ("-lastindex",)) == ["x", "y", "y"] and textsort.order_words(["y", "x"], {"x": 1, "y": 1}, ("skip", "-dup", "-alpha")) == ["y", "x"]
+    found = spark.range(1).select(textsort.line_words(F.lit("Ep. 12: S01E02"), (r"[A-Z]\w+", r"[0-9]+"))).collect()[0][0]
+    assert found == ["01", "02"]  # what the first finds, and of that what the second does
+
+
+def test_segments_and_sample_hashes(tmp_path, spark):
+    import hashlib
+
+    assert files.segments(100, 2, 0.1) == [0, 12, 24, 36, 48, 60, 72, 84, 98] and files.segments(6, 2, 0.1) == [0] and files.segments(0, 2, 0.1) == [] and files.segments(100, 10, 30) == [0, 40, 90]
+    assert files.interpolated(1, files.CHUNK_POINTS) == 262_144 and files.interpolated(10**12, files.CHUNK_POINTS) == 10_485_760
+    data_ = bytes(range(256)) * 40
+    (tmp_path / "a ü.bin").write_bytes(data_)
+    (tmp_path / "none.bin").write_bytes(b"")
+    want = hashlib.sha256(b"".join(hashlib.sha256(data_[a : a + 1000]).digest() for a in files.segments(len(data_), 1000, 0.1))).hexdigest()
+    got = {r["path"].rsplit("/", 1)[1]: r for r in files.hashed(files.listing(spark, str(tmp_path)), 0.1, 1000).collect()}
+    assert got["a ü.bin"]["fasthash"] == want and got["a ü.bin"]["sha256"] == hashlib.sha256(data_).hexdigest() and got["none.bin"]["fasthash"] == ""
+    gone = spark.createDataFrame([(str(tmp_path / "gone"),)], "path string")
+    assert files.hashed(gone).collect()[0]["error"]
+
+
+def test_requests_and_sort_dispatch(spark):
+    from reelbase.plans import spec
+
+    q = spec.from_parameters({"search": ["a b"], "min_size": ["5"], "max_size": ["9"], "modified": ["+2020-01-01,-3 days"], "sort_fields": ["size,-title desc"], "sort_desc": ["title"], "limit": ["x"], "rating": ["0", "no"], "trash": ["true"], "episodes": ["p10-50"]})
+    assert (q.search, q.size, q.after, q.before, q.play_in_order, q.limit, q.ratings, q.only_deleted, q.file_counts) == (["a", "b"], [">5MB", "<9MB"], {"modified": "2020-01-01"}, {"modified": "3 days"}, "size,-title", 100, [0], True, "p10-50")
+    assert spec.search_mode(q) == "substring" and spec.search_mode(spec.QuerySpec(fts=True, no_fts=True)) == "substring"
+    with pytest.raises(ValueError):
+        spec.known_databases(spec.QuerySpec(dbs=["a.db", "b.db"]), ["a.db"])
+    assert sorting.marked_groups("path,_weighted_rerank,-size,_natural_order,title") == [("natural", [("path", False)]), ("weighted", [("size", True)]), ("natural", [("title", False)])]
+    assert sorting.choose(sort_by="default", reverse=True) == ("advanced", "reverse_default") and sorting.choose(play_in_order="ps") == ("advanced", "ps") and sorting.choose(natural_sort=True) == ("basic", "natural_path")
+
+
+def test_playlists_and_sinks(spark, tmp_path):
+    from reelbase.sources import sinks
+
+    lists = spark.createDataFrame([(1, "/a", None, 0)], "id long, path string, title string, time_deleted long").selectExpr("*", "cast(null as string) as extractor_key", "cast(null as string) as extractor_config")
+    made = changes.playlist_created(changes.playlist_created(lists, "/a", "A"), "/b", "B")
+    assert sorted((r["id"], r["path"], r["title"]) for r in made.collect()) == [(1, "/a", "A"), (2, "/b", "B")]
+    items = spark.createDataFrame([(1, "x", 5, 7)], "playlist_id long, media_path string, track_number long, time_added long")
+    new = spark.createDataFrame([(1, "x", 9), (1, "y", 2), (1, "y", 2)], "playlist_id long, media_path string, track_number long")
+    assert sorted(tuple(r) for r in changes.items_added(items, new, 50).select("media_path", "track_number", "time_added").collect()) == [("x", 9, 7), ("y", 2, 50)]
+    assert changes.items_removed(items, 1, "x").count() == 0 and changes.items_removed(items, 1, "y").count() == 1
+    rows = lambda *r: spark.createDataFrame(list(r), "path string, size long, time_deleted long")
+    sinks.write_media(rows(("a", 1, 9)), f"file://{tmp_path}/m")
+    out = sinks.write_media(rows(("a", 2, 0), ("b", 3, 0)), f"file://{tmp_path}/m")
+    assert out.endswith("v=2") and sorted(tuple(r) for r in spark.read.parquet(out).collect()) == [("a", 2, 0), ("b", 3, 0)]
+    (line,) = sinks.lines(spark.createDataFrame([("p", 90, None)], "path string, duration long, size long")).collect()
+    assert line["line"] == "p\t1:30\t-"
+
+
+def test_folders_alike(spark):
+    stats = spark.createDataFrame([("a", 10, 100), ("b", 10, 101), ("c", 20, 100), ("d", 10, 0)], "folder string, file_count long, median_size long")
+    got = {r["folder"]: r["leader"] for r in similarity.similar_folders(stats, ("file_count", "median_size")).collect()}
+    assert got == {"a": "a", "b": "a", "c": "c", "d": "d"}  # a size of 0 is compared as well
 
 
 def test_file_sources(spark, tmp_path):
@@ -189,6 +247,11 @@ def test_file_sources(spark, tmp_path):
     assert files.documents(spark, root, ["html"]).collect()[0]["text"] == "Some words"
     assert [(r["entry"], r["size"]) for r in files.archives(spark, root).collect()] == [("a.txt", 5)]
     assert len(files.hashes(spark, root, ["mkv"]).collect()[0]["fasthash"]) == 64
+    assert [r["path"].rsplit("/", 1)[1] for r in files.failures(files.contents(spark, root, ["zip"]), files.archive_entries).collect()] == ["broken.zip"]
+    (d / "noise.srt").write_text('1\n00:00:12,500 --> 00:00:13,000\nuntitled chapter="" 1=""\n\n2\n00:00:14,500 --> 00:00:15,000\n!\n')
+    assert files.captions(spark, root).count() == 1
+    found, told = files.extract(spark, root, ["mkv", "srt", "html"])
+    assert {(r["path"].rsplit("/", 1)[1], r["media_type"]) for r in found.collect()} == {("film.mkv", "video"), ("note.html", "text")} and {(r["time"], r["text"]) for r in told.where("media_path not like '%mkv'").collect()} == {(12.5, "Hello there"), (None, "Some words")}
     sums = {r["folder"]: r["n_files"] for r in files.folder_sizes(listed).collect()}
     assert sums[root] == 5
 
