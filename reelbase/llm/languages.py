@@ -52,10 +52,12 @@ _KANA = re.compile("[぀-ヿ㐀-鿿]")
 def label(language: Column) -> Column:
     """The two-letter code of a label however it is written; null if it names no known language."""
     bare = F.regexp_replace(F.lower(F.trim(language)), r"^([a-z]{2,3})[-_][a-z0-9-]+$", "$1")
-    out = F.lit(None).cast("string")
-    for code, forms in LANGUAGES.items():
-        out = F.when(bare.isin(forms.split()), code).otherwise(out)
-    return out
+    return F.try_element_at(F.create_map(*[F.lit(x) for code, forms in LANGUAGES.items() for form in forms.split() for x in (form, code)]), bare)
+
+
+def _chosen(language: Column, rank: Column, least: dict[str, float]) -> Column:
+    """Whether a row's rank is below that of its language."""
+    return rank < F.try_element_at(F.create_map(*[F.lit(x) for both in least.items() for x in both]), language) if least else F.lit(False)
 
 
 def sentences(text: str) -> list[tuple[int, int, str]]:
@@ -261,10 +263,7 @@ def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS, per_language: int = SENTEN
     counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # one row a language
     share = rows // len(CODES)
     rank = F.pmod(F.xxhash64("x", "key"), F.lit(1_000_000)) / 1_000_000.0
-    keep = F.lit(False)
-    for code, n in counts.items():
-        keep = F.when(F.col("lang") == code, rank < min(1.0, share / n)).otherwise(keep)
-    sample = labelled.where(keep).select("lang", "x", "key").collect()  # about ``rows``, which the hash of each row decides
+    sample = labelled.where(_chosen(F.col("lang"), rank, {code: min(1.0, share / n) for code, n in counts.items()})).select("lang", "x", "key").collect()  # about ``rows``, which the hash of each row decides
     sample.sort(key=lambda r: (r["lang"], r["key"]))
     codes = sorted(counts)
     texts: list[str] = []
@@ -343,10 +342,7 @@ def _labelled(media: DataFrame, captions: DataFrame, paths: int = 150) -> DataFr
     known = media.where("label is not null and path is not null").select("path", "label")
     counts = {r["label"]: r["count"] for r in known.join(captions.select(F.col("media_path").alias("path")).distinct(), "path", "left_semi").groupBy("label").count().collect()}
     rank = F.pmod(F.xxhash64("path"), F.lit(1_000_000)) / 1_000_000.0
-    keep = F.lit(False)
-    for code, n in counts.items():
-        keep = F.when(F.col("label") == code, rank < min(1.0, paths / n)).otherwise(keep)
-    chosen = known.where(keep).groupBy("path").agg(F.min("label").alias("lang"), F.max("label").alias("other")).where("lang = other").orderBy(F.xxhash64("path"), "path").limit(4 * paths * len(CODES))
+    chosen = known.where(_chosen(F.col("label"), rank, {code: min(1.0, paths / n) for code, n in counts.items()})).groupBy("path").agg(F.min("label").alias("lang"), F.max("label").alias("other")).where("lang = other").orderBy(F.xxhash64("path"), "path").limit(4 * paths * len(CODES))
     return cut(captions.join(F.broadcast(chosen), captions["media_path"] == chosen["path"]).select("lang", F.col("text").alias("x"), F.col("caption_id").alias("key")).where("x is not null"))
 
 

@@ -11,6 +11,7 @@ the words beside it support that form. SQL windows then reflow the lines into pa
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -127,15 +128,16 @@ def edge_lines(lines: list[str], most: int) -> list[tuple]:
     (line, mask or None, number or None, marked, alone, clear, top, step, solid lines from here on,
     whether there are more such lines).
     """
-    solid = [k for k, x in enumerate(lines) if x.strip()]
-    width = max((len(lines[k].strip()) for k in solid), default=0)
+    lines = [x.strip() for x in lines]
+    solid = [k for k, x in enumerate(lines) if x]
+    width = max(map(len, lines), default=0)
     out: list[tuple] = []
     for top in (True, False):
         titles, side, more = 0, [], False
         for step in range(len(solid) - 1):
             k = solid[step] if top else solid[-1 - step]
             place = (top, step, len(solid) - step)
-            line = lines[k].strip()
+            line = lines[k]
             more = step > most
             if more:
                 break
@@ -164,7 +166,7 @@ def edge_lines(lines: list[str], most: int) -> list[tuple]:
                 broken = after > k + 1 or (len(line) + 1 + len(word) <= width and not word[:1].islower())
             else:
                 before = solid[-2 - step]
-                broken = before < k - 1 or lines[before].strip().endswith(_ENDS)
+                broken = before < k - 1 or lines[before].endswith(_ENDS)
             # a second title line counts by recurrence only
             side.append((k, _mask(head), *(number or (None, False)), False, titles == 1 and broken and not _SENTENCE.search(head), *place))
         out += [(*x, more) for x in side]
@@ -180,8 +182,10 @@ def parse_page(text: str, most: int = 2) -> dict:
             first = _WORD_END.search(text, text.rfind("\n", 0, m.start()) + 1, m.start())
             if first:
                 cuts.append((first[0], m[1], m[2]))
-        joined = _HARD.sub("", _SOFT.sub("", text))
-    words = " ".join([w for w in (x.strip("'’‘-") for x in _SPLIT.split(joined)) if w])
+            joined = None
+        if joined is None:  # words are joined only where there is a hyphen at a line's end
+            joined = _HARD.sub("", _SOFT.sub("", text))
+    words = " ".join(filter(None, map(str.strip, _SPLIT.split(joined), itertools.repeat("'’‘-"))))
     return {"edges": edge_lines(lines, most), "cuts": cuts, "words": words}
 
 
@@ -225,7 +229,7 @@ def edge_noise(read: DataFrame, pages_: DataFrame, most: int = 2) -> DataFrame:
     in, until that is so nowhere; ``most`` is how many titles an edge is read for at first.
     """
     lines = lambda df: df.select("i", "p", "t", F.explode("edges").alias("e")).select("i", "p", "t", "e.*")
-    e, done = lines(read), None
+    e, done = cut(lines(read)), None
     while True:
         found = cut(_edge_noise(e, read.select("p", "t")))
         full = found.groupBy("p", "i", "top").agg(F.count("*").alias("n"), F.max("more").alias("more"), F.max("read").alias("read")).where("more and n = read")
@@ -290,8 +294,9 @@ def outer_noise(edges: list[tuple]) -> list[tuple]:
     return out
 
 
-def token_counts(texts: DataFrame, pattern: re.Pattern) -> DataFrame:
-    """``w``, ``n``: the tokens of all texts (column x) between what the pattern splits at.
+def token_counts(texts: DataFrame, pattern: re.Pattern, between: str = "\n") -> DataFrame:
+    """``w``, ``n``: the tokens of all texts (column x) between what the pattern splits at, as it does at
+    ``between``.
 
     Workers count before anything is shuffled, so that a token leaves a worker a few times however
     often it occurs.
@@ -300,8 +305,7 @@ def token_counts(texts: DataFrame, pattern: re.Pattern) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n: Counter[str] = Counter()
         for pdf in batches:
-            for x in pdf["x"]:
-                n.update(pattern.split(x))
+            n.update(pattern.split(between.join(pdf["x"])))
             if len(n) > COUNTED:
                 yield pd.DataFrame(list(n.items()), columns=["w", "n"])
                 n.clear()
@@ -327,7 +331,7 @@ def misread_words(read: DataFrame, words: DataFrame) -> DataFrame:
     # capital I and small l differ in print only: compare as read, not in lower case
     # F and E differ by a stroke in capitals only: each capital F is tried as an E
     as_e = F.array(F.col("raw"), F.replace("raw", F.lit("F"), F.lit("E")), F.regexp_replace("raw", "(?<=.)F", "E"), F.regexp_replace("raw", "^F", "E"))
-    forms = token_counts(read.select(F.col("words").alias("x")), re.compile(" ")).select(F.col("w").alias("raw"), F.lower("w").alias("w"))
+    forms = token_counts(read.select(F.col("words").alias("x")), re.compile(" "), " ").select(F.col("w").alias("raw"), F.lower("w").alias("w"))
     code = F.col("raw").rlike(r"^S\d+F\d+$")  # season and episode
     odd = code | F.col("raw").rlike(r"(?=.*\p{L})(?=.*[0-9@|$!])") | F.col("raw").rlike(r"\p{Ll}I|^I[bcdfghjklmpqrvwxyz]*[aeiou]\p{Ll}")
     own = words.select(F.col("w"), F.col("n").alias("wn"))
