@@ -35,6 +35,29 @@ def subtitle_language(path: Column) -> Column:
     return F.regexp_extract(F.lower(path), r"[._ -]([a-z]{2,3})\.(?:srt|vtt|ass|ssa|sub)$", 1)
 
 
+# Languages as people name them in files, by their two-letter code and others.
+LANGUAGE_CODES = {name.lower(): code for code, name in LANGUAGE_NAMES.items()} | {
+    "eng": "en", "ger": "de", "deu": "de", "fra": "fr", "fre": "fr", "spa": "es", "ita": "it", "por": "pt", "nld": "nl", "dut": "nl", "pol": "pl", "rus": "ru", "jpn": "ja", "zho": "zh", "chi": "zh", "kor": "ko", "swe": "sv", "tur": "tr", "ukr": "uk",
+}
+
+
+def language_code(name: Column) -> Column:
+    """The two-letter code of a language's name or code; null if it is none."""
+    known = F.create_map(*[F.lit(x) for both in (LANGUAGE_CODES | {c: c for c in LANGUAGE_NAMES}).items() for x in both])
+    return F.try_element_at(known, F.lower(F.trim(name)))
+
+
+def subtitle_label(path: Column) -> Column:
+    """'English (srt)' of 'film.en.srt', 'film_eng.srt' or 'film - English.srt'; '(srt)' without a language."""
+    base = paths.basename(path)
+    kind = F.regexp_replace(F.substring(paths.extension(base), 2, 10), "^ass$", "ssa")
+    stem = F.regexp_replace(base, r"\.[^.]*$", "")
+    last = lambda mark: F.when(F.instr(stem, mark) > 0, F.substring_index(stem, mark, -1))
+    short = lambda c: F.when(F.length(c).isin(2, 3), language_code(c))
+    code = F.coalesce(short(last(".")), short(last("_")), language_code(last(" - ")))
+    return F.when(kind == "", "").otherwise(F.concat(F.coalesce(F.concat(language_name(code), F.lit(" ")), F.lit("")), F.lit("("), kind, F.lit(")")))
+
+
 def shorten(text: Column, width: int) -> Column:
     """The first characters and an ellipsis where the text is longer."""
     return F.when(F.length(text) > width, F.concat(F.substring(text, 1, width - 1), F.lit("…"))).otherwise(text)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -45,6 +46,60 @@ def human_to_seconds(text: str) -> int:
     return _with_suffix(text, SECONDS) if text else 0
 
 
+def share_or_bytes(text: str) -> float:
+    """'5%' -> 0.05, '1MB' -> 1000000.0; 0.05 for nonsense."""
+    text = text.strip()
+    try:
+        return float(text[:-1]) / 100 if text.endswith("%") else float(human_to_bytes(text))
+    except ValueError:
+        return 0.05
+
+
+def decade(year: int) -> str:
+    """1994 -> '90s'; '' before 1900."""
+    return "" if year < 1900 else f"{year // 10 * 10 % 100:02d}s"
+
+
+def most_specific(dates: list[str], now: int) -> int | None:
+    """Of the past dates given as text, the one that says most (month, then day), then the earliest."""
+    found = []
+    for text in dates:
+        m = re.fullmatch(r"(\d{4})(?:[-/.]?(\d{2})(?:[-/.]?(\d{2}))?)?", text.strip())
+        try:
+            t = int(datetime(int(m[1]), int(m[2] or 1), int(m[3] or 1), tzinfo=timezone.utc).timestamp()) if m else parse_date(text, now)
+        except ValueError:
+            continue
+        if (m or t) and t < now:
+            at = datetime.fromtimestamp(t, timezone.utc)
+            found.append((at.month == 1, at.day == 1, t))
+    return min(found)[2] if found else None
+
+
+def partial_name(text: str, names: list[str]) -> str:
+    """The first name that begins so; ValueError without."""
+    for n in names:
+        if text and n.startswith(text):
+            return n
+    raise ValueError(f"no name begins with {text!r}")
+
+
+def divisors(n: int) -> list[int]:
+    """Of a number of four or more, those between 1 and itself, pair by pair."""
+    return [x for i in range(2, math.isqrt(n) + 1) if n % i == 0 for x in ((i,) if i * i == n else (i, n // i))] if n >= 4 else []
+
+
+def divided(values: list[float]) -> float:
+    """The first value over all others in turn; infinite over 0, not a number for 0 over 0; 0 of none."""
+    if not values:
+        return 0.0
+    out = float(values[0])
+    for v in values[1:]:
+        if v == 0:
+            return math.copysign(math.inf, out) if out else math.nan
+        out /= v
+    return out
+
+
 @dataclass(frozen=True)
 class Range:
     """Bounds that apply where they are set; an equality, where set, goes first."""

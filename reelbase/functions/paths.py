@@ -12,6 +12,40 @@ AUDIO = ("mp3", "m4a", "flac", "opus", "ogg", "oga", "wav", "aac", "wma", "m4b",
 VIDEO = ("mp4", "mkv", "avi", "webm", "mov", "wmv", "flv", "m4v", "mpg", "mpeg", "ts", "m2ts", "3gp", "ogv")
 
 
+# Content types by extension.
+MIME = {
+    "apk": "application/vnd.android.package-archive", "zim": "application/x-zim", "epub": "application/epub+zip", "pdf": "application/pdf", "mobi": "application/x-mobipocket-ebook",
+    "azw": "application/vnd.amazon.ebook", "azw3": "application/vnd.amazon.ebook", "fb2": "application/x-fictionbook", "js": "application/javascript", "json": "application/json", "xml": "application/xml",
+    "cbz": "application/vnd.comicbook+zip", "cbr": "application/vnd.comicbook-rar", "txt": "text/plain", "html": "text/html", "htm": "text/html", "css": "text/css", "jpg": "image/jpeg", "jpeg": "image/jpeg",
+    "png": "image/png", "gif": "image/gif", "webp": "image/webp", "bmp": "image/bmp", "svg": "image/svg+xml", "tiff": "image/tiff", "tif": "image/tiff", "ico": "image/x-icon", "djvu": "image/vnd.djvu",
+    "djv": "image/vnd.djvu", "mp3": "audio/mpeg", "flac": "audio/flac", "ogg": "audio/ogg", "wav": "audio/wav", "opus": "audio/opus", "aac": "audio/aac", "mp4": "video/mp4", "m4v": "video/mp4", "m4a": "video/mp4",
+    "webm": "video/webm", "mkv": "video/x-matroska", "avi": "video/x-msvideo", "mov": "video/quicktime", "wmv": "video/x-ms-wmv",
+}
+OTHER_MIME = "application/octet-stream"
+
+
+def mime_type(path: Column) -> Column:
+    """The content type by extension."""
+    known = F.create_map(*[F.lit(x) for both in MIME.items() for x in both])
+    return F.coalesce(F.try_element_at(known, F.substring(extension(path), 2, 20)), F.lit(OTHER_MIME))
+
+
+def without_mount(path: Column) -> Column:
+    """Without a drive letter and leading slashes."""
+    return F.regexp_replace(path, r"^(?:[\s\S]:)?[/\\]*", "")
+
+
+def joined(base: Column | str, path: Column) -> Column:
+    """A path below a folder, wherever it points: '.', '..' and empty parts are left out."""
+    start = F.lit(base) if isinstance(base, str) else base
+    # what a '..' takes back is resolved first
+    resolved = F.aggregate(
+        F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), F.array().cast("array<string>"),
+        lambda held, p: F.when(p.isin("", "."), held).when(p == "..", F.slice(held, 1, F.greatest(F.size(held) - 1, F.lit(0)))).otherwise(F.array_append(held, p)),
+    )
+    return F.array_join(F.concat(F.array(F.regexp_replace(start, "(?<=.)/+$", "")), resolved), "/")
+
+
 def tidy(path: Column) -> Column:
     """Back slashes become slashes and runs of slashes one."""
     return F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), "/+", "/")

@@ -140,6 +140,24 @@ def one_paragraph(text: Column) -> Column:
     return F.when(bare.isin(list(_QUOTES)), F.lit("")).otherwise(bare)
 
 
+def glob_all(text: Column, patterns: list[str]) -> Column:
+    """Whether every pattern matches; true of none."""
+    out = F.lit(True)
+    for p in patterns:
+        out = out & glob_or_like(text, p)
+    return out
+
+
+def split_trimmed(text: Column, separator: str) -> Column:
+    """Parts without blanks around them, empty ones kept."""
+    return F.transform(F.split(text, re.escape(separator)), lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))
+
+
+def last_part(text: Column) -> Column:
+    """What stands after the last dot; all without one."""
+    return F.substring_index(text, ".", -1)
+
+
 def as_json(*columns: str) -> Column:
     """A row's columns as a JSON object, nulls included."""
     return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})

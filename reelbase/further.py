@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelbase.functions import media as m
-from reelbase.functions import more, parsers, paths, ranking
+from reelbase.functions import parsers, paths, ranking, strings
 from reelbase.operators import aggregates, changes, search, similarity
 from reelbase.plans import sorting, spec
 from reelbase.plans.spec import QuerySpec
@@ -224,15 +224,15 @@ q("s27_arguments", "select * from (values ('db', 'a.db'), ('path', '/m'), ('path
     lambda spark, d: spark.createDataFrame([(k, v) for k, vs in zip(("db", "path"), parsers.databases_and_paths(["a.db", "/m", "-"], ["/x", " b.db ", ""])) for v in vs], "kind string, value string")
 )
 _HMS = "case when abs({d}) >= 3600 then printf('%d:%02d:%02d', abs({d}) // 3600, abs({d}) % 3600 // 60, abs({d}) % 60) else printf('%d:%02d', abs({d}) // 60, abs({d}) % 60) end"
-q("m02_playback", f"select media_id, case when coalesce(playhead, 0) = 0 then 'Duration: ' || {_HMS.format(d='dd')} else 'Duration: ' || {_HMS.format(d='part')} || ' (' || {_HMS.format(d='p')} || ' to ' || {_HMS.format(d='e')} || ')' end as shown from (select *, case when p > dd then dd else dd - p end as part, case when p > dd then p + dd else dd end as e from (select media_id, playhead, coalesce(duration, 0) as dd, coalesce(playhead, 0) as p from media where coalesce(playhead, 0) >= 0)) where not (p > dd and dd = 0 and p > 0 and false)")(
-    lambda spark, d: _media(spark, d).where("coalesce(playhead, 0) >= 0").select("media_id", m.playback_duration(F.col("duration"), F.col("playhead"), F.lit(None).cast("bigint")).alias("shown"))
+q("m02_playback", f"select media_id, case when coalesce(playhead, 0) = 0 then 'Duration: ' || {_HMS.format(d='dd')} else 'Duration: ' || {_HMS.format(d='part')} || ' (' || {_HMS.format(d='p')} || ' to ' || {_HMS.format(d='e')} || ')' end as shown from (select *, case when p > dd then dd else dd - p end as part, case when p > dd then p + dd else dd end as e from (select media_id, playhead, coalesce(duration, 0) as dd, coalesce(playhead, 0) as p from media))")(
+    lambda spark, d: _media(spark, d).select("media_id", m.playback_duration(F.col("duration"), F.col("playhead"), F.lit(None).cast("bigint")).alias("shown"))
 )
 _T = "(to_timestamp(time_played) at time zone 'UTC')"
-q("m02_relative", f"select id, case when coalesce(time_played, 0) = 0 then '-' when {NOW} - time_played < 86400 and {NOW} > time_played and day({_T}) = 1 then strftime({_T}, 'today, %H:%M') when {NOW} > time_played and {NOW} - time_played < 172800 and day({_T}) = 31 then strftime({_T}, 'yesterday, %H:%M') when {NOW} > time_played and {NOW} - time_played < 3888000 then greatest(({NOW} - time_played) // 86400, 1) || strftime({_T}, ' days ago, %H:%M') else strftime({_T}, '%Y-%m-%d %H:%M') end as seen from history where coalesce(time_played, 0) <= {NOW} - 1")(
-    lambda spark, d: table(spark, d, "history").where(f"coalesce(time_played, 0) < {NOW}").select("id", m.relative_time(F.col("time_played"), NOW).alias("seen"))
+q("m02_relative", f"select id, case when coalesce(time_played, 0) = 0 then '-' when {NOW} - time_played < 86400 and {NOW} > time_played and day({_T}) = 1 then strftime({_T}, 'today, %H:%M') when {NOW} > time_played and {NOW} - time_played < 172800 and day({_T}) = 31 then strftime({_T}, 'yesterday, %H:%M') when {NOW} > time_played and {NOW} - time_played < 3888000 then greatest(({NOW} - time_played) // 86400, 1) || strftime({_T}, ' days ago, %H:%M') else strftime({_T}, '%Y-%m-%d %H:%M') end as seen from history")(
+    lambda spark, d: table(spark, d, "history").select("id", m.relative_time(F.col("time_played"), NOW).alias("seen"))
 )
-q("s19_lines", "select media_id, path || chr(9) || coalesce(play_count, 0) || chr(9) || case when coalesce(time_last_played, 0) = 0 then '-' else strftime(to_timestamp(time_last_played) at time zone 'UTC', '%Y-%m-%d %H:%M') end as line from media where path is not null")(
-    lambda spark, d: sinks.lines(_media(spark, d).where("path is not null"), ("path", "play_count", "time_last_played"), "media_id")
+q("s19_lines", "select media_id, coalesce(path, '') || chr(9) || coalesce(play_count, 0) || chr(9) || case when coalesce(time_last_played, 0) = 0 then '-' else strftime(to_timestamp(time_last_played) at time zone 'UTC', '%Y-%m-%d %H:%M') end as line from media")(
+    lambda spark, d: sinks.lines(_media(spark, d), ("path", "play_count", "time_last_played"), "media_id")
 )
 
 
@@ -255,3 +255,16 @@ def _(spark, d):
 q("m01_segments", "select * from (values (0, 0), (0, 12), (0, 24), (0, 36), (0, 48), (0, 60), (0, 72), (0, 84), (0, 98)) v(unused, start)".replace("unused, ", "k, "))(
     lambda spark, d: spark.createDataFrame([(0, s) for s in files.segments(100, 2, 0.1)], "k int, start int")
 )
+
+# ---- more functions of paths and numbers
+_MIMES = "case ltrim({e}, '.') when 'pdf' then 'application/pdf' when 'epub' then 'application/epub+zip' when 'mobi' then 'application/x-mobipocket-ebook' when 'azw' then 'application/vnd.amazon.ebook' when 'azw3' then 'application/vnd.amazon.ebook' when 'fb2' then 'application/x-fictionbook' when 'cbz' then 'application/vnd.comicbook+zip' when 'cbr' then 'application/vnd.comicbook-rar' when 'txt' then 'text/plain' when 'html' then 'text/html' when 'htm' then 'text/html' when 'jpg' then 'image/jpeg' when 'jpeg' then 'image/jpeg' when 'png' then 'image/png' when 'gif' then 'image/gif' when 'webp' then 'image/webp' when 'bmp' then 'image/bmp' when 'svg' then 'image/svg+xml' when 'tiff' then 'image/tiff' when 'tif' then 'image/tiff' when 'djvu' then 'image/vnd.djvu' when 'djv' then 'image/vnd.djvu' when 'mp3' then 'audio/mpeg' when 'flac' then 'audio/flac' when 'ogg' then 'audio/ogg' when 'wav' then 'audio/wav' when 'opus' then 'audio/opus' when 'aac' then 'audio/aac' when 'mp4' then 'video/mp4' when 'm4v' then 'video/mp4' when 'm4a' then 'video/mp4' when 'webm' then 'video/webm' when 'mkv' then 'video/x-matroska' when 'avi' then 'video/x-msvideo' when 'mov' then 'video/quicktime' when 'wmv' then 'video/x-ms-wmv' when 'json' then 'application/json' when 'xml' then 'application/xml' when 'js' then 'application/javascript' when 'css' then 'text/css' when 'ico' then 'image/x-icon' when 'apk' then 'application/vnd.android.package-archive' when 'zim' then 'application/x-zim' else 'application/octet-stream' end"
+q("x15_mime", f"select media_id, {_MIMES.format(e=EXT)} as mime from media")(lambda spark, d: _media(spark, d).select("media_id", paths.mime_type(F.col("path")).alias("mime")))
+q("x14_paths", "select media_id, regexp_replace(path, '^/+', '') as bare, '/safe/' || array_to_string(list_filter(str_split(path, '/'), lambda x: x <> ''), '/') as below from media")(
+    lambda spark, d: _media(spark, d).select("media_id", paths.without_mount(F.col("path")).alias("bare"), paths.joined("/safe", F.concat(F.lit("x/.././"), F.col("path"))).alias("below"))
+)
+q("x04_parts", "select media_id, list_transform(str_split(genre, ';'), lambda x: trim(x)) as parts, list_extract(str_split(path, '.'), -1) as last from media")(
+    lambda spark, d: _media(spark, d).select("media_id", strings.split_trimmed(F.col("genre"), ";").alias("parts"), strings.last_part(F.col("path")).alias("last"))
+)
+q("x08_glob_all", "select media_id from media where regexp_matches(path, '^/srv/media/[^/]*/[^/]*/[^/]*$') and regexp_matches(path, '^/[^/]*/[^/]*/shows/[^/]*/[^/]*$')")(
+    lambda spark, d: _media(spark, d).where(strings.glob_all(F.col("path"), ["/srv/media/*/*/*", "/*/*/shows/*/*"])).select("media_id")
+)

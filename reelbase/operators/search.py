@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from reelbase.functions import strings
+from reelbase.functions import ranking, strings
 from reelbase.functions.parsers import any_of, plain_terms, search_terms
 from reelbase.plans.spec import fts
 
@@ -76,24 +76,15 @@ def search_captions(captions: DataFrame, media: DataFrame, query: str, types: li
 def caption_context(captions: DataFrame, query: str, around: int = 2) -> DataFrame:
     """Matching captions and up to ``around`` before and after each, every caption once.
 
-    Neighbours are found by row numbers within blocks of a path's time line and the rows just
-    outside each block, so a path of any length is many tasks.
+    Captions are numbered over the whole table by path and time; neighbours are those of nearby
+    numbers and the same path, so a path of any length is many tasks. Rows without a time or text
+    stand outside.
     """
-    block = 600.0
-    base = captions.where("time is not null and text is not null").select("caption_id", "media_path", "time", "text", F.lower("text").contains(query.lower()).alias("hit"))
-    base = base.withColumn("b", F.floor(F.col("time") / block))
-    w = W.partitionBy("media_path", "b").orderBy("time", "caption_id")
-    reach = w.rowsBetween(-around, around)
-    local = base.withColumn("near", F.max("hit").over(reach)).withColumn("k", F.row_number().over(w)).withColumn("n", F.count("*").over(W.partitionBy("media_path", "b")))
-    # rows at a block's edges also see those of other blocks, by their numbers within the path
-    over = W.partitionBy("media_path").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
-    offsets = base.groupBy("media_path", "b").agg(F.count("*").alias("c")).withColumn("o", F.coalesce(F.sum("c").over(over), F.lit(0))).drop("c")
-    edge = local.where((F.col("k") <= around) | (F.col("k") > F.col("n") - around)).join(offsets, ["media_path", "b"]).withColumn("g", F.col("o") + F.col("k"))
-    p = W.partitionBy("media_path").orderBy("g").rangeBetween(-around, around)
-    rows = edge.withColumn("near2", F.max("hit").over(p)).where("near2").select("caption_id").distinct()
-    inner = local.where("near").select("caption_id").distinct()
-    keep = inner.unionByName(rows).distinct()
-    return base.join(keep, "caption_id", "left_semi").drop("b")
+    base = captions.where("time is not null and text is not null")
+    at = ranking.number(base.select("caption_id", "media_path", "time", F.lower("text").contains(query.lower()).alias("hit")), [F.col("media_path"), F.col("time"), F.col("caption_id")], "n", ["caption_id", "media_path", "hit"])
+    near = at.where("hit").select(F.col("media_path").alias("p"), F.explode(F.sequence(F.col("n") - around, F.col("n") + around)).alias("n")).distinct()
+    keep = at.join(near, "n").where(F.col("media_path").eqNullSafe(F.col("p"))).select("caption_id").distinct()
+    return base.select("caption_id", "media_path", "time", "text").join(keep, "caption_id", "left_semi")
 
 
 def merge_captions(df: DataFrame, gap: float = 8.0) -> DataFrame:

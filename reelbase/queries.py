@@ -517,8 +517,8 @@ q("x11_escaped", "select media_id, replace(replace(replace(replace(replace(title
 q("m05_durations", f"select media_id, case when coalesce(duration, 0) < 120 and coalesce(size / {_RATE} * 8 > 120, false) then cast(floor(size / {_RATE} * 8) as bigint) else duration end as duration, case when duration > 0 then cast(duration as double) when size > 0 then size / coalesce({_RATE}, 1.5e6) * 8 else 0 end as timeout from media")(
     lambda spark, d: _media(spark, d).select("media_id", more.corrected_duration(F.col("duration"), F.col("size"), F.col("path")).alias("duration"), more.timeout_duration(F.col("duration"), F.col("size"), F.col("path")).alias("timeout"))
 )
-q("m06_reading", f"with w as (select media_id, greatest(cast(floor(size / cast({_PER} as double)) as bigint), 10) as n_words from media where size is not null) select media_id, n_words, cast(trunc(n_words / 3.67) as bigint) as seconds from w")(
-    lambda spark, d: _media(spark, d).where("size is not null").select("media_id", more.words_of_size(F.col("size"), F.col("path")).alias("n_words")).withColumn("seconds", m.reading_seconds(F.col("n_words")))
+q("m06_reading", f"with w as (select media_id, greatest(cast(floor(size / cast({_PER} as double)) as bigint), 10) as n_words from media) select media_id, n_words, cast(trunc(n_words / 3.67) as bigint) as seconds from w")(
+    lambda spark, d: _media(spark, d).select("media_id", more.words_of_size(F.col("size"), F.col("path")).alias("n_words")).withColumn("seconds", m.reading_seconds(F.col("n_words")))
 )
 q("m09_word_timings", "select doc_id, k - 1 as pos, word, round((k - 1) * 60.0 / 250, 6) as at from (select doc_id, unnest(l) as word, unnest(range(1, len(l) + 1)) as k from (select doc_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\x0B]+'), lambda w: w <> '') as l from documents where text is not null))")(
     lambda spark, d: table(spark, d, "documents").select("doc_id", F.posexplode(more.word_timings(F.col("text"))).alias("pos", "w")).select("doc_id", F.col("pos").cast("bigint").alias("pos"), "w.word", F.round("w.at", 6).alias("at"))

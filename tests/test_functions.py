@@ -129,3 +129,20 @@ def test_what_browsers_play(spark):
         (False, False, False, ""), (True, True, False, "video/mp4"), (False, False, False, ""), (True, True, True, "video/mp4"), (True, False, True, "video/mp4"), (False, False, False, ""), (True, False, False, "audio/webm"),
         (False, False, False, ""), (False, False, False, ""),
     ]
+
+
+def test_smaller_helpers(spark):
+    from reelbase.functions import more
+
+    assert parsers.share_or_bytes("5%") == 0.05 and parsers.share_or_bytes("1MB") == 1e6 and parsers.share_or_bytes("x%") == 0.05
+    assert parsers.decade(1994) == "90s" and parsers.decade(2003) == "00s" and parsers.decade(1850) == ""
+    assert parsers.most_specific(["2020", "2021-05", "2022-05-06", "2999-01-02", "x"], 1_735_689_600) == 1651795200 and parsers.most_specific([], 5) is None
+    assert parsers.partial_name("pl", ["media", "playlists"]) == "playlists" and parsers.divisors(12) == [2, 6, 3, 4] and parsers.divisors(9) == [3] and parsers.divided([8, 2, 2]) == 2.0
+    with pytest.raises(ValueError):
+        parsers.partial_name("", ["a"])
+    assert parsers.databases_and_paths(["a.db", "-"], [" /x ", ""]) == (["a.db"], ["/x"])
+    x = F.col("x")
+    assert values(spark, ["C:\\a\\b", "//x/y", "z"], paths.without_mount(x)) == [("a\\b",), ("x/y",), ("z",)]
+    assert values(spark, ["../../etc/passwd", "a/./b/../c", "\\d"], paths.joined("/base", x)) == [("/base/etc/passwd",), ("/base/a/c",), ("/base/d",)]
+    assert values(spark, ["film.en.srt", "film_ENG.ass", "film - German.vtt", "film.srt", "film"], more.subtitle_label(x)) == [("English (srt)",), ("English (ssa)",), ("German (vtt)",), ("(srt)",), ("",)]
+    assert values(spark, [" a ; b", ""], strings.split_trimmed(x, ";")) == [(["a", "b"],), ([""],)]
