@@ -228,55 +228,67 @@ def edge_noise(read: DataFrame, pages_: DataFrame, most: int = 2) -> DataFrame:
     Where all lines read at an edge are noise and there may be more, the page is read again further
     in, until that is so nowhere; ``most`` is how many titles an edge is read for at first.
     """
-    lines = lambda df: df.select("i", "p", "t", F.explode("edges").alias("e")).select("i", "p", "t", "e.*")
-    e, done = cut(lines(read)), None
+    e, done, total = cut(_keyed(read)), None, read.select("t", *_key("paper", "p"))
     while True:
-        found = cut(_edge_noise(e, read.select("p", "t")))
-        full = found.groupBy("p", "i", "top").agg(F.count("*").alias("n"), F.max("more").alias("more"), F.max("read").alias("read")).where("more and n = read")
-        deeper = cut(full.select("p", "i").distinct())
-        again = deeper.select("p").distinct()  # papers, since other pages' lines count as well
-        now = found.join(again, "p", "left_anti")
+        found = cut(_edge_noise(e, total))
+        full = found.groupBy(*PAPER, "i", "top").agg(F.count("*").alias("n"), F.max("more").alias("more"), F.max("read").alias("read")).where("more and n = read")
+        deeper = cut(full.select(*PAPER, "i").distinct())
+        again = deeper.select(*PAPER).distinct()  # papers, since other pages' lines count as well
+        now = found.join(again, PAPER, "left_anti")
         done = now if done is None else done.unionByName(now)
         if deeper.isEmpty():
             return done.where("header or pagenum").select("i", "line", "header", "pagenum", "alone", "pages")
         most *= 4
-        fresh = lines(_with_edges(pages_.join(deeper.select("i"), "i", "left_semi"), most))
-        e = cut(e.join(again, "p", "left_semi").join(deeper.select("i"), "i", "left_anti").unionByName(fresh))
-        read = read.join(again, "p", "left_semi")
+        fresh = _keyed(_with_edges(pages_.join(deeper.select("i"), "i", "left_semi"), most))
+        e = cut(e.join(again, PAPER, "left_semi").join(deeper.select("i"), "i", "left_anti").unionByName(fresh))
+        total = total.join(again, PAPER, "left_semi")
 
 
-def _edge_noise(e: DataFrame, read: DataFrame) -> DataFrame:
-    total = read.groupBy("p").agg(F.count_distinct("t").alias("total"))
-    masks = e.where("mask is not null").groupBy("p", "top", "mask").agg(F.count_distinct("t").alias("pages"), F.max("clear").alias("title"))
-    offsets = e.where("n is not null").groupBy("p", (F.col("n") - F.floor("t")).alias("off")).agg(F.count_distinct("t").alias("same_off"))
-    values = e.where("n is not null").groupBy("p", "n").agg(F.count_distinct("t").alias("same_n"))
-    best = offsets.groupBy("p").agg(F.max("same_off").alias("best"))
+PAPER, MASK, OFFSET, NUMBER = (["paper1", "paper2"], ["mask1", "mask2"], ["off1", "off2"], ["num1", "num2"])
+
+
+def _key(name: str, *columns: str | Column, when: Column | None = None) -> list[Column]:
+    """Two hashes (96 bits) that stand for a key, which is cheaper to sort and to move than its text."""
+    made = (F.xxhash64(*columns), F.hash(*columns))
+    return [(h if when is None else F.when(when, h)).alias(f"{name}{k}") for k, h in enumerate(made, 1)]
+
+
+def _keyed(read: DataFrame) -> DataFrame:
+    """The edge lines of pages, with the keys they are counted by."""
+    e = read.select("i", "p", "t", F.explode("edges").alias("e")).select("i", "p", "t", "e.*")
+    masked, numbered = F.col("mask").isNotNull(), F.col("n").isNotNull()
+    sentence = F.coalesce(F.col("mask").rlike(_SENTENCE.pattern) & (F.size(F.split("mask", " ")) > 4), F.lit(False))
+    return e.select(
+        "i", "t", "line", "n", "marked", "alone", "clear", "top", "step", "solid", "more", sentence.alias("sentence"), *_key("paper", "p"), *_key("mask", "p", "top", "mask", when=masked),
+        *_key("off", "p", F.col("n") - F.floor("t"), when=numbered & F.col("t").isNotNull()), *_key("num", "p", "n", when=numbered),
+    )
+
+
+def _edge_noise(e: DataFrame, pages_: DataFrame) -> DataFrame:
+    total = pages_.groupBy(*PAPER).agg(F.count_distinct("t").alias("total"))
+    masks = e.where("mask1 is not null").groupBy(*MASK).agg(F.count_distinct("t").alias("pages"), F.max("clear").alias("title"))
+    offsets = e.where("off1 is not null").groupBy(*OFFSET, *PAPER).agg(F.count_distinct("t").alias("same_off"))
+    values = e.where("num1 is not null").groupBy(*NUMBER).agg(F.count_distinct("t").alias("same_n"))
+    best = offsets.groupBy(*PAPER).agg(F.max("same_off").alias("best"))
     # by paper; a paper with a large share of all pages is split by the adaptive skew join
-    papers = total.join(best, "p", "left")
-    all_ = (
-        e.withColumn("off", F.col("n") - F.floor("t"))
-        .join(masks, ["p", "top", "mask"], "left")
-        .join(offsets, ["p", "off"], "left")
-        .join(values, ["p", "n"], "left")
-        .join(papers, "p", "left")
-    )
+    papers = total.join(best, PAPER, "left")
+    all_ = e.join(masks, MASK, "left").join(offsets.drop(*PAPER), OFFSET, "left").join(values, NUMBER, "left").join(papers, PAPER, "left")
     number = F.col("n").isNotNull() & (
         F.col("marked") | (F.col("same_off") >= 2) | (F.col("alone") & F.col("t").isNull()) | ((F.col("same_n") < 2) & (F.coalesce("best", F.lit(0)) < 2)) | (F.col("alone") & (F.coalesce("best", F.lit(0)) < 2))
     )
     # text recurs as well: on a few of many pages, or in whole sentences
-    sentence = F.col("mask").rlike(_SENTENCE.pattern) & (F.size(F.split("mask", " ")) > 4)
-    often = (F.col("pages") >= 3) & (4 * F.col("pages") >= F.col("total")) & ~sentence
-    header = F.col("mask").isNotNull() & (often | ((F.col("pages") >= 2) & F.col("title")) | F.col("clear"))
+    often = (F.col("pages") >= 3) & (4 * F.col("pages") >= F.col("total")) & ~F.col("sentence")
+    header = F.col("mask1").isNotNull() & (often | ((F.col("pages") >= 2) & F.col("title")) | F.col("clear"))
     cols = ("line", "header", "pagenum", "alone", "pages", "top", "step", "solid", "more")
-    told = all_.select("p", "i", F.struct("line", F.coalesce(header, F.lit(False)).alias("header"), F.coalesce(number, F.lit(False)).alias("pagenum"), "alone", F.coalesce("pages", F.lit(0)).alias("pages"), "top", "step", "solid", "more").alias("e"))
-    by_page = told.groupBy("p", "i").agg(F.collect_list("e").alias("edges"))  # the lines read of one page
+    told = all_.select(*PAPER, "i", F.struct("line", F.coalesce(header, F.lit(False)).alias("header"), F.coalesce(number, F.lit(False)).alias("pagenum"), "alone", F.coalesce("pages", F.lit(0)).alias("pages"), "top", "step", "solid", "more").alias("e"))
+    by_page = told.groupBy(*PAPER, "i").agg(F.collect_list("e").alias("edges"))  # the lines read of one page
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(p, i, *x) for p, i, edges in zip(pdf["p"], pdf["i"], pdf["edges"]) for x in outer_noise([tuple(e[c] for c in cols) for e in edges])]
-            yield pd.DataFrame(rows, columns=["p", "i", "line", "header", "pagenum", "alone", "pages", "top", "more", "read"])
+            rows = [(p, q, i, *x) for p, q, i, edges in zip(pdf["paper1"], pdf["paper2"], pdf["i"], pdf["edges"]) for x in outer_noise([tuple(e[c] for c in cols) for e in edges])]
+            yield pd.DataFrame(rows, columns=[*PAPER, "i", "line", "header", "pagenum", "alone", "pages", "top", "more", "read"])
 
-    return by_page.mapInPandas(run, "p string, i bigint, line int, header boolean, pagenum boolean, alone boolean, pages bigint, top boolean, more boolean, read bigint")
+    return by_page.mapInPandas(run, "paper1 bigint, paper2 int, i bigint, line int, header boolean, pagenum boolean, alone boolean, pages bigint, top boolean, more boolean, read bigint")
 
 
 def outer_noise(edges: list[tuple]) -> list[tuple]:
