@@ -195,9 +195,7 @@ def _dice_sql(a: str, b: str, rows: str, keep: str) -> str:
 
 
 _STEM = "regexp_replace(regexp_extract(regexp_replace(path, '/+', '/', 'g'), '([^/]*)$', 1), '\\.[^.]*$', '')"
-q("d03_title_and_name", f"select media_id, round(dice, 6) as dice from ({_dice_sql('lower(title)', f'lower({_STEM})', 'media where title is not null', 'media_id')})")(
-    lambda spark, d: _media(spark, d).where("title is not null").select("media_id", F.round(similarity.dice(F.lower("title"), F.lower(paths.stem(F.col("path")))), 6).alias("dice"))
-)
+ORACLE["d03_dice"] = f"select media_id, round(dice, 6) as dice from ({_dice_sql('lower(title)', f'lower({_STEM})', 'media where title is not null', 'media_id')})"
 q("d03_filtered", f"""with l as (select *, row_number() over (partition by title, artist order by coalesce(is_deduped, 0) desc, coalesce(size, -1) desc, coalesce(time_modified, -1) desc, media_id) k from media where {LIVE} and title <> '' and artist <> ''),
  f as (select title, artist, media_id as keep_id, path as keep_path, coalesce(duration, 0) as kd from l where k = 1), d as (select f.keep_id, l.media_id as dup_id, f.keep_path, l.path as dup_path from l join f using (title, artist) where l.k > 1 and abs(coalesce(l.duration, 0) - kd) <= 8 and l.path <> f.keep_path),
  s as ({_dice_sql("regexp_extract(keep_path, '([^/]*)$', 1)", "regexp_extract(dup_path, '([^/]*)$', 1)", 'd', '*')}), n as (select *, row_number() over (partition by dup_path order by keep_id, dup_id) r from s where dice >= 0.5) select keep_id, dup_id from n where r = 1""")(
@@ -256,6 +254,13 @@ q("m01_segments", "select * from (values (0, 0), (0, 12), (0, 24), (0, 36), (0,
     lambda spark, d: spark.createDataFrame([(0, s) for s in files.segments(100, 2, 0.1)], "k int, start int")
 )
 
+# ---- SQL for queries registered with the others
+_NATURAL = "list_transform(regexp_extract_all(path, '[0-9]+|[^0-9]+'), lambda x: case when regexp_matches(x, '^[0-9]+$') then struct_pack(k := 0, n := cast(x as decimal(38, 0)), s := '') else struct_pack(k := 1, n := cast(0 as decimal(38, 0)), s := lower(x)) end)"
+ORACLE["o07_natural"] = _order_sql(f"{_NATURAL}, path, media_id")
+_IDF = "ln(1 + (total - df{k} + 0.5) / (df{k} + 0.5)) * n{k} * 2.2 / (n{k} + 1.2)"
+ORACLE["t06_bm25"] = f"""with l as (select media_id, lower(concat_ws(' ', path, title, description)) as low from media where {LIVE}), c as (select media_id, (length(low) - length(replace(low, 'harbour', ''))) // 7 as n1, (length(low) - length(replace(low, 'lantern', ''))) // 7 as n2 from l),
+ s as (select count(*) as total, count(*) filter (n1 > 0) as df1, count(*) filter (n2 > 0) as df2 from c) select media_id, round({_IDF.format(k=1)} + {_IDF.format(k=2)}, 6) as bm25 from c, s where n1 + n2 > 0"""
+
 # ---- more functions of paths and numbers
 _MIMES = "case ltrim({e}, '.') when 'pdf' then 'application/pdf' when 'epub' then 'application/epub+zip' when 'mobi' then 'application/x-mobipocket-ebook' when 'azw' then 'application/vnd.amazon.ebook' when 'azw3' then 'application/vnd.amazon.ebook' when 'fb2' then 'application/x-fictionbook' when 'cbz' then 'application/vnd.comicbook+zip' when 'cbr' then 'application/vnd.comicbook-rar' when 'txt' then 'text/plain' when 'html' then 'text/html' when 'htm' then 'text/html' when 'jpg' then 'image/jpeg' when 'jpeg' then 'image/jpeg' when 'png' then 'image/png' when 'gif' then 'image/gif' when 'webp' then 'image/webp' when 'bmp' then 'image/bmp' when 'svg' then 'image/svg+xml' when 'tiff' then 'image/tiff' when 'tif' then 'image/tiff' when 'djvu' then 'image/vnd.djvu' when 'djv' then 'image/vnd.djvu' when 'mp3' then 'audio/mpeg' when 'flac' then 'audio/flac' when 'ogg' then 'audio/ogg' when 'wav' then 'audio/wav' when 'opus' then 'audio/opus' when 'aac' then 'audio/aac' when 'mp4' then 'video/mp4' when 'm4v' then 'video/mp4' when 'm4a' then 'video/mp4' when 'webm' then 'video/webm' when 'mkv' then 'video/x-matroska' when 'avi' then 'video/x-msvideo' when 'mov' then 'video/quicktime' when 'wmv' then 'video/x-ms-wmv' when 'json' then 'application/json' when 'xml' then 'application/xml' when 'js' then 'application/javascript' when 'css' then 'text/css' when 'ico' then 'image/x-icon' when 'apk' then 'application/vnd.android.package-archive' when 'zim' then 'application/x-zim' else 'application/octet-stream' end"
 q("x15_mime", f"select media_id, {_MIMES.format(e=EXT)} as mime from media")(lambda spark, d: _media(spark, d).select("media_id", paths.mime_type(F.col("path")).alias("mime")))
