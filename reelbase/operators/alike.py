@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 
 #: An element that begins so many sets or fewer is a key by itself; more, and a second element joins it.
@@ -155,7 +157,8 @@ class Index:
         """The links among the index' own sets, by those of some sets, evenly spread."""
         n = len(self.sets.m)
         rows = np.arange(0, n, max(1, n // sample))
-        return sum(len(a) for a, _ in self.like(self.sets.some(rows), rows)) * n / max(1, len(rows))
+        met = [np.unique(a * n + b) for a, b in self.like(self.sets.some(rows), rows)]
+        return len(functools.reduce(np.union1d, met, np.zeros(0, np.int64))) * n / max(1, len(rows))
 
 
 def led(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:

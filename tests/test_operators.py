@@ -165,6 +165,25 @@ def test_like_sets_are_those_of_brute_force():
         assert (index.slot >= 0).any() and packed.rest.any()
 
 
+def test_titles_all_alike_in_time(spark):
+    """Groups of thousands of titles that are all alike: each pair of them kept took over a minute."""
+    import time
+
+    import numpy as np
+
+    from reelbase.operators import alike
+
+    df = spark.range(24_000).select("id", F.concat(F.element_at(F.split(F.lit("Midnight Voyage: Station,Garden of the Crimson Lantern,A Hollow Mirror Story"), ","), (F.col("id") % 3 + 1).cast("int")), F.format_string(" #%d", F.floor(F.col("id") / 3))).alias("title"))
+    began = time.monotonic()
+    clusters = similarity.cluster_names(df, "id", F.col("title"))
+    got = similarity.duplicates_only(clusters, "id").agg(F.count("*"), F.countDistinct("leader")).first()
+    assert got[0] > 23_000 and got[1] < 500 and time.monotonic() - began < 60
+    # told beforehand, so that fewer are compared at once
+    index = alike.Index(similarity._elements(["aaab" + "cdefghijklmnop"[:k] for k in range(10, 15)] * 200, {g: k for k, g in enumerate(["aa", "ab", "bc", *map("".join, zip("cdefghijklmno", "defghijklmnop"))])}), 0.8)
+    links = {(a, b) for x, y in index.like(index.sets, np.arange(1000)) for a, b in zip(x.tolist(), y.tolist())}
+    assert 0.5 < index.expected(90) / len(links) < 2
+
+
 def test_many_numbered_names_in_time(spark):
     """30,000 names of a few words and a number: joined by single letter pairs they took over a minute."""
     import time
