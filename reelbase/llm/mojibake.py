@@ -161,6 +161,10 @@ def garbled_forms(word: str) -> list[tuple[str, str, str, bool]]:
     return [(f, *x) for f, x in out.items()]
 
 
+def _sum(form: str) -> int:
+    return zlib.crc32(form.encode("utf-8", "surrogatepass"))
+
+
 def _tokens(text: Column) -> Column:
     """The distinct tokens between plain white space that hold more than ASCII."""
     some = F.filter(F.split(text, r"[ \t\r\n]+"), lambda x: x.rlike(r"[^\x00-\x7F]"))
@@ -202,8 +206,9 @@ def garbled_tokens(tokens: DataFrame) -> DataFrame:
     def forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows, size = [], 0
-            for k, (w, n) in enumerate(zip(pdf["token"], pdf["n"]), 1):
-                rows += [(f, original, n, chain, certain) for f, original, chain, certain in garbled_forms(w)]
+            kept = map(set, pdf["cs"]) if "cs" in pdf else [None] * len(pdf)
+            for k, (w, n, cs) in enumerate(zip(pdf["token"], pdf["n"], kept), 1):
+                rows += [(f, original, n, chain, certain) for f, original, chain, certain in garbled_forms(w) if cs is None or _sum(f) in cs]
                 size += len(w)
                 if size > BATCH_CHARS or k == len(pdf):
                     yield pd.DataFrame(rows, columns=["token", "original", "n_original", "chain", "certain"])
@@ -215,7 +220,7 @@ def garbled_tokens(tokens: DataFrame) -> DataFrame:
         for pdf in batches:
             ids, sums, size = [], [], 0
             for k, (w, id_) in enumerate(zip(pdf["token"], pdf["w"]), 1):
-                met = {zlib.crc32(f.encode("utf-8", "surrogatepass")) for f, *_ in garbled_forms(w)}
+                met = {_sum(f) for f, *_ in garbled_forms(w)}
                 ids += [id_] * len(met)
                 sums += met
                 size += len(w)
@@ -224,18 +229,19 @@ def garbled_tokens(tokens: DataFrame) -> DataFrame:
                     ids, sums, size = [], [], 0
 
     # where words are not spaced a token is a long run of them with long forms: only the checksums of
-    # these are shuffled, and the forms themselves made of the runs that met a token by one
+    # these are shuffled, and then the forms that met a token by theirs
     unspaced = F.col("token").rlike(UNSPACED)
     runs = clean.where(unspaced).withColumn("w", F.xxhash64("token")).repartition(tasks, "token")
-    met = runs.select("token", "w").mapInPandas(marks, "w bigint, c bigint").join(seen.select(F.crc32(F.col("token")).alias("c")).distinct(), "c", "left_semi").select("w").distinct()
-    made = clean.where(~unspaced).unionByName(runs.join(met, "w", "left_semi").drop("w")).mapInPandas(forms, "token string, original string, n_original bigint, chain string, certain boolean")
+    met = runs.select("token", "w").mapInPandas(marks, "w bigint, c bigint").join(seen.select(F.crc32(F.col("token")).alias("c")).distinct(), "c", "left_semi").groupBy("w").agg(F.collect_set("c").alias("cs"))
+    shape = "token string, original string, n_original bigint, chain string, certain boolean"
+    made = clean.where(~unspaced).mapInPandas(forms, shape).unionByName(runs.join(met, "w").select("token", "n", "cs").mapInPandas(forms, shape))
     odd_case = F.col("token").rlike(r"\p{Ll}\p{Lu}")
     rarer = (F.col("n_original") >= ORIGINAL_TIMES) & (F.col("n_original") >= RARER * F.col("n"))
     hits = seen.drop("back").join(made, "token").where((F.col("certain") & (~F.col("plain") | (F.length("token") == 1))) | rarer | odd_case)
     letters = F.length(F.regexp_replace("token", r"[^\p{L}\p{M}\p{S}\p{No}\p{P}]", ""))
     one_script = F.col("token").rlike(r"^\p{IsCyrillic}+$") & F.col("original").rlike(r"^\p{IsCyrillic}+$")
     sure = ~F.col("plain") | F.when(one_script, (F.length("token") >= 5) | (odd_case & (F.length("token") >= 3))).otherwise(letters >= 3)
-    joined = hits.groupBy("token").agg(F.max_by(F.struct("original", "chain", sure.alias("sure")), F.struct("certain", "n_original", "original")).alias("h")).select("token", "h.*")
+    joined = cut(hits.groupBy("token").agg(F.max_by(F.struct("original", "chain", sure.alias("sure")), F.struct("certain", "n_original", "original")).alias("h")).select("token", "h.*"))
 
     # what no clean word explains: undone, and verified by the characters of clean words
     rest = seen.where(~F.col("plain")).join(joined.select("token"), "token", "left_anti")
